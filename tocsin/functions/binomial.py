@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+LIMITS = ("lower_95", "upper_95", "upper_one_sided_95")
 
 # Python workers get these helpers with the task, wherever the package is installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -84,15 +87,15 @@ def exact_limits(s: int, n: int, confidence: float) -> tuple[float, float, float
     return lower, upper, one_sided
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _tolerance_udf(m0: pd.Series, alpha: pd.Series, delta: pd.Series) -> pd.Series:
     return pd.Series([tolerance_index(int(m), float(a), float(d)) for m, a, d in zip(m0, alpha, delta)])
 
 
-@F.pandas_udf("lower_95 double, upper_95 double, upper_one_sided_95 double")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in LIMITS]))
 def _limits_udf(s: pd.Series, n: pd.Series, confidence: pd.Series) -> pd.DataFrame:
     rows = [exact_limits(int(a), int(b), float(c)) for a, b, c in zip(s, n, confidence)]
-    return pd.DataFrame(rows, columns=["lower_95", "upper_95", "upper_one_sided_95"])
+    return pd.DataFrame(rows, columns=list(LIMITS))
 
 
 def hc_index(m0: Column, alpha: Column, delta: float | Column) -> Column:

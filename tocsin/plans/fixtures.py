@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.exprs import INF
@@ -140,3 +140,86 @@ def order_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared(spark, sf_dir, "order-outcomes", lambda: al.outcomes(
         order_trajectories(spark, sf_dir).where("split = 'test'"),
         order_split(spark, sf_dir).where("split = 'test'"), order_thresholds(spark, sf_dir), ORDERS))
+
+
+# -- events: irregular measurements ---------------------------------------------------
+
+VARIABLES = tuple(f"v_{e}" for e in EVENT_TYPES)
+
+
+def event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
+    t = (F.floor(seconds / 21600) + 1).cast("int")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("episode_id"), t.alias("t"), "event_id", "event_type", "value").where("t between 1 and 120")
+
+
+def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(episode_id, site, t, v_<type>..., risk): one row per user and 6-hour step; the
+    latest event of a type counts."""
+    def build() -> DataFrame:
+        latest = [F.max_by("value", F.when(F.col("event_type") == e, F.col("event_id"))).alias(f"v_{e}") for e in EVENT_TYPES]
+        risk = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.avg("value") - 60.0) / 30.0))
+        rows = event_hours(spark, sf_dir).groupBy("episode_id", "t").agg(*latest, F.round(risk, 9).alias("risk"))
+        return rows.withColumn("site", site_of(F.col("episode_id")))
+    return shared(spark, sf_dir, "event-measurements", build)
+
+
+def event_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        bad = (F.col("event_type") == "error") & (F.col("value") > 150) & (F.col("t") > 12)
+        per = event_hours(spark, sf_dir).groupBy("episode_id").agg(
+            F.max("t").alias("_max"), F.min(F.when(bad, F.col("t"))).alias("_first"))
+        per = per.withColumn("horizon", F.least(F.col("_max"), 48 + (F.col("episode_id") * 37) % 73).cast("int"))
+        event = F.coalesce(F.col("_first") <= F.col("horizon"), F.lit(False))
+        return per.select("episode_id", site_of(F.col("episode_id")).alias("site"), event.alias("event"),
+                          F.when(event, F.col("_first").cast("double")).otherwise(F.lit(INF)).alias("onset"), "horizon",
+                          (40 + F.col("episode_id") % 50).cast("double").alias("age"))
+    return shared(spark, sf_dir, "event-episodes", build)
+
+
+def event_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared(spark, sf_dir, "event-split", lambda: stratified_split(
+        event_episodes(spark, sf_dir), {"train": 0.5, "validation": 0.25, "test": 0.25}, SEED))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records of the 41 file columns from ``events``, with a few faulty users per
+    kind of fault, chosen by user id."""
+    from tocsin.sources.episode_files import LONGITUDINAL
+
+    def build() -> DataFrame:
+        u, t = F.col("episode_id"), F.col("t")
+        bad = (F.col("event_type") == "error") & (F.col("value") > 150) & (F.col("t") > 12)
+        first = event_hours(spark, sf_dir).groupBy("episode_id").agg(F.min(F.when(bad, F.col("t"))).alias("_first"))
+        rows = measurements(spark, sf_dir).join(first, "episode_id").where(~((u % 37 == 2) & (t > 5)))
+        label = F.when(t >= F.col("_first") - 6, 1.0).otherwise(0.0)
+        label = F.when((u % 47 == 3) & (t % 17 == 0), 2.0).when((u % 43 == 11) & (t % 19 == 0), 0.0).otherwise(label)
+        hour = F.when((u % 67 == 9) & (t % 13 == 0), t + 0.5).when((u % 71 == 4) & (t % 11 == 0), t - 1.0).otherwise(t.cast("double"))
+        order = F.row_number().over(Window.partitionBy("episode_id").orderBy(F.when(u % 61 == 7, -t).otherwise(t))) - 1
+        names = dict(zip(LONGITUDINAL, VARIABLES))
+        null = F.lit(None).cast("double")
+        return rows.select(
+            "site", "episode_id", order.cast("long").alias("row_no"),
+            *[(F.col(names[c]) if c in names else null).alias(c) for c in LONGITUDINAL],
+            (40.0 + u % 50 + F.when((u % 53 == 5) & (t % 2 == 0), 1).otherwise(0)).cast("double").alias("Age"),
+            (u % 2).cast("double").alias("Gender"),
+            F.when(u % 3 == 0, 1.0).when(u % 3 == 1, 0.0).alias("Unit1"),
+            F.when(u % 3 == 1, 1.0).when(u % 3 == 0, 0.0).alias("Unit2"),
+            (-(u % 40)).cast("double").alias("HospAdmTime"), hour.alias("t"), label.alias("label"))
+    return shared(spark, sf_dir, "event-records", build)
+
+
+def record_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tocsin.operators.quality import manifest
+    from tocsin.sources.episode_files import BASELINE, LONGITUDINAL
+
+    return shared(spark, sf_dir, "event-manifest",
+                  lambda: manifest(records(spark, sf_dir), EVENTS, LONGITUDINAL, BASELINE))
+
+
+def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tocsin.operators.features import feature_rows
+
+    return shared(spark, sf_dir, "event-features", lambda: feature_rows(
+        measurements(spark, sf_dir), event_episodes(spark, sf_dir), EVENTS, VARIABLES, ("age",)))
