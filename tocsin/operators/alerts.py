@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.functions.exprs import INF, eligible_hours, window_evaluable
+from tocsin.functions.exprs import INF, eligible_hours, finite, window_evaluable
 from tocsin.operators.utility import base_utilities, utility_gain
 from tocsin.params import Params
 from tocsin.session import broadcast_if_small
@@ -49,6 +49,13 @@ def alert_hours(traj: DataFrame, thresholds: DataFrame, match: Sequence[str] = (
                        (F.col("eligible") & ~before).alias("start"))
 
 
+def first_alert_by_row(traj: DataFrame, value: str, threshold: str) -> DataFrame:
+    """First alert under a threshold given per episode and hour: (episode_id, tau), +inf
+    when the episode never exceeds it."""
+    hit = F.col("eligible") & (finite(value) > F.col(threshold))
+    return traj.groupBy("episode_id").agg(F.coalesce(F.min(F.when(hit, F.col("t"))).cast("double"), F.lit(INF)).alias("tau"))
+
+
 def count_alert_episodes(starts: Column, separation: int) -> Column:
     """Alert episodes in an array of run starts: a start counts when it lies at least
     ``separation`` hours after the last counted one."""

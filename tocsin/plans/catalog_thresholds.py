@@ -328,6 +328,12 @@ def alert_hours_by_threshold_kind(spark, d):
     return hours.join(F.broadcast(thr.select("op", "method")), "op").select("episode_id", "t", "method", "start")
 
 
+@query("alerts_by_episode_hour_threshold", """select s.episode_id, coalesce(min(s.t) filter (where s.eligible and s.score > (case when s.t<=24 then 1.5::double else 2.5::double end) + (s.episode_id%3)/10.0::double)::double, 'infinity'::double) as tau from o_test s group by 1""")
+def alerts_by_episode_hour_threshold(spark, d):
+    limit = F.when(F.col("t") <= 24, 1.5).otherwise(2.5) + (F.col("episode_id") % 3) / 10.0
+    return al.first_alert_by_row(test_part(spark, d).withColumn("limit", limit), "score", "limit")
+
+
 @query("alert_episode_counts", "select episode_id, method, alpha, n_ep::int as n_alert_episodes from o_out where n_ep>0")
 def alert_episode_counts(spark, d):
     return fx.order_outcomes(spark, d).where("n_alert_episodes > 0").select("episode_id", "method", "alpha", "n_alert_episodes")

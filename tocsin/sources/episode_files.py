@@ -98,7 +98,7 @@ def audit_counts(manifest: DataFrame, expected: Mapping[str, int] | None = None)
     n = lambda cond: F.count(F.when(cond, 1))
     sites = {} if expected is None else expected
     one = manifest.agg(
-        F.count("*").alias("total_files"), n("empty").alias("empty"), n("corrupt").alias("corrupt"),
+        F.count("*").alias("total_files"), n(F.col("empty")).alias("empty"), n(F.col("corrupt")).alias("corrupt"),
         n(~F.col("schema_ok")).alias("schema_mismatch"),
         (F.count("*") - F.count_distinct("episode_id")).alias("duplicate_ids"),
         *[n(F.col("site") == s).alias(f"{s}_files") for s in sites])
