@@ -93,7 +93,7 @@ def fit_grid(train: DataFrame, validation: DataFrame, names: Sequence[str], grid
                             min_child=g["min_child"], rounds=rounds, seed=seed)
         scored = score_rows(model, validation, ("episode_id", "label")).withColumnRenamed("risk", "value")
         quality = threshold_free(scored).first()
-        score = float(quality["pr_auc"]) if quality else None
+        score = quality["pr_auc"] if quality else None  # NULL when the rows hold one class
         rows.append((no, int(g["max_depth"]), float(g["eta"]), int(g["min_child"]), score, len(model.stages[-1].trees)))
         models.append(model)
     return models, values(train.sparkSession, ["grid_no", "max_depth", "eta", "min_child", "best_score", "trees_used"], rows)

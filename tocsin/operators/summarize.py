@@ -103,10 +103,11 @@ def text(value: Column, digits: int = 3) -> Column:
 
 
 def mean_text(name: str, digits: int = 3) -> Column:
-    """``mean (mcse)`` of the defined values; the error of a single value is 0."""
+    """``mean (mcse)`` of the defined values, NA without any; the error of one value is 0."""
     v = F.col(name)
     error = F.coalesce(mcse(v), F.when(F.count(v) == 1, F.lit(0.0)))
-    return F.concat(text(F.avg(v), digits), F.lit(" ("), text(error, digits), F.lit(")"))
+    shown = F.concat(text(F.avg(v), digits), F.lit(" ("), text(error, digits), F.lit(")"))
+    return F.when(F.count(v) > 0, shown).otherwise("NA")
 
 
 def mean_sd_text(name: str, digits: int = 3) -> Column:
