@@ -36,7 +36,7 @@ def alert_hours(traj: DataFrame, thresholds: DataFrame, match: Sequence[str] = (
     does not multiply the trajectory rows. ``start`` marks an eligible hour above
     threshold whose preceding hour is not.
     """
-    packed = broadcast_if_small(pack_ops(thresholds, match))
+    packed = broadcast_if_small(pack_ops(thresholds, match), thresholds)
     z, prev_z = ((F.col("z"), F.col("prev_z")) if "z" in traj.columns
                  else (F.lit(None).cast("double"), F.lit(None).cast("double")))
     joined = traj.where("in_grid").join(packed, list(match)) if match else traj.where("in_grid").crossJoin(packed)
@@ -87,7 +87,7 @@ def outcomes(traj: DataFrame, episodes: DataFrame, thresholds: DataFrame, p: Par
     found = alerts(alert_hours(traj, thresholds, match), p).groupBy("episode_id").agg(
         F.map_from_entries(F.collect_list(F.struct("op", F.struct("tau", "n_alert_episodes", "gain")))).alias("_found"))
     op_list = F.sort_array(F.collect_list(F.struct("op", *labels))).alias("_ops")
-    ops = broadcast_if_small(thresholds.groupBy(*match).agg(op_list) if match else thresholds.agg(op_list))
+    ops = broadcast_if_small(thresholds.groupBy(*match).agg(op_list) if match else thresholds.agg(op_list), thresholds)
     base = episodes.join(found, "episode_id", "left")
     base = base.join(ops, list(match)) if match else base.crossJoin(ops)
     inactive, best = base_utilities(p)

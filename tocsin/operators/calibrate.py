@@ -90,10 +90,7 @@ def binwise_values(traj: DataFrame, sizes: DataFrame, alphas: DataFrame, keys: S
     """
     cuts = p.boundaries
     n_bins = len(cuts) - 1
-    x = finite("score")
-    peaks = (traj.where(F.col("eligible") & x.isNotNull())
-             .groupBy(*keys, "episode_id", bin_index("t", cuts).alias("bin")).agg(F.max(x).alias("peak")))
-    counts = value_counts(peaks, [*keys, "bin"], "peak")
+    counts = value_counts(bin_peaks(traj, keys, p), [*keys, "bin"], "peak")
     present = counts.groupBy(*keys, "bin").agg(F.max("total_n").alias("present"))
     bins = values(traj.sparkSession, ["bin", "lo", "hi"], [(b, cuts[b], cuts[b + 1]) for b in range(n_bins)])
     ranks = (sizes.crossJoin(alphas).crossJoin(bins).join(present, [*keys, "bin"], "left")
@@ -155,35 +152,83 @@ def constant_thresholds(groups: DataFrame, alphas: DataFrame, keys: Sequence[str
     return _shape(rows, keys, method, scale)
 
 
+def rank_values(maxima: DataFrame, traj: DataFrame | None, keys: Sequence[str], columns: Sequence[str],
+                p: Params) -> DataFrame:
+    """Values behind all rank rules in one table (keys, series, value): the named maxima
+    and, with ``traj``, the largest eligible score per episode and unmerged bin."""
+    long = maxima.select(*keys, *columns).unpivot(list(keys), list(columns), "series", "value")
+    if traj is None:
+        return long
+    peaks = bin_peaks(traj, keys, p).select(*keys, F.concat(F.lit("bin"), F.col("bin")).alias("series"), F.col("peak").alias("value"))
+    return long.unionByName(peaks)
+
+
+def bin_peaks(traj: DataFrame, keys: Sequence[str], p: Params) -> DataFrame:
+    x = finite("score")
+    return (traj.where(F.col("eligible") & x.isNotNull())
+            .groupBy(*keys, "episode_id", bin_index("t", p.boundaries).alias("bin")).agg(F.max(x).alias("peak")))
+
+
 def calibrate(maxima: DataFrame, traj: DataFrame, p: Params, keys: Sequence[str] = ("site",),
               alphas: Sequence[float] | None = None, methods: Sequence[str] | None = None,
               youden: float | None = None) -> DataFrame:
     """All threshold rules for every group and alpha, from non-event calibration episodes.
 
     ``maxima`` has (keys, max_score, max_z), one row per episode; ``traj`` the eligible
-    rows behind them. Returns a materialized thresholds table with the column ``op``,
-    a small integer that names the row.
+    rows behind them. The rank rules share one table of value counts and one lookup.
+    Returns a materialized thresholds table with the column ``op``, a small integer
+    that names the row.
     """
     spark, keys = maxima.sparkSession, list(keys)
     methods = set(methods or METHODS)
     table = alpha_table(spark, alphas or p.alphas)
-    sizes = materialize(group_sizes(maxima, keys), "m0")
+    cuts = p.boundaries if "binwise_bonferroni" in methods else ()
+    n_bins = len(cuts) - 1
+    columns = [c for c, use in (("max_score", {"fixed_max", "high_confidence", "naive_max"}), ("max_z", {"time_adaptive"})) if methods & use]
+    values_long = rank_values(maxima, traj if cuts else None, keys, columns, p)
+    counts = materialize(value_counts(values_long, [*keys, "series"], "value"), "rank-counts")
+    sizes = group_sizes(maxima, keys)
+    grid = sizes.crossJoin(table)
+
+    wanted = []
+    if "fixed_max" in methods:
+        wanted.append(_wanted(grid, "fixed_max", "max_score", marginal_index("m0", "alpha")))
+    if "time_adaptive" in methods:
+        wanted.append(_wanted(grid, "time_adaptive", "max_z", marginal_index("m0", "alpha")))
+    if "high_confidence" in methods:
+        wanted.append(_wanted(grid, "high_confidence", "max_score", hc_index(F.col("m0"), F.col("alpha"), p.delta)))
+    if "naive_max" in methods:
+        place = (F.lit(1.0) - F.col("alpha")) * (F.col("m0") - 1)
+        for side, k in (("naive_lo", F.floor(place) + 1), ("naive_hi", F.ceil(place) + 1)):
+            wanted.append(_wanted(grid, side, "max_score", k))
+    for b in range(n_bins):
+        wanted.append(_wanted(grid, f"bin{b}", f"bin{b}", marginal_index("m0", F.col("alpha") / F.lit(float(n_bins)))))
+
     parts = []
-    if methods & {"fixed_max", "high_confidence", "naive_max"}:
-        by_score = value_counts(maxima, keys, "max_score")
+    if wanted:
+        ranks = wanted[0]
+        for part in wanted[1:]:
+            ranks = ranks.unionByName(part)
+        picked = materialize(_pick_series(counts, ranks, keys), "picked-ranks")
+        marginal = F.col("method").isin("fixed_max", "time_adaptive")
+        ranked = picked.where(F.col("method").isin("fixed_max", "time_adaptive", "high_confidence")).withColumn(
+            "alpha_m0", F.when(marginal, achieved_bound("m0", "k")))
+        parts.append(ranked.select(
+            *keys, "method", "alpha", F.when(F.col("method") == "time_adaptive", "z").otherwise("score").alias("scale"),
+            F.array("threshold").alias("threshold"), F.col("m0").cast("long").alias("m0"), F.col("k").cast("long").alias("k"), "alpha_m0"))
         if "naive_max" in methods:
-            parts.append(naive_thresholds(by_score, sizes, table, keys, "max_score"))
-        if "fixed_max" in methods:
-            parts.append(marginal_thresholds(by_score, sizes, table, keys, "max_score"))
-        if "high_confidence" in methods:
-            parts.append(high_confidence_thresholds(by_score, sizes, table, keys, "max_score", p.delta))
-    if "time_adaptive" in methods:
-        by_z = value_counts(maxima, keys, "max_z")
-        parts.append(marginal_thresholds(by_z, sizes, table, keys, "max_z", "time_adaptive", "z"))
+            place = (F.lit(1.0) - F.col("alpha")) * (F.col("m0") - 1)
+            lo = F.max(F.when(F.col("method") == "naive_lo", F.col("threshold")))
+            hi = F.max(F.when(F.col("method") == "naive_hi", F.col("threshold")))
+            between = picked.where(F.col("method").isin("naive_lo", "naive_hi")).groupBy(*keys, "alpha", "m0").agg(lo.alias("_lo"), hi.alias("_hi"))
+            c = F.when(F.col("_hi") == F.col("_lo"), F.col("_lo")).otherwise(
+                F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (place - F.floor(place)))
+            parts.append(_shape(between.withColumn("threshold", c), keys, "naive_max", "score"))
+        if cuts:
+            bins = picked.where(F.col("series").startswith("bin")).withColumn("bin", F.substring("series", 4, 3).cast("int"))
+            parts.append(_shape(hourly(bins.withColumnRenamed("threshold", "c"), [*keys, "alpha", "m0"], p), keys, "binwise_bonferroni", "score"))
     if "pointwise" in methods:
         parts.append(pointwise_thresholds(traj, sizes, table, keys))
-    if "binwise_bonferroni" in methods:
-        parts.append(binwise_thresholds(traj, sizes, table, keys, p))
     if "fixed_half" in methods:
         parts.append(constant_thresholds(sizes, table, keys, "fixed_half", 0.5))
     if "youden" in methods and youden is not None:
@@ -194,6 +239,24 @@ def calibrate(maxima: DataFrame, traj: DataFrame, p: Params, keys: Sequence[str]
     return number_ops(out, keys)
 
 
+def _wanted(grid: DataFrame, method: str, series: str, k) -> DataFrame:
+    return grid.withColumn("method", F.lit(method)).withColumn("series", F.lit(series)).withColumn("k", k.cast("long"))
+
+
+def _pick_series(counts: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """Look up every wanted rank. A series with fewer values than m0 lacks episodes
+    whose maximum is -inf; these hold the lowest ranks."""
+    on = [*keys, "series"]
+    present = counts.groupBy(*on).agg(F.max("total_n").alias("present"))
+    want = ranks.join(present, on, "left").withColumn(
+        "inner_k", F.when(F.col("k") <= F.col("m0"), F.col("k") - (F.col("m0") - F.coalesce("present", F.lit(0))))).drop("present")
+    hit = (counts.select(*on, F.col("value").alias("c"), "n", "cum_n")
+           .join(want.select(*on, "method", "alpha", "inner_k").where("inner_k > 0"), on)
+           .where("cum_n >= inner_k and cum_n - n < inner_k").select(*on, "method", "alpha", "c"))
+    c = F.when(F.col("k") > F.col("m0"), F.lit(INF)).when(F.col("inner_k") <= 0, F.lit(-INF)).otherwise(F.col("c"))
+    return want.join(hit, [*on, "method", "alpha"], "left").withColumn("threshold", c).drop("c", "inner_k")
+
+
 def number_ops(thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number the rows of a thresholds table. Its size is groups x methods x alphas,
     independent of the data, so one ordered window is enough."""

@@ -35,11 +35,26 @@ def indicator_features(names: Sequence[str]) -> list[str]:
 
 
 def hour_grid(measurements: DataFrame, episodes: DataFrame, p: Params) -> DataFrame:
-    """One row per episode and hour 1..min(horizon, hmax), measurements where present."""
+    """One row per episode and hour 1..min(horizon, hmax), measurements where present.
+
+    Measurements and episodes meet once, partitioned by episode_id. A measured hour then
+    writes itself and the empty hours up to the next one, so no grid is shuffled, and the
+    feature windows reuse the partitioning. The partition count is explicit because the
+    rows grow after the shuffle.
+    """
+    n = int(episodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = F.least(F.col("horizon"), F.lit(p.hmax)) if p.hmax is not None else F.col("horizon")
-    hours = episodes.where(last >= 1).withColumn("t", F.explode(F.sequence(F.lit(1), last.cast("int"))))
-    dropped = [c for c in ("site",) if c in measurements.columns]
-    return hours.join(measurements.drop(*dropped), ["episode_id", "t"], "left")
+    values = [c for c in measurements.columns if c not in ("episode_id", "site", "t")]
+    long = episodes.withColumn("_last", last.cast("int")).where("_last >= 1").repartition(n, "episode_id")
+    rows = measurements.select("episode_id", F.col("t").cast("int").alias("_t"), *values).repartition(n, "episode_id")
+    joined = long.join(rows, (long["episode_id"] == rows["episode_id"]) & (rows["_t"] >= 1) & (rows["_t"] <= long["_last"]), "left").drop(rows["episode_id"])
+    w = Window.partitionBy("episode_id").orderBy("_t")
+    first = F.row_number().over(w) == 1
+    start = F.when(first, F.lit(1)).otherwise(F.col("_t"))
+    stop = F.coalesce(F.lead("_t").over(w) - 1, F.col("_last"))
+    spread = joined.withColumn("_hours", F.sequence(start, stop)).withColumn("t", F.explode("_hours"))
+    own = F.col("t") == F.col("_t")
+    return spread.select(*episodes.columns, "t", *[F.when(own, F.col(c)).alias(c) for c in values])
 
 
 def baseline_values(rows: DataFrame, columns: Sequence[str], order: str = "row_no") -> DataFrame:
@@ -51,29 +66,31 @@ def baseline_values(rows: DataFrame, columns: Sequence[str], order: str = "row_n
 def _recent(variable: str, w) -> list[Column]:
     past = w.rowsBetween(Window.unboundedPreceding, 0)
     x = F.col(variable)
-    last_t = F.last(F.when(x.isNotNull(), F.col("t")), True).over(past)
-    return [
-        F.last(x, True).over(past).alias(f"{variable}_last"),
-        last_t.isNull().cast("double").alias(f"{variable}_never"),
-        (F.col("t") - last_t).cast("double").alias(f"{variable}_since"),
-        x.isNotNull().cast("double").alias(f"{variable}_current"),
-    ]
+    return [F.last(x, True).over(past).alias(f"{variable}_last"),
+            F.last(F.when(x.isNotNull(), F.col("t")), True).over(past).alias(f"_{variable}_at")]
 
 
 def _trailing(variable: str, w, hours: int) -> list[Column]:
     frame = w.rangeBetween(-(hours - 1), 0)
     x = F.col(variable)
-    n = F.count(x).over(frame)
-    two = lambda c: F.when(n >= 2, c)
-    return [
-        F.avg(x).over(frame).alias(f"{variable}_mean_{hours}h"),
-        F.min(x).over(frame).alias(f"{variable}_min_{hours}h"),
-        F.max(x).over(frame).alias(f"{variable}_max_{hours}h"),
-        two(F.stddev_samp(x).over(frame)).alias(f"{variable}_sd_{hours}h"),
-        two(F.last(x, True).over(frame) - F.first(x, True).over(frame)).alias(f"{variable}_change_{hours}h"),
-        two(F.regr_slope(x, F.col("t").cast("double")).over(frame)).alias(f"{variable}_slope_{hours}h"),
-        n.cast("double").alias(f"{variable}_count_{hours}h"),
-    ]
+    named = {"mean": F.avg(x), "min": F.min(x), "max": F.max(x), "sd": F.stddev_samp(x),
+             "slope": F.regr_slope(x, F.col("t").cast("double")), "count": F.count(x), "first": F.first(x, True)}
+    return [e.over(frame).alias(f"_{variable}_{stat}_{hours}h") for stat, e in named.items()]
+
+
+def _finish(variable: str, windows: Sequence[int]) -> list[Column]:
+    """Features from the window columns. Spread, change and slope need two values; the
+    last value of a window that has one is the last value observed at all."""
+    x, at = F.col(variable), F.col(f"_{variable}_at")
+    out = [F.col(f"{variable}_last"), at.isNull().cast("double").alias(f"{variable}_never"),
+           (F.col("t") - at).cast("double").alias(f"{variable}_since"), x.isNotNull().cast("double").alias(f"{variable}_current")]
+    for h in windows:
+        c = lambda stat, h=h: F.col(f"_{variable}_{stat}_{h}h")
+        two = lambda e, c=c: F.when(c("count") >= 2, e)
+        made = {"mean": c("mean"), "min": c("min"), "max": c("max"), "sd": two(c("sd")),
+                "change": two(F.col(f"{variable}_last") - c("first")), "slope": two(c("slope")), "count": c("count").cast("double")}
+        out += [made[stat].alias(f"{variable}_{stat}_{h}h") for stat in STATS]
+    return out
 
 
 def window_features(grid: DataFrame, variables: Sequence[str], windows: Sequence[int] = WINDOWS,
@@ -84,14 +101,16 @@ def window_features(grid: DataFrame, variables: Sequence[str], windows: Sequence
     large; the chunks share the partitioning and the sort of the episode window.
     """
     w = Window.partitionBy("episode_id").orderBy("t")
-    out = grid.select("episode_id", "t", *keep, *[finite(v).alias(v) for v in variables])
+    fixed = ["episode_id", "t", *keep]
+    out = grid.select(*fixed, *[finite(v).alias(v) for v in variables])
     done: list[str] = []
     for i in range(0, len(variables), chunk):
-        exprs = [e for v in variables[i:i + chunk]
-                 for e in (*_recent(v, w), *[e for h in windows for e in _trailing(v, w, h)])]
-        out = out.select("episode_id", "t", *keep, *variables, *done, *exprs)
-        done = [c for c in out.columns if c not in ("episode_id", "t", *keep, *variables)]
-    return out.drop(*variables)
+        part, rest = variables[i:i + chunk], variables[i + chunk:]
+        raw = [e for v in part for e in (*_recent(v, w), *[e for h in windows for e in _trailing(v, w, h)])]
+        made = [e for v in part for e in _finish(v, windows)]
+        out = out.select(*fixed, *part, *rest, *done, *raw).select(*fixed, *rest, *done, *made)
+        done = [c for c in out.columns if c not in (*fixed, *rest)]
+    return out
 
 
 def feature_rows(measurements: DataFrame, episodes: DataFrame, p: Params, variables: Sequence[str],

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.exprs import INF, hash_key
-from tocsin.session import materialize
+from tocsin.session import materialize, row_count
 
 WINDOW_ROW_LIMIT = 1_000_000
 
@@ -59,7 +59,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 def fits_one_window(stored: DataFrame) -> bool:
     """True when a count proves that even a single group of this written table is small."""
-    return stored.count() <= WINDOW_ROW_LIMIT
+    return row_count(stored) <= WINDOW_ROW_LIMIT
 
 
 def _ranged(stored: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

@@ -125,13 +125,13 @@ def standardized(value: Column | str, t: Column | str, templates: Mapping[object
     """``(value - location) / scale`` of the hour's bin, as one expression of the at
     most six literals per template."""
     value = F.col(value) if isinstance(value, str) else value
+    t = F.col(t) if isinstance(t, str) else t
     key = F.col(key) if isinstance(key, str) else key
     out = F.lit(None).cast("double")
     for name, tpl in templates.items():
-        b = bin_index(t, tpl.boundaries)
         z = (value - tpl.locations[-1]) / tpl.scales[-1]
         for i in range(len(tpl.locations) - 2, -1, -1):
-            z = F.when(b == i, (value - tpl.locations[i]) / tpl.scales[i]).otherwise(z)
+            z = F.when(t <= tpl.boundaries[i + 1], (value - tpl.locations[i]) / tpl.scales[i]).otherwise(z)
         out = z if key is None else F.when(key == name, z).otherwise(out)
     return F.round(out, digits) if digits is not None else out
 

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROW_LIMIT = 200_000
@@ -40,15 +40,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The result has a one-scan lineage, survives lost executors, keeps column
-    pruning and filter pushdown, and gives the same rows to every reader.
+    pruning and filter pushdown, and gives the same rows to every reader. The write
+    counts the rows on the way; ``row_count`` knows them without another job.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._tocsin_rows = seen.get["rows"]
+    return stored
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def row_count(stored: DataFrame) -> int:
+    """Rows of a materialized table."""
+    known = getattr(stored, "_tocsin_rows", None)
+    return stored.count() if known is None else known
+
+
+def broadcast_if_small(df: DataFrame, source: DataFrame | None = None, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast only when a count proves the row bound; otherwise leave the
-    join strategy to the optimizer. ``df`` should be cheap to scan (materialized)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    join strategy to the optimizer.
+
+    ``source`` is a materialized table that ``df`` is derived from without adding rows.
+    """
+    n = row_count(source) if source is not None else df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
