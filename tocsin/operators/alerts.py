@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,40 +13,51 @@ from tocsin.params import Params
 from tocsin.session import broadcast_if_small
 
 
-def _above(op: Column, hour: Column, risk: Column, score: Column, z: Column) -> Column:
-    """Strictly above the threshold of ``op`` at ``hour``; a missing score is not."""
-    value = F.when(op["scale"] == "risk", risk).when(op["scale"] == "score", score).otherwise(z)
-    limit = F.when(F.size(op["threshold"]) == 1, F.get(op["threshold"], F.lit(0))).otherwise(
-        F.get(op["threshold"], hour - 1))
-    return F.coalesce(value > limit, F.lit(False))
+SCALES = ("risk", "score", "z")
 
 
 def pack_ops(thresholds: DataFrame, match: Sequence[str]) -> DataFrame:
-    """One row per ``match`` value with the array of its thresholds."""
-    ops = F.sort_array(F.collect_list(F.struct("op", "scale", "threshold")))
-    if match:
-        return thresholds.groupBy(*match).agg(ops.alias("_ops"))
-    return thresholds.agg(ops.alias("_ops"))
+    """One row per ``match`` value: an array of its thresholds per scale, and the lowest
+    limit of each scale."""
+    one = F.size("threshold") == 1
+    op = F.struct("op", F.when(one, F.element_at("threshold", 1)).alias("limit"), F.when(~one, F.col("threshold")).alias("hourly"))
+    aggs = [e for s in SCALES for e in (
+        F.sort_array(F.collect_list(F.when(F.col("scale") == s, op))).alias(f"_{s}_ops"),
+        F.min(F.when(F.col("scale") == s, F.array_min("threshold"))).alias(f"_{s}_min"))]
+    return thresholds.groupBy(*match).agg(*aggs) if match else thresholds.agg(*aggs)
+
+
+def _limit(op: Column, hour: Column) -> Column:
+    return F.coalesce(op["limit"], F.get(op["hourly"], hour - 1))
 
 
 def alert_hours(traj: DataFrame, thresholds: DataFrame, match: Sequence[str] = ("site",)) -> DataFrame:
     """Hours above threshold: (episode_id, op, t, eligible, start, ...).
 
-    Only hours that exceed some threshold leave the scan, so the number of methods
-    does not multiply the trajectory rows. ``start`` marks an eligible hour above
-    threshold whose preceding hour is not.
+    Rows at or below the lowest limit leave the plan before any threshold is tried, and
+    only hours that exceed a threshold leave the scan, so the number of methods does not
+    multiply the trajectory rows. ``start`` marks an eligible hour above threshold whose
+    preceding hour is not. Comparison is strict; a missing score is never above.
     """
     packed = broadcast_if_small(pack_ops(thresholds, match), thresholds)
-    z, prev_z = ((F.col("z"), F.col("prev_z")) if "z" in traj.columns
-                 else (F.lit(None).cast("double"), F.lit(None).cast("double")))
-    joined = traj.where("in_grid").join(packed, list(match)) if match else traj.where("in_grid").crossJoin(packed)
-    now = F.filter("_ops", lambda op: _above(op, F.col("t"), F.col("risk"), F.col("score"), z))
-    hits = joined.select(
-        "episode_id", "t", "eligible", "event", "onset", "horizon",
-        "prev_risk", "prev_score", prev_z.alias("_pz"), F.explode(now).alias("_op"))
-    before = _above(F.col("_op"), F.col("t") - 1, F.col("prev_risk"), F.col("prev_score"), F.col("_pz"))
-    return hits.select("episode_id", F.col("_op.op").alias("op"), "t", "eligible", "event", "onset", "horizon",
-                       (F.col("eligible") & ~before).alias("start"))
+    if "z" not in traj.columns:
+        null = F.lit(None).cast("double")
+        traj = traj.withColumn("z", null).withColumn("prev_z", null)
+    rows = traj.where("in_grid")
+    joined = rows.join(packed, list(match)) if match else rows.crossJoin(packed)
+    above_any = F.lit(False)
+    for s in SCALES:
+        above_any = above_any | F.coalesce(F.col(s) > F.col(f"_{s}_min"), F.lit(False))
+
+    def hits(s: str) -> Column:
+        t, now, before = F.col("t"), F.col(s), F.col(f"prev_{s}")
+        found = F.filter(f"_{s}_ops", lambda op: F.coalesce(now > _limit(op, t), F.lit(False)))
+        return F.transform(found, lambda op: F.struct(
+            op["op"].alias("op"), (~F.coalesce(before > _limit(op, t - 1), F.lit(False))).alias("up")))
+
+    keep = ["episode_id", "t", "eligible", "event", "onset", "horizon"]
+    found = joined.where(above_any).select(*keep, F.inline(F.concat(*[hits(s) for s in SCALES])))
+    return found.select(*keep, "op", (F.col("eligible") & F.col("up")).alias("start"))
 
 
 def first_alert_by_row(traj: DataFrame, value: str, threshold: str) -> DataFrame:
@@ -78,42 +89,47 @@ def alerts(hours: DataFrame, p: Params) -> DataFrame:
 
 
 def outcomes(traj: DataFrame, episodes: DataFrame, thresholds: DataFrame, p: Params,
-             match: Sequence[str] = ("site",), labels: Sequence[str] = ("method", "alpha")) -> DataFrame:
+             match: Sequence[str] = ("site",), labels: Sequence[str] = ("method", "alpha"),
+             keep_op: Callable[[Column], Column] | None = None) -> DataFrame:
     """Per-episode outcome table: every episode with every threshold of its site.
 
     Alert results come back as one map per episode, so the join moves one row per
-    episode and the methods are expanded after it.
+    episode; what does not depend on the threshold is computed there, and the methods
+    are expanded last. ``keep_op`` drops thresholds per episode before the expansion.
     """
     found = alerts(alert_hours(traj, thresholds, match), p).groupBy("episode_id").agg(
         F.map_from_entries(F.collect_list(F.struct("op", F.struct("tau", "n_alert_episodes", "gain")))).alias("_found"))
     op_list = F.sort_array(F.collect_list(F.struct("op", *labels))).alias("_ops")
     ops = broadcast_if_small(thresholds.groupBy(*match).agg(op_list) if match else thresholds.agg(op_list), thresholds)
-    base = episodes.join(found, "episode_id", "left")
+    base = episode_constants(episodes, p).join(found, "episode_id", "left")
     base = base.join(ops, list(match)) if match else base.crossJoin(ops)
-    inactive, best = base_utilities(p)
-    base = base.withColumn("utility_inactive", inactive).withColumn("utility_best", best)
-    rows = base.select(*[c for c in base.columns if c not in ("_found", "_ops")], "_found", F.explode("_ops").alias("_op"))
-    hit = F.when(F.col("_found").isNotNull(), F.try_element_at("_found", F.col("_op.op")))
-    rows = rows.withColumn("_hit", hit)
-    tau = F.coalesce(F.col("_hit.tau").cast("double"), F.lit(INF))
-    keep = [c for c in episodes.columns]
+    listed = F.col("_ops") if keep_op is None else F.filter("_ops", keep_op)
+    fixed = list(dict.fromkeys([*episodes.columns, "eval0", "eval3", "exposure_hours", "exposure_days", "utility_inactive", "utility_best"]))
+    rows = base.select(*fixed, "_found", F.explode(listed).alias("_op"))
+    rows = rows.withColumn("_hit", F.when(F.col("_found").isNotNull(), F.try_element_at("_found", F.col("_op.op"))))
     rows = rows.select(
-        *keep, F.col("_op.op").alias("op"), *[F.col(f"_op.{c}").alias(c) for c in labels],
-        tau.alias("tau"), F.coalesce("_hit.n_alert_episodes", F.lit(0)).alias("n_alert_episodes"),
-        "utility_inactive", "utility_best",
+        *fixed, F.col("_op.op").alias("op"), *[F.col(f"_op.{c}").alias(c) for c in labels],
+        F.coalesce(F.col("_hit.tau").cast("double"), F.lit(INF)).alias("tau"),
+        F.coalesce("_hit.n_alert_episodes", F.lit(0)).alias("n_alert_episodes"),
         (F.col("utility_inactive") + F.coalesce("_hit.gain", F.lit(0.0))).alias("utility_observed"))
     return classify(rows, p)
 
 
+def episode_constants(episodes: DataFrame, p: Params) -> DataFrame:
+    """Evaluability, exposure and base utilities: the same under every threshold."""
+    inactive, best = base_utilities(p)
+    return (episodes.withColumn("eval0", window_evaluable(p, 0)).withColumn("eval3", window_evaluable(p, p.short_lead))
+            .withColumn("exposure_hours", eligible_hours(p))
+            .withColumn("exposure_days", F.col("exposure_hours") / F.lit(24.0))
+            .withColumn("utility_inactive", inactive).withColumn("utility_best", best))
+
+
 def classify(rows: DataFrame, p: Params) -> DataFrame:
-    """Outcome flags of an episode from its first alert hour tau."""
+    """Outcome flags from the first alert hour tau of rows with ``episode_constants``."""
     alerted = F.col("tau") < F.lit(INF)
     lead = F.when(alerted & F.col("event"), F.col("onset") - F.col("tau"))
-    eval0, eval3 = window_evaluable(p, 0), window_evaluable(p, p.short_lead)
     in_window = lambda lo: F.coalesce((lead >= lo) & (lead <= p.warning_hours), F.lit(False))
-    return (rows.withColumn("alerted", alerted).withColumn("eval0", eval0).withColumn("eval3", eval3)
+    return (rows.withColumn("alerted", alerted)
             .withColumn("valid0", F.col("eval0") & in_window(0))
             .withColumn("valid3", F.col("eval3") & in_window(p.short_lead))
-            .withColumn("premature", F.col("eval0") & F.coalesce(lead > p.warning_hours, F.lit(False)))
-            .withColumn("exposure_hours", eligible_hours(p))
-            .withColumn("exposure_days", F.col("exposure_hours") / F.lit(24.0)))
+            .withColumn("premature", F.col("eval0") & F.coalesce(lead > p.warning_hours, F.lit(False))))

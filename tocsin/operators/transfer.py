@@ -70,8 +70,9 @@ def target_outcomes(traj: DataFrame, split: DataFrame, thresholds: DataFrame, p:
     """Outcomes of every target episode in the partitions where it is a test episode."""
     attrs = ["site", "event", "onset", "horizon"]
     tests = split.where("split = 'test'").groupBy("episode_id", *attrs).agg(F.collect_set(number).alias("_tests"))
-    rows = outcomes(traj, tests, thresholds, p, ("site",), (number, "target_m0", "method", "alpha"))
-    return rows.where(F.array_contains("_tests", F.col(number))).drop("_tests")
+    rows = outcomes(traj, tests, thresholds, p, ("site",), (number, "target_m0", "method", "alpha"),
+                    keep_op=lambda op: F.array_contains("_tests", op[number]))
+    return rows.drop("_tests")
 
 
 def descriptive_summary(frame: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
