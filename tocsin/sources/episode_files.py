@@ -44,13 +44,27 @@ def _episode(path: Column) -> Column:
     return F.when(by_folder != "", by_folder).otherwise(F.regexp_extract(path, STEM_PATTERN, 1))
 
 
+def _files(spark: SparkSession, roots: Mapping[str, str] | str, glob: str, content: bool) -> DataFrame:
+    """(path, size_bytes, modified[, content]) of all files, empty ones included.
+
+    A Spark scan leaves out files without bytes, but its file index, which the driver
+    holds for every scan, names them; names without a scanned row are empty files.
+    """
+    scan = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(_paths(roots))
+    plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/")
+    names = spark.createDataFrame([(n,) for n in scan.inputFiles()], "path string")
+    extra = ["content"] if content else []
+    rows = scan.select(plain(F.col("path")).alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), *extra)
+    return names.select(plain(F.url_decode("path")).alias("path")).join(rows, "path", "left").withColumn(
+        "size_bytes", F.coalesce("size_bytes", F.lit(0).cast("long")))
+
+
 def list_files(spark: SparkSession, roots: Mapping[str, str] | str, glob: str = "*.psv") -> DataFrame:
     """Files of every site in a stable order: (site, episode_id, path, size, modified).
     Listing and metadata only; no content is read."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(_paths(roots)))
-    return files.select(_site(F.col("path"), roots).alias("site"), _episode(F.col("path")).alias("episode_id"),
-                        "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")
-                        ).orderBy("site", "episode_id")
+    return _files(spark, roots, glob, False).select(
+        _site(F.col("path"), roots).alias("site"), _episode(F.col("path")).alias("episode_id"),
+        "path", "size_bytes", "modified").orderBy("site", "episode_id")
 
 
 def read_episodes(spark: SparkSession, roots: Mapping[str, str] | str, glob: str = "*.psv",
@@ -81,15 +95,14 @@ def audit_files(spark: SparkSession, roots: Mapping[str, str] | str, glob: str =
     """Manifest of the files: size, time, sha256, header, schema_ok, empty, corrupt, error.
 
     A file holds one episode, so its bytes fit in a task."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(_paths(roots)))
-    first = F.split(F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""), "\r?\n")[0]
+    files = _files(spark, roots, glob, True)
+    first = F.split(F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", ""), "\r?\n")[0]
     empty = F.col("size_bytes") == 0
-    expected = F.lit(sep.join(columns))
     return (files.select(
-        _site(F.col("path"), roots).alias("site"), _episode(F.col("path")).alias("episode_id"), "path",
-        F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"),
-        F.sha2("content", 256).alias("sha256"), F.when(F.col("length") > 0, first).otherwise("").alias("header"))
-        .withColumn("schema_ok", F.col("header") == expected).withColumn("empty", empty).withColumn("corrupt", empty)
+        _site(F.col("path"), roots).alias("site"), _episode(F.col("path")).alias("episode_id"), "path", "size_bytes", "modified",
+        F.sha2(F.coalesce("content", F.lit("").cast("binary")), 256).alias("sha256"),
+        F.when(~empty, first).otherwise("").alias("header"))
+        .withColumn("schema_ok", F.col("header") == F.lit(sep.join(columns))).withColumn("empty", empty).withColumn("corrupt", empty)
         .withColumn("read_error", F.when(empty, "empty").when(~F.col("schema_ok"), "schema_mismatch").otherwise("")))
 
 
