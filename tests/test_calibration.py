@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tocsin.functions.binomial import exact_limits, hc_index, tolerance_index
 from tocsin.functions.exprs import INF, achieved_bound, marginal_index, minimum_m0
-from tocsin.functions.tables import alpha_table, values
+from tocsin.functions.tables import values
 from tocsin.operators import calibrate as ca
 from tocsin.operators import ranking as rk
 from tocsin.operators.diagnostics import check_thresholds
@@ -23,7 +23,7 @@ def numbers(spark, n):
 def marginal(spark, maxima, alphas):
     counts = rk.value_counts(maxima, [], "maximum")
     sizes = maxima.agg(F.count("*").alias("m0"))
-    out = ca.marginal_thresholds(counts, sizes, alpha_table(spark, alphas), [], "maximum")
+    out = ca.marginal_thresholds(counts, sizes, alphas, [], "maximum")
     return {r["alpha"]: (r["threshold"][0], r["k"], r["alpha_m0"]) for r in out.collect()}
 
 
@@ -74,7 +74,7 @@ def test_thresholds_fall_with_alpha(spark):
 
 def test_weighted_quantile_is_episode_equal(spark):
     df = values(spark, ["x", "w"], [(0., .5), (10., .125), (11., .125), (12., .125), (13., .125)])
-    out = rk.weighted_quantile(df, [], "x", "w", values(spark, ["prob"], [(.5,)]))
+    out = rk.weighted_quantile(df, [], "x", "w", [(.5, .5)])
     assert out.first()["quantile"] == 0.0
 
 
@@ -86,7 +86,7 @@ def test_youden_ties_and_single_class(spark):
 
 def test_linear_quantile_matches_percentile(spark):
     df = spark.range(101).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 101).cast("double").alias("v"))
-    probs = values(spark, ["prob"], [(0.0,), (.1,), (.25,), (.9,), (1.0,)])
+    probs = [(q, q) for q in (0.0, .1, .25, .9, 1.0)]
     got = {(r["g"], r["prob"]): r["quantile"] for r in rk.quantile_linear(rk.value_counts(df, ["g"], "v"), ["g"], "v", probs).collect()}
     for g in (0, 1):
         for q in (0.0, .1, .25, .9, 1.0):
@@ -152,7 +152,7 @@ def test_exceedance_of_fresh_episodes_is_bounded(spark):
                                          F.floor(F.col("id") / 400).alias("i"))
     cal = draws.where("i < 39")
     counts = rk.value_counts(cal, ["rep"], "maximum")
-    thr = ca.marginal_thresholds(counts, rk.group_sizes(cal, ["rep"]), alpha_table(spark, [.10]), ["rep"], "maximum")
+    thr = ca.marginal_thresholds(counts, rk.group_sizes(cal, ["rep"]), [.10], ["rep"], "maximum")
     fresh = draws.where("i = 39").join(thr.select("rep", F.element_at("threshold", 1).alias("c"), "alpha_m0"), "rep")
     rate, bound = fresh.agg(F.avg((F.col("maximum") > F.col("c")).cast("double")), F.max("alpha_m0")).first()
     assert rate < bound + 0.025

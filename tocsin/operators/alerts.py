@@ -24,7 +24,7 @@ def pack_ops(thresholds: DataFrame, match: Sequence[str]) -> DataFrame:
     aggs = [e for s in SCALES for e in (
         F.sort_array(F.collect_list(F.when(F.col("scale") == s, op))).alias(f"_{s}_ops"),
         F.min(F.when(F.col("scale") == s, F.array_min("threshold"))).alias(f"_{s}_min"))]
-    return thresholds.groupBy(*match).agg(*aggs) if match else thresholds.agg(*aggs)
+    return thresholds.groupBy(*match).agg(*aggs)
 
 
 def _limit(op: Column, hour: Column) -> Column:
@@ -44,7 +44,7 @@ def alert_hours(traj: DataFrame, thresholds: DataFrame, match: Sequence[str] = (
         null = F.lit(None).cast("double")
         traj = traj.withColumn("z", null).withColumn("prev_z", null)
     rows = traj.where("in_grid")
-    joined = rows.join(packed, list(match)) if match else rows.crossJoin(packed)
+    joined = rows.join(packed, list(match))
     above_any = F.lit(False)
     for s in SCALES:
         above_any = above_any | F.coalesce(F.col(s) > F.col(f"_{s}_min"), F.lit(False))
@@ -100,9 +100,9 @@ def outcomes(traj: DataFrame, episodes: DataFrame, thresholds: DataFrame, p: Par
     found = alerts(alert_hours(traj, thresholds, match), p).groupBy("episode_id").agg(
         F.map_from_entries(F.collect_list(F.struct("op", F.struct("tau", "n_alert_episodes", "gain")))).alias("_found"))
     op_list = F.sort_array(F.collect_list(F.struct("op", *labels))).alias("_ops")
-    ops = broadcast_if_small(thresholds.groupBy(*match).agg(op_list) if match else thresholds.agg(op_list), thresholds)
+    ops = broadcast_if_small(thresholds.groupBy(*match).agg(op_list), thresholds)
     base = episode_constants(episodes, p).join(found, "episode_id", "left")
-    base = base.join(ops, list(match)) if match else base.crossJoin(ops)
+    base = base.join(ops, list(match))
     listed = F.col("_ops") if keep_op is None else F.filter("_ops", keep_op)
     fixed = list(dict.fromkeys([*episodes.columns, "eval0", "eval3", "exposure_hours", "exposure_days", "utility_inactive", "utility_best"]))
     rows = base.select(*fixed, "_found", F.explode(listed).alias("_op"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tocsin.functions.binomial import hc_index
 from tocsin.functions.exprs import INF, achieved_bound, bin_index, finite, marginal_index
-from tocsin.functions.tables import alpha_table, values
+from tocsin.functions.tables import each, each_row, values
 from tocsin.operators.ranking import (
     group_sizes, pick_ranks, prefix_sums, quantile_linear, value_counts, weighted_quantile,
 )
@@ -40,49 +40,47 @@ def _shape(df: DataFrame, keys: Sequence[str], method: str, scale: str) -> DataF
     )
 
 
-def marginal_ranks(sizes: DataFrame, alphas: DataFrame) -> DataFrame:
+def marginal_ranks(sizes: DataFrame, alphas: Sequence[float]) -> DataFrame:
     """Rank and achieved bound for each key and alpha."""
-    ranks = sizes.crossJoin(alphas).withColumn("k", marginal_index("m0", "alpha"))
+    ranks = each(sizes, "alpha", alphas).withColumn("k", marginal_index("m0", "alpha"))
     return ranks.withColumn("alpha_m0", achieved_bound("m0", "k"))
 
 
-def high_confidence_ranks(sizes: DataFrame, alphas: DataFrame, delta: float) -> DataFrame:
-    return sizes.crossJoin(alphas).withColumn("k", hc_index(F.col("m0"), F.col("alpha"), delta))
+def high_confidence_ranks(sizes: DataFrame, alphas: Sequence[float], delta: float) -> DataFrame:
+    return each(sizes, "alpha", alphas).withColumn("k", hc_index(F.col("m0"), F.col("alpha"), delta))
 
 
-def marginal_thresholds(counts: DataFrame, sizes: DataFrame, alphas: DataFrame, keys: Sequence[str],
+def marginal_thresholds(counts: DataFrame, sizes: DataFrame, alphas: Sequence[float], keys: Sequence[str],
                         value: str, method: str = "fixed_max", scale: str = "score") -> DataFrame:
     """k-th smallest maximum with k = ceil((m0 + 1)(1 - alpha)), +inf for k = m0 + 1."""
     picked = pick_ranks(counts, marginal_ranks(sizes, alphas), keys, value)
     return _shape(picked, keys, method, scale)
 
 
-def high_confidence_thresholds(counts: DataFrame, sizes: DataFrame, alphas: DataFrame, keys: Sequence[str],
+def high_confidence_thresholds(counts: DataFrame, sizes: DataFrame, alphas: Sequence[float], keys: Sequence[str],
                                value: str, delta: float, method: str = "high_confidence") -> DataFrame:
     picked = pick_ranks(counts, high_confidence_ranks(sizes, alphas, delta), keys, value)
     return _shape(picked, keys, method, "score")
 
 
-def naive_thresholds(counts: DataFrame, sizes: DataFrame, alphas: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def naive_thresholds(counts: DataFrame, sizes: DataFrame, alphas: Sequence[float], keys: Sequence[str], value: str) -> DataFrame:
     """Linear-interpolation (1 - alpha) quantile of the maxima."""
-    probs = alphas.withColumn("prob", F.lit(1.0) - F.col("alpha"))
-    q = quantile_linear(counts, keys, value, probs, out="threshold").drop("prob")
-    full = sizes.crossJoin(alphas).join(q, [*keys, "alpha"], "left")
+    q = quantile_linear(counts, keys, value, [(a, 1.0 - a) for a in alphas], "alpha", "threshold")
+    full = each(sizes, "alpha", alphas).join(q, [*keys, "alpha"], "left")
     return _shape(full.withColumn("threshold", F.coalesce("threshold", F.lit(INF))), keys, "naive_max", "score")
 
 
-def pointwise_thresholds(traj: DataFrame, sizes: DataFrame, alphas: DataFrame, keys: Sequence[str]) -> DataFrame:
+def pointwise_thresholds(traj: DataFrame, sizes: DataFrame, alphas: Sequence[float], keys: Sequence[str]) -> DataFrame:
     """Episode-equal weighted (1 - alpha) quantile of all eligible scores."""
     x = finite("score")
     rows = traj.where(F.col("eligible") & x.isNotNull()).select(*keys, "episode_id", x.alias("x"))
     rows = rows.withColumn("w", F.lit(1.0) / F.count("*").over(Window.partitionBy(*keys, "episode_id")))
-    probs = alphas.withColumn("prob", F.lit(1.0) - F.col("alpha"))
-    q = weighted_quantile(rows, keys, "x", "w", probs, out="threshold").drop("prob")
-    full = sizes.crossJoin(alphas).join(q, [*keys, "alpha"], "left")
+    q = weighted_quantile(rows, keys, "x", "w", [(a, 1.0 - a) for a in alphas], "alpha", "threshold")
+    full = each(sizes, "alpha", alphas).join(q, [*keys, "alpha"], "left")
     return _shape(full.withColumn("threshold", F.coalesce("threshold", F.lit(INF))), keys, "pointwise", "score")
 
 
-def binwise_values(traj: DataFrame, sizes: DataFrame, alphas: DataFrame, keys: Sequence[str], p: Params) -> DataFrame:
+def binwise_values(traj: DataFrame, sizes: DataFrame, alphas: Sequence[float], keys: Sequence[str], p: Params) -> DataFrame:
     """Marginal threshold per unmerged bin at alpha / bins: (keys, alpha, m0, bin, lo, hi, k, c).
 
     An episode without an eligible score in a bin has the maximum -inf there. These
@@ -92,8 +90,8 @@ def binwise_values(traj: DataFrame, sizes: DataFrame, alphas: DataFrame, keys: S
     n_bins = len(cuts) - 1
     counts = value_counts(bin_peaks(traj, keys, p), [*keys, "bin"], "peak")
     present = counts.groupBy(*keys, "bin").agg(F.max("total_n").alias("present"))
-    bins = values(traj.sparkSession, ["bin", "lo", "hi"], [(b, cuts[b], cuts[b + 1]) for b in range(n_bins)])
-    ranks = (sizes.crossJoin(alphas).crossJoin(bins).join(present, [*keys, "bin"], "left")
+    bins = [(b, cuts[b], cuts[b + 1]) for b in range(n_bins)]
+    ranks = (each_row(each(sizes, "alpha", alphas), ["bin", "lo", "hi"], bins).join(present, [*keys, "bin"], "left")
              .withColumn("k", marginal_index("m0", F.col("alpha") / F.lit(float(n_bins))))
              .withColumn("inner_k", F.when(F.col("k") <= F.col("m0"),
                                            F.col("k") - (F.col("m0") - F.coalesce("present", F.lit(0)))))
@@ -114,7 +112,7 @@ def hourly(bin_values: DataFrame, group: Sequence[str], p: Params) -> DataFrame:
         *group, F.transform(hours, lambda h: F.element_at(F.col("_bins"), bin_index(h, p.boundaries) + 1)["c"]).alias("threshold"))
 
 
-def binwise_thresholds(traj: DataFrame, sizes: DataFrame, alphas: DataFrame, keys: Sequence[str], p: Params) -> DataFrame:
+def binwise_thresholds(traj: DataFrame, sizes: DataFrame, alphas: Sequence[float], keys: Sequence[str], p: Params) -> DataFrame:
     spread = hourly(binwise_values(traj, sizes, alphas, keys, p), [*keys, "alpha", "m0"], p)
     return _shape(spread, keys, "binwise_bonferroni", "score")
 
@@ -135,7 +133,7 @@ def youden_threshold(flat: DataFrame, keys: Sequence[str] = (), tol: float = 1e-
     gain = sums.where("total_pos > 0 and total_neg > 0").select(*keys, F.col("value"), (sens + spec - 1).alias("j"))
     gain = materialize(gain, "youden")
     best = gain.groupBy(*keys).agg(F.greatest(F.max("j"), F.lit(0.0)).alias("best"))
-    joined = gain.join(best, keys) if keys else gain.crossJoin(best)
+    joined = gain.join(best, keys) if keys else gain.withColumn("best", F.lit(best.first()["best"]))
     top = joined.groupBy(*keys).agg(
         F.max(F.when(F.col("j") >= F.col("best") - tol, F.col("value"))).alias("_t"), F.max("best").alias("_best"))
     none = F.when(F.coalesce(F.col("_best"), F.lit(0.0)) <= tol, F.lit(INF)).otherwise(F.col("_t"))
@@ -145,10 +143,10 @@ def youden_threshold(flat: DataFrame, keys: Sequence[str] = (), tol: float = 1e-
             .select(*keys, F.coalesce(none, F.lit(INF)).alias("threshold")))
 
 
-def constant_thresholds(groups: DataFrame, alphas: DataFrame, keys: Sequence[str], method: str,
+def constant_thresholds(groups: DataFrame, alphas: Sequence[float], keys: Sequence[str], method: str,
                         threshold: float, scale: str = "risk") -> DataFrame:
     """The same threshold for every group and alpha (fixed 0.5, pooled Youden)."""
-    rows = groups.select(*keys, "m0").crossJoin(alphas).withColumn("threshold", F.lit(float(threshold)))
+    rows = each(groups.select(*keys, "m0"), "alpha", alphas).withColumn("threshold", F.lit(float(threshold)))
     return _shape(rows, keys, method, scale)
 
 
@@ -179,16 +177,16 @@ def calibrate(maxima: DataFrame, traj: DataFrame, p: Params, keys: Sequence[str]
     Returns a materialized thresholds table with the column ``op``, a small integer
     that names the row.
     """
-    spark, keys = maxima.sparkSession, list(keys)
+    keys = list(keys)
     methods = set(methods or METHODS)
-    table = alpha_table(spark, alphas or p.alphas)
+    table = list(alphas or p.alphas)
     cuts = p.boundaries if "binwise_bonferroni" in methods else ()
     n_bins = len(cuts) - 1
     columns = [c for c, use in (("max_score", {"fixed_max", "high_confidence", "naive_max"}), ("max_z", {"time_adaptive"})) if methods & use]
     values_long = rank_values(maxima, traj if cuts else None, keys, columns, p)
     counts = materialize(value_counts(values_long, [*keys, "series"], "value"), "rank-counts")
     sizes = group_sizes(maxima, keys)
-    grid = sizes.crossJoin(table)
+    grid = each(sizes, "alpha", table)
 
     wanted = []
     if "fixed_max" in methods:
@@ -264,21 +262,27 @@ def number_ops(thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
     return materialize(thresholds.withColumn("op", F.row_number().over(order)), "thresholds")
 
 
-def reference_order_statistic(reference: DataFrame, alphas: DataFrame, value: str = "maximum") -> DataFrame:
+def reference_order_statistic(reference: DataFrame, alphas: Sequence[float], value: str = "maximum") -> DataFrame:
     """ceil(N (1 - alpha))-th smallest value of a large reference table of maxima."""
     counts = value_counts(reference, [], value)
     n = counts.agg(F.max("total_n").alias("n_reference"))
-    ranks = n.crossJoin(alphas).withColumn(
+    ranks = each(n, "alpha", alphas).withColumn(
         "k", F.ceil(F.col("n_reference").cast("double") * (F.lit(1.0) - F.col("alpha"))))
     return pick_ranks(counts, ranks, [], value)
 
 
 def conditional_exceedance(reference: DataFrame, thresholds: DataFrame, value: str = "maximum",
                            out: str = "conditional_pfa") -> DataFrame:
-    """Share of reference maxima strictly above each scalar threshold: one scan of the
-    reference against a small table."""
-    above = F.avg(F.when(F.col(value) > F.col("threshold"), 1.0).otherwise(0.0))
-    return reference.select(value).crossJoin(F.broadcast(thresholds)).groupBy(*thresholds.columns).agg(above.alias(out))
+    """Share of reference maxima strictly above each scalar threshold.
+
+    Thresholds take part in the prefix sums of the reference with count 0, so each one
+    finds the number of values up to it, however many thresholds there are.
+    """
+    rows = reference.select(F.col(value).alias("_v"), F.lit(1).cast("long").alias("_n")).unionByName(
+        thresholds.select(F.col("threshold").alias("_v"), F.lit(0).cast("long").alias("_n")))
+    sums = prefix_sums(rows, [], "_v", {"n": F.col("_n")})
+    above = (F.col("total_n") - F.col("cum_n")) / F.col("total_n")
+    return thresholds.join(sums.select("_v", above.alias(out)), F.col("threshold") == F.col("_v")).drop("_v")
 
 
 def describe_methods(spark, methods: Mapping[str, tuple[str, str]] | None = None, shifted: bool = False) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.exprs import INF, finite
-from tocsin.functions.tables import values
 from tocsin.operators.ranking import quantile_linear, value_counts
 from tocsin.params import Params
 from tocsin.session import materialize
@@ -28,10 +27,9 @@ def distribution_summary(df: DataFrame, keys: Sequence[str], value: str) -> Data
     base = counts.groupBy(*keys).agg(
         F.max("total_n").alias("n_scores"), F.count("*").alias("n_unique"), atom.alias("_atom"),
         F.max_by("n", "_v").alias("number_at_maximum"))
-    probs = values(df.sparkSession, ["name", "prob"], list(QUANTILES.items()))
-    wide = (quantile_linear(counts, keys, "_v", probs).groupBy(*keys)
+    wide = (quantile_linear(counts, keys, "_v", list(QUANTILES.items()), "name").groupBy(*keys)
             .agg(*[F.max(F.when(F.col("name") == n, F.col("quantile"))).alias(n) for n in QUANTILES]))
-    joined = base.join(wide, keys) if keys else base.crossJoin(wide)
+    joined = base.join(wide, keys)
     return joined.select(
         *keys, "n_scores", "n_unique", (F.col("n_unique") / F.col("n_scores")).alias("unique_fraction"), *QUANTILES,
         F.col("_atom._v").alias("largest_atom_value"), F.col("_atom.n").alias("largest_atom_count"),

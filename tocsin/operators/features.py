@@ -172,8 +172,7 @@ def fit_medians(train: DataFrame, names: Sequence[str]) -> DataFrame:
     spark = train.sparkSession
     names = list(names)
     long = train.select([finite(n).alias(n) for n in names]).unpivot([], names, "feature", "value").where("value is not null")
-    half = values(spark, ["prob"], [(0.5,)])
-    med = quantile_linear(value_counts(long, ["feature"], "value"), ["feature"], "value", half, out="median").drop("prob")
+    med = quantile_linear(value_counts(long, ["feature"], "value"), ["feature"], "value", [(0.5, 0.5)], out="median").drop("prob")
     flags = set(indicator_features(names))
     every = values(spark, ["position", "feature", "add_missing"], [(i, n, n in flags) for i, n in enumerate(names)])
     return every.join(med, "feature", "left").withColumn("median", F.coalesce("median", F.lit(0.0)))

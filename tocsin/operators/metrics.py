@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tocsin.functions.binomial import binomial_limits
 from tocsin.functions.exprs import INF, ratio
-from tocsin.functions.tables import values
+from tocsin.functions.tables import each
 from tocsin.operators.ranking import global_rank, prefix_sums
 from tocsin.params import Params
 
@@ -86,8 +86,7 @@ def standardize_prevalence(components: DataFrame, prevalences: Sequence[float])
     pi = F.col("prevalence")
     mix = lambda stem: (1 - pi) * F.col(f"{stem}_non_event") + pi * F.col(f"{stem}_event")
     any_alert = mix("any_alert_rate")
-    table = values(components.sparkSession, ["prevalence"], [(float(x),) for x in prevalences])
-    return (components.crossJoin(F.broadcast(table))
+    return (each(components, "prevalence", [float(x) for x in prevalences])
             .withColumn("ppv3_standardized", ratio(pi * F.col("valid3_rate_all_events"), any_alert))
             .withColumn("ppv0_standardized", ratio(pi * F.col("valid0_rate_all_events"), any_alert))
             .withColumn("alert_burden_100d", ratio(100 * mix("mean_episodes"), mix("mean_exposure_days"))))
@@ -107,7 +106,11 @@ def long_stay_flags(episodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
                       F.ceil(F.sum("count").over(Window.partitionBy(*keys)) / 4).alias("_q"))
     cut = (cut.where("_cum >= _q and _cum - count < _q")
            .select(*keys, F.col("exposure_hours").alias("_cut"), (F.col("_q") - (F.col("_cum") - F.col("count"))).alias("_room")))
-    marked = non.join(F.broadcast(cut), keys) if keys else non.crossJoin(F.broadcast(cut))
+    if keys:
+        marked = non.join(cut, keys)
+    else:
+        row = cut.first()
+        marked = non.withColumn("_cut", F.lit(row["_cut"] if row else None)).withColumn("_room", F.lit(row["_room"] if row else None))
     over = marked.where(F.col("exposure_hours") > F.col("_cut")).select(*keys, "episode_id")
     tied = marked.where(F.col("exposure_hours") == F.col("_cut"))
     tied = global_rank(tied, keys, [F.col("episode_id")]).where("rank <= _room").select(*keys, "episode_id")

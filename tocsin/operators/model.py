@@ -17,16 +17,15 @@ def positive_fraction(rows: DataFrame) -> DataFrame:
 
 
 def _scaled(rows: DataFrame, weight: str) -> DataFrame:
-    return rows.crossJoin(F.broadcast(rows.agg(F.avg(weight).alias("_mean")))).withColumn(
-        weight, F.col(weight) / F.col("_mean")).drop("_mean")
+    return rows.withColumn(weight, F.col(weight) / rows.agg(F.avg(weight)).scalar())
 
 
 def training_weights(rows: DataFrame, weight: str = "weight") -> DataFrame:
     """Episode-equal, class-balanced weights with mean one over all rows."""
-    pi = F.broadcast(positive_fraction(rows))
+    pi = positive_fraction(rows).scalar()
     n = F.count("*").over(Window.partitionBy("episode_id"))
     y = F.col("label").cast("double")
-    out = rows.withColumn("_n", n).crossJoin(pi).withColumn(
+    out = rows.withColumn("_n", n).withColumn("pi_y", pi).withColumn(
         weight, (1.0 / F.col("_n")) * (y / (2 * F.col("pi_y")) + (1 - y) / (2 * (1 - F.col("pi_y")))))
     return _scaled(out.drop("_n", "pi_y"), weight)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.exprs import INF, finite
-from tocsin.functions.tables import values
+from tocsin.functions.tables import each_row
 from tocsin.operators.ranking import quantile_linear, value_counts
 from tocsin.params import Params
 
@@ -146,8 +146,8 @@ def onset_listing(man: DataFrame) -> DataFrame:
 
 def stay_length(man: DataFrame) -> DataFrame:
     """Count, quartiles and maximum of the last hour by site."""
-    probs = values(man.sparkSession, ["name", "prob"], [("q1_h", 0.25), ("median_h", 0.5), ("q3_h", 0.75)])
-    q = quantile_linear(value_counts(man, ["site"], "horizon"), ["site"], "horizon", probs)
+    probs = [("q1_h", 0.25), ("median_h", 0.5), ("q3_h", 0.75)]
+    q = quantile_linear(value_counts(man, ["site"], "horizon"), ["site"], "horizon", probs, "name")
     wide = q.groupBy("site").pivot("name", ["q1_h", "median_h", "q3_h"]).agg(F.first("quantile"))
     return man.groupBy("site").agg(F.count("*").alias("n"), F.max("horizon").alias("max_h")).join(wide, "site")
 
@@ -194,8 +194,8 @@ def length_histogram(man: DataFrame, edges: Sequence[int] = LENGTH_EDGES, column
     for i in range(len(inner) - 1, -1, -1):
         which = F.when(h <= inner[i], i).otherwise(which)
     counts = man.where(h >= edges[0]).groupBy("site", which.alias("bin")).agg(F.count("*").alias("n"))
-    bins = values(man.sparkSession, ["bin", "length"], list(enumerate(labels)))
-    return (man.select("site").distinct().crossJoin(bins).join(counts, ["site", "bin"], "left")
+    grid = each_row(man.select("site").distinct(), ["bin", "length"], list(enumerate(labels)))
+    return (grid.join(counts, ["site", "bin"], "left")
             .select("site", "bin", "length", F.coalesce("n", F.lit(0)).alias("n")))
 
 

@@ -126,8 +126,13 @@ def pick_ranks(counts: DataFrame, ranks: DataFrame, keys: Sequence[str], value:
     exceeds the count. ``counts`` comes from ``value_counts``."""
     keys = list(keys)
     labels = [c for c in ranks.columns if c not in keys]
-    hit = (counts.select(*keys, F.col(value).alias("_value"), "n", "cum_n")
-           .join(ranks, keys if keys else None, "inner" if keys else "cross")
+    if not keys:  # one group: the few wanted ranks become literals
+        rows = [tuple(r) for r in ranks.collect()]
+        at = lambda i: F.min(F.when(F.col("cum_n") >= i, F.col(value)))
+        found = [F.struct(*[F.lit(v).alias(c) for c, v in zip(ranks.columns, row)],
+                          F.coalesce(at(row[ranks.columns.index(k)]), F.lit(INF)).alias(out)) for row in rows]
+        return counts.agg(F.array(*found).alias("_r")).select(F.inline("_r"))
+    hit = (counts.select(*keys, F.col(value).alias("_value"), "n", "cum_n").join(ranks, keys)
            .where((F.col("cum_n") >= F.col(k)) & (F.col("cum_n") - F.col("n") < F.col(k)))
            .select(*keys, *labels, F.col("_value").alias(out)))
     on = [*keys, *labels]
@@ -139,35 +144,34 @@ def group_sizes(df: DataFrame, keys: Sequence[str], name: str = "m0") -> DataFra
 
 
 def weighted_quantile(df: DataFrame, keys: Sequence[str], value: str, weight: str,
-                      probs: DataFrame, prob: str = "prob", out: str = "quantile",
+                      probs: Sequence[tuple[float, float]], label: str = "prob", out: str = "quantile",
                       tol: float = 1e-12) -> DataFrame:
-    """Smallest value whose cumulative weight reaches prob * total, for each key and
-    each row of ``probs`` (labels plus the column ``prob``; a small table).
+    """Smallest value whose cumulative weight reaches probability * total, per key and per
+    (label, probability) pair: columns keys, label, out.
 
     ``tol`` is relative to the total and absorbs the rounding of float sums.
     """
-    keys = list(keys)
     valid = df.where(F.col(value).isNotNull() & (F.abs(F.col(value)) < F.lit(INF)) & (F.col(weight) >= 0))
-    sums = prefix_sums(valid, keys, value, {"w": F.col(weight)})
-    reach = sums.crossJoin(F.broadcast(probs)).where(
-        (F.col("cum_w") >= (F.col(prob) - tol) * F.col("total_w")) & (F.col("total_w") > 0))
-    return reach.groupBy(*keys, *probs.columns).agg(F.min(value).alias(out))
+    sums = prefix_sums(valid, keys, value, {"w": F.col(weight)}).where("total_w > 0")
+    reach = lambda q: F.min(F.when(F.col("cum_w") >= (F.lit(q) - tol) * F.col("total_w"), F.col(value)))
+    found = [F.struct(F.lit(name).alias(label), reach(q).alias(out)) for name, q in probs]
+    return sums.groupBy(*keys).agg(F.array(*found).alias("_q")).select(*keys, F.inline("_q"))
 
 
-def quantile_linear(counts: DataFrame, keys: Sequence[str], value: str, probs: DataFrame,
-                    prob: str = "prob", out: str = "quantile") -> DataFrame:
-    """Linear-interpolation (type 7) quantiles from ``value_counts``; needs no group
-    in one task. ``probs`` is a small table of labels plus ``prob``."""
-    keys = list(keys)
-    span = F.col(prob) * (F.col("total_n") - 1)
-    lo, frac = F.floor(span) + 1, span - F.floor(span)
-    at = (counts.crossJoin(F.broadcast(probs)).withColumn("_lo", lo).withColumn("_frac", frac)
-          .where((F.col("cum_n") >= F.col("_lo")) & (F.col("cum_n") - F.col("n") <= F.col("_lo"))))
+def quantile_linear(counts: DataFrame, keys: Sequence[str], value: str, probs: Sequence[tuple[object, float]],
+                    label: str = "prob", out: str = "quantile") -> DataFrame:
+    """Linear-interpolation (type 7) quantiles from ``value_counts``, per key and per
+    (label, probability) pair; no group is gathered."""
     below = F.col("cum_n") - F.col("n")
-    got = at.groupBy(*keys, *probs.columns).agg(
-        F.max(F.when((F.col("cum_n") >= F.col("_lo")) & (below < F.col("_lo")), F.col(value))).alias("_a"),
-        F.max(F.when((F.col("cum_n") >= F.col("_lo") + 1) & (below < F.col("_lo") + 1), F.col(value))).alias("_b"),
-        F.max("_frac").alias("_frac"),
-    )
-    interpolated = F.when(F.col("_frac") > 0, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_frac")).otherwise(F.col("_a"))
-    return got.withColumn(out, interpolated).drop("_a", "_b", "_frac")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("cum_n") >= rank) & (below < rank), F.col(value)))
+
+    found = []
+    for name, q in probs:
+        span = F.lit(float(q)) * (F.col("total_n") - 1)
+        frac = F.max(span - F.floor(span))
+        a, b = at(F.floor(span) + 1), at(F.ceil(span) + 1)
+        between = F.when(frac > 0, a + (b - a) * frac).otherwise(a)
+        found.append(F.struct(F.lit(name).alias(label), between.alias(out)))
+    return counts.groupBy(*keys).agg(F.array(*found).alias("_q")).select(*keys, F.inline("_q"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.exprs import INF, hash_key, hash_long, ratio
+from tocsin.functions.tables import each_row
 from tocsin.operators.metrics import RATIO_METRICS
 from tocsin.operators.ranking import hash_rank
 from tocsin.session import materialize
@@ -95,7 +96,7 @@ def bootstrap_metrics(patients: DataFrame, ops: DataFrame, strata: Sequence[str]
     sums = flat.groupBy("bootstrap", "op").agg(*[F.sum(c("multiplicity") * c(x)).alias(x) for x in "abcdef"])
     sums = materialize(sums, "boot-sums")
     den = sums.where("op = 0").select("bootstrap", *[c(x).alias(f"{x}0") for x in "abcdef"])
-    grid = den.crossJoin(ops)
+    grid = each_row(den, ops.columns, [tuple(r) for r in ops.collect()])
     out = grid.join(sums.where("op > 0"), ["bootstrap", "op"], "left")
     z = lambda x: F.coalesce(c(x), F.lit(0.0))
     return out.select(
@@ -155,7 +156,7 @@ def curve_bands(patients: DataFrame, ops: DataFrame, hmax: int, replicates: int,
     hist = hits.groupBy("panel", "bootstrap", "op", F.col("tau").cast("int").alias("hour")).agg(F.sum("multiplicity").alias("m"))
     by_op = hist.groupBy("panel", "bootstrap", "op").agg(
         F.map_from_entries(F.collect_list(F.struct("hour", "m"))).alias("at"))
-    curve = (total.crossJoin(ops).join(by_op, ["panel", "bootstrap", "op"], "left")
+    curve = (each_row(total, ops.columns, [tuple(r) for r in ops.collect()]).join(by_op, ["panel", "bootstrap", "op"], "left")
              .select("panel", "bootstrap", *ops.columns, "n", "at", F.explode(F.sequence(F.lit(1), F.lit(hmax))).alias("hour")))
     run = Window.partitionBy("panel", "bootstrap", "op").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
     m = F.coalesce(F.try_element_at("at", F.col("hour")), F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tocsin.functions.tables import values
+from tocsin.functions.tables import each, each_row, values
 from tocsin.operators.ranking import _null_safe_join, hash_rank
 
 
@@ -20,10 +20,9 @@ def rounded_counts(sizes: DataFrame, proportions: Mapping[str, float], keys: Seq
     if abs(sum(proportions.values()) - 1.0) > 1e-8:
         raise ValueError("split proportions must sum to one")
     keys = list(keys)
-    parts = values(sizes.sparkSession, ["part", "position", "share"],
-                   [(name, i, float(v)) for i, (name, v) in enumerate(proportions.items())])
+    parts = [(name, i, float(v)) for i, (name, v) in enumerate(proportions.items())]
     raw = F.col("share") * F.col(n)
-    rows = sizes.select(*keys, n).crossJoin(F.broadcast(parts)).withColumn("_base", F.floor(raw)).withColumn("_frac", raw - F.floor(raw))
+    rows = each_row(sizes.select(*keys, n), ["part", "position", "share"], parts).withColumn("_base", F.floor(raw)).withColumn("_frac", raw - F.floor(raw))
     whole = Window.partitionBy(*keys)
     left = F.col(n) - F.sum("_base").over(whole)
     by_fraction = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_frac"), "position"))
@@ -86,9 +85,8 @@ def nested_prefixes(ordered: DataFrame, sizes: Sequence[int]) -> DataFrame:
 
 def prefix_shortfalls(ordered: DataFrame, sizes: Sequence[int], keys: Sequence[str] = ("site",)) -> DataFrame:
     """Keys whose reservoir is smaller than a requested prefix."""
-    table = values(ordered.sparkSession, ["target_m0"], [(int(s),) for s in sorted(set(sizes))])
-    return (ordered.groupBy(*keys).agg(F.count("*").alias("available")).crossJoin(table)
-            .where("available < target_m0"))
+    pools = ordered.groupBy(*keys).agg(F.count("*").alias("available"))
+    return each(pools, "target_m0", [int(s) for s in sorted(set(sizes))]).where("available < target_m0")
 
 
 def sample_per_class(episodes: DataFrame, n: int, seed: int, strata: Sequence[str] = ("site", "event"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.exprs import INF, finite
-from tocsin.functions.tables import values
+from tocsin.functions.tables import each, values
 from tocsin.operators.ranking import _null_safe_join
 
 
@@ -251,8 +251,7 @@ def compare_expected(actual: DataFrame, expected: DataFrame, keys: Sequence[str]
 
 def failure_placeholders(failed: DataFrame, methods: Sequence[str], metrics: Sequence[str], reason: str = "failure_reason") -> DataFrame:
     """One row per failed unit and method with NULL metrics and the reason kept."""
-    names = values(failed.sparkSession, ["method"], [(m,) for m in methods])
-    return failed.crossJoin(F.broadcast(names)).select(
+    return each(failed, "method", methods).select(
         *[c for c in failed.columns if c != reason], "method", *[F.lit(None).cast("double").alias(m) for m in metrics],
         F.lit(True).alias("learner_failure"), reason)
 

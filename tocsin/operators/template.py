@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.exprs import bin_index, finite, last_eligible_hour
-from tocsin.functions.tables import values
+from tocsin.functions.tables import each_row, values
 from tocsin.operators.ranking import weighted_quantile
 from tocsin.params import Params
 from tocsin.session import materialize
@@ -99,7 +99,7 @@ def fit_time_templates(
         *keys, "episode_id", bin_col.alias("bin"), x.alias("x"))
     per_episode = Window.partitionBy(*keys, "episode_id", "bin")
     rows = materialize(rows.withColumn("w", F.lit(1.0) / F.count("*").over(per_episode)), "template-rows")
-    half = values(rows.sparkSession, ["prob"], [(0.5,)])
+    half = [(0.5, 0.5)]
     on = [*keys, "bin"]
     loc = materialize(weighted_quantile(rows, on, "x", "w", half, out="loc").drop("prob"), "template-loc")
     dev = rows.join(F.broadcast(loc), on).withColumn("dev", F.abs(F.col("x") - F.col("loc")))
@@ -153,7 +153,8 @@ def template_table(spark, templates: Mapping[object, TimeTemplate], key: str = "
     return values(spark, [key, "bin", "lo", "hi", "loc", "scale", "n_episodes"], rows)
 
 
-def raw_boundary(bins: DataFrame, thresholds: DataFrame) -> DataFrame:
+def raw_boundary(template: TimeTemplate, thresholds: DataFrame) -> DataFrame:
     """Time boundary on the score scale, ``loc + c * scale``, per bin and threshold."""
-    return bins.crossJoin(thresholds).withColumn(
+    bins = [(b, loc, scale) for b, (loc, scale) in enumerate(zip(template.locations, template.scales))]
+    return each_row(thresholds, ["bin", "loc", "scale"], bins).withColumn(
         "raw_boundary", F.col("loc") + F.element_at("threshold", 1) * F.col("scale"))

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.functions.tables import alpha_table
 from tocsin.operators.alerts import outcomes
 from tocsin.operators.calibrate import high_confidence_thresholds, marginal_thresholds, number_ops
 from tocsin.operators.ranking import group_sizes, value_counts
@@ -38,11 +37,10 @@ def local_thresholds(prefixes: DataFrame, maxima: DataFrame, alpha: float, delta
     """Fixed, time-adaptive and high-confidence thresholds of every prefix. ``maxima``
     has (episode_id, max_score, max_z), max_z from the source template."""
     keys = ["site", number, "target_m0"]
-    spark = maxima.sparkSession
     rows = materialize(prefixes.select(*keys, "episode_id").join(
         maxima.select("episode_id", "max_score", "max_z"), "episode_id"), "prefix-maxima")
     sizes = group_sizes(rows, keys)
-    alphas = alpha_table(spark, [alpha])
+    alphas = [alpha]
     scores = value_counts(rows, keys, "max_score")
     zs = value_counts(rows, keys, "max_z")
     return (marginal_thresholds(scores, sizes, alphas, keys, "max_score", "local_fixed_max")
@@ -91,10 +89,10 @@ def descriptive_summary(frame: DataFrame, group: Sequence[str], metrics: Sequenc
 def all_recorded_pfa(patients: DataFrame, extra: DataFrame) -> DataFrame:
     """PFA with never-eligible non-events in the denominator; they cannot alert.
     ``extra`` holds the sampled excluded episodes."""
-    n_extra = extra.agg(F.count("*").alias("below_landmark"))
+    n_extra = extra.agg(F.count("*")).scalar()
     non = ~F.col("event")
     base = patients.agg(F.count(F.when(non & F.col("alerted"), 1)).alias("n_alerted"), F.count(F.when(non, 1)).alias("_n"))
-    return base.crossJoin(n_extra).select(
+    return base.withColumn("below_landmark", n_extra).select(
         ((F.col("n_alerted") / (F.col("_n") + F.col("below_landmark")))).alias("pfa"),
         (F.col("_n") + F.col("below_landmark")).alias("n_non_events"), "n_alerted", "below_landmark")
 

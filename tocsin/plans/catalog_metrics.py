@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.exprs import age_group, eligible_hours, unit_type, window_evaluable
-from tocsin.functions.tables import alpha_table
+from tocsin.functions.tables import each
 from tocsin.operators import alerts as al
 from tocsin.operators import calibrate as ca
 from tocsin.operators import metrics as me
@@ -357,12 +357,11 @@ def repeated_internal_splits(spark, d):
         fx.order_episodes(spark, d), numbers, fx.SHARES, SEED, "internal", number="split_no"))
     peaks = split.where("split = 'calibration' and not event").select("split_no", "site", "episode_id").join(
         fx.order_maxima(spark, d).select("episode_id", "max_score"), "episode_id")
-    alphas = alpha_table(spark, [0.10])
+    alphas = [0.10]
     by_site = ["site", "split_no"]
     local = ca.marginal_thresholds(rk.value_counts(peaks, by_site, "max_score"), rk.group_sizes(peaks, by_site), alphas, by_site, "max_score")
     pooled = ca.marginal_thresholds(rk.value_counts(peaks, ["split_no"], "max_score"), rk.group_sizes(peaks, ["split_no"]), alphas, ["split_no"], "max_score", "pooled")
-    sites = fx.order_episodes(spark, d).select("site").distinct()
-    thr = ca.number_ops(local.unionByName(pooled.crossJoin(sites)).withColumn("target_m0", F.lit(0)), by_site)
+    thr = ca.number_ops(local.unionByName(each(pooled, "site", SITES)).withColumn("target_m0", F.lit(0)), by_site)
     out = tr.target_outcomes(fx.order_plain(spark, d), split, thr, P, number="split_no")
     level = F.when(F.col("method") == "pooled", "overall").otherwise(F.col("site"))
     return rounded(out.withColumn("_level", level).groupBy("split_no", "method", "_level").agg(*me.ratio_metrics()).withColumnRenamed("_level", "site"))
@@ -407,9 +406,9 @@ def uncapped_horizon(spark, d):
   select round(avg((max_score > c)::int) filter (where not event),6) as pfa, count(*) filter (where max_score > c) as n_alerted, count(*) as n_patients from o_max cross join t where split='test'""")
 def pooled_threshold_sensitivity(spark, d):
     peaks = fx.calibration_maxima(spark, d)
-    thr = ca.marginal_thresholds(rk.value_counts(peaks, [], "max_score"), peaks.agg(F.count("*").alias("m0")), alpha_table(spark, [0.10]), [], "max_score")
-    thr = ca.number_ops(thr, [])
-    out = al.outcomes(fx.order_plain(spark, d).where("split = 'test'"), test_episodes(spark, d), thr, P, match=())
+    thr = ca.marginal_thresholds(rk.value_counts(peaks, [], "max_score"), peaks.agg(F.count("*").alias("m0")), [0.10], [], "max_score")
+    thr = ca.number_ops(each(thr, "site", SITES), ["site"])
+    out = al.outcomes(fx.order_plain(spark, d).where("split = 'test'"), test_episodes(spark, d), thr, P)
     return rounded(out.agg(me.ratio_metrics()[0], F.count(F.when(F.col("alerted"), 1)).alias("n_alerted"), F.count("*").alias("n_patients")))
 
 

@@ -9,7 +9,7 @@ from tocsin.functions.binomial import hc_index
 from tocsin.functions.exprs import (
     achieved_bound, clipped_logit, eligible, expit, marginal_index, minimum_m0, threshold_state,
 )
-from tocsin.functions.tables import alpha_table, values
+from tocsin.functions.tables import each
 from tocsin.operators import alerts as al
 from tocsin.operators import calibrate as ca
 from tocsin.operators import ranking as rk
@@ -86,7 +86,7 @@ def clipped_horizon(spark, d):
 @query("minimum_calibration_size", f"select alpha, (ceil(1.0::double/alpha)-1)::bigint as minimum_m0, m0 >= ceil(1.0::double/alpha)-1 as enough, site from o_m0 cross join {GRID_SQL}")
 def minimum_calibration_size(spark, d):
     sizes = rk.group_sizes(fx.calibration_maxima(spark, d), ["site"])
-    return sizes.crossJoin(alpha_table(spark, ALPHA_GRID)).select(
+    return each(sizes, "alpha", ALPHA_GRID).select(
         "alpha", minimum_m0("alpha").alias("minimum_m0"), (F.col("m0") >= minimum_m0("alpha")).alias("enough"), "site")
 
 
@@ -94,7 +94,7 @@ def minimum_calibration_size(spark, d):
   select site, alpha, m0, ceil((m0+1)*(1.0::double-alpha))::bigint as k from o_m0 cross join {GRID_SQL})""")
 def marginal_rank(spark, d):
     sizes = rk.group_sizes(fx.calibration_maxima(spark, d), ["site"])
-    return (sizes.crossJoin(alpha_table(spark, ALPHA_GRID)).withColumn("k", marginal_index("m0", "alpha"))
+    return (each(sizes, "alpha", ALPHA_GRID).withColumn("k", marginal_index("m0", "alpha"))
             .withColumn("alpha_m0", r(achieved_bound("m0", "k"), 9)))
 
 
@@ -111,14 +111,14 @@ def method_sql(method: str) -> str:
 def fixed_max_threshold(spark, d):
     maxima = fx.calibration_maxima(spark, d)
     counts = rk.value_counts(maxima, ["site"], "max_score")
-    out = ca.marginal_thresholds(counts, rk.group_sizes(maxima, ["site"]), alpha_table(spark, P.alphas), ["site"], "max_score")
+    out = ca.marginal_thresholds(counts, rk.group_sizes(maxima, ["site"]), P.alphas, ["site"], "max_score")
     return out.select("site", "alpha", r(F.element_at("threshold", 1), 9).alias("threshold"), "m0", "k")
 
 
 @query("high_confidence_rank", "select site, alpha, m0, k from o_hck")
 def high_confidence_rank(spark, d):
     sizes = rk.group_sizes(fx.calibration_maxima(spark, d), ["site"])
-    return sizes.crossJoin(alpha_table(spark, P.alphas)).select(
+    return each(sizes, "alpha", P.alphas).select(
         "site", "alpha", "m0", hc_index(F.col("m0"), F.col("alpha"), P.delta).alias("k"))
 
 
@@ -156,7 +156,7 @@ def merged_bins(spark, d):
 def weighted_score_quantile(spark, d):
     rows = fx.order_plain(spark, d).where("split = 'calibration' and not event and eligible")
     rows = rows.withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("episode_id")))
-    probs = values(spark, ["prob"], [(0.25,), (0.5,), (0.75,)])
+    probs = [(q, q) for q in (0.25, 0.5, 0.75)]
     return rk.weighted_quantile(rows, ["site"], "score", "w", probs).withColumn("quantile", r("quantile", 9))
 
 
@@ -190,7 +190,7 @@ def naive_max_threshold(spark, d):
 def binwise_thresholds(spark, d):
     maxima = fx.calibration_maxima(spark, d)
     traj = fx.order_plain(spark, d).where("split = 'calibration' and not event")
-    out = ca.binwise_values(traj, rk.group_sizes(maxima, ["site"]), alpha_table(spark, P.alphas), ["site"], P)
+    out = ca.binwise_values(traj, rk.group_sizes(maxima, ["site"]), P.alphas, ["site"], P)
     return out.select("site", "alpha", "bin", "lo", "hi", "k", "c")
 
 
@@ -231,7 +231,7 @@ def row_thresholds(spark, d):
 def alpha_grid_thresholds(spark, d):
     maxima = fx.calibration_maxima(spark, d)
     counts = rk.value_counts(maxima, ["site"], "max_score")
-    out = ca.marginal_thresholds(counts, rk.group_sizes(maxima, ["site"]), alpha_table(spark, ALPHA_GRID), ["site"], "max_score")
+    out = ca.marginal_thresholds(counts, rk.group_sizes(maxima, ["site"]), ALPHA_GRID, ["site"], "max_score")
     return out.select("site", "alpha", "k", r(F.element_at("threshold", 1), 9).alias("threshold"))
 
 
@@ -250,14 +250,14 @@ def calibration_size_sweep(spark, d):
     rows = nested_prefixes(non_event_order(fx.calibration_maxima(spark, d), fx.SEED), SIZES)
     keys = ["site", "target_m0"]
     out = ca.marginal_thresholds(rk.value_counts(rows, keys, "max_score"), rk.group_sizes(rows, keys),
-                                 alpha_table(spark, P.alphas), keys, "max_score")
+                                 P.alphas, keys, "max_score")
     return out.select(*keys, "alpha", "m0", "k", r(F.element_at("threshold", 1), 9).alias("threshold"))
 
 
 @query("raw_time_boundary", "select h.site, h.alpha, p.bin, round(p.loc + h.threshold[1]*p.scale,6) as raw_boundary from op_tpl p cross join (select * from o_thr where method='time_adaptive') h")
 def raw_time_boundary(spark, d):
     thr = fx.order_thresholds(spark, d).where("method = 'time_adaptive'").select("site", "alpha", "threshold")
-    out = tp.raw_boundary(tp.template_table(spark, fx.order_templates(spark, d)), thr)
+    out = tp.raw_boundary(fx.order_templates(spark, d)[None], thr)
     return out.select("site", "alpha", "bin", r("raw_boundary").alias("raw_boundary"))
 
 
@@ -267,7 +267,7 @@ def raw_time_boundary(spark, d):
 def pooled_threshold(spark, d):
     maxima = fx.calibration_maxima(spark, d)
     counts = rk.value_counts(maxima, [], "max_score")
-    out = ca.marginal_thresholds(counts, maxima.agg(F.count("*").alias("m0")), alpha_table(spark, P.alphas), [], "max_score")
+    out = ca.marginal_thresholds(counts, maxima.agg(F.count("*").alias("m0")), P.alphas, [], "max_score")
     return out.select("alpha", "m0", "k", r(F.element_at("threshold", 1), 9).alias("threshold"))
 
 
@@ -276,7 +276,7 @@ def pooled_threshold(spark, d):
   select k.alpha, k.n_reference, k.k, round(c.max_score,9) as threshold from ks k join c on c.rr=k.k""")
 def reference_order_statistic(spark, d):
     ref = fx.order_maxima(spark, d).where("not event").select(F.col("max_score").alias("maximum"))
-    return ca.reference_order_statistic(ref, alpha_table(spark, P.alphas)).withColumn("threshold", r("threshold", 9))
+    return ca.reference_order_statistic(ref, P.alphas).withColumn("threshold", r("threshold", 9))
 
 
 @query("conditional_exceedance", """select h.site, h.method, h.alpha, round(avg(case when m.max_score > h.threshold[1] then 1.0 else 0.0 end),6) as conditional_pfa
