@@ -14,7 +14,6 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
 from tocsin.operators import features as fe  # noqa: E402
 from tocsin.operators import metrics as me  # noqa: E402
@@ -68,7 +67,9 @@ def main() -> None:
              .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    fx.table(spark, sf_dir, "orders").agg(F.max("o_totalprice")).collect()  # start the executor
+    warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    if os.path.isdir(warm):  # load classes and start the executor on the smallest tables
+        QUERIES["site_false_alarm"](spark, warm).collect()
     times = {}
     for name, fn in BENCH.items():
         if only and name not in only.split(","):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tocsin.functions.exprs import INF, finite
 from tocsin.operators.ranking import quantile_linear, value_counts
 from tocsin.params import Params
-from tocsin.session import materialize
+from tocsin.session import broadcast_if_small, materialize
 
 # The reported quantiles.
 QUANTILES = {"minimum": 0.0, "q001": 0.001, "q01": 0.01, "q05": 0.05, "q10": 0.10, "q25": 0.25, "median": 0.5,
@@ -63,7 +63,7 @@ def threshold_ties(maxima: DataFrame, thresholds: DataFrame, match: Sequence[str
     c = F.col("threshold")
     x = F.when(F.col("scale") == "z", F.col("max_z")).otherwise(F.col("max_score"))
     n = lambda cond: F.count(F.when(cond, 1))
-    joined = maxima.join(F.broadcast(thresholds), list(match)).withColumn("_x", x)
+    joined = maxima.join(broadcast_if_small(thresholds), list(match)).withColumn("_x", x)
     keys = [k for k in ("part", *match, "method", "alpha", "threshold") if k in joined.columns]
     return joined.groupBy(*keys).agg(
         n(F.col("_x") < c).alias("n_less"), n(F.col("_x") == c).alias("n_equal"), n(F.col("_x") > c).alias("n_greater"),
@@ -77,7 +77,7 @@ def check_thresholds(maxima: DataFrame, thresholds: DataFrame, match: Sequence[s
     +inf and k exceeds m0. Counting needs no sort."""
     c, k = F.col("threshold"), F.col("k")
     x = F.when(F.col("scale") == "z", F.col("max_z")).otherwise(F.col("max_score"))
-    joined = maxima.join(F.broadcast(thresholds), list(match)).withColumn("_x", x)
+    joined = maxima.join(broadcast_if_small(thresholds), list(match)).withColumn("_x", x)
     keys = [*match, "method", "alpha", "threshold", "k", "m0"]
     n = lambda cond: F.count(F.when(cond, 1))
     return joined.groupBy(*keys).agg(n(F.col("_x") < c).alias("n_below"), n(F.col("_x") <= c).alias("n_not_above"),

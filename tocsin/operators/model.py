@@ -47,6 +47,7 @@ def fit_logistic(train: DataFrame, names: Sequence[str], reg: float = 0.01, max_
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
 
+    train = materialize(train, "logistic-train")  # the solver scans it many times
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=reg, maxIter=max_iter)
     return Pipeline(stages=[_assembler(names), lr]).fit(train)
 

@@ -17,6 +17,7 @@ from tocsin.plans.fixtures import EVENTS as P
 from tocsin.plans.fixtures import SEED, SHARES, VARIABLES
 from tocsin.plans.oracle import recent_sql, window_sql
 from tocsin.plans.registry import query
+from tocsin.session import materialize
 
 # -- splits and samples -----------------------------------------------------------------------
 
@@ -263,7 +264,7 @@ def locked_refit(spark, d):
     again = sp.stratified_split(fx.event_episodes(spark, d), {"train": 0.5, "validation": 0.5}, SEED, "refit").select(
         "episode_id", F.col("split").alias("part"))
     rows = prepared.where("fit").withColumn("label", F.col("label").cast("double")).join(again, "episode_id")
-    train = ml.training_weights(rows.where("part = 'train'"))
+    train = materialize(ml.training_weights(rows.where("part = 'train'")), "refit-train")
     model = ml.fit_boosted(train, None, names, depth=best["max_depth"], eta=best["eta"], min_child=best["min_child"], rounds=5, seed=SEED)
     return ml.score_rows(model, rows.where("part = 'validation'"))
 

@@ -431,7 +431,7 @@ def no_smoothing(spark, d):
 
 
 @query("partition_spread", """select direction, method, target_m0, metric, count(value) as n_defined, round(median(value),6) as median, round(quantile_cont(value,0.25),6) as q1,
-  round(quantile_cont(value,0.75),6) as q3, round(min(value),6) as minimum, round(max(value),6) as maximum from (unpivot include nulls (select direction, method, target_m0, partition, pfa, sens3, ppv3, alerts_per_100d from k_res) on pfa, sens3, ppv3, alerts_per_100d into name metric value value) group by all""")
+  round(quantile_cont(value,0.75),6) as q3, round(min(value),6) as minimum, round(max(value),6) as maximum from (select direction, method, target_m0, metric, case metric when 'pfa' then pfa when 'sens3' then sens3 when 'ppv3' then ppv3 else alerts_per_100d end as value from k_res cross join (values ('pfa'),('sens3'),('ppv3'),('alerts_per_100d')) m(metric)) group by all""")
 def partition_spread(spark, d):
     return rounded(tr.descriptive_summary(transfer_results(spark, d), ["direction", "method", "target_m0"], ["pfa", "sens3", "ppv3", "alerts_per_100d"]))
 

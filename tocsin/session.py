@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROW_LIMIT = 200_000
@@ -40,22 +40,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The result has a one-scan lineage, survives lost executors, keeps column
-    pruning and filter pushdown, and gives the same rows to every reader. The write
-    counts the rows on the way; ``row_count`` knows them without another job.
+    pruning and filter pushdown, and gives the same rows to every reader.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    stored = spark.read.schema(df.schema).parquet(path)
-    stored._tocsin_rows = seen.get["rows"]
-    return stored
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_count(stored: DataFrame) -> int:
-    """Rows of a materialized table."""
-    known = getattr(stored, "_tocsin_rows", None)
-    return stored.count() if known is None else known
+    """Rows of a materialized table; Parquet answers from its footers. Asked once."""
+    if not hasattr(stored, "_tocsin_rows"):
+        stored._tocsin_rows = stored.count()
+    return stored._tocsin_rows
 
 
 def broadcast_if_small(df: DataFrame, source: DataFrame | None = None, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
