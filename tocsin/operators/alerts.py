@@ -96,12 +96,14 @@ def outcomes(traj: DataFrame, episodes: DataFrame, thresholds: DataFrame, p: Par
     Alert results come back as one map per episode, so the join moves one row per
     episode; what does not depend on the threshold is computed there, and the methods
     are expanded last. ``keep_op`` drops thresholds per episode before the expansion.
+    The partition count is explicit because the rows grow after that shuffle.
     """
     found = alerts(alert_hours(traj, thresholds, match), p).groupBy("episode_id").agg(
         F.map_from_entries(F.collect_list(F.struct("op", F.struct("tau", "n_alert_episodes", "gain")))).alias("_found"))
     op_list = F.sort_array(F.collect_list(F.struct("op", *labels))).alias("_ops")
     ops = broadcast_if_small(thresholds.groupBy(*match).agg(op_list), thresholds)
-    base = episode_constants(episodes, p).join(found, "episode_id", "left")
+    n = int(traj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = episode_constants(episodes, p).repartition(n, "episode_id").join(found.repartition(n, "episode_id"), "episode_id", "left")
     base = base.join(ops, list(match))
     listed = F.col("_ops") if keep_op is None else F.filter("_ops", keep_op)
     fixed = list(dict.fromkeys([*episodes.columns, "eval0", "eval3", "exposure_hours", "exposure_days", "utility_inactive", "utility_best"]))
