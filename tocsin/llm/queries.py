@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tocsin.llm import decontaminate, exact_dedup
+import public_tokenizers
+
+from tocsin.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
 from tocsin.llm.common import table
 
 QUERIES = {}
@@ -46,3 +48,28 @@ select dw.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit
 from dw left join hit using (doc_id) left join found using (doc_id)""")
 def op6(spark, d):
     return decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op9_jaccard_join", f"""
+with recursive w as (select doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+sh as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+       else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from w)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as i from sh a join sh b using (s) where a.doc_id < b.doc_id group by 1, 2),
+link as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+both_ways as (select a, b from link union all select b, a from link),
+reach(doc_id, r) as (select doc_id, doc_id from documents union select reach.doc_id, both_ways.b from reach join both_ways on reach.r = both_ways.a),
+least_id as (select doc_id, min(r) as component_id from reach group by doc_id)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from least_id left join n using (doc_id)""")
+def op9(spark, d):
+    return jaccard_join.report(table(spark, d, "documents"))
+
+
+@query("op7_toxicity")
+def op7(spark, d):
+    return toxicity.report(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op4_packing")
+def op4(spark, d):
+    return packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
