@@ -116,10 +116,11 @@ class WordTokenizer:
             self.chunks.clear()
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
         self.chunks[""] = b""
-        new = set().union(*cut) - self.chunks.keys()
+        known = self.chunks
+        new = {c for c in set().union(*cut) if c not in known}
         if new:
             self.learn(new)
-        get = self.chunks.__getitem__
+        get = known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 

@@ -3,8 +3,8 @@
 The lexicon is learned from labelled rows: word stems (first ``STEM`` letters) that stand in
 many more toxic than other documents, and whole words that carry such a stem. The whole
 words form a trie. The Levenshtein automaton of a term is walked along the trie branches to
-catch misspelt forms (one edit from five letters on, two from nine; five-letter words only by
-a replaced letter). Every hit is weighed in a window of its neighbours: quotation marks
+catch misspelt forms (one edit in words of five letters or more; in those of five only a
+replaced letter). Every hit is weighed in a window of its neighbours: quotation marks
 around it or a verb of speech beside it make it a quotation, an address (second person)
 makes it abuse. A logistic model over a few sums of the hits gives the score.
 
@@ -35,11 +35,11 @@ from tocsin.llm.common import fresh, materialize
 STEM = 5
 FIT_ROWS = 40_000
 MAX_STEMS = 500
-MAX_WORDS = 5000
+MAX_WORDS = 2000
 THRESHOLD = 0.3
 #: Neighbours on either side that decide between quotation and abuse.
 CONTEXT = 6
-CACHE = 400_000
+CACHE = 600_000
 
 TOKEN = re.compile(r"[^\W_]+(?:[@$!*|][^\W_]+)*")
 QUOTES = "\"'“”„‟«»‘’‹›"
@@ -49,14 +49,6 @@ ADDRESS = frozenset("you your youre du dein deine dich ihr euch tu toi te vous v
 FEATURES = ("abuse", "quoted", "fuzzy", "strongest", "distinct", "density")
 
 
-def automaton_step(word: str, state: tuple[int, ...], letter: str, cap: int) -> tuple[int, ...]:
-    """Next state of the Levenshtein automaton of ``word``: edits for each prefix, capped."""
-    out = [min(state[0] + 1, cap)]
-    for i, c in enumerate(word):
-        out.append(min(state[i] + (c != letter), state[i + 1] + 1, out[i] + 1, cap))
-    return tuple(out)
-
-
 def trie_of(terms: dict[str, float]) -> dict:
     root: dict = {}
     for term, weight in terms.items():
@@ -67,19 +59,35 @@ def trie_of(terms: dict[str, float]) -> dict:
     return root
 
 
-def fuzzy_matches(word: str, trie: dict, edits: int):
-    """Lexicon terms within ``edits`` of ``word``: the automaton runs along the trie."""
-    todo = [(trie, tuple(min(i, edits + 1) for i in range(len(word) + 1)))]
+def fuzzy_matches(word: str, trie: dict):
+    """Lexicon terms within one edit of ``word``: its Levenshtein automaton runs along the trie.
+
+    The states are two bit sets over the positions of the word: reached without an edit, and
+    with one. A branch is left when both are empty.
+    """
+    places: dict[str, int] = {}
+    for i, c in enumerate(word):
+        places[c] = places.get(c, 0) | 1 << i
+    end, todo = 1 << len(word), [(trie, 1, 3)]
     while todo:
-        node, state = todo.pop()
-        for c, child in node.items():
-            if c == "":
-                if state[-1] <= edits:
-                    yield child
-                continue
-            after = automaton_step(word, state, c, edits + 1)
-            if min(after) <= edits:
-                todo.append((child, after))
+        node, exact, edited = todo.pop()
+        if exact:
+            for c, child in node.items():
+                if c == "":
+                    if (exact | edited) & end:
+                        yield child
+                    continue
+                here = places.get(c, 0)
+                on = (exact & here) << 1
+                # a replaced letter, one too many, or one too few
+                off = (edited & here) << 1 | exact << 1 | exact | on << 1
+                todo.append((child, on, off))
+        else:  # no edit is left: only letters of the word lead on
+            if "" in node and edited & end:
+                yield node[""]
+            for c, here in places.items():
+                if edited & here and c in node:
+                    todo.append((node[c], 0, (edited & here) << 1))
 
 
 @dataclass
@@ -90,8 +98,9 @@ class Lexicon:
 
     def __post_init__(self):
         self.trie = trie_of(self.words)
-        self.heads, self.tails = {w[:2] for w in self.words}, {w[-2:] for w in self.words}
-        self.lengths = {len(w) for w in self.words}
+        # one edit leaves the first or the second half of a term as it is
+        self.heads = {(len(w), w[:len(w) // 2]) for w in self.words}
+        self.tails = {(len(w), w[len(w) // 2:]) for w in self.words}
         self.known: dict[str, tuple[str, float, bool] | None] = {}
 
     def __getstate__(self):
@@ -106,10 +115,10 @@ class Lexicon:
         stem = word[:STEM]
         if stem in self.stems:
             return stem, self.stems[stem], False
-        edits = 0 if len(word) < STEM else 1 if len(word) < 9 else 2
-        if not edits or not (word[:2] in self.heads or word[-2:] in self.tails) or not any(len(word) + d in self.lengths for d in range(-edits, edits + 1)):
+        n = len(word)
+        if n < STEM or not any((m, word[:m // 2]) in self.heads or (m, word[m // 2 - m:]) in self.tails for m in (n - 1, n, n + 1) if m > STEM or m == n):
             return None
-        found = [x for x in fuzzy_matches(word, self.trie, edits) if len(x[0]) > STEM or len(x[0]) == len(word)]
+        found = [x for x in fuzzy_matches(word, self.trie) if len(x[0]) > STEM or len(x[0]) == n]
         if not found:
             return None
         term, weight = max(found, key=lambda x: (x[1], x[0]))
@@ -118,9 +127,12 @@ class Lexicon:
     def hits(self, distinct) -> dict[str, tuple[str, float, bool]]:
         if len(self.known) > CACHE:
             self.known.clear()
-        for w in distinct - self.known.keys():
-            self.known[w] = self.look(w)
-        return {w: h for w in distinct if (h := self.known[w])}
+        known, out = self.known, {}
+        for w in distinct:
+            hit = known[w] if w in known else known.setdefault(w, self.look(w))
+            if hit:
+                out[w] = hit
+        return out
 
     def features(self, text: str | None) -> list[float]:
         """The sums of FEATURES for one text."""
