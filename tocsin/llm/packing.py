@@ -39,10 +39,11 @@ END_ID = 1
 #: Pieces of one length that are ranked in one block.
 BLOCK = 2000
 #: Words and chunks that a worker remembers.
-CACHE = 400_000
+CACHE = 800_000
 
 #: Letters that no normal form changes and whose lower case is one letter, then marks that are cut off.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?$%&*#]*)")
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+")
+_MARKS = ".,;:!?$%&*#"
 
 
 class WordTokenizer:
@@ -73,40 +74,39 @@ class WordTokenizer:
         self.ends = ends
 
     def _encode_words(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):  # a word of more than one pre-token: encode each for itself
             self._encode_each(words)
             return
-        at = 0
-        for w, end in zip(words, cuts.tolist(), strict=True):
-            self.chunks[w] = ids[at:end].tobytes()
+        ids, at, chunks = ids.tobytes(), 0, self.chunks
+        for w, end in zip(words, (4 * cuts).tolist(), strict=True):
+            chunks[w] = ids[at:end]
             at = end
 
     def _encode_each(self, chunks: list[str]) -> None:
-        for c, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
+        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
             self.chunks[c] = np.array(e.ids, np.uint32).tobytes()
 
     def learn(self, new: set[str]) -> None:
-        parts, words, others = {}, set(), []
+        chunks, parts, words, others = self.chunks, [], set(), set()
         for c in new:
-            m = _PLAIN.fullmatch(c)
-            if m is None:
-                others.append(c)
+            w = c.rstrip(_MARKS)
+            if not (_PLAIN.fullmatch(w) if not w.isascii() else w.isalpha()):
+                others.add(c)
                 continue
-            w = m[1].lower()
-            parts[c] = w, m[2]
-            if w not in self.chunks:
-                words.add(w)
-            if m[2] and m[2] not in self.chunks:
-                others.append(m[2])
+            marks, w = c[len(w):], w.lower()
+            parts.append((c, w, marks))
+            words.add(w)
+            others.add(marks)
+        words = [w for w in words if w not in chunks]
+        others = [c for c in others if c not in chunks]
         if words:
-            self._encode_words(sorted(words))
+            self._encode_words(words)
         if others:
             self._encode_each(others)
-        chunks = self.chunks
-        for c, (w, marks) in parts.items():
-            chunks[c] = chunks[w] + chunks[marks] if marks else chunks[w]
+        for c, w, marks in parts:
+            chunks[c] = chunks[w] + chunks[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
