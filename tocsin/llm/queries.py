@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tocsin.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
+from tocsin.llm import decontaminate, exact_dedup, jaccard_join, licenses, packing, secrets, token_counts, toxicity
 from tocsin.llm.common import table
 
 QUERIES = {}
@@ -73,3 +73,37 @@ def op7(spark, d):
 @query("op4_packing")
 def op4(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+_GRAMS = ", ".join(f"({n}, {t}, '{label}', {base}, '{a} {b} {c}', {g})" for n, t, label, base, a, b, c, g in licenses.template_grams())
+
+
+@query("op3_licenses", f"""
+with w as (select doc_id, {_WORDS} as w from documents),
+tpl(template, t, label, base, gram, grams) as (values {_GRAMS}),
+g as (select doc_id, p, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] as gram from (select *, unnest(range(0, len(w) - 2)) as p from w)),
+votes as (select doc_id, template, label, base, grams, p - t as diagonal, list(t) as ts from g join tpl using (gram) group by all),
+cut as (select *, case when not base and diagonal - lag(diagonal) over per <= {licenses.GAP} then 0 else 1 end as new
+        from votes window per as (partition by doc_id, template order by diagonal)),
+numbered as (select *, sum(new) over (partition by doc_id, template order by diagonal rows unbounded preceding) as span from cut),
+spans as (select doc_id, template, label, base, grams, span, len(list_distinct(flatten(list(ts)))) as covered, min(diagonal) as start
+          from numbered group by all),
+marked as (select *, base and covered = grams as is_full, case when base then covered = grams else covered / grams >= {licenses.COVER} end as good from spans)
+select w.doc_id, any_value(len(w.w))::bigint as n_words, coalesce(sum(is_full::int), 0)::bigint as n_base,
+       min(start) filter (where is_full)::bigint as first_word, max(start) filter (where is_full)::bigint as last_word,
+       coalesce(array_to_string(list_sort(list(distinct label) filter (where is_full)), ','), '') as base_labels,
+       coalesce(array_to_string(list_sort(list(distinct label) filter (where good)), ','), '') as labels,
+       coalesce(max(covered / grams) filter (where good), 0.0)::double as score
+from w left join marked using (doc_id) group by w.doc_id""")
+def op3(spark, d):
+    return licenses.report(table(spark, d, "documents"))
+
+
+@query("op5_secrets")
+def op5(spark, d):
+    return secrets.report(table(spark, d, "documents"))
+
+
+@query("op10_token_counts")
+def op10(spark, d):
+    return token_counts.report(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
