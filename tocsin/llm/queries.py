@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tocsin.llm import decontaminate, exact_dedup, jaccard_join, licenses, packing, secrets, token_counts, toxicity
+from tocsin.llm import decontaminate, exact_dedup, html_text, jaccard_join, licenses, packing, secrets, token_counts, toxicity
 from tocsin.llm.common import table
 
 QUERIES = {}
@@ -107,3 +107,8 @@ def op5(spark, d):
 @query("op10_token_counts")
 def op10(spark, d):
     return token_counts.report(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_html_text")
+def op2(spark, d):
+    return html_text.report(table(spark, d, "pages"))
