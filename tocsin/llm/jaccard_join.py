@@ -10,9 +10,12 @@ the next band if a partner can be there. Equal segments meet in an equi-join, an
 candidates are verified on the shingle sets.
 
 Documents with the same set are one class and only its first row takes part. A bucket never
-expands into all pairs: its members meet one leader per round, links are contracted to
-components, and a bucket of one component is finished. Pairs of members that are still in
-different components after the rounds are all verified, so that no link is lost.
+expands into all pairs: its members meet one leader, links are contracted to components, and
+rows in the component of their leader are settled. If the buckets left would give many pairs,
+they get other leaders for some rounds; in the end all pairs of members that are still in
+different components are verified, so that no link is lost. Verification has two steps: the
+Hamming distance of the whole sketches, then the exact intersection. For that the texts are
+read again and each set goes once to the task of its leader; sets are never stored.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing;
 a text of fewer words than a shingle is one shingle. Rows that repeat id and text count as
@@ -29,19 +32,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tocsin.llm.common import broadcast_counted, drop_rows, materialize, row_count
 
 SHINGLE = 3
 PERCENT = 90
-#: Rounds of star links before the remaining pairs of a bucket are expanded.
+#: Rounds of star links at most; fewer if the pairs left are no more than so many per document.
 ROUNDS = 6
+FINAL_PAIRS = 8
+#: Partners of one leader that are compared in one group.
+PARTNERS = 200
 #: Words whose hashes a worker remembers.
 CACHE = 400_000
 
 _K = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_LIST = T.ArrayType(T.LongType())
 
 
 class _WordHash(dict):
@@ -93,16 +97,11 @@ def bands(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     return out
 
 
-def segment_keys(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """One 64-bit key per band and segment of the parity sketches."""
-    keys = [np.empty(0, np.uint64)]
-    bit = np.uint64(1) << (shingles & np.uint64(63))
-    for band, segments in bands(len(shingles), percent):
-        sketch = np.zeros(segments, np.uint64)
-        np.bitwise_xor.at(sketch, ((shingles >> np.uint64(6)) % np.uint64(segments)).astype(np.int64), bit)
-        place = np.arange(segments, dtype=np.uint64) * _K[0] + np.full(1, band, np.uint64) * _K[1]
-        keys.append(_mix(_mix(sketch * _K[2] + place) + place))
-    return np.concatenate(keys)
+def sketch(shingles: np.ndarray, segments: int) -> np.ndarray:
+    """Parity sketch: one 64-bit word per segment."""
+    words = np.zeros(segments, np.uint64)
+    np.bitwise_xor.at(words, ((shingles >> np.uint64(6)) % np.uint64(segments)).astype(np.int64), np.uint64(1) << (shingles & np.uint64(63)))
+    return words
 
 
 def _slices(batches, rows: int = 500):
@@ -111,43 +110,55 @@ def _slices(batches, rows: int = 500):
             yield batch.slice(at, rows)
 
 
-def _keyed(percent: int, size: int):
-    """mapInArrow function: adds n, the digest of the set and the segment keys."""
+def _sketched(percent: int, size: int):
+    """mapInArrow function: adds n, the digest of the set and its sketches (band, words)."""
     def run(batches):
         for b in _slices(batches):
-            ns, digests, keys, ends = [], [], [], [0]
+            ns, digests, numbers, words, ends, inner = [], [], [], [np.empty(0, np.uint64)], [0], [0]
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, size)
                 ns.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
-                keys.append(segment_keys(s, percent).view(np.int64))
-                ends.append(ends[-1] + len(keys[-1]))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
+                for band, segments in bands(len(s), percent):
+                    numbers.append(band)
+                    words.append(sketch(s, segments))
+                    inner.append(inner[-1] + segments)
+                ends.append(len(numbers))
+            lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(np.concatenate(words).view(np.int64)))
+            pairs = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), lists], ["band", "words"])
             yield pa.RecordBatch.from_arrays(
-                [b.column("uid"), b.column("doc_id"), b.column("th"), pa.array(ns, pa.int64()), pa.array(digests, pa.string()), lists],
-                names=["uid", "doc_id", "th", "n", "sid", "keys"])
+                [b.column("uid"), b.column("doc_id"), b.column("th"), pa.array(ns, pa.int64()), pa.array(digests, pa.string()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                names=["uid", "doc_id", "th", "n", "sid", "sketches"])
     return run
 
 
 def _with_sets(size: int):
-    """mapInArrow function: digest and shingle set of each text."""
+    """mapInArrow function: replaces the text by its shingle set."""
     def run(batches):
         for b in _slices(batches):
-            sets = [shingle_set(t, size) for t in b.column("text").to_pylist()]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "shingles"])
+            sets = [shingle_set(t, size).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("roles"), pa.array(sets, pa.binary())], names=["uid", "roles", "shingles"])
     return run
 
 
 def _linked(percent: int):
+    """mapInArrow function over rows sorted by leader, the leader's own row first."""
     def run(batches):
+        leader, theirs = None, None
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = []
+            for uid, lead, member, raw in zip(*(b.column(c).to_pylist() for c in ("uid", "lead", "member", "shingles")), strict=True):
+                ours = np.frombuffer(raw, np.uint64)
+                if not member:
+                    leader, theirs = lead, ours
+                elif lead == leader:
+                    both = np.concatenate([ours, theirs])
+                    both.sort()
+                    both = int((both[1:] == both[:-1]).sum())
+                    if 100 * both >= percent * (len(ours) + len(theirs) - both):
+                        found.append((uid, lead))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
     return run
 
 
@@ -175,30 +186,61 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")) if nodes is None else nodes
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("uid").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long")
+def _near_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, band) whose sizes and sketches allow a link."""
+    left = sketches.select(F.col("uid").alias("a"), "band", F.col("n").alias("na"), F.col("words").alias("wa"))
+    right = sketches.select(F.col("uid").alias("b"), "band", F.col("n").alias("nb"), F.col("words").alias("wb"))
+    ends = materialize(pairs.select("b", "band").distinct(), "leaders")
+    left = left.join(broadcast_counted(pairs), ["a", "band"])
+    right = right.join(broadcast_counted(ends), ["b", "band"])
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    near = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    return left.join(right, ["b", "band"]).where(fits & near).select("a", "b")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (a, b) that are links. A leader b with many partners goes to several tasks."""
+    parts = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts")), "parts")
+    salted = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
+    role = lambda member: F.struct(F.col("b").alias("lead"), F.col("part").cast("long").alias("part"), F.lit(member).alias("member"))
+    members = salted.select(F.col("a").alias("uid"), role(True).alias("role"))
+    leaders = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("b").alias("uid"), role(False).alias("role"))
+    roles = members.union(leaders).groupBy("uid").agg(F.collect_list("role").alias("roles"))
+    places = classes.select(F.col("rep").alias("uid"), F.col("top.doc_id").alias("at_id"), F.col("top.th").alias("at_th"))
+    roles = broadcast_counted(materialize(roles.join(places, "uid"), "roles"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    texts = texts.join(roles, F.col("doc_id").cast("long").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).select("uid", "roles", "text")
+    sets = texts.mapInArrow(_with_sets(size), "uid long, roles array<struct<lead:long,part:long,member:boolean>>, shingles binary")
+    rows = sets.select("uid", F.explode("roles").alias("r"), "shingles").select("uid", "r.*", "shingles")
+    rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "member")
+    return materialize(rows.mapInArrow(_linked(percent), "a long, b long"), "links")
 
 
 def _open_buckets(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """key, uid, comp of the buckets that hold more than one component."""
+    """key, band, uid, comp of the buckets with a row outside the component of their leader."""
     if comps is None:
-        return buckets.withColumn("comp", F.col("uid"))
-    marked = materialize(buckets.join(comps.withColumnRenamed("node", "uid").withColumnRenamed("comp", "c"), "uid", "left")
-                         .select("key", "uid", F.coalesce("c", "uid").alias("comp")), "marked")
-    mixed = materialize(marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    return materialize(marked.join(mixed, "key"), "open")
+        return buckets.withColumn("comp", F.col("uid")).drop("lead")
+    comps = broadcast_counted(comps)
+    marked = buckets.join(comps.select(F.col("node").alias("uid"), F.col("comp").alias("c")), "uid", "left")
+    marked = marked.join(comps.select(F.col("node").alias("lead"), F.col("comp").alias("d")), "lead", "left")
+    marked = marked.select("key", "band", "uid", F.coalesce("c", "uid").alias("comp"), F.coalesce("d", "lead").alias("with"))
+    mixed = materialize(marked.where(F.col("comp") != F.col("with")).select("key").distinct(), "mixed")
+    return materialize(marked.drop("with").join(broadcast_counted(mixed), "key"), "open")
 
 
-def _star(opened: DataFrame, turn: int) -> DataFrame:
-    """a, b: every member with the leader that it shares most segments with, if components differ."""
-    rank = F.lit(0).cast("long") if turn == 0 else F.xxhash64("uid", "key", F.lit(turn))
-    lead = materialize(opened.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "uid", "comp")).alias("lead")), "leaders")
-    pairs = opened.join(lead, "key").where(F.col("comp") != F.col("lead.comp"))
-    shared = pairs.groupBy("uid", F.col("lead.uid").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("uid").agg(F.max(F.struct("n", "b")).alias("top"))
-    return materialize(best.select(F.col("uid").alias("a"), F.col("top.b").alias("b")), "star")
+def _star(rows: DataFrame) -> DataFrame:
+    """a, b, band: every uid with the leader that it shares most segments with."""
+    shared = rows.groupBy("uid", "lead", "band").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("uid").agg(F.max(F.struct("n", "lead", "band")).alias("top"))
+    return materialize(best.select(F.col("uid").alias("a"), F.col("top.lead").alias("b"), F.col("top.band").alias("band")), "star")
+
+
+def _cross_pairs(opened: DataFrame) -> int:
+    """Pairs of bucket members in different components."""
+    per = opened.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    per = per.groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("w"))
+    return (per.agg(F.sum("w")).first()[0] or 0) // 2
 
 
 def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -208,42 +250,44 @@ def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("uid", "doc_id", F.xxhash64("text").alias("th"), "text")
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("uid", "doc_id", "th", "n")] + [T.StructField("sid", T.StringType()), T.StructField("keys", _LIST)])
-    keyed = materialize(rows.mapInArrow(_keyed(percent, size), schema), "sketches")
-    top = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("top")
-    classes = materialize(keyed.where("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("size"), top), "classes")
-    classes = classes.withColumn("rep", F.col("top.uid"))
-    reps = keyed.where(F.size("keys") > 0).join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    segments = materialize(reps.select(F.explode("keys").alias("key"), "uid"), "segments")
-    shared = materialize(segments.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "shared")
-    buckets = materialize(segments.join(shared, "key"), "buckets")
-    if not row_count(buckets):
-        return keyed, classes, None
-    members = buckets.select("uid").distinct()
-    wanted = materialize(classes.join(members, F.col("rep") == F.col("uid")).select("uid", "sid", F.col("top.doc_id").alias("wanted_id")), "wanted")
-    ids = broadcast_counted(materialize(wanted.select("wanted_id").distinct(), "wanted-ids"))
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = texts.select("text").mapInArrow(_with_sets(size), "sid string, shingles binary")
-    sets = materialize(sets.join(wanted.select("uid", "sid"), "sid").groupBy("uid").agg(F.first("shingles").alias("shingles")), "sets")
-    found, comps, opened = None, None, buckets
+    keyed = materialize(rows.mapInArrow(_sketched(percent, size), "uid long, doc_id long, th long, n long, sid string, sketches array<struct<band:int,words:array<long>>>"), "sketches")
+    top = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid", "th")).alias("top")
+    classes = materialize(keyed.where("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("size"), top).withColumn("rep", F.col("top.uid")), "classes")
+    reps = keyed.where(F.size("sketches") > 0).join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
+    sketches = materialize(reps.select("uid", "n", F.explode("sketches").alias("s")).select("uid", "n", "s.band", "s.words"), "rep-sketches")
+    segments = sketches.select("uid", "band", F.posexplode("words").alias("at", "word"))
+    segments = segments.select(F.xxhash64("band", "at", "word").alias("key"), "uid", "band")
+    shared = segments.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("uid").alias("lead")).where("m > 1").select("key", "lead")
+    buckets = materialize(segments.join(materialize(shared, "shared"), "key"), "buckets")
+
+    def verified(pairs: DataFrame) -> DataFrame | None:
+        if not row_count(pairs):
+            return None
+        near = materialize(_near_sketches(pairs, sketches, percent), "near")
+        return _verified(docs, near, classes, percent, size) if row_count(near) else None
+
+    found, comps, opened = None, None, None
     for turn in range(ROUNDS):
-        opened = _open_buckets(buckets if turn == 0 else opened.select("key", "uid"), comps)
-        pairs = _star(opened, turn)
-        new = materialize(_verified(pairs, sets, percent), "links")
-        found = new if found is None else found.union(new)
-        if row_count(new):
+        if turn:
+            lead = opened.groupBy("key").agg(F.min(F.struct(F.xxhash64("uid", "key", F.lit(turn)).alias("r"), "uid", "comp")).alias("lead"))
+            met = opened.join(materialize(lead.select("key", F.col("lead.uid").alias("lead"), F.col("lead.comp").alias("with")), "turn"), "key")
+            pairs = _star(met.where(F.col("comp") != F.col("with")))
+        else:
+            pairs = _star(buckets.where(F.col("uid") != F.col("lead")))
+        new = verified(pairs)
+        if new is not None and row_count(new):
+            found = new if found is None else found.union(new)
             comps = components(found)
-        per = opened.groupBy("key").agg(F.count(F.lit(1)).alias("m")).agg(F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0)).alias("w")).first()["w"]
-        if turn and per <= 4 * row_count(buckets) + 100_000:
+            row_count(comps)
+        opened = _open_buckets(buckets, comps)
+        if _cross_pairs(opened) <= FINAL_PAIRS * row_count(sketches):
             break
-    opened = _open_buckets(opened.select("key", "uid"), comps)
     x, y = opened.alias("x"), opened.alias("y")
     rest = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.uid") < F.col("y.uid")) & (F.col("x.comp") != F.col("y.comp")))
-    rest = materialize(rest.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), "rest")
-    if row_count(rest):
-        new = materialize(_verified(rest, sets, percent), "links")
-        if row_count(new):
-            comps = components(found.union(new))
+    rest = materialize(rest.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"), "x.band").distinct(), "rest")
+    new = verified(rest)
+    if new is not None and row_count(new):
+        comps = components(new if found is None else found.union(new))
     return keyed, classes, comps
 
 
