@@ -5,9 +5,11 @@ A document is the set of its distinct 64-bit shingle hashes. Its parity sketch h
 number of differing shingles hit it, so the Hamming distance of two sketches is at most the
 symmetric difference of the sets. Sets of at most U shingles with Jaccard >= T differ in at
 most d = 2U(1-T)/(1+T) shingles; a sketch of d+1 segments then has at least one equal
-segment (pigeonhole). Sizes are cut into bands [U/1.5, U]; a set also writes the segments of
-the next band if a partner can be there. Equal segments meet in an equi-join, and
-candidates are verified on the shingle sets.
+segment (pigeonhole). Sizes are cut into bands [U/1.5, U] (short sets: pairs of sizes); a set
+also writes the segments of the next band if a partner can be there. Segments with few bits
+are equal by chance: sketches of long sets have spare segments, so that more than ``spare``
+are equal, and a sketch with at most so many light segments leaves those out without losing a
+link. Equal segments meet in an equi-join, and candidates are verified.
 
 Documents with the same set are one class and only its first row takes part. A bucket never
 expands into all pairs: its members meet one leader, links are contracted to components, and
@@ -37,6 +39,10 @@ from tocsin.llm.common import broadcast_counted, drop_rows, materialize, row_cou
 
 SHINGLE = 3
 PERCENT = 90
+#: Sets up to this size have a band for each pair of sizes.
+PAIRED = 33
+#: A segment with fewer bits is light: it is stored only if a sketch has more of them than spare segments.
+LIGHT = 3
 #: Rounds of star links at most; fewer if the pairs left are no more than so many per document.
 ROUNDS = 6
 FINAL_PAIRS = 8
@@ -79,21 +85,27 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return out[np.append(True, out[1:] != out[:-1])]
 
 
-def bands(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """(band number, segments) under which a set of ``n`` shingles is stored.
+def bands(n: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
+    """(band number, segments, spare segments) under which a set of ``n`` shingles is stored.
 
-    The first band holds sizes at which only equal sets can link, and is not stored.
+    Short sets have a band for each pair of sizes; bands in which only equal sets can link are
+    left out. Longer sets have bands [U/1.5, U] by the size of the larger set of a pair.
     """
     bad, all_ = 100 - percent, 100 + percent
-    upper = max((all_ - 1) // (2 * bad), 1) if bad else n
-    band, out = 0, []
+    out = []
+    if n <= PAIRED:
+        for m in range(-(-n * percent // 100), min(PAIRED, n * 100 // percent) + 1):
+            differ = (n + m) * bad // all_
+            if differ:
+                out.append((1000 + (PAIRED + 1) * min(n, m) + max(n, m), differ + 1, 0))
+    band, upper = 0, PAIRED
     while upper < n:
-        band, upper = band + 1, max(upper + 1, upper * 3 // 2)
-    if band:
-        out.append((band, 2 * upper * bad // all_ + 1))
-    if n * 100 // percent > upper:
-        upper = max(upper + 1, upper * 3 // 2)
-        out.append((band + 1, 2 * upper * bad // all_ + 1))
+        band, upper = band + 1, upper * 3 // 2
+    for number, top in ((band, upper), (band + 1, upper * 3 // 2)):
+        if number and (number == band or n * 100 // percent > upper):
+            differ = 2 * top * bad // all_
+            spare = differ // 8 + 2 if differ >= 16 else 0
+            out.append((number, differ + 1 + spare, spare))
     return out
 
 
@@ -114,18 +126,19 @@ def _sketched(percent: int, size: int):
     """mapInArrow function: adds n, the digest of the set and its sketches (band, words)."""
     def run(batches):
         for b in _slices(batches):
-            ns, digests, numbers, words, ends, inner = [], [], [], [np.empty(0, np.uint64)], [0], [0]
+            ns, digests, numbers, spares, words, ends, inner = [], [], [], [], [np.empty(0, np.uint64)], [0], [0]
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, size)
                 ns.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
-                for band, segments in bands(len(s), percent):
+                for band, segments, spare in bands(len(s), percent):
                     numbers.append(band)
+                    spares.append(spare)
                     words.append(sketch(s, segments))
                     inner.append(inner[-1] + segments)
                 ends.append(len(numbers))
             lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(np.concatenate(words).view(np.int64)))
-            pairs = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), lists], ["band", "words"])
+            pairs = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(spares, pa.int32()), lists], ["band", "spare", "words"])
             yield pa.RecordBatch.from_arrays(
                 [b.column("uid"), b.column("doc_id"), b.column("th"), pa.array(ns, pa.int64()), pa.array(digests, pa.string()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
@@ -250,12 +263,14 @@ def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("uid", "doc_id", F.xxhash64("text").alias("th"), "text")
-    keyed = materialize(rows.mapInArrow(_sketched(percent, size), "uid long, doc_id long, th long, n long, sid string, sketches array<struct<band:int,words:array<long>>>"), "sketches")
+    keyed = materialize(rows.mapInArrow(_sketched(percent, size), "uid long, doc_id long, th long, n long, sid string, sketches array<struct<band:int,spare:int,words:array<long>>>"), "sketches")
     top = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid", "th")).alias("top")
     classes = materialize(keyed.where("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("size"), top).withColumn("rep", F.col("top.uid")), "classes")
     reps = keyed.where(F.size("sketches") > 0).join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    sketches = materialize(reps.select("uid", "n", F.explode("sketches").alias("s")).select("uid", "n", "s.band", "s.words"), "rep-sketches")
-    segments = sketches.select("uid", "band", F.posexplode("words").alias("at", "word"))
+    sketches = materialize(reps.select("uid", "n", F.explode("sketches").alias("s")).select("uid", "n", "s.band", "s.spare", "s.words"), "rep-sketches")
+    light = F.size(F.filter("words", lambda w: F.bit_count(w) < LIGHT))
+    segments = sketches.select("uid", "band", (light <= F.col("spare")).alias("heavy_only"), F.posexplode("words").alias("at", "word"))
+    segments = segments.where(~F.col("heavy_only") | (F.bit_count("word") >= LIGHT))
     segments = segments.select(F.xxhash64("band", "at", "word").alias("key"), "uid", "band")
     shared = segments.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("uid").alias("lead")).where("m > 1").select("key", "lead")
     buckets = materialize(segments.join(materialize(shared, "shared"), "key"), "buckets")

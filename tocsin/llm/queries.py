@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tocsin.llm import decontaminate, exact_dedup, html_text, jaccard_join, licenses, packing, secrets, token_counts, toxicity
+from tocsin.llm import decontaminate, exact_dedup, html_text, jaccard_join, licenses, lm_score, packing, secrets, token_counts, toxicity
 from tocsin.llm.common import table
 
 QUERIES = {}
@@ -112,3 +112,26 @@ def op10(spark, d):
 @query("op2_html_text")
 def op2(spark, d):
     return html_text.report(table(spark, d, "pages"))
+
+
+@query("op8_lm_score", f"""
+with w as (select doc_id, {_WORDS} as w from documents),
+c1 as (select word, count(*) as n from (select unnest(w) as word from w) group by word),
+total as (select sum(n) as n from c1),
+top as (select word, n from c1 order by n desc, word limit {lm_score.VOCABULARY}),
+seq as (select doc_id, p, case when top.word is null then '' else t.word end as word
+        from (select doc_id, unnest(w) as word, unnest(range(len(w))) as p from w) t left join top using (word)),
+uni as (select word, count(*) as n from seq group by word),
+big as (select doc_id, p, word, lag(word) over (partition by doc_id order by p) as before from seq),
+c2 as (select before, word, count(*) as n from big where before is not null group by 1, 2 having count(*) >= {lm_score.MIN_COUNT}),
+parts as (select big.doc_id, big.before is not null and c2.n is null as backed,
+          cast(case when big.before is null then ln(u.n) - ln(total.n) when c2.n is not null then ln(c2.n / b.n)
+               else ln(u.n) - ln(total.n) + ln({lm_score.BACKOFF}) end as decimal(20, 8)) as part
+          from big join uni u using (word) cross join total
+          left join uni b on b.word = big.before left join c2 on c2.before = big.before and c2.word = big.word)
+select w.doc_id, any_value(len(w.w))::bigint as n_words, coalesce(sum(backed::int), 0)::bigint as n_backoff,
+       round(coalesce(sum(part), 0)::double, 6) as score,
+       round(sum(part)::double / nullif(any_value(len(w.w)), 0), 6) as mean_score
+from w left join parts using (doc_id) group by w.doc_id""")
+def op8(spark, d):
+    return lm_score.report(table(spark, d, "documents"))
