@@ -225,3 +225,23 @@ def test_partition_spread_keeps_undefined(spark):
     frame = spark.createDataFrame([("x", 1.0, None), ("x", 3.0, None)], "g string, pfa double, sens3 double")
     got = {r["metric"]: r for r in tr.descriptive_summary(frame, ["g"], ["pfa", "sens3"]).collect()}
     assert got["pfa"]["median"] == 2 and got["sens3"]["n_defined"] == 0 and got["sens3"]["median"] is None
+
+
+def test_audit_reports_undecodable_files(spark, tmp_path):
+    from tocsin.sources import episode_files as ef
+
+    (tmp_path / "a.psv").write_bytes(b"\xff\xfeHR|O2Sat\n1|2\n")
+    (tmp_path / "b.psv").write_text("HR|O2Sat\n1|2\n")
+    (tmp_path / "c.psv").write_text("")
+    rows = {r["episode_id"]: r for r in ef.audit_files(spark, {"A": str(tmp_path)}, columns=["HR", "O2Sat"]).collect()}
+    assert {k: (r["corrupt"], r["schema_ok"], r["read_error"]) for k, r in rows.items()} == {
+        "a": (True, False, "undecodable"), "b": (False, True, ""), "c": (True, False, "empty")}
+
+
+def test_append_keeps_units_of_earlier_appends(spark, tmp_path):
+    from tocsin.sources import results as rt
+
+    path = str(tmp_path / "units")
+    for site in ("A", "B"):
+        rt.append_units(spark.createDataFrame([(0, site, 1.0)], "partition int, site string, x double"), path, ["partition", "site"])
+    assert {r["site"] for r in spark.read.parquet(path).collect()} == {"A", "B"}

@@ -94,12 +94,13 @@ def write_and_read_table(spark, d):
     return back.groupBy(F.col("site").cast("string").alias("site"), "event").agg(F.count("*").alias("n"), F.sum("horizon").alias("hours"))
 
 
-@query("pending_replicates", "select partition, site from (select distinct partition, site from k_res) where not (partition < 2 and site='A')")
+@query("pending_replicates", "select partition, site from (select distinct partition, site from k_res) where not (partition < 2 and site='A') and not (partition < 1 and site='B')")
 def pending_replicates(spark, d):
     path = scratch_path(spark, "replicate-store")
     key = rt.config_key(ORDERS, 0.10)
     units = transfer_results(spark, d).select("partition", "site").distinct()
-    rt.append_units(units.where("partition < 2 and site = 'A'").withColumn("config_key", key), path, ["partition"])
+    for finished in ("partition < 2 and site = 'A'", "partition < 1 and site = 'B'"):
+        rt.append_units(units.where(finished).withColumn("config_key", key), path, ["partition", "site"])
     return rt.pending_units(units, spark.read.parquet(path), ["partition", "site"], key).select("partition", "site")
 
 

@@ -94,16 +94,19 @@ def audit_files(spark: SparkSession, roots: Mapping[str, str] | str, glob: str =
                 columns: Sequence[str] = FILE_COLUMNS, sep: str = "|") -> DataFrame:
     """Manifest of the files: size, time, sha256, header, schema_ok, empty, corrupt, error.
 
-    A file holds one episode, so its bytes fit in a task."""
+    A file holds one episode, so its bytes fit in a task. A file that is not valid UTF-8 is
+    corrupt and has a null header; it does not stop the audit of the others."""
     files = _files(spark, roots, glob, True)
-    first = F.split(F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", ""), "\r?\n")[0]
+    text = F.col("content").cast("string")
+    first = F.split(F.regexp_replace(F.when(F.is_valid_utf8(text), text), "^\ufeff", ""), "\r?\n")[0]
     empty = F.col("size_bytes") == 0
+    unreadable = F.col("header").isNull()
     return (files.select(
         _site(F.col("path"), roots).alias("site"), _episode(F.col("path")).alias("episode_id"), "path", "size_bytes", "modified",
         F.sha2(F.coalesce("content", F.lit("").cast("binary")), 256).alias("sha256"),
         F.when(~empty, first).otherwise("").alias("header"))
-        .withColumn("schema_ok", F.col("header") == F.lit(sep.join(columns))).withColumn("empty", empty).withColumn("corrupt", empty)
-        .withColumn("read_error", F.when(empty, "empty").when(~F.col("schema_ok"), "schema_mismatch").otherwise("")))
+        .withColumn("schema_ok", F.col("header").eqNullSafe(F.lit(sep.join(columns)))).withColumn("empty", empty).withColumn("corrupt", empty | unreadable)
+        .withColumn("read_error", F.when(empty, "empty").when(unreadable, "undecodable").when(~F.col("schema_ok"), "schema_mismatch").otherwise("")))
 
 
 def audit_counts(manifest: DataFrame, expected: Mapping[str, int] | None = None) -> DataFrame:

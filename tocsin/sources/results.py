@@ -40,7 +40,8 @@ def pending_units(units: DataFrame, done: DataFrame | None, keys: Sequence[str],
 
 
 def append_units(results: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Replace only the partitions of the finished units."""
+    """Replace only the partitions of the finished units. ``keys`` are all keys of a unit: a
+    partition that held several units would lose those of an earlier append."""
     (results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
 
 
