@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import broadcast_counted, drop_rows, materialize, row_count
+from tocsin.llm.common import BROADCAST_ROWS, broadcast_counted, drop_rows, materialize, row_count
 
 SHINGLE = 3
 PERCENT = 90
@@ -185,27 +185,28 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = None
     while row_count(edges):
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        near = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")), "parents")
+        near = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
         up = near.select(F.col("a").alias("p"), F.col("p").alias("pp"))
         near = materialize(near.join(up, "p").select("a", F.col("pp").alias("p")), "grandparents")
         if nodes is None:
             nodes = near.select(F.col("a").alias("node"), F.col("p").alias("comp"))
         else:
             moved = near.select(F.col("a").alias("comp"), "p")
-            nodes = materialize(nodes.join(moved, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")), "nodes")
+            nodes = nodes.join(moved, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp"))
         to_a, to_b = near.select("a", F.col("p").alias("pa")), near.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         edges = edges.join(to_a, "a").select("b", "pa").join(to_b, "b").where("pa <> pb")
         edges = materialize(edges.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct(), "edges")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")) if nodes is None else nodes
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")) if nodes is None else materialize(nodes, "nodes")
 
 
 def _near_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, band) whose sizes and sketches allow a link."""
     left = sketches.select(F.col("uid").alias("a"), "band", F.col("n").alias("na"), F.col("words").alias("wa"))
     right = sketches.select(F.col("uid").alias("b"), "band", F.col("n").alias("nb"), F.col("words").alias("wb"))
-    ends = materialize(pairs.select("b", "band").distinct(), "leaders")
+    ends = pairs.select("b", "band").distinct()  # no more rows than pairs
+    few = row_count(pairs) <= BROADCAST_ROWS
     left = left.join(broadcast_counted(pairs), ["a", "band"])
-    right = right.join(broadcast_counted(ends), ["b", "band"])
+    right = right.join(F.broadcast(ends) if few else ends, ["b", "band"])
     apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     near = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
@@ -214,14 +215,16 @@ def _near_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (a, b) that are links. A leader b with many partners goes to several tasks."""
-    parts = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts")), "parts")
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
     salted = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
     role = lambda member: F.struct(F.col("b").alias("lead"), F.col("part").cast("long").alias("part"), F.lit(member).alias("member"))
     members = salted.select(F.col("a").alias("uid"), role(True).alias("role"))
     leaders = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("b").alias("uid"), role(False).alias("role"))
     roles = members.union(leaders).groupBy("uid").agg(F.collect_list("role").alias("roles"))
     places = classes.select(F.col("rep").alias("uid"), F.col("top.doc_id").alias("at_id"), F.col("top.th").alias("at_th"))
-    roles = broadcast_counted(materialize(roles.join(places, "uid"), "roles"))
+    roles = roles.join(places, "uid")
+    if 2 * row_count(pairs) <= BROADCAST_ROWS:  # no more roles than two for each pair
+        roles = F.broadcast(roles)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     texts = texts.join(roles, F.col("doc_id").cast("long").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).select("uid", "roles", "text")
     sets = texts.mapInArrow(_with_sets(size), "uid long, roles array<struct<lead:long,part:long,member:boolean>>, shingles binary")
@@ -269,7 +272,9 @@ def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple
     reps = keyed.where(F.size("sketches") > 0).join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
     sketches = materialize(reps.select("uid", "n", F.explode("sketches").alias("s")).select("uid", "n", "s.band", "s.spare", "s.words"), "rep-sketches")
     light = F.size(F.filter("words", lambda w: F.bit_count(w) < LIGHT))
-    segments = sketches.select("uid", "band", (light <= F.col("spare")).alias("heavy_only"), F.posexplode("words").alias("at", "word"))
+    # the light segments are counted below the generator, once for each sketch
+    segments = sketches.select("uid", "band", (light <= F.col("spare")).alias("heavy_only"), "words")
+    segments = segments.select("uid", "band", "heavy_only", F.posexplode("words").alias("at", "word"))
     segments = segments.where(~F.col("heavy_only") | (F.bit_count("word") >= LIGHT))
     segments = segments.select(F.xxhash64("band", "at", "word").alias("key"), "uid", "band")
     shared = segments.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("uid").alias("lead")).where("m > 1").select("key", "lead")
