@@ -8,14 +8,14 @@ the trajectory column it applies to.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.binomial import hc_index
 from tocsin.functions.exprs import INF, achieved_bound, bin_index, finite, marginal_index
-from tocsin.functions.tables import each, each_row, values
+from tocsin.functions.tables import each, each_row
 from tocsin.operators.ranking import (
     group_sizes, pick_ranks, prefix_sums, quantile_linear, value_counts, weighted_quantile,
 )
@@ -285,37 +285,18 @@ def conditional_exceedance(reference: DataFrame, thresholds: DataFrame, value: s
     return thresholds.join(sums.select("_v", above.alias(out)), F.col("threshold") == F.col("_v")).drop("_v")
 
 
-def describe_methods(spark, methods: Mapping[str, tuple[str, str]] | None = None, shifted: bool = False) -> DataFrame:
-    """Descriptive columns of each method: family, strategy, scale, origins, alias flag."""
-    # Family and threshold scale per method name.
-    families = methods or {
-        "fixed_half": ("fixed_probability", "risk_probability"),
-        "youden": ("youden", "risk_probability"),
-        "pointwise": ("pointwise_alpha", "transformed_logit"),
-        "binwise_bonferroni": ("binwise_bonferroni", "vector_transformed_logit"),
-        "naive_max": ("naive_maximum", "transformed_logit"),
-        "fixed_max": ("fixed_max", "transformed_logit"),
-        "time_adaptive": ("time_adaptive", "standardized_time_template"),
-        "high_confidence": ("high_confidence", "transformed_logit"),
-        "direct_transfer": ("fixed_max", "transformed_logit"),
-        "local_fixed_max": ("fixed_max", "transformed_logit"),
-        "local_time_adaptive": ("time_adaptive", "standardized_time_template"),
-        "local_high_confidence": ("high_confidence", "transformed_logit"),
-        "reference_quantile": ("reference_quantile", "transformed_logit"),
-    }
-    base = values(spark, ["method", "family", "threshold_scale"], [(m, f, s) for m, (f, s) in families.items()])
-    method, local = F.col("method"), F.col("method").startswith("local_")
-    adaptive = F.col("family") == "time_adaptive"
-    return base.select(
-        "method", "family", "threshold_scale",
-        F.when(local, "local_target_recalibration")
-        .otherwise("direct_source_transfer" if shifted else "within_site_calibration").alias("deployment_strategy"),
-        F.when(method == "fixed_half", "prespecified_constant")
-        .when(method == "youden", "source_validation" if shifted else "validation")
-        .when(method == "reference_quantile", "independent_reference")
-        .when(local, "target_calibration_non_events")
-        .otherwise("source_calibration_non_events" if shifted else "calibration_non_events").alias("threshold_origin"),
-        F.when(adaptive, "source_validation_non_events" if shifted else "validation_non_events")
-        .otherwise("none").alias("template_origin"),
-        F.lit(False).alias("is_alias"), F.lit("").alias("alias_of"),
-    )
+def describe_methods(thresholds: DataFrame) -> DataFrame:
+    """One row per method and scale: what its threshold rows tell about how they were made.
+
+    ``per_hour``: a row holds one value per hour. ``source``: ``rank`` of the calibration
+    maxima (the row has a k), ``quantile`` of calibration scores, or ``outside`` the
+    calibration part (thresholds on raw risk). ``standardized``: the series needs a time
+    template, which is fitted on validation non-events. ``recalibrated``: the rows name the
+    number of target episodes (``target_m0``) that they were fitted on.
+    """
+    target = F.col("target_m0") if "target_m0" in thresholds.columns else F.lit(None)
+    per = thresholds.groupBy("method", "scale").agg(
+        (F.max(F.size("threshold")) > 1).alias("per_hour"), F.count("k").alias("_ranked"),
+        (F.count(target) > 0).alias("recalibrated"))
+    source = F.when(F.col("_ranked") > 0, "rank").when(F.col("scale") == "risk", "outside").otherwise("quantile")
+    return per.select("method", "scale", "per_hour", source.alias("source"), (F.col("scale") == "z").alias("standardized"), "recalibrated")

@@ -305,13 +305,11 @@ def nonfinite_threshold_diagnostics(spark, d):
     return rows.select("site", "method", "alpha", F.size("threshold").alias("n_thresholds"), origin.alias("origin"))
 
 
-@query("method_descriptions", """select distinct method, case method when 'fixed_half' then 'fixed_probability' when 'pointwise' then 'pointwise_alpha' when 'naive_max' then 'naive_maximum' else method end as family,
-  case when method in ('fixed_half','youden') then 'risk_probability' when method='binwise_bonferroni' then 'vector_transformed_logit' when method='time_adaptive' then 'standardized_time_template' else 'transformed_logit' end as threshold_scale,
-  case method when 'fixed_half' then 'prespecified_constant' when 'youden' then 'validation' else 'calibration_non_events' end as threshold_origin,
-  case when method='time_adaptive' then 'validation_non_events' else 'none' end as template_origin from o_thr""")
+@query("method_descriptions", """select method, scale, max(len(threshold)) > 1 as per_hour,
+  case when count(k) > 0 then 'rank' when scale = 'risk' then 'outside' else 'quantile' end as source,
+  scale = 'z' as standardized, false as recalibrated from o_thr group by method, scale""")
 def method_descriptions(spark, d):
-    used = fx.order_thresholds(spark, d).select("method").distinct()
-    return used.join(F.broadcast(ca.describe_methods(spark)), "method").select("method", "family", "threshold_scale", "threshold_origin", "template_origin")
+    return ca.describe_methods(fx.order_thresholds(spark, d))
 
 
 # -- alerts ---------------------------------------------------------------------------
