@@ -1,15 +1,18 @@
 """Near duplicates by a parity-sketch join on word shingles, exact at the given threshold.
 
-A document is the set of its distinct 64-bit shingle hashes. Its parity sketch has one
-64-bit word per segment; a shingle flips one bit of one segment. A bit differs only if an odd
-number of differing shingles hit it, so the Hamming distance of two sketches is at most the
-symmetric difference of the sets. Sets of at most U shingles with Jaccard >= T differ in at
-most d = 2U(1-T)/(1+T) shingles; a sketch of d+1 segments then has at least one equal
-segment (pigeonhole). Sizes are cut into bands [U/1.5, U] (short sets: pairs of sizes); a set
-also writes the segments of the next band if a partner can be there. Segments with few bits
-are equal by chance: sketches of long sets have spare segments, so that more than ``spare``
-are equal, and a sketch with at most so many light segments leaves those out without losing a
-link. Equal segments meet in an equi-join, and candidates are verified.
+A document is the set of its distinct 64-bit shingle hashes, dealt over segments. Each shingle
+is XORed into its segment twice: whole, which gives the 64-bit key of the segment, and as one
+flipped bit of a parity sketch. A bit differs only if an odd number of differing shingles hit
+it, so the Hamming distance of two sketches is at most the symmetric difference of the sets.
+Sets of at most U shingles with Jaccard >= T differ in at most d = 2U(1-T)/(1+T) shingles;
+of d+1 segments at least one is then untouched and has equal keys (pigeonhole). Sizes are cut
+into bands [U/1.5, U] (short sets: pairs of sizes); a set also writes the segments of the next
+band if a partner can be there. Segments of few shingles are the ones that unrelated texts
+share, empty ones above all: sketches of long sets have spare segments, so that more than
+``spare`` are equal, and each set leaves out the segments below such a number of shingles
+that no more than ``spare`` are left out. Of two linked sets the one with the higher number
+leaves out at most ``spare`` equal segments, so both keep an equal one. Equal keys meet in an
+equi-join, and candidates are verified.
 
 Documents with the same set are one class and only its first row takes part. A bucket never
 expands into all pairs: its members meet one leader, links are contracted to components, and
@@ -31,7 +34,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,44 +43,61 @@ SHINGLE = 3
 PERCENT = 90
 #: Sets up to this size have a band for each pair of sizes.
 PAIRED = 33
-#: A segment with fewer bits is light: it is stored only if a sketch has more of them than spare segments.
-LIGHT = 3
+#: Segments whose parity bits share one 64-bit word.
+FOLD = 4
 #: Rounds of star links at most; fewer if the pairs left are no more than so many per document.
 ROUNDS = 6
-FINAL_PAIRS = 8
+FINAL_PAIRS = 32
 #: Partners of one leader that are compared in one group.
 PARTNERS = 200
-#: Words whose hashes a worker remembers.
-CACHE = 400_000
 
 _K = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASH = _WordHash()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
     return x ^ (x >> np.uint64(33))
 
 
+#: Numbers of the bytes, the same for A and a; and the bytes between words.
+_BYTES = _mix(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + _K[2])
+_GAPS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+class _Powers:
+    """Powers of a base modulo 2**64 and of its inverse, as many as the longest text needs."""
+
+    def __init__(self):
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if n > len(self.up):
+            base = int(_K[0])
+            self.up, self.down = (np.cumprod(np.full(2 * n, b, np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
+
+
+_POWERS = _Powers()
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the lower-cased words, by a polynomial over the bytes of each word."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _GAPS[raw], [True]])))
+    starts, ends = edges[::2], edges[1::2]
+    _POWERS.reach(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * _POWERS.up[:len(raw)], out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * _POWERS.down[starts])
+
+
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes. Bytes split and lower-case at ASCII characters only."""
-    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not ws:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASH.__getitem__, ws), np.uint64, len(ws))
-    k = min(size, len(ws))
-    out = np.full(len(ws) - k + 1, k, np.uint64)
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    k = min(size, len(h))
+    out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         out = (out ^ (out >> np.uint64(29))) * _K[0] + h[i:len(h) - k + 1 + i] * _K[1]
     out = np.sort(_mix(out))
@@ -104,18 +123,28 @@ def bands(n: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
     for number, top in ((band, upper), (band + 1, upper * 3 // 2)):
         if number and (number == band or n * 100 // percent > upper):
             differ = 2 * top * bad // all_
-            spare = differ // 8 + 2 if differ >= 16 else 0
+            spare = differ // 8 + 2
             out.append((number, differ + 1 + spare, spare))
     return out
 
 
 def sketch(shingles: np.ndarray, segments: int) -> np.ndarray:
-    """Parity sketch: one 64-bit word per segment."""
-    words = np.zeros(segments, np.uint64)
-    np.bitwise_xor.at(words, ((shingles >> np.uint64(6)) % np.uint64(segments)).astype(np.int64), np.uint64(1) << (shingles & np.uint64(63)))
+    """Parity sketch: one 64-bit word for ``FOLD`` segments."""
+    words = np.zeros(-(-segments // FOLD), np.uint64)
+    at = (shingles >> np.uint64(6)) % np.uint64(segments) // np.uint64(FOLD)
+    np.bitwise_xor.at(words, at.astype(np.int64), np.uint64(1) << (shingles & np.uint64(63)))
     return words
 
 
+def segment_keys(shingles: np.ndarray, band: int, segments: int, spare: int) -> np.ndarray:
+    """Keys of the segments that are kept: the XOR of their shingles, mixed with band and place."""
+    at = ((shingles >> np.uint64(6)) % np.uint64(segments)).astype(np.int64)
+    xor, held = np.zeros(segments, np.uint64), np.bincount(at, minlength=segments)
+    np.bitwise_xor.at(xor, at, shingles)
+    kept = np.flatnonzero(held >= np.partition(held, spare)[spare])
+    return _mix(xor[kept] ^ _mix(kept.astype(np.uint64) * _K[1] + np.uint64(band)))
+
+
 def _slices(batches, rows: int = 500):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -123,26 +152,32 @@ def _slices(batches, rows: int = 500):
 
 
 def _sketched(percent: int, size: int):
-    """mapInArrow function: adds n, the digest of the set and its sketches (band, words)."""
+    """mapInArrow function: adds n, the digest of the set, its sketches (band, words) and keys (band, key)."""
     def run(batches):
         for b in _slices(batches):
-            ns, digests, numbers, spares, words, ends, inner = [], [], [], [], [np.empty(0, np.uint64)], [0], [0]
+            ns, digests, numbers, words, ends, inner = [], [], [], [np.empty(0, np.uint64)], [0], [0]
+            keys, key_ends, key_bands = [np.empty(0, np.uint64)], [0], [np.empty(0, np.int32)]
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, size)
                 ns.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
+                total = key_ends[-1]
                 for band, segments, spare in bands(len(s), percent):
                     numbers.append(band)
-                    spares.append(spare)
                     words.append(sketch(s, segments))
-                    inner.append(inner[-1] + segments)
+                    inner.append(inner[-1] + len(words[-1]))
+                    keys.append(segment_keys(s, band, segments, spare))
+                    key_bands.append(np.full(len(keys[-1]), band, np.int32))
+                    total += len(keys[-1])
                 ends.append(len(numbers))
+                key_ends.append(total)
             lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(np.concatenate(words).view(np.int64)))
-            pairs = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(spares, pa.int32()), lists], ["band", "spare", "words"])
+            pairs = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), lists], ["band", "words"])
+            at = pa.StructArray.from_arrays([pa.array(np.concatenate(key_bands)), pa.array(np.concatenate(keys).view(np.int64))], ["band", "key"])
             yield pa.RecordBatch.from_arrays(
                 [b.column("uid"), b.column("doc_id"), b.column("th"), pa.array(ns, pa.int64()), pa.array(digests, pa.string()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
-                names=["uid", "doc_id", "th", "n", "sid", "sketches"])
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), pa.ListArray.from_arrays(pa.array(key_ends, pa.int32()), at)],
+                names=["uid", "doc_id", "th", "n", "sid", "sketches", "keys"])
     return run
 
 
@@ -266,19 +301,16 @@ def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("uid", "doc_id", F.xxhash64("text").alias("th"), "text")
-    keyed = materialize(rows.mapInArrow(_sketched(percent, size), "uid long, doc_id long, th long, n long, sid string, sketches array<struct<band:int,spare:int,words:array<long>>>"), "sketches")
+    keyed = materialize(rows.mapInArrow(_sketched(percent, size), "uid long, doc_id long, th long, n long, sid string, sketches array<struct<band:int,words:array<long>>>, keys array<struct<band:int,key:long>>"), "sketches")
     top = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid", "th")).alias("top")
     classes = materialize(keyed.where("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("size"), top).withColumn("rep", F.col("top.uid")), "classes")
-    reps = keyed.where(F.size("sketches") > 0).join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    sketches = materialize(reps.select("uid", "n", F.explode("sketches").alias("s")).select("uid", "n", "s.band", "s.spare", "s.words"), "rep-sketches")
-    light = F.size(F.filter("words", lambda w: F.bit_count(w) < LIGHT))
-    # the light segments are counted below the generator, once for each sketch
-    segments = sketches.select("uid", "band", (light <= F.col("spare")).alias("heavy_only"), "words")
-    segments = segments.select("uid", "band", "heavy_only", F.posexplode("words").alias("at", "word"))
-    segments = segments.where(~F.col("heavy_only") | (F.bit_count("word") >= LIGHT))
-    segments = segments.select(F.xxhash64("band", "at", "word").alias("key"), "uid", "band")
+    reps = classes.select(F.col("rep").alias("uid"))
+    sketches = keyed.select("uid", "n", F.explode("sketches").alias("s")).select("uid", "n", "s.band", "s.words")
+    n_classes = row_count(classes)
+    copies = materialize(keyed.where("n > 0").join(reps, "uid", "left_anti").select("uid"), "copies")
+    segments = keyed.select("uid", "keys").join(broadcast_counted(copies), "uid", "left_anti").select("uid", F.explode("keys").alias("k")).select("uid", "k.band", "k.key")
     shared = segments.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("uid").alias("lead")).where("m > 1").select("key", "lead")
-    buckets = materialize(segments.join(materialize(shared, "shared"), "key"), "buckets")
+    buckets = materialize(segments.join(broadcast_counted(materialize(shared, "shared")), "key"), "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame | None:
         if not row_count(pairs):
@@ -300,7 +332,7 @@ def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple
             comps = components(found)
             row_count(comps)
         opened = _open_buckets(buckets, comps)
-        if _cross_pairs(opened) <= FINAL_PAIRS * row_count(sketches):
+        if _cross_pairs(opened) <= FINAL_PAIRS * n_classes:
             break
     x, y = opened.alias("x"), opened.alias("y")
     rest = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.uid") < F.col("y.uid")) & (F.col("x.comp") != F.col("y.comp")))
