@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -152,6 +153,31 @@ def test_parity_sketch_bounds_the_difference():
         assert sum(int(v).bit_count() for v in x ^ y) <= len(np.setxor1d(a, b))
 
 
+def test_linked_sets_keep_an_equal_segment_key():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (12, 25, 33, 34, 49, 50, 75, 120, 400):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            gone, added = n // 20, n // 10 - n // 20
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, added).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 90 * (len(a) + len(b) - both) and len(np.setxor1d(a, b)):
+                x, y = (np.concatenate([jaccard_join.segment_keys(s, *band) for band in jaccard_join.bands(len(s))]) for s in (a, b))
+                assert len(np.intersect1d(x, y))
+
+
+def test_word_hashes_split_and_lower_like_bytes():
+    rng = random.Random(3)
+    seen = {}
+    for text in [None, "", " ", "aa a aaa", "\x0bA b\u00a0c\u2003D"] + ["".join(rng.choice("abAB \n\té中") for _ in range(rng.randrange(40))) for _ in range(2000)]:
+        ws, hashes = (text or "").encode().lower().split(), jaccard_join.word_hashes(text).tolist()
+        assert len(ws) == len(hashes)
+        assert all(seen.setdefault(w, h) == h for w, h in zip(ws, hashes, strict=True))
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_licenses(docs, empty):
     out = {(r["doc_id"], r["n_words"]): r for r in licenses.report(docs).collect()}
     r = out[13, 8]
