@@ -1,9 +1,9 @@
 """Training-data operators on small tables against brute force; nulls, empties, ties, clashing names."""
 
 import hashlib
+import random
 import re
 import zlib
-import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -178,6 +178,14 @@ def test_word_hashes_split_and_lower_like_bytes():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_ascii_pattern_cuts_like_the_general_one():
+    rng = random.Random(5)
+    every = "".join(map(chr, range(128)))
+    for _ in range(3000):
+        text = "".join(rng.choice(rng.choice((every, "a1' \n\t.", "'strevmld "))) for _ in range(rng.randrange(40)))
+        assert token_counts.ASCII_PATTERN.findall(text) == token_counts.PATTERN.findall(text)
+
+
 def test_licenses(docs, empty):
     out = {(r["doc_id"], r["n_words"]): r for r in licenses.report(docs).collect()}
     r = out[13, 8]

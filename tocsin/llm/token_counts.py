@@ -14,6 +14,9 @@ columns are ignored by ``report``. Empty tables give no rows.
 
 from __future__ import annotations
 
+import re
+from itertools import filterfalse
+
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -26,6 +29,9 @@ CACHE = 600_000
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+#: The same pattern for texts that are all ASCII, with its classes written out.
+ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+
 
 class TokenCounter:
     """Counts tokens; loads the tokenizer and proves its vocabulary on first use in a process."""
@@ -68,8 +74,8 @@ class TokenCounter:
                 n = len(parts) - 1
             rest = []
             for part in parts:
-                found = PATTERN.findall(part)
-                far = [p for p in found if p not in whole]
+                found = (ASCII_PATTERN if part.isascii() else PATTERN).findall(part)
+                far = list(filterfalse(whole.__contains__, found))
                 n += len(found) - len(far)
                 rest += far
             totals.append(n)
