@@ -340,3 +340,16 @@ def test_lm_score(docs, empty):
     assert sorted(r["score"] for r in got.collect()) == pytest.approx(sorted(want), abs=1e-3)
     assert got.where("n_words = 0 and (score <> 0 or mean_score is not null)").count() == 0
     assert lm_score.report(empty).count() == 0
+
+
+def test_clean_rows_with_the_id_of_a_dropped_row_stay(spark):
+    near = " ".join(f"alpha{i} beta{i % 7}" for i in range(60))
+    rows = [(None, "no id here"), (None, None), (None, "clean text"), (7, "no id again"), (7, "other clean text"),
+            (1, near), (8, near.replace("alpha30", "omega")), (8, "far from it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "no id")], "item_id long, text string")
+    clean = decontaminate.keep_clean(docs, bench)
+    assert clean.columns == docs.columns
+    assert Counter(tuple(r) for r in clean.collect()) == Counter(r for r in rows if not (r[1] or "").startswith("no id"))
+    kept = Counter(tuple(r) for r in jaccard_join.keep_one_each(docs).collect())
+    assert kept == Counter(r for r in rows if r != rows[6])

@@ -48,15 +48,22 @@ def broadcast_counted(stored: DataFrame, max_rows: int = BROADCAST_ROWS) -> Data
     return F.broadcast(stored) if row_count(stored) <= max_rows else stored
 
 
+def text_hash(text: Column) -> Column:
+    """64-bit hash of a text; null counts as the empty string."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def drop_rows(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """``docs`` without the rows whose doc_id stands in ``gone`` (one column, doc_id).
+    """``docs`` without the rows whose doc_id and text hash stand in ``gone`` (doc_id, th).
 
-    The ids are written once; few of them are broadcast, so that texts do not move, many
-    of them meet the documents in a shuffled anti join. Null ids match null ids.
+    Rows with the same id and another text stay. The keys are written once; few of them are
+    broadcast, so that texts do not move, many of them meet the documents in a shuffled anti
+    join. Null ids match null ids.
     """
-    key = fresh(docs, "gone_id")
-    gone = materialize(gone.select(F.col("doc_id").alias(key)).distinct(), name)
-    return docs.join(broadcast_counted(gone), docs["doc_id"].eqNullSafe(gone[key]), "left_anti")
+    key, th = fresh(docs, "gone_id"), fresh(docs, "gone_th")
+    gone = materialize(gone.select(F.col("doc_id").alias(key), F.col("th").alias(th)).distinct(), name)
+    same = docs["doc_id"].eqNullSafe(gone[key]) & (text_hash(docs["text"]) == gone[th])
+    return docs.join(broadcast_counted(gone), same, "left_anti")
 
 
-__all__ = ["BROADCAST_ROWS", "WORD", "broadcast_counted", "drop_rows", "fresh", "lower_ascii", "materialize", "row_count", "table", "words"]
+__all__ = ["BROADCAST_ROWS", "WORD", "broadcast_counted", "drop_rows", "fresh", "lower_ascii", "materialize", "row_count", "table", "text_hash", "words"]

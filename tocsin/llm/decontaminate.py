@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import broadcast_counted, drop_rows, materialize, words
+from tocsin.llm.common import broadcast_counted, drop_rows, materialize, text_hash, words
 
 WINDOW = 13
 #: Terms of the benchmark that may be broadcast; beyond it they are joined by a shuffle.
@@ -129,4 +129,5 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, all columns as they are."""
-    return drop_rows(docs, report(docs, benchmark, window).where("contaminated").select("doc_id"), "contaminated")
+    rows = docs.select(F.struct("doc_id", text_hash(docs["text"]).alias("th")).alias("doc_id"), "text")
+    return drop_rows(docs, report(rows, benchmark, window).where("contaminated").select("doc_id.*"), "contaminated")
