@@ -4,9 +4,11 @@ Candidates are runs of letters, digits and key punctuation. Of each candidate th
 character class that holds it (digits, hex, letters with digits, base 64) sets the entropy
 that a window of ``WINDOW`` characters must reach. The Shannon entropy of the windows is kept
 by incremental counts: a step takes one character out and one in, and changes two terms of
-sum c*log2(c). Overlapping windows above the limit join to one span, which the candidate's
-allow-list can suppress: words of letters only, runs without both letters and digits, paths,
-host names, dates, UUIDs and placeholder words.
+sum c*log2(c). Windows above the limit that touch no span of another kind join to one span
+where they overlap. An allow-list suppresses candidates and spans that are words of letters
+only, runs without both letters and digits, paths, host names, dates and UUIDs as a whole. A
+placeholder word within a span takes the ``WINDOW`` characters on either side of it out; the
+windows beyond stay.
 
 Spans are (kind, start, end) in code points, end exclusive. Kinds: assign, access, hex, and
 entropy for windows outside every span of the other kinds.
@@ -20,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from itertools import accumulate
 
 import pandas as pd
@@ -48,8 +50,8 @@ ALLOW = (
     re.compile(r"[A-Za-z]+(?:[._/-][A-Za-z]+)*[.=_/-]*"),  # words, paths and host names
     re.compile(r"[0-9._/=+-]+"),  # numbers, dates, versions, telephone numbers
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r".*(?:example|placeholder|changeme|your[_-]?(?:key|token|secret)|xxxx|0{8}|1234567|abcdefg).*", re.IGNORECASE),
 )
+PLACEHOLDER = re.compile(r"example|placeholder|changeme|your[_-]?(?:key|token|secret)|xxxx|0{8}|1234567|abcdefg", re.IGNORECASE)
 _TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -75,36 +77,54 @@ def window_entropies(text: str, window: int = WINDOW):
         counts[old] = n - 1
 
 
+def joined_windows(found: list[int]) -> list[tuple[int, int]]:
+    """Spans of the windows at the given ascending starts, overlapping or adjacent ones as one."""
+    runs: list[tuple[int, int]] = []
+    for i in found:
+        if runs and i <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], i + WINDOW)
+        else:
+            runs.append((i, i + WINDOW))
+    return runs
+
+
+def without_placeholders(text: str, found: list[int]) -> list[tuple[int, int]]:
+    """Spans of the windows that a placeholder word of their span does not take out."""
+    out = []
+    for a, b in joined_windows(found):
+        words = [(m.start() - WINDOW, m.end() + WINDOW) for m in PLACEHOLDER.finditer(text, a, b)]
+        if words:
+            out += joined_windows([i for i in found if a <= i <= b - WINDOW and all(i + WINDOW <= x or y <= i for x, y in words)])
+        else:
+            out.append((a, b))
+    return out
+
+
 def entropy_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of high entropy in candidates that no span of ``taken`` touches."""
+    """Spans of the windows of high entropy that no span of ``taken`` touches."""
     out = []
     taken = sorted(taken)
-    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    ends = list(accumulate((b for _, b in taken), max))
+
+    def free(at: int, b: int):
+        """Parts of text[at:b] outside of ``taken``."""
+        for k in range(bisect_right(ends, at), len(taken)):
+            if taken[k][0] >= b:
+                break
+            if taken[k][0] > at:
+                yield at, taken[k][0]
+            at = max(at, taken[k][1])
+        if at < b:
+            yield at, b
+
     for m in CANDIDATE.finditer(text):
         word = m[0]
         if any(p.fullmatch(word) for p in ALLOW):
             continue
         _, limit = class_of(word)
-        start = end = None
-        runs = []
-        for i, h in enumerate(window_entropies(word)):
-            if h < limit:
-                continue
-            if end is not None and i <= end:
-                end = i + WINDOW
-            else:
-                if end is not None:
-                    runs.append((start, end))
-                start, end = i, i + WINDOW
-        if end is not None:
-            runs.append((start, end))
-        for a, b in runs:
-            a, b = a + m.start(), b + m.start()
-            part = text[a:b]
-            before = bisect_left(starts, b)  # spans that start before the end of this one
-            if before and ends[before - 1] > a or any(p.fullmatch(part) for p in ALLOW):
-                continue
-            out.append(("entropy", a, b))
+        for at, stop in free(m.start(), m.end()):
+            found = [at + i for i, h in enumerate(window_entropies(text[at:stop])) if h >= limit]
+            out += [("entropy", a, b) for a, b in without_placeholders(text, found) if not any(p.fullmatch(text, a, b) for p in ALLOW)]
     return out
 
 
