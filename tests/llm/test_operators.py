@@ -382,3 +382,18 @@ def test_entropy_windows_beside_base_spans_and_placeholders():
                 a, b = m.start() + i, m.start() + i + secrets.WINDOW
                 if h >= limit and all(b <= x or y <= a for x, y in base):
                     assert any(x <= a and b <= y for x, y in found)
+
+
+def test_html_names_of_wrappers_do_not_cut_the_page(spark):
+    text = "One long sentence, with words. Another one follows, and ends here."
+    page = "<html><body class='{}'><div id='{}'><main class='{}'><article class='{}'><p>" + text + "</p><div class='ad'>Buy</div></article></main></div></body></html>"
+    names = [("has-sidebar", "a", "b", "c"), ("a", "form-page", "b", "c"), ("a", "b", "with-menu", "c"), ("a", "b", "c", "legal"), ("a", "b", "c", "d")]
+    rows = [(i, "u", page.format(*n)) for i, n in enumerate(names)]
+    rows += [(10, "u", f"<body><article><p>{text}</p></article><div class='comments'><article><p>{text}</p></article></div></body>"),
+             (11, "u", f"<article><p>{text}</p><p>where <math><mi>x</mi><annotation>tex</annotation></math> is</p></article>")]
+    out = {r["page_id"]: r["text"] for r in html_text.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(len(names))] == [text] * len(names)
+    assert out[10] == text and out[11] == text + " where x is"
+    for wrapper, apart in (("<div id='form-page'>", False), ("<div id='form-page' hidden>", True), ("<nav>", True)):
+        tree = html_text.Tree(f"<body>{wrapper}<p>{text}</p><div class='ad'>Buy</div></div></nav></body>")
+        assert tree.evidence()[2] == apart and tree.evidence()[tree.tags.index("div", 3)]

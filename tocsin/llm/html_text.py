@@ -10,7 +10,9 @@ The potentials are trained from labelled pages: pages with an ``article`` or ``m
 label their own elements. At most ``FIT_PAGES`` pages are counted, drawn by a hash of the page
 id; counts are summed by Spark. Markup that names its purpose (``nav``, ``aside``, ``footer``,
 ``form``, a class such as "ad" or "comments") and elements that are never shown enter as
-evidence that messages cannot outvote.
+evidence that messages cannot outvote. Words in class, id or role say nothing of ``html``,
+``body``, ``main``, outermost ``article`` elements and what wraps all of these, nor, outside
+of articles, of elements that hold half of the shown text or more and leave no article out.
 
 Defined results: null and empty pages give an empty text. Unclosed and stray tags are
 tolerated: a comment, script or style that is never closed reaches to the end. Repeated pages
@@ -40,8 +42,8 @@ MAX_FEATURE, MIN_PAIR = 3.0, 0.05
 
 # HTML element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math".split())
-HIDDEN = frozenset("head script style textarea title noscript iframe template svg math object select option button input datalist".split())
+RAW = frozenset("script style textarea title noscript iframe template svg".split())
+HIDDEN = frozenset("head script style textarea title noscript iframe template svg annotation annotation-xml select option button input datalist".split())
 APART = frozenset("nav aside footer form header menu dialog".split())
 BLOCK = frozenset("""address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
@@ -66,7 +68,7 @@ class Tree:
     """Elements in page order: tag, parent, evidence; and the pieces of text (element, text)."""
 
     def __init__(self, page: str):
-        self.tags, self.parents, self.cues, self.pieces = ["#root"], [-1], [False], []
+        self.tags, self.parents, self.hidden, self.cues, self.pieces = ["#root"], [-1], [False], [False], []
         stack, at = [0], 0
         while True:
             m = _TOKEN.search(page, at)
@@ -99,7 +101,9 @@ class Tree:
             return at
         self.tags.append(tag)
         self.parents.append(stack[-1])
-        self.cues.append(bool(attributes) and _named_apart(attributes))
+        hidden, cue = _named_apart(attributes) if attributes else (False, False)
+        self.hidden.append(hidden)
+        self.cues.append(cue)
         me = len(self.tags) - 1
         if attributes.endswith("/"):
             return at
@@ -120,7 +124,38 @@ class Tree:
 
     def evidence(self) -> list[bool]:
         """Elements that cannot be content: hidden, or set apart by tag or class."""
-        return [t in HIDDEN or c or (t in APART) for t, c in zip(self.tags, self.cues, strict=True)]
+        apart = [t in HIDDEN or h or t in APART for t, h in zip(self.tags, self.hidden, strict=True)]
+        if True not in self.cues:
+            return apart
+        open_ = self._not_named_apart(apart)
+        return [a or (c and not o) for a, c, o in zip(apart, self.cues, open_, strict=True)]
+
+    def _not_named_apart(self, apart: list[bool]) -> list[bool]:
+        """Elements of which words in class, id or role say nothing."""
+        n = len(self.tags)
+        shown, in_main, in_article = [True] * n, [False] * n, [False] * n
+        roots, articles, chars = [0] * n, [0] * n, [0] * n
+        for i in range(1, n):
+            p = self.parents[i]
+            shown[i] = shown[p] and not apart[i]
+            in_main[i] = in_main[p] or self.tags[p] == "main"
+            in_article[i] = in_article[p] or self.tags[p] == "article"
+            articles[i] = int(shown[i] and self.tags[i] == "article" and not in_article[i])
+            roots[i] = int(shown[i] and not in_main[i] and not in_article[i] and self.tags[i] in ("main", "article"))
+        out = [t in ("html", "body", "main") or a == 1 for t, a in zip(self.tags, articles, strict=True)]
+        for i, text in self.pieces:
+            if text and shown[i]:
+                chars[i] += len(text) - text.count(" ") - text.count("\n")
+        for i in range(n - 1, 0, -1):
+            p = self.parents[i]
+            roots[p] += roots[i]
+            articles[p] += articles[i]
+            chars[p] += chars[i]
+        for i in range(n):
+            whole = roots[i] == roots[0] > 0 and not in_main[i]
+            most = 2 * chars[i] >= chars[0] > 0 and articles[i] == articles[0] and (in_main[i] or roots[i] == roots[0])
+            out[i] = out[i] or (not in_article[i] and (whole or most))
+        return out
 
     def features(self) -> list[tuple[str, ...]]:
         """Features of every element: tag, words, share of link text, punctuation."""
@@ -147,14 +182,15 @@ class Tree:
         return out
 
 
-def _named_apart(attributes: str) -> bool:
+def _named_apart(attributes: str) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether class, id or role hold one of CUES."""
+    hidden = cue = False
     for m in _ATTR.finditer(attributes):
         if m[1].lower() == "hidden":
-            return True
-        value = m[2] or m[3] or m[4] or ""
-        if not CUES.isdisjoint(_WORDS.findall(value.lower())):
-            return True
-    return False
+            hidden = True
+        elif not CUES.isdisjoint(_WORDS.findall((m[2] or m[3] or m[4] or "").lower())):
+            cue = True
+    return hidden, cue
 
 
 def labels_of(tree: Tree) -> list[int] | None:
