@@ -397,3 +397,23 @@ def test_html_names_of_wrappers_do_not_cut_the_page(spark):
     for wrapper, apart in (("<div id='form-page'>", False), ("<div id='form-page' hidden>", True), ("<nav>", True)):
         tree = html_text.Tree(f"<body>{wrapper}<p>{text}</p><div class='ad'>Buy</div></div></nav></body>")
         assert tree.evidence()[2] == apart and tree.evidence()[tree.tags.index("div", 3)]
+
+
+def test_toxicity_short_terms(spark):
+    lexicon = toxicity.Lexicon({"scum": 2.0, "zog": 1.0}, {})
+    for form in ("scvm", "scumm", "scums", "5cum", "sc7m", "sc*m", "sccum"):
+        assert lexicon.look(form) == ("scum", 2.0, True)
+    assert lexicon.look("scum") == ("scum", 2.0, False)
+    assert lexicon.look("z0g") == lexicon.look("zogs") == ("zog", 1.0, True)
+    assert all(lexicon.look(w) is None for w in ("scam", "slum", "scu", "z1g", "dog", "2og2"))
+    rows = [(i, (f"what a zog this is term{i % 600:03d}x" if i % 2 else "the calm river runs by") + f" n{i % 17}") for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = toxicity.fit(table, spark.createDataFrame([(i, i % 2) for i in range(6000)], "doc_id long, toxic int")).lexicon
+    assert "zog" in learned.stems and learned.look("zogs")[0] == "zog"
+
+
+def test_toxicity_keeps_every_learned_term(spark):
+    names = [f"{a}{b}{c}qx" for a in "bcdfghjkl" for b in "aeiou" for c in "bcdfghjklmnprst"]
+    rows = [(" ".join(names) if i % 2 else "calm river", i % 2) for i in range(100)]
+    lexicon = toxicity._lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert len(names) > 500 and set(names) <= lexicon.stems.keys() and set(names) <= lexicon.words.keys()

@@ -4,7 +4,9 @@ The lexicon is learned from labelled rows: word stems (first ``STEM`` letters) t
 many more toxic than other documents, and whole words that carry such a stem. The whole
 words form a trie. The Levenshtein automaton of a term is walked along the trie branches to
 catch misspelt forms (one edit in words of five letters or more; in those of five only a
-replaced letter). Every hit is weighed in a window of its neighbours: quotation marks
+replaced letter). Learned terms of three or four letters are caught with a doubled letter, in
+the plural, and with a letter replaced by a sign, a digit (in those of three only one that
+looks like it) or a letter that looks like it. Every hit is weighed in a window of its neighbours: quotation marks
 around it or a verb of speech beside it make it a quotation, an address (second person)
 makes it abuse. A logistic model over a few sums of the hits gives the score.
 
@@ -34,14 +36,16 @@ from tocsin.llm.common import fresh, materialize
 
 STEM = 5
 FIT_ROWS = 40_000
-MAX_STEMS = 500
-MAX_WORDS = 2000
 THRESHOLD = 0.3
 #: Neighbours on either side that decide between quotation and abuse.
 CONTEXT = 6
 CACHE = 600_000
 
 TOKEN = re.compile(r"[^\W_]+(?:[@$!*|][^\W_]+)*")
+# Digits and signs by the letters they stand for, letters that look alike.
+LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "gq"}
+SIGNS, DIGITS = "@$!*|", "0123456789"
+ALIKE = {"u": "v", "v": "u", "i": "l", "l": "i"}
 QUOTES = "\"'“”„‟«»‘’‹›"
 # Verbs of speech and second-person words of English, German, French and Spanish.
 SPEECH = frozenset("said says quote quoted quotes called wrote writes sagte sagt zitat nannte schrieb dit disait cite écrit dijo dice cita llamó escribió".split())
@@ -59,6 +63,16 @@ def trie_of(terms: dict[str, float]) -> dict:
     return root
 
 
+def short_forms(term: str) -> set[str]:
+    """Forms in which a term of three or four letters is caught besides itself."""
+    forms = {term + "s", term + "es"}
+    for i, c in enumerate(term):
+        forms.add(term[:i] + c + term[i:])
+        digits = [d for d in DIGITS if len(term) > 3 or c in LEET[d]]
+        forms.update(term[:i] + x + term[i + 1:] for x in [*SIGNS, *digits, *ALIKE.get(c, "")] if not c.isdigit())
+    return forms - {term}
+
+
 def fuzzy_matches(word: str, trie: dict):
     """Lexicon terms within one edit of ``word``: its Levenshtein automaton runs along the trie.
 
@@ -101,6 +115,11 @@ class Lexicon:
         # one edit leaves the first or the second half of a term as it is
         self.heads = {(len(w), w[:len(w) // 2]) for w in self.words}
         self.tails = {(len(w), w[len(w) // 2:]) for w in self.words}
+        self.short: dict[str, tuple[str, float, bool]] = {}
+        for term, weight in self.stems.items():
+            if len(term) < STEM:
+                for form in short_forms(term):
+                    self.short[form] = max(self.short.get(form, (term, weight, True)), (term, weight, True), key=lambda x: (x[1], x[0]))
         self.known: dict[str, tuple[str, float, bool] | None] = {}
 
     def __getstate__(self):
@@ -115,6 +134,8 @@ class Lexicon:
         stem = word[:STEM]
         if stem in self.stems:
             return stem, self.stems[stem], False
+        if word in self.short:
+            return self.short[word]
         n = len(word)
         if n < STEM or not any((m, word[:m // 2]) in self.heads or (m, word[m // 2 - m:]) in self.tails for m in (n - 1, n, n + 1) if m > STEM or m == n):
             return None
@@ -181,7 +202,7 @@ def _count_words(batches):
     for b in batches:
         for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             ws = set(TOKEN.findall((text or "").lower()))
-            stems = {w[:STEM] for w in ws if len(w) >= 4}
+            stems = {w[:STEM] for w in ws if len(w) >= 3}
             n[label] += 1
             (tox if label else non).update(stems)
             if label:  # whole words matter only where a toxic document holds them
@@ -192,7 +213,7 @@ def _count_words(batches):
 
 
 def _lexicon(rows: DataFrame) -> Lexicon:
-    """Stems by likelihood ratio, at most MAX_STEMS, and at most MAX_WORDS whole words with such a stem."""
+    """All stems that pass the likelihood ratio, and the whole words with such a stem; both bounded by the labelled sample."""
     counts = rows.select("text", "toxic").mapInArrow(_count_words, "term string, tox long, non long")
     counts = materialize(counts.groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("non").alias("non")), "term-counts")
     total = counts.where("term = '#'").first()
@@ -204,10 +225,10 @@ def _lexicon(rows: DataFrame) -> Lexicon:
     gain = 2 * (a * F.log(a / ((t + 1) * share)) + c * F.log(c / ((n + 1) * share)))
     lift = F.log(a / (t + 1)) - F.log(c / (n + 1))
     stems = counts.where((F.col("tox") >= 4) & ~F.col("term").startswith("=") & (F.col("term") != "#") & (gain >= 25) & (lift >= math.log(4)))
-    stems = {r["term"]: r["w"] for r in stems.select("term", lift.alias("w"), gain.alias("g")).orderBy(F.desc("g"), "term").limit(MAX_STEMS).collect()}
+    stems = {r["term"]: r["w"] for r in stems.select("term", lift.alias("w"), gain.alias("g")).orderBy(F.desc("g"), "term").collect()}
     words = counts.where((F.col("tox") >= 3) & F.col("term").startswith("=")).select(F.substring("term", 2, 1000).alias("word"), "tox")
     words = words.where(F.substring("word", 1, STEM).isin(list(stems))) if stems else words.limit(0)
-    words = words.orderBy(F.desc("tox"), "word").limit(MAX_WORDS).collect()
+    words = words.orderBy(F.desc("tox"), "word").collect()
     return Lexicon(stems, {r["word"]: stems[r["word"][:STEM]] for r in words})
 
 
