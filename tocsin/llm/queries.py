@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tocsin.llm import decontaminate, exact_dedup, html_text, jaccard_join, licenses, lm_score, packing, secrets, token_counts, toxicity
+from tocsin.llm import conversation_repair, decontaminate, exact_dedup, html_text, jaccard_join, lexical_search, licenses, lm_score, packing, secrets, sentence_pieces, token_counts, toxicity
 from tocsin.llm.common import table
 
 QUERIES = {}
@@ -135,3 +135,33 @@ select w.doc_id, any_value(len(w.w))::bigint as n_words, coalesce(sum(backed::in
 from w left join parts using (doc_id) group by w.doc_id""")
 def op8(spark, d):
     return lm_score.report(table(spark, d, "documents"))
+
+
+@query("op11_sentence_pieces")
+def op11(spark, d):
+    return sentence_pieces.report(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_TERMS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op12_lexical_search", f"""
+with it as (select item_id, unnest({_TERMS}) as t from benchmark),
+bag as (select item_id, t, count(*) as times from it group by all),
+d as (select doc_id, {_TERMS} as ts from documents),
+dn as (select doc_id, len(ts)::bigint as n from d where len(ts) > 0),
+stat as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from dn),
+tf as (select doc_id, t, count(*)::bigint as tf from (select doc_id, unnest(ts) as t from d) where t in (select t from bag) group by all),
+w as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as w from (select t, count(*)::bigint as df from tf group by t), stat),
+m as (select doc_id, 25 + (75 * n * n_docs) // n_terms as m from dn, stat),
+s as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+      from bag join tf using (t) join w using (t) join m using (doc_id) group by all),
+r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::integer as rank, doc_id, score from s where score > 0)
+select * from r where rank <= {lexical_search.TOP}""")
+def op12(spark, d):
+    return lexical_search.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op13_conversation_repair")
+def op13(spark, d):
+    return conversation_repair.report(table(spark, d, "conversations"))
