@@ -45,7 +45,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._tocsin_path = path
+    return stored
+
+
+def discard(*stored: DataFrame | None) -> None:
+    """Delete materialized tables that nothing reads any more, neither now nor in a retry."""
+    for df in stored:
+        path = getattr(df, "_tocsin_path", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def row_count(stored: DataFrame) -> int:
