@@ -168,6 +168,49 @@ def test_linked_sets_keep_an_equal_segment_key():
                 assert len(np.intersect1d(x, y))
 
 
+def test_pairs_inside_groups_equal_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    group = np.sort(rng.integers(0, 9, 90))
+    block, comp, n = rng.integers(0, 2, 90), rng.integers(0, 12, 90), rng.integers(60, 90, 90)
+    two = np.isin(group, [2, 5])
+    words = rng.integers(0, 2**20, (90, 3)).astype(np.uint64) & rng.integers(0, 2**20, (90, 3)).astype(np.uint64)
+    words[::2] = words[0] ^ rng.integers(0, 4, (45, 3)).astype(np.uint64)
+    want = {}
+    for i in range(90):
+        for j in range(i + 1, 90):
+            far = sum(int(a ^ b).bit_count() for a, b in zip(words[i].tolist(), words[j].tolist()))
+            if group[i] == group[j] and comp[i] != comp[j] and not (two[i] and block[i] == block[j]) and 100 * min(n[i], n[j]) >= 90 * max(n[i], n[j]) and far * 190 <= (n[i] + n[j]) * 10:
+                want[i, j] = 1_000_000 * far // (n[i] + n[j])
+    i, j, far = jaccard_join.pairs_in_groups(group, two, block, comp, n, words, 90)
+    assert dict(zip(zip(i.tolist(), j.tolist()), far.tolist())) == want and len(want) > 20
+    keep = jaccard_join.nearest_only(i, j, far, 90)
+    ends = set(i.tolist()) | set(j.tolist())
+    assert ends == set(i[keep].tolist()) | set(j[keep].tolist()) and keep.sum() <= len(ends)
+    assert all(min(f for p, f in want.items() if e in p) in {f for p, f in zip(zip(i[keep].tolist(), j[keep].tolist()), far[keep].tolist()) if e in p} for e in ends)
+    long = rng.integers(0, 2**62, 41).astype(np.uint64)
+    other = rng.integers(0, 2**62, 41).astype(np.uint64)
+    count = lambda x, y: int(np.bitwise_count(x ^ y).sum())
+    assert len(jaccard_join.folded(long)) == 11 and count(jaccard_join.folded(long), jaccard_join.folded(other)) <= count(long, other)
+
+
+@pytest.mark.parametrize("members", [3, 256])
+def test_near_copies_in_one_large_group(spark, monkeypatch, members):
+    monkeypatch.setattr(jaccard_join, "MEMBERS", members)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(60):
+        words = base[:]
+        for at in rng.sample(range(200), i % 7):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(base[:60] + [f"y{rng.randrange(10**6)}" for _ in range(140)])) for i in range(20)]
+    got = sorted(tuple(r) for r in jaccard_join.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute_components(rows))
+
+
 def test_word_hashes_split_and_lower_like_bytes():
     rng = random.Random(3)
     seen = {}

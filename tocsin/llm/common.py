@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.session import materialize, row_count
+from tocsin.session import discard, materialize, row_count
 
 #: Runs of letters and digits, with every code point beyond ASCII counted as a letter.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -66,4 +66,4 @@ def drop_rows(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     return docs.join(broadcast_counted(gone), same, "left_anti")
 
 
-__all__ = ["BROADCAST_ROWS", "WORD", "broadcast_counted", "drop_rows", "fresh", "lower_ascii", "materialize", "row_count", "table", "text_hash", "words"]
+__all__ = ["BROADCAST_ROWS", "WORD", "broadcast_counted", "discard", "drop_rows", "fresh", "lower_ascii", "materialize", "row_count", "table", "text_hash", "words"]

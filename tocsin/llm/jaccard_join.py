@@ -14,13 +14,16 @@ that no more than ``spare`` are left out. Of two linked sets the one with the hi
 leaves out at most ``spare`` equal segments, so both keep an equal one. Equal keys meet in an
 equi-join, and candidates are verified.
 
-Documents with the same set are one class and only its first row takes part. A bucket never
-expands into all pairs: its members meet one leader, links are contracted to components, and
-rows in the component of their leader are settled. If the buckets left would give many pairs,
-they get other leaders for some rounds; in the end all pairs of members that are still in
-different components are verified, so that no link is lost. Verification has two steps: the
-Hamming distance of the whole sketches, then the exact intersection. For that the texts are
-read again and each set goes once to the task of its leader; sets are never stored.
+Documents with the same set are one class and only its first row takes part. A bucket is tested
+inside: rows carry their number of shingles and a sketch folded to a quarter, blocks of about
+``MEMBERS`` rows meet block by block (a large bucket is many such groups, spread over the
+tasks), and only pairs of different components whose sizes and sketches allow a link leave the
+task. In the first ``NEAREST`` rounds these are only the nearest such partner of every row, so
+that a group of near copies is joined by a number of pairs like its rows; links are contracted
+to components, and buckets of one component are done. In the last round all pairs that are left
+leave the task, so no link is lost. Verification has two steps: the Hamming distance of the
+whole sketches, then the exact intersection. For that the texts are read again and each set
+goes once to the task of its leader; sets are never stored.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing;
 a text of fewer words than a shingle is one shingle. Rows that repeat id and text count as
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import BROADCAST_ROWS, broadcast_counted, drop_rows, materialize, row_count
+from tocsin.llm.common import BROADCAST_ROWS, broadcast_counted, discard, drop_rows, materialize, row_count
 
 SHINGLE = 3
 PERCENT = 90
@@ -45,9 +48,11 @@ PERCENT = 90
 PAIRED = 33
 #: Segments whose parity bits share one 64-bit word.
 FOLD = 4
-#: Rounds of star links at most; fewer if the pairs left are no more than so many per document.
-ROUNDS = 6
-FINAL_PAIRS = 32
+#: Rows of a bucket that meet in one group, and rows that are tested together.
+MEMBERS = 256
+CHUNK = 20_000
+#: Rounds in which every row only meets its nearest partner.
+NEAREST = 2
 #: Partners of one leader that are compared in one group.
 PARTNERS = 200
 
@@ -214,26 +219,153 @@ def components(edges: DataFrame) -> DataFrame:
     """node, comp for all nodes of ``edges`` (a, b): comp is one node of the component.
 
     Every node joins its smallest neighbour, twice in a row; then edges are contracted. The
-    edges at least halve their nodes in each turn, so the turns are logarithmic.
+    edges at least halve their nodes in each turn, so the turns are logarithmic. Tables of few
+    edges are broadcast, so that small graphs need few exchanges.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     nodes = None
     while row_count(edges):
+        small = F.broadcast if 2 * row_count(edges) <= BROADCAST_ROWS else (lambda df: df)
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        near = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
+        near = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")), "parents")
         up = near.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        near = materialize(near.join(up, "p").select("a", F.col("pp").alias("p")), "grandparents")
+        near = materialize(near.join(small(up), "p").select("a", F.col("pp").alias("p")), "grandparents")
         if nodes is None:
             nodes = near.select(F.col("a").alias("node"), F.col("p").alias("comp"))
         else:
             moved = near.select(F.col("a").alias("comp"), "p")
-            nodes = nodes.join(moved, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp"))
+            nodes = nodes.join(small(moved), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp"))
         to_a, to_b = near.select("a", F.col("p").alias("pa")), near.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        edges = edges.join(to_a, "a").select("b", "pa").join(to_b, "b").where("pa <> pb")
+        edges = edges.join(small(to_a), "a").select("b", "pa").join(small(to_b), "b").where("pa <> pb")
         edges = materialize(edges.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct(), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")) if nodes is None else materialize(nodes, "nodes")
 
 
+def merged(comps: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Components after new links (a, b): only the links between components are contracted."""
+    if comps is None:
+        return components(new)
+    of = broadcast_counted(comps)
+    a, b = of.select(F.col("node").alias("a"), F.col("comp").alias("ca")), of.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    ends = new.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    ends = materialize(ends, "ends")
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    row_count(joined)
+    fresh = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps.select("node"), "node", "left_anti")
+    nodes = comps.union(fresh.select("node", F.col("node").alias("comp")))
+    to = broadcast_counted(joined).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return materialize(nodes.join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "nodes")
+
+
+def folded(words: np.ndarray) -> np.ndarray:
+    """A parity sketch of a quarter of the words, four at least; its distances only get smaller."""
+    width = max(4, -(-len(words) // 4))
+    out = np.zeros(width, np.uint64)
+    for at in range(0, len(words), width):
+        part = words[at:at + width]
+        out[:len(part)] ^= part
+    return out
+
+
+def pairs_in_groups(group, two, block, comp, n, words, percent: int):
+    """Places i, j of rows of one group (sorted) that differ in component and, where the group is
+    of ``two`` blocks, in block, and whose sizes and sketches allow a link, and how far they are. ``words``: rows by words."""
+    found, at = [], np.arange(len(group))
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    last = np.repeat(np.append(starts[1:], len(group)), np.diff(np.append(starts, len(group))))
+    shift = 1
+    while len(at):
+        at = at[at + shift < last[at]]
+        i, j = at, at + shift
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        fits = (comp[i] != comp[j]) & (100 * small >= percent * large) & (~two[i] | (block[i] != block[j]))
+        i, j = i[fits], j[fits]
+        apart = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+        near = apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+        found.append(np.stack([i[near], j[near], 1_000_000 * apart[near] // (n[i] + n[j])[near]]))
+        shift += 1
+    return np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+
+
+def nearest_only(i, j, far, rows: int):
+    """Which of the pairs are the nearest of one of their ends; of equally near ones the first."""
+    keep = np.zeros(len(i), bool)
+    for end in (i, j):
+        order = np.lexsort((j, i, far, end))
+        first = np.append(True, end[order][1:] != end[order][:-1])[:len(order)]
+        keep[order[first]] = True
+    return keep
+
+
+def _tested(percent: int, nearest: bool):
+    """mapInArrow over rows sorted by group: the pairs (a, b, band) that may be linked."""
+    def flush(rows):
+        t = pa.Table.from_batches(rows)
+        key, x, y = (t.column(c).to_numpy() for c in ("key", "x", "y"))
+        change = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        group = np.concatenate([[0], np.cumsum(change)])
+        lists = t.column("words").combine_chunks()
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        words = np.zeros((len(key), max(4, int(lengths.max()))), np.uint64)
+        flat = lists.flatten().to_numpy().view(np.uint64)
+        row = np.repeat(np.arange(len(key)), lengths)
+        words[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+        uid, band = t.column("uid").to_numpy(), t.column("band").to_numpy()
+        i, j, far = pairs_in_groups(group, x != y, t.column("block").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), words, percent)
+        if nearest:
+            keep = nearest_only(i, j, far, len(key))
+            i, j, far = i[keep], j[keep], far[keep]
+        ends = [np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j]), band[i], far]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["a", "b", "band", "far"])
+
+    def run(batches):
+        held, count = [], 0
+        for batch in _slices(batches, 5_000):
+            if count >= CHUNK:  # up to the end of the last whole group
+                t = pa.Table.from_batches(held)
+                key, x, y = (t.column(c).to_numpy() for c in ("key", "x", "y"))
+                change = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+                if len(change):
+                    cut = int(change[-1]) + 1
+                    yield flush(t.slice(0, cut).to_batches())
+                    held = t.slice(cut).to_batches()
+                    count = t.num_rows - cut
+            held.append(batch)
+            count += batch.num_rows
+        if count:
+            yield flush(held)
+    return run
+
+
+def _folded_words():
+    """mapInArrow function: folds the sketches."""
+    def run(batches):
+        for b in batches:
+            words = [folded(np.array(w, np.int64).view(np.uint64)).view(np.int64) for w in b.column("words").to_pylist()]
+            ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *words])))
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("band"), b.column("n"), lists], names=["uid", "band", "n", "words"])
+    return run
+
+
+def _bucket_pairs(opened: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b, band) of rows in one open bucket (key, band, uid, comp) that may be linked."""
+    blocks = opened.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("blocks")).where("blocks > 1")
+    blocks = materialize(blocks, "large-buckets")
+    rows = opened.join(broadcast_counted(blocks), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", "band", "uid", "comp", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    rows = rows.join(broadcast_counted(sketches, BROADCAST_ROWS // 10), ["uid", "band"])
+    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    pairs = rows.mapInArrow(_tested(percent, nearest), "a long, b long, band int, far long")
+    if nearest:
+        pairs = pairs.withColumn("end", F.explode(F.array("a", "b")))
+        pairs = pairs.groupBy("end").agg(F.min(F.struct("far", "a", "b", "band")).alias("p")).select("p.*")
+    found = materialize(pairs.select("a", "b", "band").distinct(), "candidates")
+    discard(blocks)
+    return found
+
+
 def _near_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, band) whose sizes and sketches allow a link."""
     left = sketches.select(F.col("uid").alias("a"), "band", F.col("n").alias("na"), F.col("words").alias("wa"))
@@ -277,21 +409,9 @@ def _open_buckets(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
     marked = marked.join(comps.select(F.col("node").alias("lead"), F.col("comp").alias("d")), "lead", "left")
     marked = marked.select("key", "band", "uid", F.coalesce("c", "uid").alias("comp"), F.coalesce("d", "lead").alias("with"))
     mixed = materialize(marked.where(F.col("comp") != F.col("with")).select("key").distinct(), "mixed")
-    return materialize(marked.drop("with").join(broadcast_counted(mixed), "key"), "open")
-
-
-def _star(rows: DataFrame) -> DataFrame:
-    """a, b, band: every uid with the leader that it shares most segments with."""
-    shared = rows.groupBy("uid", "lead", "band").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("uid").agg(F.max(F.struct("n", "lead", "band")).alias("top"))
-    return materialize(best.select(F.col("uid").alias("a"), F.col("top.lead").alias("b"), F.col("top.band").alias("band")), "star")
-
-
-def _cross_pairs(opened: DataFrame) -> int:
-    """Pairs of bucket members in different components."""
-    per = opened.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    per = per.groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("w"))
-    return (per.agg(F.sum("w")).first()[0] or 0) // 2
+    opened = materialize(marked.drop("with").join(broadcast_counted(mixed), "key"), "open")
+    discard(mixed)
+    return opened
 
 
 def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -306,40 +426,28 @@ def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple
     classes = materialize(keyed.where("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("size"), top).withColumn("rep", F.col("top.uid")), "classes")
     reps = classes.select(F.col("rep").alias("uid"))
     sketches = keyed.select("uid", "n", F.explode("sketches").alias("s")).select("uid", "n", "s.band", "s.words")
-    n_classes = row_count(classes)
     copies = materialize(keyed.where("n > 0").join(reps, "uid", "left_anti").select("uid"), "copies")
     segments = keyed.select("uid", "keys").join(broadcast_counted(copies), "uid", "left_anti").select("uid", F.explode("keys").alias("k")).select("uid", "k.band", "k.key")
     shared = segments.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("uid").alias("lead")).where("m > 1").select("key", "lead")
-    buckets = materialize(segments.join(broadcast_counted(materialize(shared, "shared")), "key"), "buckets")
-
-    def verified(pairs: DataFrame) -> DataFrame | None:
-        if not row_count(pairs):
-            return None
-        near = materialize(_near_sketches(pairs, sketches, percent), "near")
-        return _verified(docs, near, classes, percent, size) if row_count(near) else None
-
-    found, comps, opened = None, None, None
-    for turn in range(ROUNDS):
-        if turn:
-            lead = opened.groupBy("key").agg(F.min(F.struct(F.xxhash64("uid", "key", F.lit(turn)).alias("r"), "uid", "comp")).alias("lead"))
-            met = opened.join(materialize(lead.select("key", F.col("lead.uid").alias("lead"), F.col("lead.comp").alias("with")), "turn"), "key")
-            pairs = _star(met.where(F.col("comp") != F.col("with")))
-        else:
-            pairs = _star(buckets.where(F.col("uid") != F.col("lead")))
-        new = verified(pairs)
-        if new is not None and row_count(new):
-            found = new if found is None else found.union(new)
-            comps = components(found)
-            row_count(comps)
+    shared = materialize(shared, "shared")
+    buckets = materialize(segments.join(broadcast_counted(shared), "key"), "buckets")
+    discard(shared)
+
+    members = materialize(buckets.select("uid", "band").distinct(), "members")
+    small = materialize(sketches.join(broadcast_counted(members), ["uid", "band"]).mapInArrow(_folded_words(), "uid long, band int, n long, words array<long>"), "folded")
+    comps = None
+    for turn in range(NEAREST + 1 if row_count(buckets) else 0):
         opened = _open_buckets(buckets, comps)
-        if _cross_pairs(opened) <= FINAL_PAIRS * n_classes:
+        if comps is not None and not row_count(opened):
             break
-    x, y = opened.alias("x"), opened.alias("y")
-    rest = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.uid") < F.col("y.uid")) & (F.col("x.comp") != F.col("y.comp")))
-    rest = materialize(rest.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"), "x.band").distinct(), "rest")
-    new = verified(rest)
-    if new is not None and row_count(new):
-        comps = components(new if found is None else found.union(new))
+        pairs = _bucket_pairs(opened, small, percent, turn < NEAREST)
+        near = materialize(_near_sketches(pairs, sketches, percent), "near") if row_count(pairs) else pairs
+        if row_count(near):
+            new = _verified(docs, near, classes, percent, size)
+            comps = merged(comps, new) if row_count(new) else comps
+            discard(new)
+        discard(opened, pairs, near)
+    discard(buckets, members, small)
     return keyed, classes, comps
 
 
