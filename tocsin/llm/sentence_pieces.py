@@ -6,8 +6,8 @@ marked word, so the ids of a text are the ids of its marked words one after anot
 proves that (and that normalisation only writes markers) before it is used.
 
 1. Marked words are counted over all documents, summed in each task before the shuffle.
-2. The ``TABLE`` most frequent ones are segmented once, spread over the cluster: the table of
-   distinct marked words, of bounded size, that every task gets.
+2. The most frequent ones, at most ``TABLE``, are segmented once, spread over the cluster: the
+   table of distinct marked words, of bounded size, that every task gets.
 3. Every text is cut again and its marked words are joined to the table by position. Words
    beyond the table are segmented once for a batch of texts and remembered by the task in a
    memo bounded in bytes, so the bound of the table only decides where a word is segmented.
@@ -37,7 +37,7 @@ from tocsin.llm.common import fresh, materialize
 
 MARK = "▁"
 #: Marked words in the table that every task gets; longer ones than LONGEST stay out.
-TABLE = 150_000
+TABLE = 300_000
 LONGEST = 64
 #: Different words that a task sums up before it hands their counts on.
 BUFFER = 300_000
@@ -168,11 +168,19 @@ def _segmented(path: str):
 
 
 def word_table(texts: DataFrame, path: str, size: int = TABLE) -> DataFrame:
-    """word, ids of the ``size`` most frequent marked words of column ``text``, each segmented once."""
+    """word, ids of the most frequent marked words of column ``text``, at most ``size``, each
+    segmented once. A histogram of the counts gives the least count, so nothing is sorted."""
     counts = texts.select("text").mapInArrow(_count, "word string, n long").where(F.length("word") <= LONGEST)
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    words = materialize(top.select("word"), "marked-words").repartition(8)
-    return words.mapInArrow(_segmented(path), "word string, ids binary")
+    counts = materialize(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "marked-words")
+    level = F.floor(F.log2("n") * 32).cast("int")
+    least, total = None, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 32 levels for each doubling
+        total += r["count"]
+        if total > size:
+            break
+        least = r["level"]
+    top = counts.where(F.lit(False) if least is None else level >= least).select("word")
+    return top.mapInArrow(_segmented(path), "word string, ids binary")
 
 
 class _Lookup:
