@@ -299,6 +299,8 @@ def test_packing(docs, empty):
 def test_reduction_keeps_the_best_packing():
     count = {7: 2, 3: 2, 5: 1, 9: 1, 10: 1}
     assert dict(packing.reduce_dominated(count, 10)) == {(10,): 1, (9,): 1, (7, 3): 2, (5,): 1} and not count
+    many = [len(packing.plan({3000: 500 * m, 1050: 400 * m, 600: 300 * m, 500: 200 * m})) for m in (1, 10, 100)]
+    assert many[0] == many[1] == many[2] < 30  # the plan does not grow with the number of pieces
     runs = packing.plan({6: 3, 4: 2, 3: 4, 1: 3}, 10)
     assert len({first + i // each for _, _, first, each, _ in runs for i in range(each)}) <= 5
 

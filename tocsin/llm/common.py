@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,18 @@ def broadcast_counted(stored: DataFrame, max_rows: int = BROADCAST_ROWS) -> Data
     return F.broadcast(stored) if row_count(stored) <= max_rows else stored
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Jobs inside exchange fewer rows at a time with Python, for rows that may hold long values."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def text_hash(text: Column) -> Column:
     """64-bit hash of a text; null counts as the empty string."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
@@ -66,4 +79,4 @@ def drop_rows(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     return docs.join(broadcast_counted(gone), same, "left_anti")
 
 
-__all__ = ["BROADCAST_ROWS", "WORD", "broadcast_counted", "discard", "drop_rows", "fresh", "lower_ascii", "materialize", "row_count", "table", "text_hash", "words"]
+__all__ = ["BROADCAST_ROWS", "WORD", "broadcast_counted", "discard", "drop_rows", "fresh", "lower_ascii", "materialize", "row_count", "small_batches", "table", "text_hash", "words"]

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import BROADCAST_ROWS, broadcast_counted, discard, drop_rows, materialize, row_count
+from tocsin.llm.common import BROADCAST_ROWS, broadcast_counted, discard, drop_rows, materialize, row_count, small_batches
 
 SHINGLE = 3
 PERCENT = 90
@@ -85,6 +85,12 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def _release() -> None:
+    """At the end of a task: gives back what the longest text needed."""
+    _POWERS.up = _POWERS.down = np.empty(0, np.uint64)
+    pa.default_memory_pool().release_unused()
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the lower-cased words, by a polynomial over the bytes of each word."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
@@ -183,6 +189,7 @@ def _sketched(percent: int, size: int):
                 [b.column("uid"), b.column("doc_id"), b.column("th"), pa.array(ns, pa.int64()), pa.array(digests, pa.string()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), pa.ListArray.from_arrays(pa.array(key_ends, pa.int32()), at)],
                 names=["uid", "doc_id", "th", "n", "sid", "sketches", "keys"])
+        _release()
     return run
 
 
@@ -192,6 +199,7 @@ def _with_sets(size: int):
         for b in _slices(batches):
             sets = [shingle_set(t, size).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("roles"), pa.array(sets, pa.binary())], names=["uid", "roles", "shingles"])
+        _release()
     return run
 
 
@@ -397,7 +405,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: in
     sets = texts.mapInArrow(_with_sets(size), "uid long, roles array<struct<lead:long,part:long,member:boolean>>, shingles binary")
     rows = sets.select("uid", F.explode("roles").alias("r"), "shingles").select("uid", "r.*", "shingles")
     rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "member")
-    return materialize(rows.mapInArrow(_linked(percent), "a long, b long"), "links")
+    with small_batches(docs.sparkSession, 500):
+        return materialize(rows.mapInArrow(_linked(percent), "a long, b long"), "links")
 
 
 def _open_buckets(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -421,7 +430,8 @@ def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("uid", "doc_id", F.xxhash64("text").alias("th"), "text")
-    keyed = materialize(rows.mapInArrow(_sketched(percent, size), "uid long, doc_id long, th long, n long, sid string, sketches array<struct<band:int,words:array<long>>>, keys array<struct<band:int,key:long>>"), "sketches")
+    with small_batches(docs.sparkSession):
+        keyed = materialize(rows.mapInArrow(_sketched(percent, size), "uid long, doc_id long, th long, n long, sid string, sketches array<struct<band:int,words:array<long>>>, keys array<struct<band:int,key:long>>"), "sketches")
     top = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid", "th")).alias("top")
     classes = materialize(keyed.where("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("size"), top).withColumn("rep", F.col("top.uid")), "classes")
     reps = classes.select(F.col("rep").alias("uid"))

@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tocsin.llm.common import materialize
+from tocsin.llm.common import materialize, small_batches
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that are ranked in one block.
 BLOCK = 2000
-#: Words and chunks that a worker remembers.
-CACHE = 800_000
+#: Words and chunks that a task remembers, about 200 bytes each.
+CACHE = 400_000
 
 #: Letters that no normal form changes and whose lower case is one letter, then marks that are cut off.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+")
@@ -140,6 +140,8 @@ def _pieces(path: str, capacity: int):
                     ids += end
                     rows += [(uid, doc, i, i * capacity, len(part) // 4, zlib.crc32(part)) for i in range(-(-len(ids) // step)) if (part := ids[i * step:(i + 1) * step])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6, names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
+        tokenizer.chunks.clear()
+        pa.default_memory_pool().release_unused()
     return run
 
 
@@ -186,7 +188,10 @@ def reduce_dominated(count: dict[int, int], capacity: int) -> list[tuple[tuple[i
                 others = sorted(fits)
                 two = max((x + y for i, x in enumerate(others) for y in others[i:] if x + y <= room and (x != y or count[x] - (x == length) >= 2)), default=0)
                 if best >= two:
-                    fix((length, best), 1)  # the partners change with every set, so one at a time
+                    # the conditions only ask whether up to three pieces of a length are there, so
+                    # they hold for all sets that leave four of both
+                    spare = (n - 4) // 2 if best == length else min(n, count[best]) - 4
+                    fix((length, best), max(1, spare))
                     continue
             break
     return fixed
@@ -263,7 +268,8 @@ def _placed(runs: list[tuple[int, int, int, int, int]]):
                 k = rank[at] - first[i]
                 seq[at], off[at] = sequence[i] + k // each[i], offset[i] + k % each[i] * x
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
+            columns = [b.column(c).cast(pa.int32()) if c == "piece" else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
     return run
 
 
@@ -284,7 +290,8 @@ def ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialize(rows.mapInArrow(_pieces(tokenizer_path, capacity), PIECES), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = materialize(rows.mapInArrow(_pieces(tokenizer_path, capacity), PIECES), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    schema = "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked(pieces, histogram).mapInArrow(_placed(plan(histogram, capacity)), schema)

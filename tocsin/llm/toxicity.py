@@ -39,7 +39,7 @@ FIT_ROWS = 40_000
 THRESHOLD = 0.3
 #: Neighbours on either side that decide between quotation and abuse.
 CONTEXT = 6
-CACHE = 600_000
+CACHE = 200_000
 
 TOKEN = re.compile(r"[^\W_]+(?:[@$!*|][^\W_]+)*")
 # Digits and signs by the letters they stand for, letters that look alike.
