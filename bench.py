@@ -34,10 +34,10 @@ def all_thresholds(spark, d):
     return fx.order_thresholds(spark, d)
 
 
-def bootstrap_200(spark, d):
-    """200 stratified resamples of all methods at alpha 0.10 on the test episodes."""
+def bootstrap_1000(spark, d):
+    """1,000 stratified resamples of all methods at alpha 0.10 on the test episodes."""
     rows, names = cm.pooled_outcomes(spark, d)
-    return rs.bootstrap_metrics(rows.where("alpha = 0.10"), names.where("alpha = 0.10"), ["site", "event"], 200, fx.SEED)
+    return rs.bootstrap_metrics(rows.where("alpha = 0.10"), names.where("alpha = 0.10"), ["site", "event"], 1000, fx.SEED)
 
 
 def partitions_49(spark, d):
@@ -53,7 +53,7 @@ def auroc_all_rows(spark, d):
 BENCH = {
     "site_false_alarm": QUERIES["site_false_alarm"], "window_features": window_features,
     "all_thresholds": all_thresholds, "operating_results": QUERIES["operating_results"],
-    "bootstrap_200": bootstrap_200, "partitions_49": partitions_49, "auroc_all_rows": auroc_all_rows,
+    "bootstrap_1000": bootstrap_1000, "partitions_49": partitions_49, "auroc_all_rows": auroc_all_rows,
     "record_manifest": QUERIES["exclusion_reasons"],
 }
 

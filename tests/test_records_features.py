@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from tocsin.functions.exprs import INF
 from tocsin.functions.tables import values
 from tocsin.operators import features as fe
 from tocsin.operators import model as ml
+from tocsin.operators import multinomial as mn
 from tocsin.operators import quality as qu
 from tocsin.operators import resample as rs
 from tocsin.operators import split as sp
@@ -199,6 +201,43 @@ def test_bootstrap_draws_whole_episodes_per_stratum(spark):
     assert rows.where("multiplicity > 1").count() > 0
 
 
+def test_binomial_inversion_has_the_binomial_law():
+    rng = np.random.default_rng(1)
+    for trials, share in ((1, .5), (7, .3), (12, .95), (40, .01)):
+        got = np.bincount(mn.binomial(np.full(40_000, trials), share, rng.random(40_000)), minlength=trials + 1)
+        want = np.array([math.comb(trials, k) * share**k * (1 - share)**(trials - k) for k in range(trials + 1)]) * 40_000
+        seen = want > 5
+        assert (((got - want) ** 2 / want)[seen]).sum() < 2 * seen.sum() + 20 and got.sum() == 40_000
+    exact = mn.binomial(np.full(2_000, 10**8), 0.5, rng.random(2_000))
+    assert abs(exact.mean() - 5e7) < 600 and 4_500 < exact.std() < 5_500
+    assert mn.binomial(np.array([0, 0]), .4, np.array([0., .999])).tolist() == [0, 0]
+
+
+def test_split_draws_have_the_multinomial_law():
+    size, slots, replicates = 11, 2, 30_000
+    split = mn.Splitter("s", size, replicates, 5, slots)
+    times = np.concatenate([split.multiplicities(b) for b in range(6)], axis=1)
+    assert times.shape == (replicates, size) and (times.sum(axis=1) == size).all()
+    # of a multinomial with equal shares: mean 1, variance 1 - 1/n, covariance -1/n
+    want = np.full((size, size), -1 / size)
+    np.fill_diagonal(want, 1 - 1 / size)
+    assert np.abs(times.mean(axis=0) - 1).max() < .03
+    assert np.abs(np.cov(times.T) - want).max() < .04
+    assert np.abs(np.bincount(times[:, 3], minlength=4)[:4] / replicates - [math.comb(11, k) * (1 / 11)**k * (10 / 11)**(11 - k) for k in range(4)]).max() < .01
+    again = mn.Splitter("s", size, replicates, 5, slots)
+    assert (again.multiplicities(4) == times[:, 8:10]).all()  # a bucket alone, without its neighbours
+
+
+def test_replicate_sums_equal_drawn_rows(spark):
+    episodes = cohort(spark, 37).withColumn("features", F.expr("array(named_struct('f', 0L, 'x', 1D), named_struct('f', hash(episode_id) % 3 + 3L, 'x', 0.5D))"))
+    drawn = rs.resampled(episodes, ["site", "event"], 9, 3, slots=8).select("stratum", "bootstrap", "multiplicity", F.inline("features"))
+    want = {tuple(r)[:3]: r["x"] for r in drawn.groupBy("stratum", F.col("f").alias("feature"), "bootstrap").agg(F.sum(F.col("x") * F.col("multiplicity")).alias("x")).collect()}
+    got = {tuple(r)[:3]: r["x"] for r in rs.replicate_sums(episodes.repartition(7), ["site", "event"], 9, 3, slots=8).where("x <> 0").collect()}
+    assert got == pytest.approx(want) and len(got) > 50
+    plan = rs.resampled(episodes, ["site", "event"], 9, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange")  # drawn rows are not exchanged
+
+
 def test_subgroups_and_summaries(spark):
     rows = values(spark, ["episode_id", "site", "event", "alerted", "eval3", "valid3", "exposure_days"],
                   [(i, "A", i == 9, i % 2 == 0, i == 9, i == 9, float(i + 1)) for i in range(10)])

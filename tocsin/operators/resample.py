@@ -1,9 +1,14 @@
 """Stratified whole-episode bootstrap.
 
-Episode j of a stratum of size n supplies draw j of every replicate: a hashed key
-picks the position it draws. Draws therefore start evenly spread, and each replicate
-keeps the stratum sizes. Draws become multiplicities before they meet the outcomes;
-draws, multiplicities and outcomes share one partitioning by (stratum, position).
+Episodes of a stratum get dense positions in a hashed order, and buckets of neighbouring
+positions go to tasks once. There every replicate is drawn in place (``multinomial``): the
+draws of a bucket follow from the seed and the stratum's size alone, so drawn rows are never
+exchanged, and what a replicate draws does not depend on statistics or partitions.
+
+* Ratio metrics and curves are sums over episodes weighted by multiplicities. Each episode is
+  a sparse row of features, a bucket is one matrix product (replicates by episodes times
+  episodes by features), and only sums per replicate and feature leave the task.
+* Any other statistic is an aggregate over the drawn rows, partly aggregated where they arise.
 """
 
 from __future__ import annotations
@@ -12,10 +17,13 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tocsin.functions.exprs import INF, hash_key, hash_long, ratio
+from tocsin.functions.exprs import INF, ratio
 from tocsin.functions.tables import each_row
-from tocsin.operators.metrics import RATIO_METRICS
+from tocsin.operators import multinomial
+from tocsin.operators.metrics import RATIO_METRICS, cumulative_false_alerts
+from tocsin.operators.multinomial import SLOTS
 from tocsin.operators.ranking import hash_rank
 from tocsin.session import materialize
 
@@ -30,29 +38,49 @@ def indexed_episodes(episodes: DataFrame, strata: Sequence[str], seed: int) -> D
     return hash_rank(labelled, ["stratum"], "episode_id", seed, "boot-order", "position", "stratum_size")
 
 
-def multiplicities(indexed: DataFrame, replicates: int, seed: int) -> DataFrame:
+def in_buckets(indexed: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Indexed episodes by bucket and slot, every bucket in one task and in order."""
+    place = F.col("position") - 1
+    rows = indexed.withColumn("bucket", F.floor(place / slots)).withColumn("slot", (place % slots).cast("int"))
+    return rows.repartition("stratum", "bucket").sortWithinPartitions("stratum", "bucket", "slot")
+
+
+def with_draws(indexed: DataFrame, replicates: int, seed: int, slots: int = SLOTS) -> DataFrame:
+    """Indexed episodes with ``draws``, an array of (bootstrap, multiplicity)."""
+    rows = in_buckets(indexed, slots)
+    pair = T.StructType([T.StructField("bootstrap", T.IntegerType()), T.StructField("multiplicity", T.LongType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("draws", T.ArrayType(pair))])
+    return rows.mapInArrow(multinomial.with_draws(replicates, seed, slots), schema).drop("bucket", "slot")
+
+
+def multiplicities(indexed: DataFrame, replicates: int, seed: int, slots: int = SLOTS) -> DataFrame:
     """(stratum, position, bootstrap, multiplicity) of the drawn episodes."""
-    draws = indexed.select("stratum", "position", "stratum_size",
-                           F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("bootstrap"))
-    key = hash_key(seed, "boot", F.col("bootstrap"), F.col("stratum"), F.col("position"))
-    drawn = draws.select("stratum", "bootstrap", (hash_long(key) % F.col("stratum_size") + 1).alias("position"))
-    spread = drawn.repartition("stratum", "position")
-    return spread.groupBy("stratum", "position", "bootstrap").agg(F.count("*").alias("multiplicity"))
+    drawn = with_draws(indexed.select("stratum", "position", "stratum_size"), replicates, seed, slots)
+    return drawn.select("stratum", "position", F.inline("draws"))
 
 
-def resampled(episodes: DataFrame, strata: Sequence[str], replicates: int, seed: int) -> DataFrame:
+def resampled(episodes: DataFrame, strata: Sequence[str], replicates: int, seed: int, slots: int = SLOTS) -> DataFrame:
     """Episode rows with (bootstrap, multiplicity), one row per drawn distinct episode."""
-    indexed = materialize(indexed_episodes(episodes, strata, seed), "boot-index")
-    return multiplicities(indexed, replicates, seed).join(
-        indexed.drop("stratum_size"), ["stratum", "position"])
+    drawn = with_draws(indexed_episodes(episodes, strata, seed), replicates, seed, slots).drop("stratum_size")
+    return drawn.select(*[c for c in drawn.columns if c != "draws"], F.inline("draws"))
+
+
+def replicate_sums(episodes: DataFrame, strata: Sequence[str], replicates: int, seed: int, slots: int = SLOTS) -> DataFrame:
+    """(stratum, feature, bootstrap, x): weighted sums of the sparse column ``features``, an
+    array of (f long, x double) that may be empty but not null."""
+    rows = in_buckets(indexed_episodes(episodes.select("episode_id", *strata, "features"), strata, seed), slots)
+    rows = rows.select("stratum", "bucket", "slot", "stratum_size", "features")
+    sums = rows.mapInArrow(multinomial.weighted_sums(replicates, seed, slots), "stratum string, feature long, sums array<double>")
+    flat = sums.select("stratum", "feature", F.posexplode("sums").alias("bootstrap", "x"))
+    return flat.groupBy("stratum", "feature", "bootstrap").agg(F.sum("x").alias("x"))
 
 
 def bootstrap_statistics(episodes: DataFrame, statistics: Mapping[str, Callable[[Column], Column]],
-                         strata: Sequence[str], replicates: int, seed: int) -> DataFrame:
+                         strata: Sequence[str], replicates: int, seed: int, slots: int = SLOTS) -> DataFrame:
     """Bootstrap any statistics given as functions from the multiplicity column to an
     aggregate over episode columns, e.g. ``lambda w: F.sum(x * w) / F.sum(w)``."""
     w = F.col("multiplicity")
-    rows = resampled(episodes, strata, replicates, seed)
+    rows = resampled(episodes, strata, replicates, seed, slots)
     return rows.groupBy("bootstrap").agg(*[f(w).alias(name) for name, f in statistics.items()])
 
 
@@ -74,30 +102,32 @@ def compact_outcomes(patients: DataFrame) -> DataFrame:
 
 
 def bootstrap_metrics(patients: DataFrame, ops: DataFrame, strata: Sequence[str], replicates: int,
-                      seed: int) -> DataFrame:
+                      seed: int, slots: int = SLOTS) -> DataFrame:
     """Resampled ratio metrics of every threshold with common draws.
 
-    ``ops`` maps ``op`` to label columns (small). Denominators do not depend on the
-    method and numerators only come from alerting episodes, so one aggregation over
-    those rows replaces episodes x methods x replicates.
+    ``ops`` maps ``op`` to label columns (small). Feature 6 op + i holds the i-th sum of a
+    threshold, op 0 the denominators, which do not depend on the method; an episode only has
+    features of thresholds under which it alerts.
     """
-    rows = resampled(compact_outcomes(patients), strata, replicates, seed)
-    i = lambda c: c.cast("double")
     c = F.col
-    base = F.struct(
-        F.lit(0).alias("op"), i((~c("event")).cast("int")).alias("a"), i(c("eval3").cast("int")).alias("b"),
-        i(c("eval0").cast("int")).alias("c"), c("exposure_days").alias("d"),
-        c("utility_inactive").alias("e"), c("utility_best").alias("f"))
-    per_op = F.transform("hits", lambda h: F.struct(
-        h["op"].alias("op"), F.when(~c("event") & (h["tau"] < F.lit(INF)), 1.0).otherwise(0.0).alias("a"),
-        i(h["valid3"]).alias("b"), i(h["valid0"]).alias("c"), i(h["n_alert_episodes"]).alias("d"),
-        h["gain"].alias("e"), F.when(h["tau"] < F.lit(INF), 1.0).otherwise(0.0).alias("f")))
-    flat = rows.select("bootstrap", "multiplicity", F.inline(F.concat(F.array(base), per_op)))
-    sums = flat.groupBy("bootstrap", "op").agg(*[F.sum(c("multiplicity") * c(x)).alias(x) for x in "abcdef"])
-    sums = materialize(sums, "boot-sums")
-    den = sums.where("op = 0").select("bootstrap", *[c(x).alias(f"{x}0") for x in "abcdef"])
+    i = lambda x: x.cast("double")
+
+    def cells(op: Column, sums: Sequence[Column]) -> Column:
+        return F.array(*[F.struct((op.cast("long") * 6 + j).alias("f"), x.alias("x")) for j, x in enumerate(sums)])
+
+    base = cells(F.lit(0), [i(~c("event")), i(c("eval3")), i(c("eval0")), i(c("exposure_days")), i(c("utility_inactive")), i(c("utility_best"))])
+    alerted = lambda h: h["tau"] < F.lit(INF)
+    per_op = F.flatten(F.transform("hits", lambda h: cells(h["op"], [
+        i(~c("event") & alerted(h)), i(h["valid3"]), i(h["valid0"]), i(h["n_alert_episodes"]), i(h["gain"]), i(alerted(h))])))
+    features = F.filter(F.concat(base, per_op), lambda x: x["x"] != 0)
+    rows = compact_outcomes(patients).select("episode_id", *strata, features.alias("features"))
+    sums = materialize(replicate_sums(rows, strata, replicates, seed, slots), "boot-sums")
+    value = lambda op, j: F.sum(F.when(c("feature") == 6 * op + j, c("x")))
+    den = sums.where("feature < 6").groupBy("bootstrap").agg(*[F.coalesce(value(0, j), F.lit(0.0)).alias(f"{x}0") for j, x in enumerate("abcdef")])
+    num = sums.where("feature >= 6").withColumn("op", F.floor(c("feature") / 6).cast("int")).groupBy("bootstrap", "op").agg(
+        *[value(c("op"), j).alias(x) for j, x in enumerate("abcdef")])
     grid = each_row(den, ops.columns, [tuple(r) for r in ops.collect()])
-    out = grid.join(sums.where("op > 0"), ["bootstrap", "op"], "left")
+    out = grid.join(num, ["bootstrap", "op"], "left")
     z = lambda x: F.coalesce(c(x), F.lit(0.0))
     return out.select(
         "bootstrap", *[x for x in ops.columns],
@@ -144,23 +174,33 @@ def paired_contrasts(samples: DataFrame, observed: DataFrame, reference: str, pa
         "comparison", F.concat(F.col(method), F.lit(f" minus {reference}"))).drop(method)
 
 
-def curve_bands(patients: DataFrame, ops: DataFrame, hmax: int, replicates: int, seed: int) -> DataFrame:
-    """Bootstrap bands of the cumulative first-false-alert curve, overall (drawn by
-    site) and per site: (panel, op labels, hour, lower_95, upper_95)."""
-    non = patients.where(~F.col("event"))
-    rows = resampled(compact_outcomes(non), ["site"], replicates, seed)
-    panels = F.array(F.lit("overall"), F.col("site"))
-    sized = rows.select("bootstrap", "multiplicity", F.explode(panels).alias("panel"), "hits")
-    total = sized.groupBy("panel", "bootstrap").agg(F.sum("multiplicity").alias("n"))
-    hits = sized.select("panel", "bootstrap", "multiplicity", F.inline("hits")).where(F.col("tau") < F.lit(INF))
-    hist = hits.groupBy("panel", "bootstrap", "op", F.col("tau").cast("int").alias("hour")).agg(F.sum("multiplicity").alias("m"))
-    by_op = hist.groupBy("panel", "bootstrap", "op").agg(
-        F.map_from_entries(F.collect_list(F.struct("hour", "m"))).alias("at"))
+def curve_bands(patients: DataFrame, ops: DataFrame, hmax: int, replicates: int, seed: int, slots: int = SLOTS) -> DataFrame:
+    """Cumulative first-false-alert curve with bootstrap bands, overall (drawn by site) and per
+    site: (panel, op labels, hour, estimate, denominator, lower_95, upper_95).
+
+    An alert adds one at its hour; these differences are summed per replicate, site and
+    threshold, panels by grouping sets, and one cumulative sum at the end gives the curves.
+    """
+    c, width = F.col, hmax + 1
+    non = patients.where(~c("event"))
+    hits = F.filter("hits", lambda h: h["tau"] <= F.lit(hmax))
+    steps = F.transform(hits, lambda h: F.struct((h["op"].cast("long") * width + h["tau"].cast("long")).alias("f"), F.lit(1.0).alias("x")))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("f"), F.lit(1.0).alias("x")))
+    rows = compact_outcomes(non).select("episode_id", "site", F.concat(one, steps).alias("features"))
+    sums = replicate_sums(rows, ["site"], replicates, seed, slots)
+    panels = sums.groupingSets([["feature", "bootstrap"], ["stratum", "feature", "bootstrap"]], "stratum", "feature", "bootstrap").agg(F.sum("x").alias("x"))
+    panels = materialize(panels.select(F.coalesce("stratum", F.lit("overall")).alias("panel"), "feature", "bootstrap", "x"), "curve-steps")
+    total = panels.where("feature = 0").select("panel", "bootstrap", c("x").alias("n"))
+    at = panels.where("feature > 0").select("panel", "bootstrap", F.floor(c("feature") / width).cast("int").alias("op"), (c("feature") % width).cast("int").alias("hour"), "x")
+    by_op = at.groupBy("panel", "bootstrap", "op").agg(F.map_from_entries(F.collect_list(F.struct("hour", "x"))).alias("at"))
+    labels = [x for x in ops.columns if x != "op"]
     curve = (each_row(total, ops.columns, [tuple(r) for r in ops.collect()]).join(by_op, ["panel", "bootstrap", "op"], "left")
-             .select("panel", "bootstrap", *ops.columns, "n", "at", F.explode(F.sequence(F.lit(1), F.lit(hmax))).alias("hour")))
+             .select("panel", "bootstrap", "op", *labels, "n", "at", F.explode(F.sequence(F.lit(1), F.lit(hmax))).alias("hour")))
     run = Window.partitionBy("panel", "bootstrap", "op").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
-    m = F.coalesce(F.try_element_at("at", F.col("hour")), F.lit(0))
-    curve = curve.withColumn("p", F.sum(m).over(run) / F.col("n"))
-    return curve.groupBy("panel", *ops.columns, "hour").agg(
+    step = F.coalesce(F.try_element_at("at", c("hour")), F.lit(0.0))
+    curve = curve.withColumn("p", F.sum(step).over(run) / c("n"))
+    bands = curve.groupBy("panel", *labels, "hour").agg(
         F.percentile("p", F.lit(0.025)).alias("lower_95"), F.percentile("p", F.lit(0.975)).alias("upper_95"))
-
+    by_panel = non.withColumn("panel", F.explode(F.array(F.lit("overall"), c("site"))))
+    observed = cumulative_false_alerts(by_panel, hmax, ["panel", *labels])
+    return observed.join(bands, ["panel", *labels, "hour"])

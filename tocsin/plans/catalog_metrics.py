@@ -20,7 +20,7 @@ from tocsin.operators.trajectory import flat_eligible, maxima, trajectories
 from tocsin.plans import fixtures as fx
 from tocsin.plans.fixtures import ORDERS as P
 from tocsin.plans.fixtures import SEED
-from tocsin.plans.oracle import METRICS_SQL, REPLICATES
+from tocsin.plans.oracle import BOOT_SLOTS, METRICS_SQL, REPLICATES
 from tocsin.plans.registry import query
 
 SITES = {"A": "B", "B": "A"}
@@ -222,35 +222,35 @@ def pooled_outcomes(spark, d) -> tuple[DataFrame, DataFrame]:
 def samples(spark, d) -> DataFrame:
     def build() -> DataFrame:
         rows, names = pooled_outcomes(spark, d)
-        return rs.bootstrap_metrics(rows, names, ["site", "event"], REPLICATES, SEED).drop("op")
+        return rs.bootstrap_metrics(rows, names, ["site", "event"], REPLICATES, SEED, BOOT_SLOTS).drop("op")
     return fx.shared(spark, d, "order-bootstrap", build)
 
 
-@query("bootstrap_draws", "select bootstrap, stratum, position, count(*) as multiplicity from o_draw group by all")
+@query("bootstrap_draws", "select bootstrap, stratum, position, multiplicity from o_mult")
 def bootstrap_draws(spark, d):
     indexed = rs.indexed_episodes(test_episodes(spark, d), ["site", "event"], SEED)
-    return rs.multiplicities(indexed, REPLICATES, SEED).select("bootstrap", "stratum", "position", "multiplicity")
+    return rs.multiplicities(indexed, REPLICATES, SEED, BOOT_SLOTS).select("bootstrap", "stratum", "position", "multiplicity")
 
 
-@query("bootstrap_custom_statistic", """select d.bootstrap, round(sum(e.horizon)::double/count(*),6) as mean_horizon, round(avg(case when e.event then 1.0 else 0.0 end),6) as event_share
-  from o_draw d join o_bidx i on i.stratum=d.stratum and i.position=d.position join o_teste e on e.episode_id=i.episode_id group by d.bootstrap""")
+@query("bootstrap_custom_statistic", """select d.bootstrap, round(sum(d.multiplicity*e.horizon)::double/sum(d.multiplicity),6) as mean_horizon, round(sum(case when e.event then d.multiplicity else 0 end)::double/sum(d.multiplicity),6) as event_share
+  from o_mult d join o_bidx i on i.stratum=d.stratum and i.position=d.position join o_teste e on e.episode_id=i.episode_id group by d.bootstrap""")
 def bootstrap_custom_statistic(spark, d):
     return rounded(rs.bootstrap_statistics(test_episodes(spark, d), {
         "mean_horizon": lambda w: F.sum(F.col("horizon") * w) / F.sum(w),
         "event_share": lambda w: F.sum(F.col("event").cast("double") * w) / F.sum(w),
-    }, ["site", "event"], REPLICATES, SEED))
+    }, ["site", "event"], REPLICATES, SEED, BOOT_SLOTS))
 
 
 @query("bootstrap_samples", "select bootstrap, method, alpha, pfa, sens3, sens0, ppv3, alerts_per_100d, utility from o_bs")
 def bootstrap_samples(spark, d):
-    return rounded(samples(spark, d))
+    return rounded(rounded(samples(spark, d), 10))
 
 
 @query("bootstrap_summary", """select r.method, r.alpha, r.metric, round(r.value,6) as observed, round(stddev_samp(b.value),6) as bootstrap_se, round(quantile_cont(b.value,0.025),6) as lower_95,
   round(quantile_cont(b.value,0.975),6) as upper_95, count(b.value) as valid_bootstrap from o_reslong r left join o_bslong b on b.method=r.method and b.alpha=r.alpha and b.metric=r.metric group by r.method, r.alpha, r.metric, r.value""")
 def bootstrap_summary(spark, d):
     observed = me.summary(fx.order_outcomes(spark, d)).select("method", "alpha", *METRICS)
-    return rounded(rs.summarize_bootstrap(samples(spark, d), observed, ["method", "alpha"])).where("observed is not null")
+    return rounded(rs.summarize_bootstrap(samples(spark, d), observed, ["method", "alpha"]))
 
 
 @query("method_contrasts", """with s as (select b.bootstrap, b.alpha, b.method, b.metric, b.value-f.value as diff from o_bslong b join o_bslong f on f.bootstrap=b.bootstrap and f.alpha=b.alpha and f.metric=b.metric and f.method='fixed_max' where b.method not in ('fixed_max','naive_max')),
@@ -260,20 +260,24 @@ def bootstrap_summary(spark, d):
 def method_contrasts(spark, d):
     observed = me.summary(fx.order_outcomes(spark, d)).select("method", "alpha", *METRICS)
     out = rs.paired_contrasts(samples(spark, d), observed, "fixed_max", exclude=["naive_max"])
-    return rounded(out).where("observed_difference is not null")
-
-
-@query("curve_bands", f"""with idx as (select *, row_number() over (partition by site order by md5('42|boot-order|'||episode_id), episode_id) as position, count(*) over (partition by site) as n from o_teste where not event),
-  dr as (select b.b as bootstrap, i.site as stratum, (('0x'||substr(md5('42|boot|'||b.b||'|'||i.site||'|'||i.position),1,15))::bigint % i.n)+1 as position from idx i cross join range(0,{REPLICATES}) b(b)),
-  ps as (select d.bootstrap, p.panel, o.method, o.tau from dr d join idx i on i.site=d.stratum and i.position=d.position join o_out o on o.episode_id=i.episode_id and o.alpha=0.10::double
-    cross join lateral (values ('overall'),(i.site)) p(panel)),
-  cv as (select bootstrap, panel, method, g.h::int as hour, count(*) filter (where tau<=g.h)::double/count(*) as p from ps cross join range(1,81) g(h) group by all)
-  select panel, method, hour, round(quantile_cont(p,0.025),6) as lower_95, round(quantile_cont(p,0.975),6) as upper_95 from cv group by all""")
+    return rounded(out)
+
+
+@query("curve_bands", """with hits as (select m.bootstrap, m.multiplicity as w, i.site, o.method, o.tau from c_mult m join c_bidx i on i.stratum=m.stratum and i.position=m.position
+    join o_out o on o.episode_id=i.episode_id and o.alpha=0.10::double),
+  steps as (select bootstrap, p.panel, method, tau, sum(w) as w from hits cross join lateral (values ('overall'),(site)) p(panel) group by all),
+  tot as (select bootstrap, panel, method, sum(w) as n from steps group by all),
+  grid as (select t.*, g.h::int as hour, coalesce(a.w, 0) as w from tot t cross join range(1,81) g(h) left join steps a on a.bootstrap=t.bootstrap and a.panel=t.panel and a.method=t.method and a.tau=g.h),
+  cv as (select panel, method, hour, sum(w) over (partition by bootstrap, panel, method order by hour)::double/n as p from grid),
+  ob as (select p.panel, method, g.h::int as hour, round(count(*) filter (where tau<=g.h)::double/count(*),6) as estimate, count(*) as denominator
+    from o_out cross join lateral (values ('overall'),(site)) p(panel) cross join range(1,81) g(h) where alpha=0.10::double and not event group by all)
+  select cv.panel, cv.method, cv.hour, estimate, denominator, round(quantile_cont(p,0.025),6) as lower_95, round(quantile_cont(p,0.975),6) as upper_95
+  from cv join ob using (panel, method, hour) group by all""")
 def curve_bands(spark, d):
     rows, names = pooled_outcomes(spark, d)
     names = names.where("alpha = 0.10").select("op", "method")
-    out = rs.curve_bands(rows.where("alpha = 0.10"), names, P.hmax, REPLICATES, SEED)
-    return rounded(out.select("panel", "method", "hour", "lower_95", "upper_95"))
+    out = rs.curve_bands(rows.where("alpha = 0.10"), names, P.hmax, REPLICATES, SEED, BOOT_SLOTS)
+    return rounded(out.select("panel", "method", "hour", "estimate", "denominator", "lower_95", "upper_95"))
 
 
 @query("results_with_intervals", """select r.method, r.alpha, round(r.pfa,6) as pfa, round(quantile_cont(b.value,0.025),6) as pfa_lower_95, round(quantile_cont(b.value,0.975),6) as pfa_upper_95

@@ -277,19 +277,55 @@ define("e_rows", "select * from e_feat where t>=4")
 
 
 # -- bootstrap, transfer and robustness on orders ---------------------------------------
-REPLICATES = 40
-define("o_bidx", """select *, row_number() over (partition by stratum order by md5('42|boot-order|'||episode_id), episode_id) as position,
-  count(*) over (partition by stratum) as n from (select episode_id, site, event, site||'|'||event::varchar as stratum from o_teste)""")
-define("o_draw", f"""select b.b::int as bootstrap, i.stratum, i.position as slot,
-  (('0x'||substr(md5('42|boot|'||b.b||'|'||i.stratum||'|'||i.position),1,15))::bigint % i.n)+1 as position from o_bidx i cross join range(0,{REPLICATES}) b(b)""")
-define("o_bs", f"""select d.bootstrap, o.method, o.alpha, {METRICS_SQL} from o_draw d join (select episode_id, stratum, position from o_bidx) i on d.stratum=i.stratum and d.position=i.position
-  join o_out o on o.episode_id=i.episode_id group by d.bootstrap, o.method, o.alpha""")
+REPLICATES = 1000
+#: Positions of one bucket of the draws; small, so that the small tables have several.
+BOOT_SLOTS = 64
+_HASH = "('0x'||substr(md5({}),1,15))::bigint"
+_WRAP = "18446744073709551616::uhugeint"
+
+
+def draw_ctes(prefix: str, source: str, stratum: str, levels: int = 7) -> None:
+    """Multinomial draws of source(episode_id, ...): defines <prefix>_bidx (positions) and
+    <prefix>_mult(bootstrap, stratum, position, multiplicity). ``levels`` bound the halvings."""
+    define(f"{prefix}_bidx", f"""select *, row_number() over (partition by stratum order by md5('42|boot-order|'||episode_id), episode_id) as position,
+      count(*) over (partition by stratum) as n from (select *, {stratum} as stratum from {source})""")
+    define(f"{prefix}_n0", f"""select b.b::int as b, stratum, n, 0::bigint as lo, ceil(n/{BOOT_SLOTS}.0)::bigint as hi, n as c
+      from (select distinct stratum, n from {prefix}_bidx) cross join range(0,{REPLICATES}) b(b)""")
+    for i in range(levels):
+        define(f"{prefix}_h{i}", f"""select b, stratum, lo, min_by(k, rk) as taken from (
+          select *, sum(exp(lgamma(c+1.0)-lgamma(k+1.0)-lgamma(c-k+1.0)+k*ln(p)+(c-k)*ln(1-p))) over (partition by b, stratum, lo order by rk) as cum from (
+            select *, 2*abs(k-mode) - case when k>mode then 1 else 0 end as rk from (
+              select *, unnest(range(greatest(0, mode-w), least(c, mode+w)+1)) as k from (
+                select *, floor((c+1)*p)::bigint as mode, ceil(10*sqrt(c*p*(1-p)))::bigint+20 as w, {_HASH.format("'42|split|'||b||'|'||stratum||'|'||lo||'|'||hi")}::double/1152921504606846976.0::double as u from (
+                  select *, (least(((lo+hi)//2)*{BOOT_SLOTS}, n) - lo*{BOOT_SLOTS})::double/(least(hi*{BOOT_SLOTS}, n) - lo*{BOOT_SLOTS}) as p from {prefix}_n{i} where hi-lo>1)))))
+          where cum > u group by b, stratum, lo""")
+        define(f"{prefix}_n{i + 1}", f"""select * from {prefix}_n{i} where hi-lo=1
+          union all select n.b, n.stratum, n.n, n.lo, (n.lo+n.hi)//2, h.taken from {prefix}_n{i} n join {prefix}_h{i} h using (b, stratum, lo) where n.hi-n.lo>1
+          union all select n.b, n.stratum, n.n, (n.lo+n.hi)//2, n.hi, n.c-h.taken from {prefix}_n{i} n join {prefix}_h{i} h using (b, stratum, lo) where n.hi-n.lo>1""")
+    define(f"{prefix}_ball", f"""select b, stratum, lo, least((lo+1)*{BOOT_SLOTS}, n) - lo*{BOOT_SLOTS} as size,
+      (({_HASH.format("'42|boot|'||b||'|'||stratum||'|'||lo")}::uhugeint + unnest(range(1, c+1))::uhugeint * 11400714819323198485::uhugeint) % {_WRAP})::ubigint as x from {prefix}_n{levels}""")
+    define(f"{prefix}_mix1", f"select b, stratum, lo, size, ((xor(x, x >> 30)::uhugeint * 13787848793156543929::uhugeint) % {_WRAP})::ubigint as x from {prefix}_ball")
+    define(f"{prefix}_mix2", f"select b, stratum, lo, size, ((xor(x, x >> 27)::uhugeint * 10723151780598845931::uhugeint) % {_WRAP})::ubigint as x from {prefix}_mix1")
+    define(f"{prefix}_mult", f"select b as bootstrap, stratum, lo*{BOOT_SLOTS} + (xor(x, x >> 31) % size::ubigint)::bigint + 1 as position, count(*) as multiplicity from {prefix}_mix2 group by all")
+
+
+def weighted(sql: str, w: str = "w") -> str:
+    """METRICS_SQL over rows that count ``w`` times."""
+    sql = re.sub(r"count\(\*\) filter \(where ([^)]*)\)", rf"coalesce(sum({w}) filter (where \1), 0)", sql)
+    return re.sub(r"sum\((n_ep|exposure_days|uo|ui|ub)\)", rf"sum({w}*\1)", sql)
+
+
+draw_ctes("o", "o_teste", "site||'|'||event::varchar")
+define("o_drawn", "select m.bootstrap, m.multiplicity as w, o.* from o_mult m join (select episode_id, stratum, position from o_bidx) i on m.stratum=i.stratum and m.position=i.position join o_out o on o.episode_id=i.episode_id")
 RAW_METRICS = METRICS_SQL.replace(",6)", ",15)")
-define("o_bsraw", f"""select d.bootstrap, o.method, o.alpha, {RAW_METRICS} from o_draw d join (select episode_id, stratum, position from o_bidx) i on d.stratum=i.stratum and d.position=i.position
-  join o_out o on o.episode_id=i.episode_id group by d.bootstrap, o.method, o.alpha""")
-define("o_bslong", "unpivot o_bsraw on pfa, sens3, sens0, ppv3, alerts_per_100d, utility into name metric value value")
+define("o_bsraw", f"select bootstrap, method, alpha, {weighted(RAW_METRICS)} from o_drawn group by all")
+# sums of ninths may lie on the edge of a rounding, so they are rounded to 10 digits before 6
+define("o_bs", "select bootstrap, method, alpha, " + ", ".join(f"round(round({x},10),6) as {x}" for x in ("pfa", "sens3", "sens0", "ppv3", "alerts_per_100d", "utility")) + " from o_bsraw")
+define("o_bslong", "select * from o_bsraw unpivot include nulls (value for metric in (pfa, sens3, sens0, ppv3, alerts_per_100d, utility))")
 define("o_res", f"select method, alpha, {RAW_METRICS} from o_out group by method, alpha")
-define("o_reslong", "unpivot o_res on pfa, sens3, sens0, ppv3, alerts_per_100d, utility into name metric value value")
+define("o_reslong", "select * from o_res unpivot include nulls (value for metric in (pfa, sens3, sens0, ppv3, alerts_per_100d, utility))")
+define("o_quiet", "select * from o_teste where not event")
+draw_ctes("c", "o_quiet", "site")
 
 define("k_ep", "select p.p::int as partition, e.* from o_ep e cross join range(0,4) p(p)")
 split_ctes("k", "k_ep", "'target|'||partition", [("test", 0.5), ("reservoir", 0.5)], extra="partition")
