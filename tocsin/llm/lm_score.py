@@ -1,164 +1,206 @@
 """Stupid-backoff language-model scores from n-gram count tables.
 
-1. Word counts over all documents give the vocabulary: the ``VOCABULARY`` most frequent words
-   (ties by the word). Other words are one unknown word. This table is bounded.
-2. Bigrams are counted over all documents, summed before the shuffle and partitioned by hash;
-   the table keeps those met ``MIN_COUNT`` times or more.
-3. The distinct bigrams of every document are exploded and joined to the table. Bigrams with
-   at least 1/HOT_SHARE of all words, of which there are at most HOT_SHARE, are joined by
-   broadcast, so that a bigram that all documents hold meets no single task; the others are
-   joined by a shuffle. Logarithms are summed per document, as decimals, so that order does
-   not matter.
-
-Score of a word after another: count(both) / count(first) if the pair is in the table, else
-``BACKOFF`` times the share of the word among all words. The first word of a text takes its
-share alone.
+A word and a pair of neighbouring words are 63-bit hash codes with one more bit that tells them
+apart; the vocabulary is not bounded and no n-gram is left out.
+
+1. One pass counts the codes of all documents, summed in each task before the shuffle. The count
+   table is partitioned by hash; codes that were met once are not stored, as a code of a text
+   that is not in the table was met once.
+2. The most frequent words and pairs, at most ``HOT`` of each, go to every task as sorted
+   arrays. What a text holds of them is summed where the text is read, so a frequent n-gram
+   meets no single task.
+3. The other distinct n-grams of every document are exploded and joined to the count table by
+   hash. Logarithms are integers of 1e-8 and summed per document, so order does not matter.
+   A pair that is seen and holds a rare word waits for the word's count in a second, small join.
+
+Score of a word after another: count(both) / count(first) if another document holds the pair
+(its count is above that in the document itself), else ``BACKOFF`` times the share of the word
+among all words. The first word of a text takes its share alone.
 
 Defined results: null, empty and wordless texts have no words, a score of 0 and a null mean.
-Repeated rows are scored each and count each. Extra columns are ignored. Empty tables give no
-rows.
+Repeated rows are scored each and count each, and are other documents to each other. Extra
+columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import WORD, materialize
+from tocsin.llm.common import materialize, small_batches
+from tocsin.llm.jaccard_join import word_hashes
 
-VOCABULARY = 50_000
-MIN_COUNT = 2
 BACKOFF = 0.4
-HOT_SHARE = 500_000
-#: Entries that a task sums up before it hands them on.
-BUFFER = 400_000
+#: Words and pairs that every task gets, each.
+HOT = 500_000
+#: Codes that a task sums up before it hands them on.
 BUFFER_CODES = 4_000_000
+SCALE = 100_000_000
 
-_WORD = re.compile(WORD)
+#: Bytes between words: all of ASCII but letters and digits.
+_GAPS = ~np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ONE = np.uint64(1)
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+def codes_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words of a text and of its pairs of neighbours."""
+    h = word_hashes(text, _GAPS)
+    pairs = h[:-1] * _ODD
+    pairs = (pairs ^ (pairs >> np.uint64(29))) + h[1:]
+    pairs = (pairs ^ (pairs >> np.uint64(32))) * _ODD
+    return (h << _ONE).view(np.int64), ((pairs << _ONE) | _ONE).view(np.int64)
 
 
-def _count_words(batches):
-    counts: Counter = Counter()
+def logs(n: np.ndarray) -> np.ndarray:
+    """Natural logarithms as integers of 1e-8."""
+    return np.rint(np.log(n) * SCALE).astype(np.int64)
+
+
+def _slices(batches, rows: int = 500):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _counted(batches):
+    """mapInArrow: (code, n) of words and pairs; code 0 has the number of words."""
+    kept, size, words = [], 0, 0
 
     def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-        counts.clear()
-        return out
+        code, n = np.unique(np.concatenate(kept) if kept else np.empty(0, np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
 
-    for b in batches:
+    for b in _slices(batches):
         for text in b.column("text").to_pylist():
-            counts.update(words_of(text))
-            if len(counts) > BUFFER:
+            single, pairs = codes_of(text)
+            kept += [single, pairs]
+            words += len(single)
+            size += len(single) + len(pairs)
+            if size > BUFFER_CODES:
                 yield flush()
+                kept, size = [], 0
     yield flush()
+    yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([words])], names=["code", "n"])
 
 
-def codes_of(ids: np.ndarray, size: int) -> np.ndarray:
-    """One number per pair of neighbouring words."""
-    return ids[:-1] * size + ids[1:]
+def _lookup(codes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(which codes are in the table, their values there or 0)."""
+    keys, values = table
+    if not len(keys):
+        return np.zeros(len(codes), bool), np.zeros(len(codes), np.int64)
+    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+    met = keys[at] == codes
+    return met, np.where(met, values[at], 0)
 
 
-def _ids(vocabulary: dict[str, int], text: str | None) -> np.ndarray:
-    ws = words_of(text)
-    return np.fromiter((vocabulary.get(w, 0) for w in ws), np.int64, len(ws))
+_ENTRY = ["code", "times", "base", "a", "b"]
 
 
-def _count_pairs(vocabulary: dict[str, int]):
-    size = len(vocabulary) + 1
+def _scored(shared):
+    """mapInArrow: documents to their sums over frequent n-grams, and the entries that are still open.
 
+    An open word has its code and times; an open pair also ``base``, what is known of its term
+    besides the logarithm of its count, and the codes ``a``, ``b`` of its words that are not
+    frequent (0 where they are).
+    """
     def run(batches):
-        kept, n = [], 0
-
-        def flush():
-            code, count = np.unique(np.concatenate(kept) if kept else np.empty(0, np.int64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(count.astype(np.int64))], names=["code", "n"])
-
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                kept.append(codes_of(_ids(vocabulary, text), size))
-                n += len(kept[-1])
-                if n > BUFFER_CODES:
-                    yield flush()
-                    kept, n = [], 0
-        yield flush()
+        words, pairs, constant = shared.value
+        counts = pairs[0], pairs[1]
+        for batch in _slices(batches, 200):
+            heads, entries, ends = [], [[np.empty(0, np.int64)] * 5], [0]
+            for text in batch.column("text").to_pylist():
+                single, double = codes_of(text)
+                known, value = _lookup(single, words)
+                total = int(value.sum())
+                code, times = np.unique(single[~known], return_counts=True)
+                nothing = np.zeros(len(code), np.int64)
+                entries.append([code, times, nothing, nothing, nothing])
+                code, first, times = np.unique(double, return_index=True, return_counts=True)
+                ka, kb, va, vb = known[first], known[first + 1], value[first], value[first + 1]
+                base = constant - va - vb
+                hot, n = _lookup(code, counts)
+                ready = hot & ka & kb
+                seen = ready & (n > times)
+                total += int(((logs(np.maximum(n, 1)) + base) * times)[seen].sum())
+                heads.append((len(single), total, int(times[seen].sum())))
+                rest = ~ready
+                entries.append([code[rest], times[rest], base[rest], np.where(ka, 0, single[first])[rest], np.where(kb, 0, single[first + 1])[rest]])
+                ends.append(ends[-1] + len(entries[-2][0]) + len(entries[-1][0]))
+            columns = [pa.array(np.concatenate([e[i] for e in entries])) for i in range(5)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, _ENTRY))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("uid"), batch.column("doc_id"), *(pa.array([h[i] for h in heads], pa.int64()) for i in range(3)), lists],
+                names=["uid", "doc_id", "n_words", "total", "seen", "entries"])
     return run
 
 
-def _document_pairs(vocabulary: dict[str, int]):
-    size = len(vocabulary) + 1
+def _frequent(counts: DataFrame, pairs: bool, size: int) -> tuple[np.ndarray, np.ndarray, Column]:
+    """(sorted codes, counts, condition) of the most frequent words or pairs, at most ``size``."""
+    kind = (F.col("code").bitwiseAND(F.lit(1)) == int(pairs)) & (F.col("code") != 0)
+    level = F.floor(F.log2("n") * 32).cast("int")
+    least, total = None, 0
+    for r in counts.where(kind).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 32 levels for each doubling
+        total += r["count"]
+        if total > size:
+            break
+        least = r["level"]
+    chosen = kind & (F.lit(False) if least is None else level >= least)
+    got = counts.where(chosen).select("code", "n").toArrow()
+    code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(code)
+    return code[order], n[order], chosen
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                first, total, codes, times, ends = [], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [0]
-                for text in b.column("text").to_pylist():
-                    ids = _ids(vocabulary, text)
-                    code, count = np.unique(codes_of(ids, size), return_counts=True)
-                    first.append(int(ids[0]) if len(ids) else None)
-                    total.append(len(ids))
-                    codes.append(code)
-                    times.append(count)
-                    ends.append(ends[-1] + len(code))
-                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.concatenate(times).astype(np.int32))], ["code", "times"])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("uid"), b.column("doc_id"), pa.array(first, pa.int64()), pa.array(total, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
-                    names=["uid", "doc_id", "first", "n_words", "pairs"])
-    return run
 
+def _log(n: Column) -> Column:
+    return F.rint(F.log(n) * SCALE).cast("long")
 
-def report(docs: DataFrame, vocabulary_size: int = VOCABULARY, min_count: int = MIN_COUNT) -> DataFrame:
+
+def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_words, n_backoff, score (sum of logs), mean_score."""
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = rows.select("text")
-    counts = materialize(texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = counts.orderBy(F.desc("n"), "word").limit(vocabulary_size).collect()
-    vocabulary = {r["word"]: i + 1 for i, r in enumerate(known)}
-    size = len(vocabulary) + 1
-    log_n = math.log(total) if total else 0.0
-    unknown = total - sum(r["n"] for r in known)
-    unigrams = spark.createDataFrame([(0, unknown), *((i + 1, r["n"]) for i, r in enumerate(known))], "id long, n long").where("n > 0")
-    dec = lambda c: c.cast("decimal(20,8)")
-
-    pairs = texts.mapInArrow(_count_pairs(vocabulary), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    first = unigrams.select(F.col("id").alias("before"), F.col("n").alias("n_before"))
-    pairs = pairs.withColumn("before", F.floor(F.col("code") / F.lit(size))).join(F.broadcast(first), "before")
-    pairs = materialize(pairs.select("code", "n", dec(F.log(F.col("n") / F.col("n_before"))).alias("log_pair")), "pair-counts")
-    limit = max(min_count, -(-total // HOT_SHARE))
-    hot = pairs.where(F.col("n") >= limit).select(F.col("code").alias("hot_code"), F.col("log_pair").alias("hot_log"))
-    cold = pairs.where(F.col("n") < limit).select("code", "log_pair")
-
-    per = rows.mapInArrow(_document_pairs(vocabulary), "uid long, doc_id long, first long, n_words long, pairs array<struct<code:long,times:int>>")
-    singles = unigrams.select(F.col("id").alias("word"), F.col("n").alias("n_word"))
-    # the row of a text's first word carries the number of words; its code is negative and meets no pair
-    head = F.array(F.struct((-1 - F.col("uid")).alias("code"), F.lit(1).alias("times")))
-    flat = per.select("uid", "doc_id", "first", "n_words", F.explode(F.concat(head, "pairs")).alias("p")).select("uid", "doc_id", "first", "n_words", "p.*")
-    met = flat.join(F.broadcast(hot), F.col("code") == F.col("hot_code"), "left")
-    nothing, is_head = F.lit(None).cast("long"), F.col("code") < 0
-    sums = met.where("hot_log is not null").select("uid", nothing.alias("doc_id"), nothing.alias("n_words"), F.lit(0).cast("long").alias("n_backoff"), (F.col("hot_log") * F.col("times")).alias("part"))
-    rest = met.where("hot_log is null").select(
-        "uid", "code", "times", F.when(is_head, F.col("doc_id")).alias("doc_id"), F.when(is_head, F.col("n_words")).alias("n_words"),
-        F.when(is_head, F.col("first")).otherwise(F.pmod(F.col("code"), F.lit(size))).alias("next"))
-    rest = rest.join(cold, "code", "left").join(F.broadcast(singles), F.col("next") == F.col("word"), "left")
-    backed = F.col("log_pair").isNull() & ~is_head
-    alone = F.log(F.col("n_word")) - log_n + F.when(is_head, F.lit(0.0)).otherwise(F.lit(math.log(BACKOFF)))
-    rest = rest.select(
-        "uid", "doc_id", "n_words", F.when(backed, F.col("times")).otherwise(0).cast("long").alias("n_backoff"),
-        (F.coalesce("log_pair", dec(alone), dec(F.lit(0.0))) * F.col("times")).alias("part"))
-    out = sums.unionByName(rest).groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("n_backoff").alias("n_backoff"), F.sum("part").alias("total"))
-    score = F.col("total").cast("double")
-    return out.select("doc_id", "n_words", "n_backoff", F.round(score, 6).alias("score"), F.round(score / F.nullif("n_words", F.lit(0)), 6).alias("mean_score"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    with small_batches(spark):
+        counts = rows.select("text").mapInArrow(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        counts = materialize(counts.where("n > 1 or code = 0"), "ngram-counts")
+        n_words = counts.where("code = 0").agg(F.max("n")).first()[0] or 0
+        words, word_n, hot_words = _frequent(counts, False, hot)
+        pairs, pair_n, hot_pairs = _frequent(counts, True, hot)
+        log_all, log_back = (int(round(math.log(x) * SCALE)) if x else 0 for x in (n_words, BACKOFF))
+        shared = spark.sparkContext.broadcast(((words, logs(word_n)), (pairs, pair_n), log_all - log_back))
+        schema = "uid long, doc_id {}, n_words long, total long, seen long, entries array<struct<code:long,times:long,base:long,a:long,b:long>>"
+        per = rows.mapInArrow(_scored(shared), schema.format(docs.schema["doc_id"].dataType.simpleString()))
+        # the row of a document itself has the code 0, which no table holds
+        head = F.struct(*[F.lit(0).cast("long").alias(c) for c in _ENTRY])
+        flat = per.select("uid", F.posexplode(F.concat(F.array(head), "entries")).alias("place", "e"), "doc_id", "n_words", "total", "seen")
+        first = F.col("place") == 0
+        flat = flat.select("uid", "e.*", *[F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_words", "total", "seen")])
+        open_counts = counts.where((F.col("code") != 0) & ~F.coalesce(hot_words, F.lit(False))).select("code", "n")
+        joined = flat.join(open_counts, "code", "left")
+        is_pair = F.col("code").bitwiseAND(F.lit(1)) == 1
+        met = is_pair & (F.col("n") > F.col("times"))
+        own = F.when(is_pair, F.when(met, (_log(F.col("n")) + F.col("base")) * F.col("times"))).otherwise(_log(F.col("n")) * F.col("times"))
+        waits = lambda c: F.when(met, F.nullif(c, F.lit(0).cast("long"))).alias(c)
+        sums = joined.select(
+            "uid", waits("a"), waits("b"), "doc_id", "n_words", "times", F.coalesce("total", own, F.lit(0)).alias("total"),
+            F.coalesce("seen", F.when(met, F.col("times")), F.lit(0)).alias("seen"))
+        sums = sums.groupBy("uid", "a", "b").agg(
+            F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("total").alias("total"), F.sum("seen").alias("seen"), F.sum("times").alias("times"))
+        sums = materialize(sums, "ngram-sums")
+    late = sums.where("a is not null or b is not null")
+    for c in ("a", "b"):  # words that were met once have the logarithm 0
+        known = counts.where(F.col("code").bitwiseAND(F.lit(1)) == 0).select(F.col("code").alias(c), _log(F.col("n")).alias(f"log_{c}"))
+        late = late.join(known, c, "left")
+    late = late.select("uid", "doc_id", "n_words", (F.col("total") - (F.coalesce("log_a", F.lit(0)) + F.coalesce("log_b", F.lit(0))) * F.col("times")).alias("total"), "seen")
+    done = sums.where("a is null and b is null").select("uid", "doc_id", "n_words", "total", "seen").unionByName(late)
+    out = done.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("total").alias("total"), F.sum("seen").alias("seen"))
+    # of n words the first takes its share, n - 1 are backed off unless their pair was seen
+    score = (F.col("total") - F.col("n_words") * log_all + F.greatest(F.col("n_words") - 1, F.lit(0)) * log_back) / SCALE
+    return out.select(
+        "doc_id", "n_words", (F.greatest(F.col("n_words") - 1, F.lit(0)) - F.col("seen")).cast("long").alias("n_backoff"),
+        F.round(score, 6).alias("score"), F.round(score / F.nullif("n_words", F.lit(0)), 6).alias("mean_score"))
+
