@@ -18,9 +18,9 @@ Documents with the same set are one class and only its first row takes part. A b
 inside: rows carry their number of shingles and a sketch folded to a quarter, blocks of about
 ``MEMBERS`` rows meet block by block (a large bucket is many such groups, spread over the
 tasks), and only pairs of different components whose sizes and sketches allow a link leave the
-task. In the first ``NEAREST`` rounds these are only the nearest such partner of every row, so
-that a group of near copies is joined by a number of pairs like its rows; links are contracted
-to components, and buckets of one component are done. In the last round all pairs that are left
+task. In the first ``NEAREST`` rounds these are only the nearest such partner of every row, in
+a share of the buckets, so that a group of near copies is joined by a number of pairs like its
+rows; links are contracted to components, and buckets of one component are done. In the last round all pairs that are left
 leave the task, so no link is lost. Verification has two steps: the Hamming distance of the
 whole sketches, then the exact intersection. For that the texts are read again and each set
 goes once to the task of its leader; sets are never stored.
@@ -51,8 +51,9 @@ FOLD = 4
 #: Rows of a bucket that meet in one group, and rows that are tested together.
 MEMBERS = 256
 CHUNK = 20_000
-#: Rounds in which every row only meets its nearest partner.
+#: Rounds in which every row only meets its nearest partner, each in one of so many shares of the buckets.
 NEAREST = 2
+SHARES = 4
 #: Partners of one leader that are compared in one group.
 PARTNERS = 200
 
@@ -91,10 +92,13 @@ def _release() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the lower-cased words, by a polynomial over the bytes of each word."""
+def word_hashes(text: str | None, gaps: np.ndarray = _GAPS) -> np.ndarray:
+    """64-bit hashes of the lower-cased words, by a polynomial over the bytes of each word.
+
+    ``gaps`` says for every byte whether it stands between words.
+    """
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], _GAPS[raw], [True]])))
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], gaps[raw], [True]])))
     starts, ends = edges[::2], edges[1::2]
     _POWERS.reach(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
@@ -440,7 +444,7 @@ def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple
     segments = keyed.select("uid", "keys").join(broadcast_counted(copies), "uid", "left_anti").select("uid", F.explode("keys").alias("k")).select("uid", "k.band", "k.key")
     shared = segments.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("uid").alias("lead")).where("m > 1").select("key", "lead")
     shared = materialize(shared, "shared")
-    buckets = materialize(segments.join(broadcast_counted(shared), "key"), "buckets")
+    buckets = materialize(segments.join(shared.hint("merge"), "key"), "buckets")  # the same way at every size
     discard(shared)
 
     members = materialize(buckets.select("uid", "band").distinct(), "members")
@@ -450,7 +454,8 @@ def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple
         opened = _open_buckets(buckets, comps)
         if comps is not None and not row_count(opened):
             break
-        pairs = _bucket_pairs(opened, small, percent, turn < NEAREST)
+        part = opened if turn == NEAREST else opened.where(F.pmod(F.xxhash64("key"), F.lit(SHARES)) == turn)
+        pairs = _bucket_pairs(part, small, percent, turn < NEAREST)
         near = materialize(_near_sketches(pairs, sketches, percent), "near") if row_count(pairs) else pairs
         if row_count(near):
             new = _verified(docs, near, classes, percent, size)
