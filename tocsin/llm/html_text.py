@@ -9,8 +9,9 @@ of elements with a content marginal of one half or more is the main text.
 The potentials are trained from labelled pages: pages with an ``article`` or ``main`` element
 label their own elements. At most ``FIT_PAGES`` pages are counted, drawn by a hash of the page
 id; counts are summed by Spark. Markup that names its purpose (``nav``, ``aside``, ``footer``,
-``form``, a class such as "ad" or "comments") and elements that are never shown enter as
-evidence that messages cannot outvote. Words in class, id or role say nothing of ``html``,
+``form``, a class such as "ad" or "comments") and elements that are never shown (also by style)
+enter as evidence that messages cannot outvote; a form around an article or main element, as
+form frameworks write it, says nothing. Words in class, id or role say nothing of ``html``,
 ``body``, ``main``, outermost ``article`` elements and what wraps all of these, nor, outside
 of articles, of elements that hold half of the shown text or more and leave no article out.
 
@@ -59,8 +60,11 @@ CUES = frozenset("""ad ads advert adverts advertisement advertising banner spons
     form contentinfo complementary""".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|$)""", re.IGNORECASE)
+_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|$)""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
+#: Elements of other vocabularies, where a tag may close itself.
+FOREIGN = frozenset("svg math".split())
 _SENTENCE = re.compile(r"[.!?,;:]")
 
 
@@ -70,6 +74,7 @@ class Tree:
     def __init__(self, page: str):
         self.tags, self.parents, self.hidden, self.cues, self.pieces = ["#root"], [-1], [False], [False], []
         stack, at = [0], 0
+        self.open: Counter = Counter()
         while True:
             m = _TOKEN.search(page, at)
             text = page[at:m.start()] if m else page[at:]
@@ -89,14 +94,15 @@ class Tree:
     def _open(self, stack: list[int], tag: str, attributes: str, page: str, at: int) -> int:
         if tag == "br" or tag == "hr":
             self.pieces.append((stack[-1], None))
-        if tag in CLOSES_P and any(self.tags[i] == "p" for i in stack):
+        if tag in CLOSES_P:
             self._close(stack, "p")
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[i]] in SAME.get(tag, ()):
-                del stack[i:]
-                break
-            if self.tags[stack[i]] in SCOPE:
-                break
+        if tag in SAME and any(self.open[t] for t in SAME[tag]):
+            for i in range(len(stack) - 1, 0, -1):
+                if self.tags[stack[i]] in SAME[tag]:
+                    self._leave(stack, i)
+                    break
+                if self.tags[stack[i]] in SCOPE:
+                    break
         if tag in VOID:
             return at
         self.tags.append(tag)
@@ -105,7 +111,7 @@ class Tree:
         self.hidden.append(hidden)
         self.cues.append(cue)
         me = len(self.tags) - 1
-        if attributes.endswith("/"):
+        if attributes.endswith("/") and (tag in FOREIGN or self.open["math"]):  # HTML elements do not close themselves
             return at
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(page, at)
@@ -114,17 +120,31 @@ class Tree:
             close = page.find(">", end.start())
             return len(page) if close < 0 else close + 1
         stack.append(me)
+        self.open[tag] += 1
         return at
 
+    def _leave(self, stack: list[int], i: int) -> None:
+        for j in stack[i:]:
+            self.open[self.tags[j]] -= 1
+        del stack[i:]
+
     def _close(self, stack: list[int], tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[i]] == tag:
-                del stack[i:]
-                return
+        """Leaves the innermost open element of this name; a look from the top ends there."""
+        if not self.open[tag]:
+            return
+        i = len(stack) - 1
+        while self.tags[stack[i]] != tag:
+            i -= 1
+        self._leave(stack, i)
 
     def evidence(self) -> list[bool]:
         """Elements that cannot be content: hidden, or set apart by tag or class."""
         apart = [t in HIDDEN or h or t in APART for t, h in zip(self.tags, self.hidden, strict=True)]
+        if "form" in self.tags:
+            holds = [t in ("article", "main") for t in self.tags]
+            for i in range(len(holds) - 1, 0, -1):
+                holds[self.parents[i]] = holds[self.parents[i]] or holds[i]
+            apart = [a and (h or not (t == "form" and x)) for a, h, t, x in zip(apart, self.hidden, self.tags, holds, strict=True)]
         if True not in self.cues:
             return apart
         open_ = self._not_named_apart(apart)
@@ -188,6 +208,8 @@ def _named_apart(attributes: str) -> tuple[bool, bool]:
     for m in _ATTR.finditer(attributes):
         if m[1].lower() == "hidden":
             hidden = True
+        elif m[1].lower() == "style":
+            hidden = hidden or _UNSEEN.search(m[2] or m[3] or m[4] or "") is not None
         elif not CUES.isdisjoint(_WORDS.findall((m[2] or m[3] or m[4] or "").lower())):
             cue = True
     return hidden, cue

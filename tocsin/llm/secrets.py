@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns and sliding-window entropy of candidate strings.
 
-Candidates are runs of letters, digits and key punctuation. Of each candidate the narrowest
-character class that holds it (digits, hex, letters with digits, base 64) sets the entropy
-that a window of ``WINDOW`` characters must reach. The Shannon entropy of the windows is kept
-by incremental counts: a step takes one character out and one in, and changes two terms of
-sum c*log2(c). Windows above the limit that touch no span of another kind join to one span
+Candidates are runs of letters, digits and key punctuation. Of each window of ``WINDOW``
+characters the narrowest character class that holds it (digits, hex, letters with digits, base
+64) sets the entropy that it must reach, so a key beside a slash is judged as a key. Entropy
+and class are kept by incremental counts: a step takes one character out and one in, and
+changes two terms of sum c*log2(c) and two counts of character kinds. Windows above the limit that touch no span of another kind join to one span
 where they overlap. An allow-list suppresses candidates and spans that are words of letters
 only, runs without both letters and digits, paths, host names, dates and UUIDs as a whole. A
 placeholder word within a span takes the ``WINDOW`` characters on either side of it out; the
@@ -40,41 +40,44 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % WINDOW)
 #: Least entropy of a window by character class, in bits per character.
-CLASSES = (
-    ("digits", re.compile(r"[0-9]+"), 3.1),
-    ("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)"), 3.0),
-    ("alnum", re.compile(r"[A-Za-z0-9]+"), 3.7),
-    ("base64", re.compile(r"[A-Za-z0-9+/_.=-]+"), 3.9),
-)
+LIMITS = {"digits": 3.1, "hex": 3.0, "alnum": 3.7, "base64": 3.9}
+#: Kinds of characters: digits, a-f, A-F, other letters, and the rest.
+_KIND = {c: k for k, cs in enumerate(("0123456789", "abcdef", "ABCDEF")) for c in cs} | {c: 3 for c in "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ"}
 ALLOW = (
     re.compile(r"[A-Za-z]+(?:[._/-][A-Za-z]+)*[.=_/-]*"),  # words, paths and host names
-    re.compile(r"[0-9._/=+-]+"),  # numbers, dates, versions, telephone numbers
+    re.compile(r"[._/=+-]*[0-9]+(?:[._/=+-]+[0-9]*)+|[._/=+-]+"),  # dates, versions, telephone numbers, rules
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
 )
 PLACEHOLDER = re.compile(r"example|placeholder|changeme|your[_-]?(?:key|token|secret)|xxxx|0{8}|1234567|abcdefg", re.IGNORECASE)
 _TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
-def class_of(text: str) -> tuple[str, float]:
-    """Narrowest character class of a candidate, and its limit."""
-    return next((name, limit) for name, pattern, limit in CLASSES if pattern.fullmatch(text))
+def class_of(kinds: list[int]) -> str:
+    """Narrowest character class of a window, by how many characters of each kind it has."""
+    if kinds[4]:
+        return "base64"
+    if kinds[3] or (kinds[1] and kinds[2]):
+        return "alnum"
+    return "hex" if kinds[1] or kinds[2] else "digits"
 
 
-def window_entropies(text: str, window: int = WINDOW):
-    """Shannon entropy of every window, by incremental counts."""
+def windows(text: str, window: int = WINDOW):
+    """(Shannon entropy, character class) of every window, by incremental counts."""
     counts: dict[str, int] = {}
-    total = 0.0
+    kinds, total = [0] * 5, 0.0
     for i, c in enumerate(text):
         n = counts.get(c, 0)
         total += _TERM[n + 1] - _TERM[n]
         counts[c] = n + 1
+        kinds[_KIND.get(c, 4)] += 1
         if i + 1 < window:
             continue
-        yield math.log2(window) - total / window
+        yield math.log2(window) - total / window, class_of(kinds)
         old = text[i + 1 - window]
         n = counts[old]
         total += _TERM[n - 1] - _TERM[n]
         counts[old] = n - 1
+        kinds[_KIND.get(old, 4)] -= 1
 
 
 def joined_windows(found: list[int]) -> list[tuple[int, int]]:
@@ -121,9 +124,8 @@ def entropy_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, in
         word = m[0]
         if any(p.fullmatch(word) for p in ALLOW):
             continue
-        _, limit = class_of(word)
         for at, stop in free(m.start(), m.end()):
-            found = [at + i for i, h in enumerate(window_entropies(text[at:stop])) if h >= limit]
+            found = [at + i for i, (h, kind) in enumerate(windows(text[at:stop])) if h >= LIMITS[kind]]
             out += [("entropy", a, b) for a, b in without_placeholders(text, found) if not any(p.fullmatch(text, a, b) for p in ALLOW)]
     return out
 
