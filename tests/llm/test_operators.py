@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -256,13 +257,30 @@ def test_secrets(docs, empty):
     assert secrets.report(docs).count() == len(base_rows()) and secrets.report(empty).count() == 0
 
 
-def test_window_entropy_equals_counting():
+def narrowest_class(window):
+    return next(k for k, p in (("digits", "[0-9]+"), ("hex", "[0-9a-f]+|[0-9A-F]+"), ("alnum", "[A-Za-z0-9]+"), ("base64", ".+")) if re.fullmatch(p, window))
+
+
+def test_windows_equal_counting():
     import math
 
-    text = "aabbccddeeffgghhiijjkkllmmaaaa0123"
-    for i, h in enumerate(secrets.window_entropies(text)):
-        counts = Counter(text[i:i + secrets.WINDOW]).values()
-        assert abs(h + sum(c / secrets.WINDOW * math.log2(c / secrets.WINDOW) for c in counts)) < 1e-9
+    for text in ("aabbccddeeffgghhiijjkkllmmaaaa0123", "0123456789012345678901234abcdefABCDEF/xyz", "ABCDEF0123456789ABCDEF0123456789"):
+        for i, (h, kind) in enumerate(secrets.windows(text)):
+            window = text[i:i + secrets.WINDOW]
+            counts = Counter(window).values()
+            assert abs(h + sum(c / secrets.WINDOW * math.log2(c / secrets.WINDOW) for c in counts)) < 1e-9
+            assert kind == narrowest_class(window)
+
+
+def test_secrets_of_every_class_and_recall():
+    for found in ("ref/9f86d081884c7d659a2f", "ids 83491756204917365820 here", "v9.f86d081884c7d659a2f3b", "ghp_1a2B3c4D5e6F7g8H9j0K"):
+        assert "entropy" in [k for k, *_ in secrets.scan(found)], found
+    rng = random.Random(12)
+    alphabets = {"digits": "0123456789", "hex": "0123456789ABCDEF", "alnum": "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", "base64": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"}
+    caught = {k: sum(bool(secrets.scan("key " + "".join(rng.choice(cs) for _ in range(40)) + " end")) for _ in range(300)) for k, cs in alphabets.items()}
+    assert min(caught.values()) >= 270, caught
+    plain = ["2024-01-02T03:04:05+00:00", "averyverylongwordwithoutanydigits", "www.some-host-name.of-a.org/path/to/page", "192.168.100.200-192.168.100.255", "1.234.567.890.123.456", "00000000000000000000000", "=========================", "internationalization/localization"]
+    assert not any(secrets.scan(p) for p in plain)
 
 
 def test_packing(docs, empty):
@@ -368,23 +386,42 @@ def test_token_counts(docs, empty):
     assert token_counts.report(empty, path).count() == 0
 
 
-def test_lm_score(docs, empty):
+def brute_lm(texts):
     import math
 
-    texts = [WORD.findall(low(r[1])) for r in base_rows()]
     c1 = Counter(w for t in texts for w in t)
     c2 = Counter(p for t in texts for p in zip(t, t[1:]))
-    n = sum(c1.values())
-    want = []
+    n, out = sum(c1.values()), []
     for t in texts:
-        s = math.log(c1[t[0]] / n) if t else 0.0
+        own, s, backed = Counter(zip(t, t[1:])), math.log(c1[t[0]] / n) if t else 0.0, 0
         for a, b in zip(t, t[1:]):
-            s += math.log(c2[a, b] / c1[a]) if c2[a, b] >= 2 else math.log(0.4 * c1[b] / n)
-        want.append(s)
-    got = lm_score.report(docs)
-    assert sorted(r["score"] for r in got.collect()) == pytest.approx(sorted(want), abs=1e-3)
+            seen = c2[a, b] > own[a, b]
+            s += math.log(c2[a, b] / c1[a]) if seen else math.log(0.4 * c1[b] / n)
+            backed += not seen
+        out.append((len(t), backed, s))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [0, 5, 60, 500_000])
+def test_lm_score(docs, empty, hot):
+    texts = [WORD.findall(low(r[1])) for r in base_rows()]
+    got = lm_score.report(docs, hot)
+    rows = sorted((r["n_words"], r["n_backoff"], r["score"]) for r in got.collect())
+    want = brute_lm(texts)
+    assert [r[:2] for r in rows] == [r[:2] for r in want] and [r[2] for r in rows] == pytest.approx([r[2] for r in want], abs=1e-3)
     assert got.where("n_words = 0 and (score <> 0 or mean_score is not null)").count() == 0
-    assert lm_score.report(empty).count() == 0
+    assert lm_score.report(empty, hot).count() == 0
+
+
+def test_lm_score_leaves_no_word_out(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(90_000)}" for _ in range(3000)) for _ in range(40)]
+    texts += texts[:3] + ["ab" * 40_000, "É é É é"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert len({w for t in texts for w in WORD.findall(low(t))}) > 50_000
+    rows = sorted((r["n_words"], r["n_backoff"], r["score"]) for r in lm_score.report(frame, 300).collect())
+    want = brute_lm([WORD.findall(low(t)) for t in texts])
+    assert [r[:2] for r in rows] == [r[:2] for r in want] and [r[2] for r in rows] == pytest.approx([r[2] for r in want], rel=1e-6)
 
 
 def test_clean_rows_with_the_id_of_a_dropped_row_stay(spark):
@@ -422,10 +459,9 @@ def test_entropy_windows_beside_base_spans_and_placeholders():
         for m in secrets.CANDIDATE.finditer(text):
             if any(p.fullmatch(m[0]) for p in secrets.ALLOW) or secrets.PLACEHOLDER.search(m[0]):
                 continue
-            limit = secrets.class_of(m[0])[1]
-            for i, h in enumerate(secrets.window_entropies(m[0])):
+            for i, (h, kind) in enumerate(secrets.windows(m[0])):
                 a, b = m.start() + i, m.start() + i + secrets.WINDOW
-                if h >= limit and all(b <= x or y <= a for x, y in base):
+                if h >= secrets.LIMITS[kind] and all(b <= x or y <= a for x, y in base):
                     assert any(x <= a and b <= y for x, y in found)
 
 
@@ -444,6 +480,20 @@ def test_html_names_of_wrappers_do_not_cut_the_page(spark):
         assert tree.evidence()[2] == apart and tree.evidence()[tree.tags.index("div", 3)]
 
 
+def test_html_forms_scripts_styles_and_depth(spark):
+    text = "One long sentence, with words. Another one follows, and ends here."
+    pages = [f"<body><form id='aspnet'><div><article><p>{text}</p></article></div></form></body>",
+             f"<article><script/>var x = 1;</script><p>{text}</p></article>",
+             f"<article><p style='display:none'>hidden words, never shown.</p><p>{text}</p><form><label>Name<input></label></form></article>",
+             "<div>" * 30_000 + f"<article><p>{text}</p></article>", f"<article><p>{text}</p></article>" + "</span>" * 30_000]
+    start = time.process_time()
+    assert [html_text.Model({}).text(p) for p in pages] == [text] * 5
+    assert time.process_time() - start < 10  # linear in the depth
+    rows = [(i, "u", p, "x") for i, p in enumerate(pages[:3])] + [(0, "u", pages[0], "x"), (None, None, None, None)]
+    out = html_text.report(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert Counter((r["page_id"], r["text"]) for r in out) == Counter([*((i, text) for i in range(3)), (0, text), (None, "")])
+
+
 def test_toxicity_short_terms(spark):
     lexicon = toxicity.Lexicon({"scum": 2.0, "zog": 1.0}, {})
     for form in ("scvm", "scumm", "scums", "5cum", "sc7m", "sc*m", "sccum"):

@@ -115,24 +115,21 @@ def op2(spark, d):
 
 
 @query("op8_lm_score", f"""
-with w as (select doc_id, {_WORDS} as w from documents),
-c1 as (select word, count(*) as n from (select unnest(w) as word from w) group by word),
-total as (select sum(n) as n from c1),
-top as (select word, n from c1 order by n desc, word limit {lm_score.VOCABULARY}),
-seq as (select doc_id, p, case when top.word is null then '' else t.word end as word
-        from (select doc_id, unnest(w) as word, unnest(range(len(w))) as p from w) t left join top using (word)),
-uni as (select word, count(*) as n from seq group by word),
-big as (select doc_id, p, word, lag(word) over (partition by doc_id order by p) as before from seq),
-c2 as (select before, word, count(*) as n from big where before is not null group by 1, 2 having count(*) >= {lm_score.MIN_COUNT}),
-parts as (select big.doc_id, big.before is not null and c2.n is null as backed,
-          cast(case when big.before is null then ln(u.n) - ln(total.n) when c2.n is not null then ln(c2.n / b.n)
-               else ln(u.n) - ln(total.n) + ln({lm_score.BACKOFF}) end as decimal(20, 8)) as part
-          from big join uni u using (word) cross join total
-          left join uni b on b.word = big.before left join c2 on c2.before = big.before and c2.word = big.word)
-select w.doc_id, any_value(len(w.w))::bigint as n_words, coalesce(sum(backed::int), 0)::bigint as n_backoff,
-       round(coalesce(sum(part), 0)::double, 6) as score,
-       round(sum(part)::double / nullif(any_value(len(w.w)), 0), 6) as mean_score
-from w left join parts using (doc_id) group by w.doc_id""")
+with w as (select row_number() over () as uid, doc_id, {_WORDS} as w from documents),
+t as (select uid, unnest(w) as word, unnest(range(len(w))) as p from w),
+total as (select cast(round(ln(count(*)) * 1e8) as bigint) as l from t),
+uni as (select word, cast(round(ln(count(*)) * 1e8) as bigint) as l from t group by word),
+big as (select uid, lag(word) over (partition by uid order by p) as a, word as b from t),
+own as (select uid, a, b, count(*) as times from big group by all),
+pair as (select a, b, sum(times) as n from own where a is not null group by all),
+parts as (select own.uid, case when own.a is not null and n = times then times else 0 end as backed,
+          times * case when own.a is null then ub.l - total.l when n > times then cast(round(ln(n) * 1e8) as bigint) - ua.l
+                  else ub.l - total.l + cast(round(ln({lm_score.BACKOFF}) * 1e8) as bigint) end as part
+          from own cross join total join uni ub on ub.word = own.b left join uni ua on ua.word = own.a left join pair on pair.a = own.a and pair.b = own.b)
+select any_value(w.doc_id) as doc_id, any_value(len(w.w))::bigint as n_words, coalesce(sum(backed), 0)::bigint as n_backoff,
+       round(coalesce(sum(part), 0)::double / 1e8, 6) as score,
+       round(sum(part)::double / 1e8 / nullif(any_value(len(w.w)), 0), 6) as mean_score
+from w left join parts using (uid) group by w.uid""")
 def op8(spark, d):
     return lm_score.report(table(spark, d, "documents"))
 
