@@ -98,28 +98,29 @@ def _lookup(codes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np
     return met, np.where(met, values[at], 0)
 
 
-_ENTRY = ["code", "times", "base", "a", "b"]
+#: An entry keeps how often it stands in the text in the low bits of one number, and its base above.
+TIMES_BITS = 28
 
 
 def _scored(shared):
     """mapInArrow: documents to their sums over frequent n-grams, and the entries that are still open.
 
-    An open word has its code and times; an open pair also ``base``, what is known of its term
-    besides the logarithm of its count, and the codes ``a``, ``b`` of its words that are not
-    frequent (0 where they are).
+    An open word has its code and times; an open pair also a base, what is known of its term
+    besides the logarithm of its count, and the codes ``a``, ``b`` of its words if one of them is
+    not frequent (0 for the other). Rows are narrow, as most of what is shuffled are these.
     """
     def run(batches):
         words, pairs, constant = shared.value
         counts = pairs[0], pairs[1]
         for batch in _slices(batches, 200):
-            heads, entries, ends = [], [[np.empty(0, np.int64)] * 5], [0]
+            heads, entries, ends = [], [[np.empty(0, np.int64)] * 4], [0]
             for text in batch.column("text").to_pylist():
                 single, double = codes_of(text)
                 known, value = _lookup(single, words)
                 total = int(value.sum())
                 code, times = np.unique(single[~known], return_counts=True)
                 nothing = np.zeros(len(code), np.int64)
-                entries.append([code, times, nothing, nothing, nothing])
+                entries.append([code, times, nothing, nothing])
                 code, first, times = np.unique(double, return_index=True, return_counts=True)
                 ka, kb, va, vb = known[first], known[first + 1], value[first], value[first + 1]
                 base = constant - va - vb
@@ -129,10 +130,11 @@ def _scored(shared):
                 total += int(((logs(np.maximum(n, 1)) + base) * times)[seen].sum())
                 heads.append((len(single), total, int(times[seen].sum())))
                 rest = ~ready
-                entries.append([code[rest], times[rest], base[rest], np.where(ka, 0, single[first])[rest], np.where(kb, 0, single[first + 1])[rest]])
+                entries.append([code[rest], (base[rest] << TIMES_BITS) + times[rest], np.where(ka, 0, single[first])[rest], np.where(kb, 0, single[first + 1])[rest]])
                 ends.append(ends[-1] + len(entries[-2][0]) + len(entries[-1][0]))
-            columns = [pa.array(np.concatenate([e[i] for e in entries])) for i in range(5)]
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, _ENTRY))
+            code, packed, a, b = (np.concatenate([e[i] for e in entries]) for i in range(4))
+            rare = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"], mask=pa.array((a == 0) & (b == 0)))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(code), pa.array(packed), rare], ["code", "packed", "rare"]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("uid"), batch.column("doc_id"), *(pa.array([h[i] for h in heads], pa.int64()) for i in range(3)), lists],
                 names=["uid", "doc_id", "n_words", "total", "seen", "entries"])
@@ -172,22 +174,22 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
         pairs, pair_n, hot_pairs = _frequent(counts, True, hot)
         log_all, log_back = (int(round(math.log(x) * SCALE)) if x else 0 for x in (n_words, BACKOFF))
         shared = spark.sparkContext.broadcast(((words, logs(word_n)), (pairs, pair_n), log_all - log_back))
-        schema = "uid long, doc_id {}, n_words long, total long, seen long, entries array<struct<code:long,times:long,base:long,a:long,b:long>>"
-        per = rows.mapInArrow(_scored(shared), schema.format(docs.schema["doc_id"].dataType.simpleString()))
+        entry = "struct<code:long,packed:long,rare:struct<a:long,b:long>>"
+        per = rows.mapInArrow(_scored(shared), f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, total long, seen long, entries array<{entry}>")
         # the row of a document itself has the code 0, which no table holds
-        head = F.struct(*[F.lit(0).cast("long").alias(c) for c in _ENTRY])
-        flat = per.select("uid", F.posexplode(F.concat(F.array(head), "entries")).alias("place", "e"), "doc_id", "n_words", "total", "seen")
-        first = F.col("place") == 0
-        flat = flat.select("uid", "e.*", *[F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_words", "total", "seen")])
+        head = F.lit(None).cast(entry)
+        flat = per.select("uid", F.posexplode(F.concat(F.array(head), "entries")).alias("place", "e"), F.struct("doc_id", "n_words", "total", "seen").alias("doc"))
+        flat = flat.select("uid", F.coalesce("e.code", F.lit(0).cast("long")).alias("code"), "e.packed", "e.rare", F.when(F.col("place") == 0, F.col("doc")).alias("doc"))
         open_counts = counts.where((F.col("code") != 0) & ~F.coalesce(hot_words, F.lit(False))).select("code", "n")
         joined = flat.join(open_counts, "code", "left")
+        times, base = F.col("packed").bitwiseAND(F.lit((1 << TIMES_BITS) - 1)), F.shiftright("packed", TIMES_BITS)
         is_pair = F.col("code").bitwiseAND(F.lit(1)) == 1
-        met = is_pair & (F.col("n") > F.col("times"))
-        own = F.when(is_pair, F.when(met, (_log(F.col("n")) + F.col("base")) * F.col("times"))).otherwise(_log(F.col("n")) * F.col("times"))
-        waits = lambda c: F.when(met, F.nullif(c, F.lit(0).cast("long"))).alias(c)
+        met = is_pair & (F.col("n") > times)
+        own = F.when(is_pair, F.when(met, (_log(F.col("n")) + base) * times)).otherwise(_log(F.col("n")) * times)
+        waits = lambda c: F.when(met, F.nullif(F.col("rare")[c], F.lit(0).cast("long"))).alias(c)
         sums = joined.select(
-            "uid", waits("a"), waits("b"), "doc_id", "n_words", "times", F.coalesce("total", own, F.lit(0)).alias("total"),
-            F.coalesce("seen", F.when(met, F.col("times")), F.lit(0)).alias("seen"))
+            "uid", waits("a"), waits("b"), "doc.doc_id", "doc.n_words", times.alias("times"), F.coalesce(F.col("doc.total"), own, F.lit(0)).alias("total"),
+            F.coalesce(F.col("doc.seen"), F.when(met, times), F.lit(0)).alias("seen"))
         sums = sums.groupBy("uid", "a", "b").agg(
             F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("total").alias("total"), F.sum("seen").alias("seen"), F.sum("times").alias("times"))
         sums = materialize(sums, "ngram-sums")
