@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,17 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, old)
 
 
+def release_memory() -> None:
+    """For the end of a Python task: what it freed goes back to the system, as the worker process
+    stays for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_hash(text: Column) -> Column:
     """64-bit hash of a text; null counts as the empty string."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
@@ -79,4 +93,4 @@ def drop_rows(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     return docs.join(broadcast_counted(gone), same, "left_anti")
 
 
-__all__ = ["BROADCAST_ROWS", "WORD", "broadcast_counted", "discard", "drop_rows", "fresh", "lower_ascii", "materialize", "row_count", "small_batches", "table", "text_hash", "words"]
+__all__ = ["BROADCAST_ROWS", "WORD", "broadcast_counted", "discard", "drop_rows", "fresh", "lower_ascii", "materialize", "release_memory", "row_count", "small_batches", "table", "text_hash", "words"]

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import BROADCAST_ROWS, broadcast_counted, discard, drop_rows, materialize, row_count, small_batches
+from tocsin.llm.common import BROADCAST_ROWS, broadcast_counted, discard, drop_rows, materialize, release_memory, row_count, small_batches
 
 SHINGLE = 3
 PERCENT = 90
@@ -89,7 +89,7 @@ _POWERS = _Powers()
 def _release() -> None:
     """At the end of a task: gives back what the longest text needed."""
     _POWERS.up = _POWERS.down = np.empty(0, np.uint64)
-    pa.default_memory_pool().release_unused()
+    release_memory()
 
 
 def word_hashes(text: str | None, gaps: np.ndarray = _GAPS) -> np.ndarray:

@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tocsin.llm.common import materialize, small_batches
+from tocsin.llm.common import materialize, release_memory, small_batches
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that are ranked in one block.
 BLOCK = 2000
 #: Words and chunks that a task remembers, about 200 bytes each.
-CACHE = 400_000
+CACHE = 250_000
 
 #: Letters that no normal form changes and whose lower case is one letter, then marks that are cut off.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+")
@@ -141,7 +141,7 @@ def _pieces(path: str, capacity: int):
                     rows += [(uid, doc, i, i * capacity, len(part) // 4, zlib.crc32(part)) for i in range(-(-len(ids) // step)) if (part := ids[i * step:(i + 1) * step])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6, names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
         tokenizer.chunks.clear()
-        pa.default_memory_pool().release_unused()
+        release_memory()
     return run
 
 

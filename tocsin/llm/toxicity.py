@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import fresh, materialize
+from tocsin.llm.common import fresh, materialize, release_memory
 
 STEM = 5
 FIT_ROWS = 40_000
@@ -280,8 +281,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) -> Model:
 def score_column(model: Model):
     """Pandas UDF from text to score."""
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(texts))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.concatenate([np.empty(0), *(np.asarray(model.scores(texts.iloc[at:at + 500]), float) for at in range(0, len(texts), 500))]))
+        model.lexicon.known.clear()
+        release_memory()
     return score
 
 
