@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.binomial import exact_limits, hc_index, tolerance_index
@@ -21,7 +22,7 @@ def numbers(spark, n):
 
 
 def marginal(spark, maxima, alphas):
-    counts = rk.value_counts(maxima, [], "maximum")
+    counts = rk.distinct_values(maxima, [], "maximum")
     sizes = maxima.agg(F.count("*").alias("m0"))
     out = ca.marginal_thresholds(counts, sizes, alphas, [], "maximum")
     return {r["alpha"]: (r["threshold"][0], r["k"], r["alpha_m0"]) for r in out.collect()}
@@ -87,27 +88,62 @@ def test_youden_ties_and_single_class(spark):
 def test_linear_quantile_matches_percentile(spark):
     df = spark.range(101).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 101).cast("double").alias("v"))
     probs = [(q, q) for q in (0.0, .1, .25, .9, 1.0)]
-    got = {(r["g"], r["prob"]): r["quantile"] for r in rk.quantile_linear(rk.value_counts(df, ["g"], "v"), ["g"], "v", probs).collect()}
+    got = {(r["g"], r["prob"]): r["quantile"] for r in rk.quantile_linear(rk.distinct_values(df, ["g"], "v"), ["g"], "v", probs).collect()}
     for g in (0, 1):
         for q in (0.0, .1, .25, .9, 1.0):
             want = df.where(F.col("g") == g).select(F.percentile("v", F.lit(q))).first()[0]
             assert got[(g, q)] == pytest.approx(want)
 
 
-def test_ranged_path_equals_window_path(spark, monkeypatch):
-    """The distributed ranks and sums give the same rows as the plain window, with one
-    value holding a third of all rows and NULL keys."""
-    df = spark.range(6000).select(
-        F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 2).alias("g"),
-        F.when(F.col("id") % 3 == 0, 1.5).otherwise((F.col("id") * 7919 % 1000) / 7.0).alias("v"), F.col("id"))
-    def run():
-        sums = rk.prefix_sums(df, ["g"], "v", {"n": F.lit(1), "s": F.col("id")})
-        ranks = rk.global_rank(df, ["g"], [F.col("v"), F.col("id")])
-        order = lambda d: sorted((tuple(r) for r in d.select(*sorted(d.columns)).collect()), key=repr)
-        return order(sums), order(ranks)
-    plain = run()
-    monkeypatch.setattr(rk, "WINDOW_ROW_LIMIT", 10)
-    assert run() == plain
+def skewed(spark):
+    """One value holds a third of all rows; NULL keys; signs, zeros, infinities and neighbours."""
+    odd = F.element_at(F.array(*[F.lit(x) for x in (INF, -INF, 0.0, -0.0, 1e-320, -2.5e-310, 1.0, 1.0 + 2**-52, 2.0**-1022, -1e308)]), (F.col("id") % 10 + 1).cast("int"))
+    v = F.when(F.col("id") % 3 == 0, 1.5).when(F.col("id") % 7 == 0, odd).otherwise((F.col("id") * 7919 % 1000 - 400) / 7.0)
+    return spark.range(6000).select(F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 2).alias("g"), v.alias("v"), "id")
+
+
+def test_ordered_bits_order_all_doubles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2**63, 2**63 - 1, 20_000).view(np.float64)
+    x = np.concatenate([x[np.isfinite(x)], [0.0, INF, -INF, 5e-324, -5e-324, 2.0**-1022, 1.7976931348623157e308], 2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1000, 1024), 0)])
+    got = [r[0] for r in spark.createDataFrame([(float(v), i) for i, v in enumerate(x)], "v double, i long").select(rk.ordered_bits(F.col("v")).alias("b"), "i").orderBy("i").collect()]
+    bits = np.abs(x).view(np.int64)
+    assert got == np.where(x < 0, -bits, bits).tolist()
+
+
+def test_selected_ranks_equal_sorted_values(spark):
+    df = skewed(spark)
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r["g"], []).append(r["v"])
+    wanted = [(g, k) for g, vs in groups.items() for k in (1, 2, 17, len(vs) // 2, len(vs) - 1, len(vs), len(vs) + 1)]
+    out = rk.select_ranks(rk.distinct_values(df, ["g"], "v"), spark.createDataFrame(wanted, "g long, k long"), ["g"], "v")
+    got = {(r["g"], r["k"]): r["threshold"] for r in out.collect()}
+    assert len(got) == len(set(wanted))
+    for (g, k), value in got.items():
+        vs = sorted(groups[g])
+        assert value == (vs[k - 1] if k <= len(vs) else None)
+
+
+def test_weights_are_summed_exactly(spark):
+    df = spark.range(3000).select((F.col("id") % 1000).cast("double").alias("x"), (F.lit(1.0) / 3).alias("w"))
+    for q in (0.001, 0.25, 0.5, 0.999, 1.0):
+        assert rk.weighted_quantile(df, [], "x", "w", [(q, q)]).first()["quantile"] == math.ceil(round(1000 * q, 9)) - 1
+
+
+def test_ranged_sums_and_ranks_equal_windows(spark):
+    """The distributed ranks and sums give the same rows as plain windows."""
+    df = skewed(spark)
+    w = Window.partitionBy("g").orderBy("v")
+    distinct = df.groupBy("g", "v").agg(F.count("*").alias("n"), F.sum("id").alias("s"))
+    upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("g")
+    sums = distinct.select("g", "v", "n", "s", *[F.sum(c).over(upto).alias(f"cum_{c}") for c in "ns"], *[F.sum(c).over(whole).alias(f"total_{c}") for c in "ns"])
+    ranks = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")).cast("long"))
+    order = lambda d: sorted((tuple(r) for r in d.select(*sorted(d.columns)).collect()), key=repr)
+    assert order(rk.prefix_sums(df, ["g"], "v", {"n": F.lit(1).cast("long"), "s": F.col("id")})) == order(sums)
+    assert order(rk.global_rank(df, ["g"], [F.col("v"), F.col("id")])) == order(ranks)
 
 
 def test_hash_rank_is_dense_and_stable(spark):
@@ -151,7 +187,7 @@ def test_exceedance_of_fresh_episodes_is_bounded(spark):
     draws = spark.range(400 * 40).select((F.col("id") % 400).alias("rep"), (F.abs(F.xxhash64("id")) % 20).cast("double").alias("maximum"),
                                          F.floor(F.col("id") / 400).alias("i"))
     cal = draws.where("i < 39")
-    counts = rk.value_counts(cal, ["rep"], "maximum")
+    counts = rk.distinct_values(cal, ["rep"], "maximum")
     thr = ca.marginal_thresholds(counts, rk.group_sizes(cal, ["rep"]), [.10], ["rep"], "maximum")
     fresh = draws.where("i = 39").join(thr.select("rep", F.element_at("threshold", 1).alias("c"), "alpha_m0"), "rep")
     rate, bound = fresh.agg(F.avg((F.col("maximum") > F.col("c")).cast("double")), F.max("alpha_m0")).first()

@@ -284,3 +284,35 @@ def test_append_keeps_units_of_earlier_appends(spark, tmp_path):
     for site in ("A", "B"):
         rt.append_units(spark.createDataFrame([(0, site, 1.0)], "partition int, site string, x double"), path, ["partition", "site"])
     assert {r["site"] for r in spark.read.parquet(path).collect()} == {"A", "B"}
+
+
+def test_feature_names_and_indicators():
+    names = fe.feature_names(["HR", "pH"], ["Age"])
+    assert names[:3] == ["Age", "hour", "site_b"] and len(names) == 3 + 2 * 25 == len(set(names))
+    flagged = fe.indicator_features(names)
+    assert len(flagged) == 2 * (2 + 6 * 3) and not {"HR_never", "HR_current", "HR_count_6h", "Age", "hour"} & set(flagged)
+    assert {"HR_last", "pH_since", "pH_slope_24h"} <= set(flagged)
+    assert fe.statistic_of("x_last_6h") is None and fe.statistic_of("last") is None and fe.statistic_of("my_max_value_mean_12h").name == "mean"
+
+
+def test_as_of_rows_equal_window_rows_across_long_gaps(spark):
+    hours = {1: [1, 2, 3, 40, 41, 90, 91, 92, 120], 2: [5], 3: [], 4: list(range(1, 60, 7))}
+    rows = [(e, t, float((7 * t + e) % 11) if (t + e) % 3 else None, float(t % 5) if t % 2 else None) for e, ts in hours.items() for t in ts]
+    meas = spark.createDataFrame(rows, "episode_id int, t int, a double, b double")
+    episodes = spark.createDataFrame([(e, "A", False, INF, 130) for e in hours], "episode_id int, site string, event boolean, onset double, horizon int")
+    window = fe.window_features(fe.hour_grid(meas, episodes, P), ["a", "b"])
+    names = [n for v in ("a", "b") for n in fe.variable_features(v)]
+    asked = episodes.select("episode_id", F.explode(F.sequence(F.lit(1), F.lit(130))).alias("q"))
+    of = lambda df: {(r["episode_id"], r["t"]): [r[n] for n in names] for r in df.collect()}
+    got, want = of(fe.features_as_of(meas, asked, ["a", "b"])), of(window)
+    assert got.keys() == want.keys() and len(got) == 520
+    assert all(x == pytest.approx(y) for k in got for x, y in zip(got[k], want[k]))
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("- Window [") == 2  # one of the hour grid, one for all features
+
+
+def test_reservoirs_that_are_too_small_are_named(spark):
+    split = cohort(spark, 12).withColumn("partition", F.lit(0)).withColumn("split", F.lit("reservoir"))
+    short = {(r["site"], r["target_m0"], r["method"]): r["m0"] for r in tr.shortfalls(split, [5, 12, 13, 40]).collect()}
+    assert short == {(s, m, x): 12 for s in ("A", "B") for m in (13, 40) for x in tr.LOCAL_METHODS}
+    assert {r["target_m0"] for r in tr.reservoir_prefixes(split, [5, 12, 13, 40], 1).select("target_m0").distinct().collect()} == {5, 12}

@@ -17,7 +17,7 @@ from tocsin.functions.binomial import hc_index
 from tocsin.functions.exprs import INF, achieved_bound, bin_index, finite, marginal_index
 from tocsin.functions.tables import each, each_row
 from tocsin.operators.ranking import (
-    group_sizes, pick_ranks, prefix_sums, quantile_linear, value_counts, weighted_quantile,
+    distinct_values, group_sizes, pick_ranks, prefix_sums, quantile_linear, select_ranks, weighted_quantile,
 )
 from tocsin.params import Params
 from tocsin.session import materialize
@@ -88,19 +88,16 @@ def binwise_values(traj: DataFrame, sizes: DataFrame, alphas: Sequence[float], k
     """
     cuts = p.boundaries
     n_bins = len(cuts) - 1
-    counts = value_counts(bin_peaks(traj, keys, p), [*keys, "bin"], "peak")
-    present = counts.groupBy(*keys, "bin").agg(F.max("total_n").alias("present"))
+    counts = distinct_values(bin_peaks(traj, keys, p), [*keys, "bin"], "peak")
+    present = counts.groupBy(*keys, "bin").agg(F.sum("n").alias("present"))
     bins = [(b, cuts[b], cuts[b + 1]) for b in range(n_bins)]
     ranks = (each_row(each(sizes, "alpha", alphas), ["bin", "lo", "hi"], bins).join(present, [*keys, "bin"], "left")
              .withColumn("k", marginal_index("m0", F.col("alpha") / F.lit(float(n_bins))))
              .withColumn("inner_k", F.when(F.col("k") <= F.col("m0"),
                                            F.col("k") - (F.col("m0") - F.coalesce("present", F.lit(0)))))
              .drop("present"))
-    hit = (counts.select(*keys, "bin", F.col("peak").alias("c"), "n", "cum_n")
-           .join(ranks.select(*keys, "bin", "alpha", "inner_k").where("inner_k > 0"), [*keys, "bin"])
-           .where("cum_n >= inner_k and cum_n - n < inner_k").select(*keys, "bin", "alpha", "c"))
     c = F.when(F.col("k") > F.col("m0"), F.lit(INF)).when(F.col("inner_k") <= 0, F.lit(-INF)).otherwise(F.col("c"))
-    return ranks.join(hit, [*keys, "bin", "alpha"], "left").withColumn("c", c).drop("inner_k")
+    return select_ranks(counts, ranks, [*keys, "bin"], "peak", "inner_k", "c").withColumn("c", c).drop("inner_k")
 
 
 def hourly(bin_values: DataFrame, group: Sequence[str], p: Params) -> DataFrame:
@@ -184,7 +181,7 @@ def calibrate(maxima: DataFrame, traj: DataFrame, p: Params, keys: Sequence[str]
     n_bins = len(cuts) - 1
     columns = [c for c, use in (("max_score", {"fixed_max", "high_confidence", "naive_max"}), ("max_z", {"time_adaptive"})) if methods & use]
     values_long = rank_values(maxima, traj if cuts else None, keys, columns, p)
-    counts = materialize(value_counts(values_long, [*keys, "series"], "value"), "rank-counts")
+    counts = distinct_values(values_long, [*keys, "series"], "value")
     sizes = group_sizes(maxima, keys)
     grid = each(sizes, "alpha", table)
 
@@ -245,14 +242,11 @@ def _pick_series(counts: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFr
     """Look up every wanted rank. A series with fewer values than m0 lacks episodes
     whose maximum is -inf; these hold the lowest ranks."""
     on = [*keys, "series"]
-    present = counts.groupBy(*on).agg(F.max("total_n").alias("present"))
+    present = counts.groupBy(*on).agg(F.sum("n").alias("present"))
     want = ranks.join(present, on, "left").withColumn(
         "inner_k", F.when(F.col("k") <= F.col("m0"), F.col("k") - (F.col("m0") - F.coalesce("present", F.lit(0))))).drop("present")
-    hit = (counts.select(*on, F.col("value").alias("c"), "n", "cum_n")
-           .join(want.select(*on, "method", "alpha", "inner_k").where("inner_k > 0"), on)
-           .where("cum_n >= inner_k and cum_n - n < inner_k").select(*on, "method", "alpha", "c"))
     c = F.when(F.col("k") > F.col("m0"), F.lit(INF)).when(F.col("inner_k") <= 0, F.lit(-INF)).otherwise(F.col("c"))
-    return want.join(hit, [*on, "method", "alpha"], "left").withColumn("threshold", c).drop("c", "inner_k")
+    return select_ranks(counts, want, on, "value", "inner_k", "c").withColumn("threshold", c).drop("c", "inner_k")
 
 
 def number_ops(thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -264,8 +258,8 @@ def number_ops(thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def reference_order_statistic(reference: DataFrame, alphas: Sequence[float], value: str = "maximum") -> DataFrame:
     """ceil(N (1 - alpha))-th smallest value of a large reference table of maxima."""
-    counts = value_counts(reference, [], value)
-    n = counts.agg(F.max("total_n").alias("n_reference"))
+    counts = distinct_values(reference, [], value)
+    n = counts.agg(F.sum("n").alias("n_reference"))
     ranks = each(n, "alpha", alphas).withColumn(
         "k", F.ceil(F.col("n_reference").cast("double") * (F.lit(1.0) - F.col("alpha"))))
     return pick_ranks(counts, ranks, [], value)

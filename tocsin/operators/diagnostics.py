@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.exprs import INF, finite
-from tocsin.operators.ranking import quantile_linear, value_counts
+from tocsin.operators.ranking import distinct_values, null_safe_join, quantile_linear
 from tocsin.params import Params
-from tocsin.session import broadcast_if_small, materialize
+from tocsin.session import broadcast_if_small
 
 # The reported quantiles.
 QUANTILES = {"minimum": 0.0, "q001": 0.001, "q01": 0.01, "q05": 0.05, "q10": 0.10, "q25": 0.25, "median": 0.5,
@@ -22,10 +22,10 @@ def distribution_summary(df: DataFrame, keys: Sequence[str], value: str) -> Data
     of the finite values per key; all from one table of value counts."""
     keys = list(keys)
     rows = df.select(*keys, finite(value).alias("_v")).where("_v is not null")
-    counts = materialize(value_counts(rows, keys, "_v"), "value-counts")
+    counts = distinct_values(rows, keys, "_v")
     atom = F.max(F.struct("n", "_v"))
     base = counts.groupBy(*keys).agg(
-        F.max("total_n").alias("n_scores"), F.count("*").alias("n_unique"), atom.alias("_atom"),
+        F.sum("n").alias("n_scores"), F.count("*").alias("n_unique"), atom.alias("_atom"),
         F.max_by("n", "_v").alias("number_at_maximum"))
     wide = (quantile_linear(counts, keys, "_v", list(QUANTILES.items()), "name").groupBy(*keys)
             .agg(*[F.max(F.when(F.col("name") == n, F.col("quantile"))).alias(n) for n in QUANTILES]))
@@ -50,12 +50,14 @@ def top_values(df: DataFrame, keys: Sequence[str], value: str, top: int = 30) ->
     before the shuffle (window group limit), so no group is gathered.
     """
     keys = list(keys)
-    counts = value_counts(df, keys, value)
-    upper = F.col("total_n") - F.col("cum_n") + F.col("n")
+    counts = distinct_values(df, keys, value)
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total_n"))
     w = Window.partitionBy(*keys).orderBy(F.desc(value))
-    return (counts.withColumn("rank_from_top", F.row_number().over(w)).where(F.col("rank_from_top") <= top)
-            .select(*keys, "rank_from_top", value, F.col("n").alias("count"), (F.col("n") / F.col("total_n")).alias("share"),
-                    upper.alias("cumulative_count"), (upper / F.col("total_n")).alias("cumulative_share")))
+    first = counts.withColumn("rank_from_top", F.row_number().over(w)).where(F.col("rank_from_top") <= top)
+    upper = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    first = null_safe_join(first, broadcast_if_small(totals), keys) if keys else first.crossJoin(totals)  # one row
+    return (first.select(*keys, "rank_from_top", value, F.col("n").alias("count"), (F.col("n") / F.col("total_n")).alias("share"),
+                         upper.alias("cumulative_count"), (upper / F.col("total_n")).alias("cumulative_share")))
 
 
 def threshold_ties(maxima: DataFrame, thresholds: DataFrame, match: Sequence[str] = ("site",)) -> DataFrame:

@@ -1,13 +1,15 @@
 """Causal features on irregular hourly measurements.
 
-All trailing statistics of all variables use windows over (episode_id ordered by t):
-one shuffle and one sort per episode serve every variable and window length. An
-episode has at most hmax rows there, because hours are unique and cut at hmax.
+All trailing statistics of all variables use one window over (episode_id ordered by t): one
+shuffle and one sort per episode serve every variable and window length. An episode has at
+most hmax rows there, because hours are unique and cut at hmax.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,22 +18,55 @@ from tocsin.functions.exprs import finite, first_score_hour, fitting_hour, looka
 from tocsin.params import Params
 
 WINDOWS = (6, 12, 24)
-STATS = ("mean", "min", "max", "sd", "change", "slope", "count")
-# Features with these name parts get a missing indicator, whatever the training data.
-INDICATOR_TOKENS = ("_last", "_since", "_mean_", "_min_", "_max_", "_sd_", "_change_", "_slope_")
+
+
+@dataclass(frozen=True)
+class Statistic:
+    """A statistic of one variable. ``fallible``: it has no value when nothing (or too little) was
+    observed, so models get an indicator beside it, whatever the training data hold."""
+    name: str
+    trailing: bool
+    fallible: bool
+
+    def column(self, variable: str, hours: int | None = None) -> str:
+        return f"{variable}_{self.name}" + (f"_{hours}h" if self.trailing else "")
+
+
+#: What is computed for every variable, in the order of the feature table.
+STATISTICS = (
+    *(Statistic(name, False, fallible) for name, fallible in (("last", True), ("never", False), ("since", True), ("current", False))),
+    *(Statistic(name, True, name != "count") for name in ("mean", "min", "max", "sd", "change", "slope", "count")),
+)
+STATS = tuple(s.name for s in STATISTICS if s.trailing)
+
+
+def variable_features(variable: str, windows: Sequence[int] = WINDOWS) -> dict[str, Statistic]:
+    """Feature columns of one variable, with their statistics."""
+    recent = {s.column(variable): s for s in STATISTICS if not s.trailing}
+    return recent | {s.column(variable, h): s for h in windows for s in STATISTICS if s.trailing}
 
 
 def feature_names(variables: Sequence[str], baseline: Sequence[str] = (), windows: Sequence[int] = WINDOWS,
                   site: str | None = "site_b") -> list[str]:
-    names = [*baseline, "hour", *([site] if site else [])]
-    for v in variables:
-        names += [f"{v}_last", f"{v}_never", f"{v}_since", f"{v}_current"]
-        names += [f"{v}_{stat}_{w}h" for w in windows for stat in STATS]
-    return names
+    """Columns of the feature table: episode attributes, hour, site, then variable by variable."""
+    attributes = [c for c in (*baseline, "hour", site) if c]
+    return attributes + [name for v in variables for name in variable_features(v, windows)]
+
+
+def statistic_of(name: str) -> Statistic | None:
+    """The statistic at the end of a feature name; None for episode attributes."""
+    stem, _, end = name.rpartition("_")
+    if re.fullmatch(r"\d+h", end):
+        stem, _, end = stem.rpartition("_")
+        trailing = True
+    else:
+        trailing = False
+    return next((s for s in STATISTICS if stem and s.name == end and s.trailing == trailing), None)
 
 
 def indicator_features(names: Sequence[str]) -> list[str]:
-    return [n for n in names if any(token in n for token in INDICATOR_TOKENS)]
+    """Features that get a missing indicator."""
+    return [n for n in names if (s := statistic_of(n)) is not None and s.fallible]
 
 
 def hour_grid(measurements: DataFrame, episodes: DataFrame, p: Params) -> DataFrame:
@@ -63,54 +98,71 @@ def baseline_values(rows: DataFrame, columns: Sequence[str], order: str = "row_n
         *[F.min_by(finite(c), F.when(finite(c).isNotNull(), F.col(order))).alias(c) for c in columns])
 
 
-def _recent(variable: str, w) -> list[Column]:
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = F.col(variable)
-    return [F.last(x, True).over(past).alias(f"{variable}_last"),
-            F.last(F.when(x.isNotNull(), F.col("t")), True).over(past).alias(f"_{variable}_at")]
-
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-def _trailing(variable: str, w, hours: int) -> list[Column]:
-    frame = w.rangeBetween(-(hours - 1), 0)
-    x = F.col(variable)
-    named = {"mean": F.avg(x), "min": F.min(x), "max": F.max(x), "sd": F.stddev_samp(x),
-             "slope": F.regr_slope(x, F.col("t").cast("double")), "count": F.count(x), "first": F.first(x, True)}
-    return [e.over(frame).alias(f"_{variable}_{stat}_{hours}h") for stat, e in named.items()]
 
+def _trailing(part: Column, t: Column, hours: int) -> Column:
+    """Struct of the statistics of the last ``hours`` hours of one variable. ``part``: its observed (t, x), by t.
 
-def _finish(variable: str, windows: Sequence[int]) -> list[Column]:
-    """Features from the window columns. Spread, change and slope need two values; the
-    last value of a window that has one is the last value observed at all."""
-    x, at = F.col(variable), F.col(f"_{variable}_at")
-    out = [F.col(f"{variable}_last"), at.isNull().cast("double").alias(f"{variable}_never"),
-           (F.col("t") - at).cast("double").alias(f"{variable}_since"), x.isNotNull().cast("double").alias(f"{variable}_current")]
-    for h in windows:
-        c = lambda stat, h=h: F.col(f"_{variable}_{stat}_{h}h")
-        two = lambda e, c=c: F.when(c("count") >= 2, e)
-        made = {"mean": c("mean"), "min": c("min"), "max": c("max"), "sd": two(c("sd")),
-                "change": two(F.col(f"{variable}_last") - c("first")), "slope": two(c("slope")), "count": c("count").cast("double")}
-        out += [made[stat].alias(f"{variable}_{stat}_{h}h") for stat in STATS]
-    return out
+    Spread and slope are two-pass sums over deviations; they and the change need two values.
+    """
+    def of(inside: Column) -> Column:
+        total = lambda f: F.aggregate(inside, F.lit(0.0), lambda a, r: a + f(r))
+        n = F.size(inside)
+        means = F.struct(n.alias("n"), (total(lambda r: r["x"]) / F.nullif(n, F.lit(0))).alias("x"),
+                         (total(lambda r: r["t"].cast("double")) / F.nullif(n, F.lit(0))).alias("t"))
+        return _let(means, lambda m: spread(inside, total, m))
+
+    def spread(inside: Column, total, m: Column) -> Column:
+        xs, two = F.transform(inside, lambda r: r["x"]), lambda e: F.when(m["n"] >= 2, e)
+        made = {
+            "mean": m["x"], "min": F.array_min(xs), "max": F.array_max(xs),
+            "sd": two(F.sqrt(total(lambda r: (r["x"] - m["x"]) * (r["x"] - m["x"])) / F.nullif(m["n"] - 1, F.lit(0)))),
+            "change": two(F.get(inside, m["n"] - 1)["x"] - F.get(inside, F.lit(0))["x"]),
+            "slope": two(total(lambda r: (r["t"] - m["t"]) * (r["x"] - m["x"])) / total(lambda r: (r["t"] - m["t"]) * (r["t"] - m["t"]))),
+            "count": m["n"].cast("double"),
+        }
+        return F.struct(*[e.alias(stat) for stat, e in made.items()])
+
+    return _let(F.filter(part, lambda r: r["t"] > t - hours), of)
 
 
 def window_features(grid: DataFrame, variables: Sequence[str], windows: Sequence[int] = WINDOWS,
-                    keep: Sequence[str] = ("site", "event", "onset", "horizon"), chunk: int = 6) -> DataFrame:
+                    keep: Sequence[str] = ("site", "event", "onset", "horizon")) -> DataFrame:
     """Recent-value and trailing-window features of an hour grid.
 
-    Variables are added ``chunk`` at a time, so that no generated projection grows too
-    large; the chunks share the partitioning and the sort of the episode window.
+    The variables of an hour are one array, and one window frame holds the arrays of the longest
+    trailing window; higher-order functions reduce it for every variable and length. So there is
+    one window node, and its size does not grow with variables, lengths and statistics. Only the
+    last observed value and its hour are window functions of each variable.
     """
     w = Window.partitionBy("episode_id").orderBy("t")
-    fixed = ["episode_id", "t", *keep]
-    out = grid.select(*fixed, *[finite(v).alias(v) for v in variables])
-    done: list[str] = []
-    for i in range(0, len(variables), chunk):
-        part, rest = variables[i:i + chunk], variables[i + chunk:]
-        raw = [e for v in part for e in (*_recent(v, w), *[e for h in windows for e in _trailing(v, w, h)])]
-        made = [e for v in part for e in _finish(v, windows)]
-        out = out.select(*fixed, *part, *rest, *done, *raw).select(*fixed, *rest, *done, *made)
-        done = [c for c in out.columns if c not in (*fixed, *rest)]
-    return out
+    past, t = w.rowsBetween(Window.unboundedPreceding, 0), F.col("t")
+    x = grid.select("episode_id", "t", *keep, *[finite(v).alias(v) for v in variables])
+    x = x.withColumn("_x", F.array(*[F.col(v) for v in variables]))
+    longest = F.collect_list(F.struct("t", F.col("_x").alias("x"))).over(w.rangeBetween(-(max(windows) - 1), 0))
+    recent = [e for i, v in enumerate(variables) for e in (
+        F.last(F.col(v), True).over(past).alias(f"_last{i}"), F.last(F.when(F.col(v).isNotNull(), t), True).over(past).alias(f"_at{i}"))]
+    rows = x.select("episode_id", "t", *keep, "_x", longest.alias("_frame"), *recent)
+    made = F.transform(F.sequence(F.lit(0), F.lit(len(variables) - 1)), lambda i: _all_trailing(i, t, windows))
+    rows = rows.withColumn("_stats", made)
+    out: list[Column] = []
+    for i, v in enumerate(variables):
+        at = F.col(f"_at{i}")
+        values = {"last": F.col(f"_last{i}"), "never": at.isNull().cast("double"), "since": (t - at).cast("double"),
+                  "current": F.get("_x", F.lit(i)).isNotNull().cast("double")}
+        for name, stat in variable_features(v, windows).items():
+            value = F.get("_stats", F.lit(i))[name.rpartition("_")[2]][stat.name] if stat.trailing else values[stat.name]
+            out.append(value.alias(name))
+    return rows.select("episode_id", "t", *keep, *out)
+
+
+def _all_trailing(i: Column, t: Column, windows: Sequence[int]) -> Column:
+    """Structs by window of the statistics of variable number ``i``, from the frame."""
+    part = F.filter(F.transform("_frame", lambda r: F.struct(r["t"].alias("t"), F.get(r["x"], i).alias("x"))), lambda r: r["x"].isNotNull())
+    return _let(part, lambda p: F.struct(*[_trailing(p, t, h).alias(f"{h}h") for h in windows]))
 
 
 def feature_rows(measurements: DataFrame, episodes: DataFrame, p: Params, variables: Sequence[str],
@@ -128,36 +180,46 @@ def feature_rows(measurements: DataFrame, episodes: DataFrame, p: Params, variab
 
 def features_as_of(measurements: DataFrame, queries: DataFrame, variables: Sequence[str],
                    windows: Sequence[int] = WINDOWS) -> DataFrame:
-    """The same features at chosen hours, by a join of history rows instead of windows.
+    """The same features at chosen hours, by a bucketed as-of join instead of windows.
 
-    ``queries`` has (episode_id, q). The equi-key carries the join; the hour range is a
-    filter on it. Serves as an independent check of ``window_features``.
+    ``queries`` has (episode_id, q). Hours are cut into buckets as long as the longest window, so
+    a query only meets the rows of its own bucket and the one before. What was last observed
+    earlier comes from one summary row per episode and bucket. Joins are on (episode, bucket);
+    serves as an independent check of ``window_features``.
     """
-    joined = queries.select("episode_id", "q").join(
-        measurements.select("episode_id", "t", *variables), "episode_id", "left").where(
-        F.col("t").isNull() | (F.col("t") <= F.col("q")))
-    aggs: list[Column] = []
+    width = max(windows)
+    bucket = lambda t: F.floor(F.col(t) / width)
+    asked = queries.select("episode_id", "q").distinct().withColumn("bucket", bucket("q"))
+    rows = measurements.select("episode_id", F.col("t").cast("int").alias("t"), *[finite(v).alias(v) for v in variables]).withColumn("bucket", bucket("t"))
+    seen = lambda v: F.when(F.col(v).isNotNull(), F.col("t"))
+
+    near = asked.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1))).join(rows, ["episode_id", "bucket"]).where("t <= q")
+    sums: list[Column] = []
+    for v in variables:
+        sums += [F.max_by(F.col(v), seen(v)).alias(f"_{v}_near"), F.max(seen(v)).alias(f"_{v}_near_at")]
+        for h in windows:
+            x = F.when(F.col("t") > F.col("q") - h, F.col(v))
+            at = F.when(x.isNotNull(), F.col("t"))
+            made = {"mean": F.avg(x), "min": F.min(x), "max": F.max(x), "sd": F.stddev_samp(x), "change": F.max_by(x, at) - F.min_by(x, at),
+                    "slope": F.regr_slope(x, F.col("t").cast("double")), "count": F.count(x).cast("double")}
+            two = F.count(x) >= 2
+            sums += [(F.when(two, e) if stat in ("sd", "change", "slope") else e).alias(f"{v}_{stat}_{h}h") for stat, e in made.items()]
+    near = near.groupBy("episode_id", "q").agg(*sums)
+
+    lasts = rows.groupBy("episode_id", "bucket").agg(*[e for v in variables for e in (F.max_by(F.col(v), seen(v)).alias(f"_{v}_x"), F.max(seen(v)).alias(f"_{v}_at"))])
+    earlier = asked.select("episode_id", "q", (F.col("bucket") - 1).alias("_before")).join(lasts, "episode_id").where("bucket < _before")
+    earlier = earlier.groupBy("episode_id", "q").agg(*[e for v in variables for e in (
+        F.max_by(f"_{v}_x", f"_{v}_at").alias(f"_{v}_far"), F.max(f"_{v}_at").alias(f"_{v}_far_at"))])
+
+    both = asked.select("episode_id", "q").join(near, ["episode_id", "q"], "left").join(earlier, ["episode_id", "q"], "left")
+    out: list[Column] = []
     for v in variables:
-        x = finite(v)
-        seen = F.when(x.isNotNull(), F.col("t"))
-        last_t = F.max(seen)
-        aggs += [
-            F.max_by(x, seen).alias(f"{v}_last"), last_t.isNull().cast("double").alias(f"{v}_never"),
-            (F.first("q") - last_t).cast("double").alias(f"{v}_since"),
-            F.coalesce(last_t == F.first("q"), F.lit(False)).cast("double").alias(f"{v}_current"),
-        ]
+        at = F.coalesce(f"_{v}_near_at", f"_{v}_far_at")
+        out += [F.when(F.col(f"_{v}_near_at").isNotNull(), F.col(f"_{v}_near")).otherwise(F.col(f"_{v}_far")).alias(f"{v}_last"), at.isNull().cast("double").alias(f"{v}_never"),
+                (F.col("q") - at).cast("double").alias(f"{v}_since"), F.coalesce(at == F.col("q"), F.lit(False)).cast("double").alias(f"{v}_current")]
         for h in windows:
-            y = F.when(F.col("t") > F.col("q") - h, x)
-            at = F.when(y.isNotNull(), F.col("t"))
-            two = lambda c, y=y: F.when(F.count(y) >= 2, c)
-            aggs += [
-                F.avg(y).alias(f"{v}_mean_{h}h"), F.min(y).alias(f"{v}_min_{h}h"), F.max(y).alias(f"{v}_max_{h}h"),
-                two(F.stddev_samp(y)).alias(f"{v}_sd_{h}h"),
-                two(F.max_by(y, at) - F.min_by(y, at)).alias(f"{v}_change_{h}h"),
-                two(F.regr_slope(y, F.col("t").cast("double"))).alias(f"{v}_slope_{h}h"),
-                F.count(y).cast("double").alias(f"{v}_count_{h}h"),
-            ]
-    return joined.groupBy("episode_id", "q").agg(*aggs).withColumnRenamed("q", "t")
+            out += [(F.coalesce(n, F.lit(0.0)) if n == f"{v}_count_{h}h" else F.col(n)).alias(n) for n in (f"{v}_{stat}_{h}h" for stat in STATS)]
+    return both.select("episode_id", F.col("q").alias("t"), *out)
 
 
 def fit_medians(train: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -167,12 +229,12 @@ def fit_medians(train: DataFrame, names: Sequence[str]) -> DataFrame:
     task holds distinct values and not rows.
     """
     from tocsin.functions.tables import values
-    from tocsin.operators.ranking import quantile_linear, value_counts
+    from tocsin.operators.ranking import distinct_values, quantile_linear
 
     spark = train.sparkSession
     names = list(names)
     long = train.select([finite(n).alias(n) for n in names]).unpivot([], names, "feature", "value").where("value is not null")
-    med = quantile_linear(value_counts(long, ["feature"], "value"), ["feature"], "value", [(0.5, 0.5)], out="median").drop("prob")
+    med = quantile_linear(distinct_values(long, ["feature"], "value"), ["feature"], "value", [(0.5, 0.5)], out="median").drop("prob")
     flags = set(indicator_features(names))
     every = values(spark, ["position", "feature", "add_missing"], [(i, n, n in flags) for i, n in enumerate(names)])
     return every.join(med, "feature", "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
@@ -200,8 +262,8 @@ def missing_counts(rows: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def feature_family(name: Column) -> Column:
-    """last, never, since, current or the statistic of a feature name; baseline otherwise."""
-    part = F.regexp_extract(name, r"_(last|never|since|current|mean|min|max|sd|change|slope|count)(_\d+h)?$", 1)
+    """The statistic of a feature name; baseline for episode attributes."""
+    part = F.regexp_extract(name, f"_({'|'.join(s.name for s in STATISTICS)})(_\\d+h)?$", 1)
     return F.when(part == "", "baseline").otherwise(part)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tocsin.functions.exprs import INF, finite
 from tocsin.functions.tables import each_row
-from tocsin.operators.ranking import quantile_linear, value_counts
+from tocsin.operators.ranking import distinct_values, quantile_linear
 from tocsin.params import Params
 
 CHUNK_ROWS = 4096
@@ -147,7 +147,7 @@ def onset_listing(man: DataFrame) -> DataFrame:
 def stay_length(man: DataFrame) -> DataFrame:
     """Count, quartiles and maximum of the last hour by site."""
     probs = [("q1_h", 0.25), ("median_h", 0.5), ("q3_h", 0.75)]
-    q = quantile_linear(value_counts(man, ["site"], "horizon"), ["site"], "horizon", probs, "name")
+    q = quantile_linear(distinct_values(man, ["site"], "horizon"), ["site"], "horizon", probs, "name")
     wide = q.groupBy("site").pivot("name", ["q1_h", "median_h", "q3_h"]).agg(F.first("quantile"))
     return man.groupBy("site").agg(F.count("*").alias("n"), F.max("horizon").alias("max_h")).join(wide, "site")
 

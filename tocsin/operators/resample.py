@@ -102,8 +102,9 @@ def compact_outcomes(patients: DataFrame) -> DataFrame:
 
 
 def bootstrap_metrics(patients: DataFrame, ops: DataFrame, strata: Sequence[str], replicates: int,
-                      seed: int, slots: int = SLOTS) -> DataFrame:
-    """Resampled ratio metrics of every threshold with common draws.
+                      seed: int, slots: int = SLOTS, by: Sequence[str] = ()) -> DataFrame:
+    """Resampled ratio metrics of every threshold with common draws, over all strata or apart
+    for each value of the strata columns ``by``, which ``ops`` then holds, too.
 
     ``ops`` maps ``op`` to label columns (small). Feature 6 op + i holds the i-th sum of a
     threshold, op 0 the denominators, which do not depend on the method; an episode only has
@@ -121,13 +122,18 @@ def bootstrap_metrics(patients: DataFrame, ops: DataFrame, strata: Sequence[str]
         i(~c("event") & alerted(h)), i(h["valid3"]), i(h["valid0"]), i(h["n_alert_episodes"]), i(h["gain"]), i(alerted(h))])))
     features = F.filter(F.concat(base, per_op), lambda x: x["x"] != 0)
     rows = compact_outcomes(patients).select("episode_id", *strata, features.alias("features"))
-    sums = materialize(replicate_sums(rows, strata, replicates, seed, slots), "boot-sums")
+    sums = replicate_sums(rows, strata, replicates, seed, slots)
+    by = list(by)
+    if by:
+        names = rows.select(stratum_label(strata).alias("stratum"), *by).distinct()
+        sums = sums.join(F.broadcast(names), "stratum")  # a row for each stratum
+    sums = materialize(sums, "boot-sums")
     value = lambda op, j: F.sum(F.when(c("feature") == 6 * op + j, c("x")))
-    den = sums.where("feature < 6").groupBy("bootstrap").agg(*[F.coalesce(value(0, j), F.lit(0.0)).alias(f"{x}0") for j, x in enumerate("abcdef")])
-    num = sums.where("feature >= 6").withColumn("op", F.floor(c("feature") / 6).cast("int")).groupBy("bootstrap", "op").agg(
+    den = sums.where("feature < 6").groupBy(*by, "bootstrap").agg(*[F.coalesce(value(0, j), F.lit(0.0)).alias(f"{x}0") for j, x in enumerate("abcdef")])
+    num = sums.where("feature >= 6").withColumn("op", F.floor(c("feature") / 6).cast("int")).groupBy(*by, "bootstrap", "op").agg(
         *[value(c("op"), j).alias(x) for j, x in enumerate("abcdef")])
-    grid = each_row(den, ops.columns, [tuple(r) for r in ops.collect()])
-    out = grid.join(num, ["bootstrap", "op"], "left")
+    grid = den.join(F.broadcast(ops), by) if by else each_row(den, ops.columns, [tuple(r) for r in ops.collect()])
+    out = grid.join(num, [*by, "bootstrap", "op"], "left")
     z = lambda x: F.coalesce(c(x), F.lit(0.0))
     return out.select(
         "bootstrap", *[x for x in ops.columns],

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.tables import each, each_row, values
-from tocsin.operators.ranking import _null_safe_join, hash_rank
+from tocsin.operators.ranking import null_safe_join, hash_rank
 
 
 def rounded_counts(sizes: DataFrame, proportions: Mapping[str, float], keys: Sequence[str],
@@ -45,7 +45,7 @@ def stratified_split(episodes: DataFrame, proportions: Mapping[str, float], seed
     counts = rounded_counts(sizes, proportions, groups, "_n")
     bounds = counts.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("position", "upto", "part"))).alias("_parts"))
     hit = F.element_at(F.filter("_parts", lambda b: b["upto"] >= F.col("_rank")), 1)
-    return (_null_safe_join(ranked, bounds, groups).withColumn("split", hit["part"])
+    return (null_safe_join(ranked, bounds, groups).withColumn("split", hit["part"])
             .drop("_rank", "_n", "_parts"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tocsin.functions.exprs import age_group, ratio, unit_type
 from tocsin.operators.metrics import count_if, mean_if, non_event
-from tocsin.operators.ranking import quantile_linear, value_counts
+from tocsin.operators.ranking import distinct_values, quantile_linear
 
 QUARTILES = ("Q1 shortest", "Q2", "Q3", "Q4 longest")
 
@@ -17,7 +17,7 @@ QUARTILES = ("Q1 shortest", "Q2", "Q3", "Q4 longest")
 def exposure_edges(patients: DataFrame) -> list[float]:
     """Distinct type-7 quartile edges of the non-event exposures (five numbers)."""
     probs = [(q, q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]
-    counts = value_counts(patients.where(non_event()), [], "exposure_days")
+    counts = distinct_values(patients.where(non_event()), [], "exposure_days")
     return sorted({r["quantile"] for r in quantile_linear(counts, [], "exposure_days", probs).collect()})
 
 

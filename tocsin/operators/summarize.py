@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tocsin.functions.exprs import INF, finite
 from tocsin.functions.tables import each, values
-from tocsin.operators.ranking import _null_safe_join
+from tocsin.operators.ranking import null_safe_join
 
 
 def without_aliases(frame: DataFrame, alias: str = "is_alias") -> DataFrame:
@@ -94,7 +94,7 @@ def timing_means(frame: DataFrame, ids: Sequence[str]) -> DataFrame:
 def select_rows(frame: DataFrame, spec: DataFrame, alpha: float | None = None) -> DataFrame:
     """Rows of a specification table (scenario, method, target_m0 NULL-safe, any labels)."""
     rows = frame.where(F.abs(F.col("operating_alpha") - alpha) < 1e-9) if alpha is not None else frame
-    return _null_safe_join(rows, F.broadcast(spec), ["scenario", "method", "target_m0"])
+    return null_safe_join(rows, F.broadcast(spec), ["scenario", "method", "target_m0"])
 
 
 def text(value: Column, digits: int = 3) -> Column:
@@ -140,7 +140,7 @@ def wide_summary(summary: DataFrame, ids: Sequence[str], metrics: Sequence[str],
     freq = shown.groupBy(*ids).agg(F.max("infinite_threshold_frequency").alias("infinite_threshold_frequency"),
                                    F.max("learner_failure_frequency").alias("learner_failure_frequency"),
                                    F.max("n_total").alias("n_total"))
-    return _null_safe_join(pivoted, freq, list(ids))
+    return null_safe_join(pivoted, freq, list(ids))
 
 
 def defined_counts(frame: DataFrame, metrics: Sequence[str], by: str = "scenario") -> DataFrame:
@@ -175,7 +175,7 @@ def replicate_contrasts(frame: DataFrame, spec: DataFrame, metrics: Sequence[str
     ``spec`` rows: (scenario, contrast, method_a, m0_a, method_b, m0_b)."""
     def side(letter: str) -> DataFrame:
         pick = spec.select("scenario", "contrast", F.col(f"method_{letter}").alias("method"), F.col(f"m0_{letter}").alias("target_m0"))
-        rows = _null_safe_join(frame, F.broadcast(pick), ["scenario", "method", "target_m0"])
+        rows = null_safe_join(frame, F.broadcast(pick), ["scenario", "method", "target_m0"])
         return rows.select("scenario", "contrast", "replicate", *metrics).unpivot(
             ["scenario", "contrast", "replicate"], list(metrics), "metric", f"value_{letter}")
 
@@ -245,7 +245,7 @@ def compare_expected(actual: DataFrame, expected: DataFrame, keys: Sequence[str]
                      value: str = "value") -> DataFrame:
     """Values against expected values: (keys, expected, actual, within)."""
     tol = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
-    joined = _null_safe_join(expected, actual.select(*keys, F.col(value).alias("actual")), list(keys), "left")
+    joined = null_safe_join(expected, actual.select(*keys, F.col(value).alias("actual")), list(keys), "left")
     return joined.withColumn("within", F.coalesce(F.abs(F.col("expected") - F.col("actual")) <= tol, F.lit(False)))
 
 

@@ -7,14 +7,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tocsin.functions.tables import each
 from tocsin.operators.alerts import outcomes
 from tocsin.operators.calibrate import high_confidence_thresholds, marginal_thresholds, number_ops
-from tocsin.operators.ranking import group_sizes, value_counts
-from tocsin.operators.split import nested_prefixes, non_event_order, stratified_split
+from tocsin.operators.ranking import distinct_values, group_sizes
+from tocsin.operators.split import nested_prefixes, non_event_order, prefix_shortfalls, stratified_split
 from tocsin.params import Params
 from tocsin.session import materialize
 
 TARGET_SHARES = {"test": 0.5, "reservoir": 0.5}
+LOCAL_METHODS = ("local_fixed_max", "local_time_adaptive", "local_high_confidence")
 
 
 def repeated_splits(episodes: DataFrame, numbers: Sequence[int], shares: Mapping[str, float], seed: int,
@@ -26,12 +28,20 @@ def repeated_splits(episodes: DataFrame, numbers: Sequence[int], shares: Mapping
 
 
 def reservoir_prefixes(split: DataFrame, sizes: Sequence[int], seed: int, number: str = "partition") -> DataFrame:
-    """Nested non-event prefixes of every reservoir; sizes beyond it are left out."""
+    """Nested non-event prefixes of every reservoir that holds them; for the others see ``shortfalls``."""
     name = F.concat_ws("|", F.lit("reservoir"), F.col(number).cast("string"))
     ordered = non_event_order(split.where("split = 'reservoir'"), seed, name, ["site", number])
     return nested_prefixes(ordered, sizes).where("available >= target_m0")
 
 
+def shortfalls(split: DataFrame, sizes: Sequence[int], number: str = "partition") -> DataFrame:
+    """(site, number, target_m0, method, m0) of the local thresholds that a reservoir of m0 < target_m0
+    non-events cannot give; their results are undefined, not absent."""
+    keys = ["site", number]
+    short = prefix_shortfalls(split.where("split = 'reservoir' and not event"), sizes, keys)
+    return each(short.withColumnRenamed("available", "m0"), "method", LOCAL_METHODS)
+
+
 def local_thresholds(prefixes: DataFrame, maxima: DataFrame, alpha: float, delta: float,
                      number: str = "partition") -> DataFrame:
     """Fixed, time-adaptive and high-confidence thresholds of every prefix. ``maxima``
@@ -41,8 +51,8 @@ def local_thresholds(prefixes: DataFrame, maxima: DataFrame, alpha: float, delta
         maxima.select("episode_id", "max_score", "max_z"), "episode_id"), "prefix-maxima")
     sizes = group_sizes(rows, keys)
     alphas = [alpha]
-    scores = value_counts(rows, keys, "max_score")
-    zs = value_counts(rows, keys, "max_z")
+    scores = distinct_values(rows, keys, "max_score")
+    zs = distinct_values(rows, keys, "max_z")
     return (marginal_thresholds(scores, sizes, alphas, keys, "max_score", "local_fixed_max")
             .unionByName(marginal_thresholds(zs, sizes, alphas, keys, "max_z", "local_time_adaptive", "z"))
             .unionByName(high_confidence_thresholds(scores, sizes, alphas, keys, "max_score", delta, "local_high_confidence")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tocsin.functions.exprs import fitting_hour, hash_key, hash_long, score_history_hour, utility_grid, utility_label
+from tocsin.functions.tables import values
 from tocsin.operators import features as fe
 from tocsin.operators import metrics as me
 from tocsin.operators import model as ml
@@ -15,9 +16,10 @@ from tocsin.plans import fixtures as fx
 from tocsin.plans.catalog_metrics import rounded
 from tocsin.plans.fixtures import EVENTS as P
 from tocsin.plans.fixtures import SEED, SHARES, VARIABLES
-from tocsin.plans.oracle import recent_sql, window_sql
+from tocsin.plans.oracle import recent_sql, wide_ctes, window_sql
 from tocsin.plans.registry import query
 from tocsin.session import materialize
+from tocsin.sources.episode_files import BASELINE, LONGITUDINAL
 
 # -- splits and samples -----------------------------------------------------------------------
 
@@ -101,7 +103,7 @@ def window_query(name: str, stat: str) -> None:
     @query(name, "select episode_id, t, " + ", ".join(window_sql(v, stat, h) for v, h in pairs) + " from e_grid")
     def run(spark, d) -> DataFrame:
         grid = fe.hour_grid(fx.measurements(spark, d), fx.event_episodes(spark, d), P)
-        return rounded(fe.window_features(grid, VARIABLES).select("episode_id", "t", *[f"{v}_{stat}_{h}h" for v, h in pairs]))
+        return rounded(rounded(fe.window_features(grid, VARIABLES).select("episode_id", "t", *[f"{v}_{stat}_{h}h" for v, h in pairs]), 10))
 
 
 for _name, _suffix in (("last_value", "last"), ("never_observed", "never"), ("hours_since_observed", "since"), ("observed_now", "current")):
@@ -140,14 +142,14 @@ def score_history_mask(spark, d):
     return fe.hour_grid(fx.measurements(spark, d), fx.event_episodes(spark, d), P).select("episode_id", "t", score_history_hour(P).alias("history"))
 
 
-AS_OF_STATS = ("mean", "sd", "change", "slope", "count")
+AS_OF_NAMES = [n for v in VARIABLES for n in fe.variable_features(v)]
 
 
-@query("features_as_of", "select episode_id, t, v_click_last, v_click_since, " + ", ".join(f"v_click_{s}_12h" for s in AS_OF_STATS) + " from e_feat where t in (12, 30, 48)")
+@query("features_as_of", f"select episode_id, t, {', '.join(AS_OF_NAMES)} from e_feat")
 def features_as_of(spark, d):
-    hours = fx.event_episodes(spark, d).select("episode_id", "horizon", F.explode(F.array(F.lit(12), F.lit(30), F.lit(48))).alias("q")).where("q <= horizon")
-    out = fe.features_as_of(fx.measurements(spark, d), hours, ["v_click"])
-    return rounded(out.select("episode_id", "t", "v_click_last", "v_click_since", *[f"v_click_{s}_12h" for s in AS_OF_STATS]))
+    """Every feature at every hour of the grid, without windows."""
+    hours = fx.event_episodes(spark, d).select("episode_id", F.explode(F.sequence(F.lit(1), F.least(F.col("horizon"), F.lit(P.hmax)))).alias("q"))
+    return rounded(rounded(fe.features_as_of(fx.measurements(spark, d), hours, VARIABLES).select("episode_id", "t", *AS_OF_NAMES), 10))
 
 
 MEDIAN_NAMES = ("v_click_last", "v_error_since", "v_view_mean_6h", "v_signup_sd_24h", "v_purchase_slope_12h", "age", "hour")
@@ -193,6 +195,28 @@ def feature_diagnostics(spark, d):
     return rounded(fe.feature_diagnostics(fx.event_features(spark, d), SIX_HOUR))
 
 
+# -- all 34 variables: 857 features --------------------------------------------------------------------
+
+WIDE_NAMES = fe.feature_names(LONGITUDINAL, BASELINE)
+assert WIDE_NAMES == wide_ctes(LONGITUDINAL, BASELINE)
+WIDE_LONG = f"(unpivot (select {', '.join(f'{n}::double as {n}' for n in WIDE_NAMES)} from e_wrows) on * into name feature value value)"
+
+
+def wide_features(spark, d) -> DataFrame:
+    return fe.feature_rows(fx.wide_measurements(spark, d), fx.wide_episodes(spark, d), P, LONGITUDINAL, BASELINE)
+
+
+@query("full_feature_table", f"select feature, count(*) as n, round(sum(round(value,6)::decimal(18,6)),2)::double as total, round(min(value),6) as minimum, round(max(value),6) as maximum from {WIDE_LONG} group by feature "
+       + "union all select feature, 0, null, null, null from (select unnest([" + ", ".join(f"'{n}'" for n in WIDE_NAMES) + f"]) as feature) where feature not in (select feature from {WIDE_LONG})")
+def full_feature_table(spark, d):
+    """Every column of the full feature table: number and sum of its values, and their range."""
+    rows = wide_features(spark, d).select(F.posexplode(F.array(*[F.round(F.round(F.col(n).cast("double"), 10), 6) for n in WIDE_NAMES])).alias("position", "value"))
+    sums = rows.groupBy("position").agg(
+        F.count("value").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,6)")), 2).cast("double").alias("total"), F.min("value").alias("minimum"), F.max("value").alias("maximum"))
+    names = values(spark, ["position", "feature"], list(enumerate(WIDE_NAMES)))
+    return names.join(sums, "position").drop("position")
+
+
 # -- learners ---------------------------------------------------------------------------------------
 
 @query("positive_fraction", f"select round(avg(f),9) as pi_y from (select avg(label) as f from {TRAIN_SQL} group by episode_id)")

@@ -20,7 +20,7 @@ from tocsin.operators.trajectory import flat_eligible, maxima, trajectories
 from tocsin.plans import fixtures as fx
 from tocsin.plans.fixtures import ORDERS as P
 from tocsin.plans.fixtures import SEED
-from tocsin.plans.oracle import BOOT_SLOTS, METRICS_SQL, REPLICATES
+from tocsin.plans.oracle import BOOT_SLOTS, INTERNAL_SPLITS, METRICS_SQL, PARTITIONS, REPLICATES, TARGET_SIZES
 from tocsin.plans.registry import query
 
 SITES = {"A": "B", "B": "A"}
@@ -295,11 +295,7 @@ def results_intervals(spark, d) -> DataFrame:
 
 # -- transfer and robustness -----------------------------------------------------------------
 
-PARTITIONS = (0, 1, 2, 3)
-TARGET_SIZES = (50, 100, 200)
-
-
-def transfer_parts(spark, d, partitions=PARTITIONS, sizes=TARGET_SIZES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def transfer_parts(spark, d, partitions=tuple(range(PARTITIONS)), sizes=TARGET_SIZES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(split, thresholds, outcomes) of all target partitions, written once per setting."""
     tag = f"{len(partitions)}-{'-'.join(map(str, sizes))}"
     templates = fx.order_site_templates(spark, d)
@@ -336,35 +332,82 @@ def direct_transfer_thresholds(spark, d):
     return rows.select(tr.direction(SITES).alias("direction"), F.round(F.element_at("threshold", 1), 6).alias("threshold"), "m0", "k")
 
 
-@query("local_recalibration_thresholds", "select site, partition, target_m0, method, round(threshold[1],6) as threshold, m0, k, round(alpha_m0,6) as alpha_m0 from k_thr where method<>'direct_transfer'")
+@query("local_recalibration_thresholds", "select site, partition, target_m0, method, round(threshold[1],6) as threshold, m0, k, round(alpha_m0,6) as alpha_m0 from k_thr where method<>'direct_transfer' union all select site, partition, target_m0, method, null, m0, null, null from k_short")
 def local_recalibration_thresholds(spark, d):
     _, thr, _ = transfer_parts(spark, d)
-    return rounded(thr.where("method <> 'direct_transfer'").select(
-        "site", "partition", "target_m0", "method", F.element_at("threshold", 1).alias("threshold"), "m0", "k", "alpha_m0"))
+    found = thr.where("method <> 'direct_transfer'").select(
+        "site", "partition", "target_m0", "method", F.element_at("threshold", 1).alias("threshold"), "m0", "k", "alpha_m0")
+    return rounded(found.unionByName(transfer_shortfalls(spark, d), allowMissingColumns=True))
+
+
+def transfer_shortfalls(spark, d) -> DataFrame:
+    """Partitions whose reservoir is too small for a calibration size: (site, partition, target_m0, method, m0)."""
+    split, _, _ = transfer_parts(spark, d)
+    return tr.shortfalls(split, TARGET_SIZES)
+
+
+def with_shortfalls(results: DataFrame, short: DataFrame) -> DataFrame:
+    """Results with a row of undefined metrics for every shortfall."""
+    named = short.select("site", "partition", "target_m0", "method").withColumn("direction", tr.direction(SITES))
+    return results.unionByName(named, allowMissingColumns=True)
 
 
-@query("cross_site_transfer", f"""select case when site='A' then 'B_to_A' else 'A_to_B' end as direction, method, target_m0, {METRICS_SQL} from k_out where partition=0 group by site, method, target_m0""")
+@query("cross_site_transfer", f"""select case when site='A' then 'B_to_A' else 'A_to_B' end as direction, method, target_m0, {METRICS_SQL} from k_out where partition=0 group by site, method, target_m0
+  union all select case when site='A' then 'B_to_A' else 'A_to_B' end, method, target_m0, null, null, null, null, null, null from k_short where partition=0""")
 def cross_site_transfer(spark, d):
-    return rounded(transfer_results(spark, d).where("partition = 0").select("direction", "method", "target_m0", *METRICS))
+    rows = with_shortfalls(transfer_results(spark, d), transfer_shortfalls(spark, d))
+    return rounded(rows.where("partition = 0").select("direction", "method", "target_m0", *METRICS))
 
 
-@query("target_partitions", f"""select case when site='A' then 'B_to_A' else 'A_to_B' end as direction, partition, method, target_m0, {METRICS_SQL} from k_out group by site, partition, method, target_m0""")
+@query("target_partitions", f"""select case when site='A' then 'B_to_A' else 'A_to_B' end as direction, partition, method, target_m0, {METRICS_SQL} from k_out group by site, partition, method, target_m0
+  union all select case when site='A' then 'B_to_A' else 'A_to_B' end, partition, method, target_m0, null, null, null, null, null, null from k_short""")
 def target_partitions(spark, d):
-    return rounded(transfer_results(spark, d).select("direction", "partition", "method", "target_m0", *METRICS))
+    rows = with_shortfalls(transfer_results(spark, d), transfer_shortfalls(spark, d))
+    return rounded(rows.select("direction", "partition", "method", "target_m0", *METRICS))
+
+
+@query("target_bootstrap", """select case when r.site='A' then 'B_to_A' else 'A_to_B' end as direction, r.method, r.target_m0, r.metric, round(r.value,6) as observed, round(stddev_samp(b.value),6) as bootstrap_se,
+  round(quantile_cont(b.value,0.025),6) as lower_95, round(quantile_cont(b.value,0.975),6) as upper_95, count(b.value) as valid_bootstrap
+  from t_reslong r left join t_long b on b.site=r.site and b.method=r.method and b.target_m0=r.target_m0 and b.metric=r.metric group by r.site, r.method, r.target_m0, r.metric, r.value""")
+def target_bootstrap(spark, d):
+    """Intervals of every strategy on the target test episodes, from draws by site and event."""
+    _, thr, out = transfer_parts(spark, d)
+    keys = ["site", "target_m0", "method"]
+    ops = thr.where("partition = 0").select("op", *keys)
+    rows = out.where("partition = 0")
+    draws = rs.bootstrap_metrics(rows, ops, ["site", "event"], REPLICATES, SEED, BOOT_SLOTS, by=["site"])
+    observed = rows.groupBy(*keys).agg(*me.ratio_metrics())
+    return rounded(rs.summarize_bootstrap(draws.drop("op"), observed, keys).withColumn("direction", tr.direction(SITES)).drop("site"))
+
+
+@query("target_discrimination", """with w as (select site, risk as value, case when event and onset-t>0 and onset-t<=6 then 1 else 0 end as label, 1.0::double/count(*) over (partition by site, episode_id) as w
+    from k_test where partition=0 and eligible and risk is not null),
+  r as (select site, value, sum(w*label) as p, sum(w*(1-label)) as n from w group by all),
+  c as (select *, sum(p) over s as tp, sum(n) over s as fp, sum(p) over (partition by site) as pt, sum(n) over (partition by site) as nt, row_number() over (partition by site order by value desc) as k from r window s as (partition by site order by value desc)),
+  g as (select *, lag(tp,1,0) over (partition by site order by k) as tp0, lag(fp,1,0) over (partition by site order by k) as fp0 from c)
+  select case when site='A' then 'B_to_A' else 'A_to_B' end as direction, round(sum((fp-fp0)*(tp+tp0)/2)/max(pt*nt),6) as auroc,
+    round(sum((tp-tp0)/pt*(tp/(tp+fp) + case when k=1 then 1 else tp0/(tp0+fp0) end)/2),6) as pr_auc from g group by site""")
+def target_discrimination(spark, d):
+    """Threshold-free measures of the target test episodes of the first partition."""
+    split, _, _ = transfer_parts(spark, d)
+    test = split.where("partition = 0 and split = 'test'").select("episode_id")
+    rows = fx.order_plain(spark, d).join(test, "episode_id").select("site", "episode_id", "t", "risk", "eligible", "event", "onset")
+    flat = flat_eligible(rows, P)
+    return rounded(me.threshold_free(flat, ["site"]).select(tr.direction(SITES).alias("direction"), "auroc", "pr_auc"))
 
 
 @query("repeated_internal_splits", f"""select split_no, method, site, {METRICS_SQL} from i_out where method='fixed_max' group by all
   union all select split_no, method, 'overall' as site, {METRICS_SQL} from i_out where method='pooled' group by split_no, method""")
 def repeated_internal_splits(spark, d):
-    numbers = (1, 2, 3)
+    numbers = tuple(range(1, INTERNAL_SPLITS + 1))
     split = fx.shared(spark, d, "internal-splits", lambda: tr.repeated_splits(
         fx.order_episodes(spark, d), numbers, fx.SHARES, SEED, "internal", number="split_no"))
     peaks = split.where("split = 'calibration' and not event").select("split_no", "site", "episode_id").join(
         fx.order_maxima(spark, d).select("episode_id", "max_score"), "episode_id")
     alphas = [0.10]
     by_site = ["site", "split_no"]
-    local = ca.marginal_thresholds(rk.value_counts(peaks, by_site, "max_score"), rk.group_sizes(peaks, by_site), alphas, by_site, "max_score")
-    pooled = ca.marginal_thresholds(rk.value_counts(peaks, ["split_no"], "max_score"), rk.group_sizes(peaks, ["split_no"]), alphas, ["split_no"], "max_score", "pooled")
+    local = ca.marginal_thresholds(rk.distinct_values(peaks, by_site, "max_score"), rk.group_sizes(peaks, by_site), alphas, by_site, "max_score")
+    pooled = ca.marginal_thresholds(rk.distinct_values(peaks, ["split_no"], "max_score"), rk.group_sizes(peaks, ["split_no"]), alphas, ["split_no"], "max_score", "pooled")
     thr = ca.number_ops(local.unionByName(each(pooled, "site", SITES)).withColumn("target_m0", F.lit(0)), by_site)
     out = tr.target_outcomes(fx.order_plain(spark, d), split, thr, P, number="split_no")
     level = F.when(F.col("method") == "pooled", "overall").otherwise(F.col("site"))
@@ -410,7 +453,7 @@ def uncapped_horizon(spark, d):
   select round(avg((max_score > c)::int) filter (where not event),6) as pfa, count(*) filter (where max_score > c) as n_alerted, count(*) as n_patients from o_max cross join t where split='test'""")
 def pooled_threshold_sensitivity(spark, d):
     peaks = fx.calibration_maxima(spark, d)
-    thr = ca.marginal_thresholds(rk.value_counts(peaks, [], "max_score"), peaks.agg(F.count("*").alias("m0")), [0.10], [], "max_score")
+    thr = ca.marginal_thresholds(rk.distinct_values(peaks, [], "max_score"), peaks.agg(F.count("*").alias("m0")), [0.10], [], "max_score")
     thr = ca.number_ops(each(thr, "site", SITES), ["site"])
     out = al.outcomes(fx.order_plain(spark, d).where("split = 'test'"), test_episodes(spark, d), thr, P)
     return rounded(out.agg(me.ratio_metrics()[0], F.count(F.when(F.col("alerted"), 1)).alias("n_alerted"), F.count("*").alias("n_patients")))

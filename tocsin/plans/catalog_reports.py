@@ -18,12 +18,12 @@ from tocsin.operators import summarize as su
 from tocsin.operators.trajectory import smooth
 from tocsin.plans import fixtures as fx
 from tocsin.plans.catalog_metrics import (
-    PARTITIONS, results_intervals, rounded, transfer_parts, transfer_results,
+    results_intervals, rounded, transfer_parts, transfer_results,
 )
 from tocsin.plans.catalog_thresholds import scalar_thresholds
 from tocsin.plans.fixtures import ORDERS as P
 from tocsin.plans.oracle import INF as SQL_INF
-from tocsin.plans.oracle import define
+from tocsin.plans.oracle import PARTITIONS, define
 from tocsin.plans.registry import query
 
 METRICS = ["pfa", "sens3", "sens0", "ppv3", "alerts_per_100d"]
@@ -31,7 +31,7 @@ IDS = ["scenario", "method", "target_m0"]
 
 define("m_rep", f"""select r.site as scenario, r.method, r.alpha as operating_alpha, r.target_m0, r.partition as replicate, r.pfa, r.sens3, r.sens0, r.ppv3, r.alerts_per_100d, r.utility,
   r.n_alerted, r.n_valid3, r.n_sens3, t.threshold[1] as threshold, t.m0, t.k, t.alpha_m0, t.threshold[1]={SQL_INF} as infinite_threshold,
-  r.partition=3 and r.site='B' as learner_failure, r.method='local_time_adaptive' and r.target_m0=200 as is_alias,
+  r.partition=3 and r.site='B' as learner_failure, r.method='local_time_adaptive' and r.target_m0=250 as is_alias,
   (('0x'||substr(md5('42|seconds|'||r.site||'|'||r.partition),1,15))::bigint % 1000)/10.0::double as total_seconds
   from k_res r join k_thr t on t.site=r.site and t.partition=r.partition and t.target_m0=r.target_m0 and t.method=r.method""")
 
@@ -47,7 +47,7 @@ def replicates(spark, d) -> DataFrame:
         *METRICS, "utility", "n_alerted", "n_valid3", "n_sens3", "threshold", "m0", "k", "alpha_m0",
         (F.col("threshold") == F.lit(INF)).alias("infinite_threshold"),
         ((F.col("partition") == 3) & (F.col("site") == "B")).alias("learner_failure"),
-        ((F.col("method") == "local_time_adaptive") & (F.col("target_m0") == 200)).alias("is_alias"),
+        ((F.col("method") == "local_time_adaptive") & (F.col("target_m0") == 250)).alias("is_alias"),
         seconds.alias("total_seconds"))
 
 
@@ -265,9 +265,9 @@ def cross_site_table(spark, d):
     return su.cross_site_table(results, values(spark, ["ord", "method", "target_m0"], CROSS_ROWS))
 
 
-@query("replicate_completeness", "select scenario, 4::bigint as expected, count(distinct replicate) as actual, count(distinct replicate)=4 as complete from m_rep group by scenario")
+@query("replicate_completeness", f"select scenario, {PARTITIONS}::bigint as expected, count(distinct replicate) as actual, count(distinct replicate)={PARTITIONS} as complete from m_rep group by scenario")
 def replicate_completeness(spark, d):
-    expected = values(spark, ["scenario", "expected"], [("A", len(PARTITIONS)), ("B", len(PARTITIONS))])
+    expected = values(spark, ["scenario", "expected"], [("A", PARTITIONS), ("B", PARTITIONS)])
     return su.completeness(replicates(spark, d), expected)
 
 

@@ -110,7 +110,7 @@ def method_sql(method: str) -> str:
 @query("fixed_max_threshold", method_sql("fixed_max"))
 def fixed_max_threshold(spark, d):
     maxima = fx.calibration_maxima(spark, d)
-    counts = rk.value_counts(maxima, ["site"], "max_score")
+    counts = rk.distinct_values(maxima, ["site"], "max_score")
     out = ca.marginal_thresholds(counts, rk.group_sizes(maxima, ["site"]), P.alphas, ["site"], "max_score")
     return out.select("site", "alpha", r(F.element_at("threshold", 1), 9).alias("threshold"), "m0", "k")
 
@@ -230,7 +230,7 @@ def row_thresholds(spark, d):
    select site, m0, alpha, ceil((m0+1)*(1.0::double-alpha))::bigint as k from o_m0 cross join {GRID_SQL}) k left join o_ord o on o.site=k.site and o.rs=k.k""")
 def alpha_grid_thresholds(spark, d):
     maxima = fx.calibration_maxima(spark, d)
-    counts = rk.value_counts(maxima, ["site"], "max_score")
+    counts = rk.distinct_values(maxima, ["site"], "max_score")
     out = ca.marginal_thresholds(counts, rk.group_sizes(maxima, ["site"]), ALPHA_GRID, ["site"], "max_score")
     return out.select("site", "alpha", "k", r(F.element_at("threshold", 1), 9).alias("threshold"))
 
@@ -249,7 +249,7 @@ def calibration_size_sweep(spark, d):
 
     rows = nested_prefixes(non_event_order(fx.calibration_maxima(spark, d), fx.SEED), SIZES)
     keys = ["site", "target_m0"]
-    out = ca.marginal_thresholds(rk.value_counts(rows, keys, "max_score"), rk.group_sizes(rows, keys),
+    out = ca.marginal_thresholds(rk.distinct_values(rows, keys, "max_score"), rk.group_sizes(rows, keys),
                                  P.alphas, keys, "max_score")
     return out.select(*keys, "alpha", "m0", "k", r(F.element_at("threshold", 1), 9).alias("threshold"))
 
@@ -266,7 +266,7 @@ def raw_time_boundary(spark, d):
   select k.alpha, k.m0, k.k, round(c.max_score,9) as threshold from ks k join c on c.rr=k.k""")
 def pooled_threshold(spark, d):
     maxima = fx.calibration_maxima(spark, d)
-    counts = rk.value_counts(maxima, [], "max_score")
+    counts = rk.distinct_values(maxima, [], "max_score")
     out = ca.marginal_thresholds(counts, maxima.agg(F.count("*").alias("m0")), P.alphas, [], "max_score")
     return out.select("alpha", "m0", "k", r(F.element_at("threshold", 1), 9).alias("threshold"))
 

@@ -223,3 +223,25 @@ def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return shared(spark, sf_dir, "event-features", lambda: feature_rows(
         measurements(spark, sf_dir), event_episodes(spark, sf_dir), EVENTS, VARIABLES, ("age",)))
+
+
+# -- all 34 variables -------------------------------------------------------------------
+
+def wide_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(episode_id, site, t, 34 variables): events by type and id modulo 7, the latest counts."""
+    from tocsin.sources.episode_files import LONGITUDINAL
+
+    def build() -> DataFrame:
+        types = F.array_position(F.array(*[F.lit(e) for e in EVENT_TYPES]), F.col("event_type")) - 1
+        rows = event_hours(spark, sf_dir).withColumn("kind", types * 7 + F.col("event_id") % 7)
+        latest = [F.max_by("value", F.when(F.col("kind") == i, F.col("event_id"))).alias(v) for i, v in enumerate(LONGITUDINAL)]
+        return rows.groupBy("episode_id", "t").agg(*latest).withColumn("site", site_of(F.col("episode_id")))
+    return shared(spark, sf_dir, "wide-measurements", build)
+
+
+def wide_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes with the five baseline columns of the records."""
+    u = F.col("episode_id")
+    return event_episodes(spark, sf_dir).drop("age").select(
+        "*", (40.0 + u % 50).alias("Age"), (u % 2).cast("double").alias("Gender"), F.when(u % 3 == 0, 1.0).when(u % 3 == 1, 0.0).alias("Unit1"),
+        F.when(u % 3 == 1, 1.0).when(u % 3 == 0, 0.0).alias("Unit2"), (-(u % 40)).cast("double").alias("HospAdmTime"))

@@ -259,7 +259,8 @@ def window_sql(variable: str, stat: str, hours: int) -> str:
         "slope": f"case when {n}>=2 then regr_slope({variable}, t::double) {w} end",
         "count": f"({n})::double",
     }[stat]
-    return f"round({x},6) as {variable}_{stat}_{hours}h"
+    # quotients may lie on the edge of a rounding, so they are rounded to 10 digits before 6
+    return f"round(round({x},10),6) as {variable}_{stat}_{hours}h"
 
 
 def recent_sql(variable: str) -> str:
@@ -276,8 +277,26 @@ define("e_feat", "select episode_id, site, event, onset, horizon, t, age, t::dou
 define("e_rows", "select * from e_feat where t>=4")
 
 
+def wide_ctes(variables: tuple[str, ...], baseline: tuple[str, ...]) -> list[str]:
+    """All variables: defines e_wrows and returns the names of its feature columns."""
+    kinds = ", ".join(f"'{e}'" for e in TYPES)
+    define("e_wide", f"select episode_id, t, " + ", ".join(f"max_by(value, event_id) filter (where kind={i}) as {v}" for i, v in enumerate(variables))
+           + f" from (select *, (list_position([{kinds}], event_type)-1)*7 + event_id%7 as kind from e_hours) group by episode_id, t")
+    define("e_wgrid", f"""select e.episode_id, e.site, g.t::int as t, (40+e.episode_id%50)::double as Age, (e.episode_id%2)::double as Gender,
+      case when e.episode_id%3=0 then 1.0::double when e.episode_id%3=1 then 0.0 end as Unit1, case when e.episode_id%3=1 then 1.0::double when e.episode_id%3=0 then 0.0 end as Unit2,
+      (-(e.episode_id%40))::double as HospAdmTime, m.* exclude (episode_id, t) from e_ep e join range(1,121) g(t) on g.t <= least(e.horizon,120) left join e_wide m on m.episode_id=e.episode_id and m.t=g.t""")
+    names = [f"{v}_{s}" for v in variables for s in ("last", "never", "since", "current", *(f"{s}_{h}h" for h in (6, 12, 24) for s in ("mean", "min", "max", "sd", "change", "slope", "count")))]
+    define("e_wfeat", f"select t, {', '.join(baseline)}, t::double as hour, (case when site='B' then 1 else 0 end)::double as site_b, "
+           + ", ".join(f"{recent_sql(v)}, " + ", ".join(window_sql(v, s, h) for h in (6, 12, 24) for s in ("mean", "min", "max", "sd", "change", "slope", "count")) for v in variables) + " from e_wgrid")
+    define("e_wrows", "select * from e_wfeat where t>=4")
+    return [*baseline, "hour", "site_b", *names]
+
+
 # -- bootstrap, transfer and robustness on orders ---------------------------------------
 REPLICATES = 1000
+PARTITIONS = 49
+TARGET_SIZES = (100, 250, 500, 1000)
+INTERNAL_SPLITS = 9
 #: Positions of one bucket of the draws; small, so that the small tables have several.
 BOOT_SLOTS = 64
 _HASH = "('0x'||substr(md5({}),1,15))::bigint"
@@ -327,11 +346,14 @@ define("o_reslong", "select * from o_res unpivot include nulls (value for metric
 define("o_quiet", "select * from o_teste where not event")
 draw_ctes("c", "o_quiet", "site")
 
-define("k_ep", "select p.p::int as partition, e.* from o_ep e cross join range(0,4) p(p)")
+define("k_ep", f"select p.p::int as partition, e.* from o_ep e cross join range(0,{PARTITIONS}) p(p)")
 split_ctes("k", "k_ep", "'target|'||partition", [("test", 0.5), ("reservoir", 0.5)], extra="partition")
 define("k_pos", """select partition, site, episode_id, row_number() over (partition by site, partition order by md5('42|reservoir|'||partition||'|'||episode_id), episode_id) as pos,
   count(*) over (partition by site, partition) as avail from k_split where split='reservoir' and not event""")
-define("k_pre", "select p.*, s.m as target_m0 from k_pos p join (values (50),(100),(200)) s(m) on pos<=s.m and avail>=s.m")
+define("k_sizes", "select unnest([" + ",".join(map(str, TARGET_SIZES)) + "]) as m")
+define("k_pre", "select p.*, s.m as target_m0 from k_pos p join k_sizes s on pos<=s.m and avail>=s.m")
+define("k_short", """select distinct site, partition, s.m as target_m0, v.method, avail as m0 from k_pos join k_sizes s on avail<s.m
+  cross join (values ('local_fixed_max'),('local_time_adaptive'),('local_high_confidence')) v(method)""")
 define("k_traj", """select s.*, round((s.score-p.loc)/p.scale,9) as z, round((s.prev_score-q.loc)/q.scale,9) as prev_z
   from o_plain s join os_tpl p on p.site<>s.site and (s.t > p.lo or p.bin=0) and s.t <= p.hi join os_tpl q on q.site<>s.site and (s.t-1 > q.lo or q.bin=0) and s.t-1 <= q.hi""")
 define("k_max", f"""select e.episode_id, coalesce(max(t.score) filter (where t.eligible),-{INF}) as max_score, coalesce(max(t.z) filter (where t.eligible),-{INF}) as max_z
@@ -356,7 +378,16 @@ define("k_res", f"""select case when site='A' then 'B_to_A' else 'A_to_B' end as
   count(*) filter (where alerted and not event) as alerts, count(*) filter (where not event) as n_non_events, count(*) filter (where alerted) as n_alerted,
   count(*) filter (where valid3) as n_valid3, count(*) filter (where eval3) as n_sens3 from k_out group by all""")
 
-define("i_ep", "select p.p::int as split_no, e.* from o_ep e cross join range(1,4) p(p)")
+define("k_teste0", "select * from k_teste where partition=0")
+draw_ctes("t", "k_teste0", "site||'|'||event::varchar")
+define("t_drawn", """select m.bootstrap, m.multiplicity as w, o.* from t_mult m join (select episode_id, stratum, position from t_bidx) i on m.stratum=i.stratum and m.position=i.position
+  join k_out o on o.episode_id=i.episode_id and o.partition=0""")
+define("t_raw", f"select bootstrap, site, method, target_m0, {weighted(RAW_METRICS)} from t_drawn group by all")
+define("t_long", "select * from t_raw unpivot include nulls (value for metric in (pfa, sens3, sens0, ppv3, alerts_per_100d, utility))")
+define("t_res", f"select site, method, target_m0, {RAW_METRICS} from k_out where partition=0 group by all")
+define("t_reslong", "select * from t_res unpivot include nulls (value for metric in (pfa, sens3, sens0, ppv3, alerts_per_100d, utility))")
+
+define("i_ep", f"select p.p::int as split_no, e.* from o_ep e cross join range(1,{INTERNAL_SPLITS + 1}) p(p)")
 split_ctes("i", "i_ep", "'internal|'||split_no", [("validation", 0.3), ("calibration", 0.4), ("test", 0.3)], extra="split_no")
 define("i_ord", """select s.split_no, s.site, m.max_score, row_number() over (partition by s.split_no, s.site order by max_score) as rs, row_number() over (partition by s.split_no order by max_score) as rp,
   count(*) over (partition by s.split_no, s.site) as m0, count(*) over (partition by s.split_no) as mp from i_split s join o_max m on m.episode_id=s.episode_id where s.split='calibration' and not s.event""")
