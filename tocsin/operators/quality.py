@@ -244,17 +244,19 @@ def result_checks(results: DataFrame, checks: Mapping[str, Column]) -> DataFrame
 
 
 def standard_result_checks() -> dict[str, Column]:
-    from tocsin.functions.exprs import marginal_index
+    """Rules on result rows by method family; the marginal methods have a formula for k and its bound."""
+    from tocsin.functions.exprs import achieved_bound, marginal_index
 
     c = F.col
     unit = lambda x: c(x).between(0.0, 1.0)
     endless = c("threshold") == F.lit(INF)
-    marginal = c("method").isin("fixed_max", "time_adaptive")
+    marginal = c("method").isin("fixed_max", "time_adaptive", "local_fixed_max", "local_time_adaptive", "direct_transfer")
     return {
         "probabilities_in_range": F.coalesce(unit("pfa"), F.lit(True)) & F.coalesce(unit("sens3"), F.lit(True))
         & F.coalesce(unit("sens0"), F.lit(True)) & F.coalesce(unit("ppv3"), F.lit(True)),
         "burden_nonnegative": c("alerts_per_100d") >= 0,
         "index_matches_formula": ~marginal | (c("k") == marginal_index("m0", "alpha")),
+        "bound_matches_index": ~marginal | (F.abs(c("alpha_m0") - achieved_bound("m0", "k")) < 1e-12),
         "infinite_means_silent": ~endless | (c("n_alerted") == 0),
     }
 
