@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import fresh, materialize, release_memory
+from tocsin.llm.common import drop_rows, materialize, release_memory, small_batches, text_hash
 
 STEM = 5
 FIT_ROWS = 40_000
@@ -211,6 +211,8 @@ def _count_words(batches):
     keys = sorted(tox.keys() | non.keys())
     keys, a, c = ["#", *keys], [n[1], *(tox[k] for k in keys)], [n[0], *(non[k] for k in keys)]
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["term", "tox", "non"])
+    del tox, non, keys, a, c
+    release_memory()
 
 
 def _lexicon(rows: DataFrame) -> Lexicon:
@@ -297,7 +299,9 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, all columns as they are."""
-    score = fresh(docs, "toxicity_score")
-    model = fit(docs, labels)
-    return docs.withColumn(score, score_column(model)(docs["text"].cast("string"))).where(F.col(score) < THRESHOLD).drop(score)
+    """The documents that are not predicted toxic, all columns as they are. Rows of equal id and
+    text have equal scores, so the rejected ones are written as such keys, few texts at a time."""
+    with small_batches(docs.sparkSession):
+        model = fit(docs, labels)
+        scored = docs.select("doc_id", text_hash(F.col("text")).alias("th"), score_column(model)(F.col("text").cast("string")).alias("score"))
+        return drop_rows(docs, scored.where(F.col("score") >= THRESHOLD).select("doc_id", "th"), "toxic")
