@@ -152,7 +152,6 @@ def features_as_of(spark, d):
     return rounded(rounded(fe.features_as_of(fx.measurements(spark, d), hours, VARIABLES).select("episode_id", "t", *AS_OF_NAMES), 10))
 
 
-MEDIAN_NAMES = ("v_click_last", "v_error_since", "v_view_mean_6h", "v_signup_sd_24h", "v_purchase_slope_12h", "age", "hour")
 TRAIN_SQL = "(select f.* from e_rows f join e_split s on s.episode_id=f.episode_id and s.split='train' where f.fit)"
 
 
@@ -161,38 +160,48 @@ def train_rows(spark, d, part: str = "train") -> DataFrame:
         fx.event_split(spark, d).where(F.col("split") == part).select("episode_id", "split"), "episode_id")
 
 
-@query("training_medians", " union all ".join(
-    f"select '{n}' as feature, round(coalesce(median({n}),0),6) as median, {'true' if n not in ('age', 'hour') else 'false'} as add_missing from {TRAIN_SQL}" for n in MEDIAN_NAMES))
+ALL_NAMES = fe.feature_names(VARIABLES, ("age",))
+FLAGGED = [n for n in ALL_NAMES if not any(n.endswith(end) for end in ("age", "hour", "site_b", "_never", "_current", "_count_6h", "_count_12h", "_count_24h"))]
+MEDIANS_CTE = "with m as (select " + ", ".join(f"coalesce(median({n}), 0) as {n}" for n in ALL_NAMES) + f" from {TRAIN_SQL})"
+
+
+def even_features(spark, d) -> DataFrame:
+    """Features of 6 digits, so that a median between two of them is the same everywhere."""
+    return rounded(rounded(fx.event_features(spark, d), 10))
+
+
+def all_medians(spark, d) -> DataFrame:
+    train = fx.event_split(spark, d).where("split = 'train'").select("episode_id")
+    return fx.shared(spark, d, "feature-medians", lambda: fe.fit_medians(even_features(spark, d).where("fit").join(train, "episode_id"), ALL_NAMES))
+
+
+@query("training_medians", MEDIANS_CTE + f" select feature, round(median,6) as median, feature in ({', '.join(repr(n) for n in FLAGGED)}) as add_missing from (unpivot m on * into name feature value median)")
 def training_medians(spark, d):
-    return rounded(fe.fit_medians(train_rows(spark, d), MEDIAN_NAMES).select("feature", "median", "add_missing"))
+    return rounded(all_medians(spark, d).select("feature", "median", "add_missing"))
 
 
-@query("missing_indicators", "select episode_id, t, (case when v_click_last is null then 1 else 0 end)::double as v_click_last__missing, (case when v_signup_sd_24h is null then 1 else 0 end)::double as v_signup_sd_24h__missing from e_rows")
+@query("missing_indicators", "select episode_id, t, " + ", ".join(f"(case when {n} is null then 1 else 0 end)::double as {n}__missing" for n in FLAGGED) + " from e_rows")
 def missing_indicators(spark, d):
-    medians = fe.read_medians(fe.fit_medians(train_rows(spark, d), MEDIAN_NAMES))
-    out = fe.apply_medians(fx.event_features(spark, d).select("episode_id", "t", *MEDIAN_NAMES), medians)
-    return out.select("episode_id", "t", "v_click_last__missing", "v_signup_sd_24h__missing")
+    out = fe.apply_medians(even_features(spark, d).select("episode_id", "t", *ALL_NAMES), fe.read_medians(all_medians(spark, d)))
+    return out.select("episode_id", "t", *[c for c in out.columns if c.endswith("__missing")])
 
 
-@query("imputed_features", "with m as (select median(v_click_last) as a, median(v_error_since) as b, median(v_view_mean_6h) as c from " + TRAIN_SQL + """)
-  select episode_id, t, round(coalesce(v_click_last, m.a, 0),6) as v_click_last, round(coalesce(v_error_since, m.b, 0),6) as v_error_since, round(coalesce(v_view_mean_6h, m.c, 0),6) as v_view_mean_6h from e_rows cross join m""")
+@query("imputed_features", MEDIANS_CTE + " select episode_id, t, " + ", ".join(f"round(round(coalesce(r.{n}, m.{n}),10),6) as {n}" for n in ALL_NAMES if n != "site_b") + " from e_rows r cross join m")
 def imputed_features(spark, d):
-    medians = fe.read_medians(fe.fit_medians(train_rows(spark, d), MEDIAN_NAMES))
-    out = fe.apply_medians(fx.event_features(spark, d).select("episode_id", "t", *MEDIAN_NAMES), medians)
-    return rounded(out.select("episode_id", "t", "v_click_last", "v_error_since", "v_view_mean_6h"))
+    """All features without a missing value, the site column dropped as for a transfer."""
+    out = fe.apply_medians(even_features(spark, d).select("episode_id", "t", *ALL_NAMES), fe.read_medians(all_medians(spark, d)), drop=["site_b"])
+    return rounded(rounded(out.select("episode_id", "t", *[n for n in ALL_NAMES if n != "site_b"]), 10))
 
 
-FAMILIES = {"last": "last", "never": "never", "since": "since", "current": "current", "mean": "mean_6h", "min": "min_6h", "max": "max_6h",
-            "sd": "sd_6h", "change": "change_6h", "slope": "slope_6h", "count": "count_6h"}
-SIX_HOUR = [f"{v}_{s}" for v in VARIABLES for s in FAMILIES.values()]
+FAMILIES = {s.name: [s.column(v, h) for v in VARIABLES for h in (fe.WINDOWS if s.trailing else (None,))] for s in fe.STATISTICS}
 
 
 @query("feature_diagnostics", " union all ".join(
-    f"select '{fam}' as family, 5::bigint as n_features, round(100.0*sum(case when x is null then 1 else 0 end)/count(*),6) as imputed_percentage, "
-    f"(select count(*) from (select n from (" + " union all ".join(f"select '{v}' as n, {v}_{suffix} as y from e_rows" for v in VARIABLES) + ") group by n having min(y)=max(y) and count(y)=count(*))) as n_constant "
-    f"from (" + " union all ".join(f"select {v}_{suffix} as x from e_rows" for v in VARIABLES) + ")" for fam, suffix in FAMILIES.items()))
+    f"select '{fam}' as family, {len(columns)}::bigint as n_features, round(100.0*sum(case when x is null then 1 else 0 end)/count(*),6) as imputed_percentage, "
+    f"(select count(*) from (select n from (" + " union all ".join(f"select '{c}' as n, {c} as y from e_rows" for c in columns) + ") group by n having min(y)=max(y) and count(y)=count(*))) as n_constant "
+    f"from (" + " union all ".join(f"select {c} as x from e_rows" for c in columns) + ")" for fam, columns in FAMILIES.items()))
 def feature_diagnostics(spark, d):
-    return rounded(fe.feature_diagnostics(fx.event_features(spark, d), SIX_HOUR))
+    return rounded(fe.feature_diagnostics(fx.event_features(spark, d), [c for columns in FAMILIES.values() for c in columns]))
 
 
 # -- all 34 variables: 857 features --------------------------------------------------------------------

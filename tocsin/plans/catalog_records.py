@@ -19,7 +19,7 @@ from tocsin.sources import episode_files as ef
 from tocsin.sources import results as rt
 from tocsin.sources import versioned as vt
 
-OBSERVED = ("HR", "O2Sat", "Temp", "SBP", "MAP")
+OBSERVED = ef.LONGITUDINAL
 GLOB = "*.csv"
 
 
@@ -44,7 +44,7 @@ def list_episode_files(spark, d):
     return ef.list_files(spark, file_root(spark, d), GLOB).select("site", "episode_id")
 
 
-@query("read_episode_files", """select site, episode_id::varchar as episode_id, row_number() over (partition by episode_id order by row_no) as n, t as hour, HR, O2Sat, Temp, SBP, MAP, Age, Unit1, label from e_rec""")
+@query("read_episode_files", f"""select site, episode_id::varchar as episode_id, row_number() over (partition by episode_id order by row_no) as n, t as hour, {', '.join(OBSERVED)}, Age, Unit1, label from e_rec""")
 def read_episode_files(spark, d):
     rows = ef.as_records(ef.read_episodes(spark, file_root(spark, d), GLOB))
     n = F.row_number().over(Window.partitionBy("episode_id").orderBy("row_no")).cast("long")

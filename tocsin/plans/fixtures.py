@@ -193,15 +193,16 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         bad = (F.col("event_type") == "error") & (F.col("value") > 150) & (F.col("t") > 12)
         first = event_hours(spark, sf_dir).groupBy("episode_id").agg(F.min(F.when(bad, F.col("t"))).alias("_first"))
         rows = measurements(spark, sf_dir).join(first, "episode_id").where(~((u % 37 == 2) & (t > 5)))
+        others = wide_measurements(spark, sf_dir).select("episode_id", "t", *LONGITUDINAL[len(VARIABLES):])
+        rows = rows.join(others, ["episode_id", "t"], "left")
         label = F.when(t >= F.col("_first") - 6, 1.0).otherwise(0.0)
         label = F.when((u % 47 == 3) & (t % 17 == 0), 2.0).when((u % 43 == 11) & (t % 19 == 0), 0.0).otherwise(label)
         hour = F.when((u % 67 == 9) & (t % 13 == 0), t + 0.5).when((u % 71 == 4) & (t % 11 == 0), t - 1.0).otherwise(t.cast("double"))
         order = F.row_number().over(Window.partitionBy("episode_id").orderBy(F.when(u % 61 == 7, -t).otherwise(t))) - 1
         names = dict(zip(LONGITUDINAL, VARIABLES))
-        null = F.lit(None).cast("double")
         return rows.select(
             "site", "episode_id", order.cast("long").alias("row_no"),
-            *[(F.col(names[c]) if c in names else null).alias(c) for c in LONGITUDINAL],
+            *[F.col(names.get(c, c)).alias(c) for c in LONGITUDINAL],
             (40.0 + u % 50 + F.when((u % 53 == 5) & (t % 2 == 0), 1).otherwise(0)).cast("double").alias("Age"),
             (u % 2).cast("double").alias("Gender"),
             F.when(u % 3 == 0, 1.0).when(u % 3 == 1, 0.0).alias("Unit1"),

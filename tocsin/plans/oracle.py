@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from tocsin.sources.episode_files import LONGITUDINAL
+
 CTES: dict[str, str] = {}
 INF = "'infinity'::double"
 ALPHAS = "(values (0.05::double),(0.10::double),(0.20::double)) al(alpha)"
@@ -216,14 +218,16 @@ define("e_ep", f"""select episode_id, case when episode_id%2=0 then 'A' else 'B'
 split_ctes("e", "e_ep", "'split'", [("train", 0.5), ("validation", 0.25), ("test", 0.25)])
 define("e_grid", """select e.*, g.t::int as t, m.* exclude (episode_id, t, site) from e_ep e join range(1,121) g(t) on g.t <= least(e.horizon,120)
   left join e_meas m on m.episode_id=e.episode_id and m.t=g.t""")
-define("e_rec", """select m.site, m.episode_id, row_number() over (partition by m.episode_id order by case when m.episode_id%61=7 then -m.t else m.t end)-1 as row_no,
-  v_click as HR, v_purchase as O2Sat, v_error as Temp, v_signup as SBP, v_view as MAP,
+define("e_wide", "select episode_id, t, " + ", ".join(f"max_by(value, event_id) filter (where kind={i}) as {v}" for i, v in enumerate(LONGITUDINAL))
+       + f" from (select *, (list_position({list(TYPES)}, event_type)-1)*7 + event_id%7 as kind from e_hours) group by episode_id, t")
+define("e_rec", f"""select m.site, m.episode_id, row_number() over (partition by m.episode_id order by case when m.episode_id%61=7 then -m.t else m.t end)-1 as row_no,
+  v_click as HR, v_purchase as O2Sat, v_error as Temp, v_signup as SBP, v_view as MAP, {', '.join('w.' + v for v in LONGITUDINAL[5:])},
   (40+m.episode_id%50 + case when m.episode_id%53=5 and m.t%2=0 then 1 else 0 end)::double as Age, (m.episode_id%2)::double as Gender,
   case when m.episode_id%3=0 then 1.0::double when m.episode_id%3=1 then 0.0 end as Unit1, case when m.episode_id%3=1 then 1.0::double when m.episode_id%3=0 then 0.0 end as Unit2,
   (-(m.episode_id%40))::double as HospAdmTime,
   case when m.episode_id%67=9 and m.t%13=0 then m.t+0.5::double when m.episode_id%71=4 and m.t%11=0 then m.t-1.0::double else m.t::double end as t,
   case when m.episode_id%47=3 and m.t%17=0 then 2.0::double when m.episode_id%43=11 and m.t%19=0 then 0.0::double when m.t >= f.f-6 then 1.0::double else 0.0::double end as label
-  from e_meas m join e_first f on m.episode_id=f.episode_id where not (m.episode_id%37=2 and m.t>5)""")
+  from e_meas m join e_first f on m.episode_id=f.episode_id left join e_wide w on w.episode_id=m.episode_id and w.t=m.t where not (m.episode_id%37=2 and m.t>5)""")
 define("e_step", """select *, t - lag(t) over (partition by episode_id order by row_no) as dt, label - lag(label) over (partition by episode_id order by row_no) as dl from e_rec""")
 define("e_man0", f"""select site, episode_id, count(*) as n_rows, bool_and(label in (0,1)) as label_valid, min(row_no) filter (where label=1) as first_positive_row,
   min_by(t,row_no) filter (where label=1) as first_positive_hour, bool_and(t=floor(t)) as hours_integer,
@@ -231,7 +235,7 @@ define("e_man0", f"""select site, episode_id, count(*) as n_rows, bool_and(label
   coalesce(bool_and(dt>0),true) as strictly_increasing, coalesce(bool_or(dt<>1),false) as has_gap, coalesce(bool_and(dl>=0),true) as never_falls,
   count(distinct t)<count(*) as duplicate_hour, min_by(t,row_no) as first_hour, max_by(t,row_no) as horizon, min(t) as min_hour, max(t) as max_hour, min_by(label,row_no) as first_label,
   min(Age) as Age, min(Gender) as Gender, min(Unit1) as Unit1, min(Unit2) as Unit2, min(HospAdmTime) as HospAdmTime,
-  count(HR) as HR_nobs, count(O2Sat) as O2Sat_nobs, count(Temp) as Temp_nobs, count(SBP) as SBP_nobs, count(MAP) as MAP_nobs
+  {', '.join(f'count({v}) as {v}_nobs' for v in LONGITUDINAL)}
   from e_step group by site, episode_id""")
 define("e_man1", f"""select *, first_positive_row is not null as event, label_valid and never_falls as label_monotone,
   case when first_positive_row is not null then first_positive_hour+6 else {INF} end as onset,
@@ -279,9 +283,6 @@ define("e_rows", "select * from e_feat where t>=4")
 
 def wide_ctes(variables: tuple[str, ...], baseline: tuple[str, ...]) -> list[str]:
     """All variables: defines e_wrows and returns the names of its feature columns."""
-    kinds = ", ".join(f"'{e}'" for e in TYPES)
-    define("e_wide", f"select episode_id, t, " + ", ".join(f"max_by(value, event_id) filter (where kind={i}) as {v}" for i, v in enumerate(variables))
-           + f" from (select *, (list_position([{kinds}], event_type)-1)*7 + event_id%7 as kind from e_hours) group by episode_id, t")
     define("e_wgrid", f"""select e.episode_id, e.site, g.t::int as t, (40+e.episode_id%50)::double as Age, (e.episode_id%2)::double as Gender,
       case when e.episode_id%3=0 then 1.0::double when e.episode_id%3=1 then 0.0 end as Unit1, case when e.episode_id%3=1 then 1.0::double when e.episode_id%3=0 then 0.0 end as Unit2,
       (-(e.episode_id%40))::double as HospAdmTime, m.* exclude (episode_id, t) from e_ep e join range(1,121) g(t) on g.t <= least(e.horizon,120) left join e_wide m on m.episode_id=e.episode_id and m.t=g.t""")
