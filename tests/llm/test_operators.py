@@ -405,12 +405,12 @@ def brute_lm(texts):
 @pytest.mark.parametrize("hot", [0, 5, 60, 500_000])
 def test_lm_score(docs, empty, hot):
     texts = [WORD.findall(low(r[1])) for r in base_rows()]
-    got = lm_score.report(docs, hot)
+    got = lm_score.report(docs, hot, hot)
     rows = sorted((r["n_words"], r["n_backoff"], r["score"]) for r in got.collect())
     want = brute_lm(texts)
     assert [r[:2] for r in rows] == [r[:2] for r in want] and [r[2] for r in rows] == pytest.approx([r[2] for r in want], abs=1e-3)
     assert got.where("n_words = 0 and (score <> 0 or mean_score is not null)").count() == 0
-    assert lm_score.report(empty, hot).count() == 0
+    assert lm_score.report(empty, hot, hot).count() == 0
 
 
 def test_lm_score_leaves_no_word_out(spark):
@@ -419,7 +419,7 @@ def test_lm_score_leaves_no_word_out(spark):
     texts += texts[:3] + ["ab" * 40_000, "É é É é"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert len({w for t in texts for w in WORD.findall(low(t))}) > 50_000
-    rows = sorted((r["n_words"], r["n_backoff"], r["score"]) for r in lm_score.report(frame, 300).collect())
+    rows = sorted((r["n_words"], r["n_backoff"], r["score"]) for r in lm_score.report(frame, 300, 500).collect())
     want = brute_lm([WORD.findall(low(t)) for t in texts])
     assert [r[:2] for r in rows] == [r[:2] for r in want] and [r[2] for r in rows] == pytest.approx([r[2] for r in want], rel=1e-6)
 

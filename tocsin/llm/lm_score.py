@@ -6,8 +6,8 @@ apart; the vocabulary is not bounded and no n-gram is left out.
 1. One pass counts the codes of all documents, summed in each task before the shuffle. The count
    table is partitioned by hash; codes that were met once are not stored, as a code of a text
    that is not in the table was met once.
-2. The most frequent words and pairs, at most ``HOT`` of each, go to every task as sorted
-   arrays. What a text holds of them is summed where the text is read, so a frequent n-gram
+2. The most frequent words and pairs, at most ``HOT_WORDS`` and ``HOT_PAIRS``, go to every task
+   as sorted arrays. What a text holds of them is summed where the text is read, so a frequent n-gram
    meets no single task.
 3. The other distinct n-grams of every document are exploded and joined to the count table by
    hash. Logarithms are integers of 1e-8 and summed per document, so order does not matter.
@@ -35,8 +35,8 @@ from tocsin.llm.common import materialize, small_batches
 from tocsin.llm.jaccard_join import word_hashes
 
 BACKOFF = 0.4
-#: Words and pairs that every task gets, each.
-HOT = 500_000
+#: Words and pairs that every task gets at most, as 16 bytes each.
+HOT_WORDS, HOT_PAIRS = 500_000, 2_500_000
 #: Codes that a task sums up before it hands them on.
 BUFFER_CODES = 4_000_000
 SCALE = 100_000_000
@@ -162,7 +162,7 @@ def _log(n: Column) -> Column:
     return F.rint(F.log(n) * SCALE).cast("long")
 
 
-def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def report(docs: DataFrame, hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """One row per document: doc_id, n_words, n_backoff, score (sum of logs), mean_score."""
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
@@ -170,8 +170,8 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
         counts = rows.select("text").mapInArrow(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
         counts = materialize(counts.where("n > 1 or code = 0"), "ngram-counts")
         n_words = counts.where("code = 0").agg(F.max("n")).first()[0] or 0
-        words, word_n, hot_words = _frequent(counts, False, hot)
-        pairs, pair_n, hot_pairs = _frequent(counts, True, hot)
+        words, word_n, frequent = _frequent(counts, False, hot_words)
+        pairs, pair_n, _ = _frequent(counts, True, hot_pairs)
         log_all, log_back = (int(round(math.log(x) * SCALE)) if x else 0 for x in (n_words, BACKOFF))
         shared = spark.sparkContext.broadcast(((words, logs(word_n)), (pairs, pair_n), log_all - log_back))
         entry = "struct<code:long,packed:long,rare:struct<a:long,b:long>>"
@@ -180,7 +180,7 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
         head = F.lit(None).cast(entry)
         flat = per.select("uid", F.posexplode(F.concat(F.array(head), "entries")).alias("place", "e"), F.struct("doc_id", "n_words", "total", "seen").alias("doc"))
         flat = flat.select("uid", F.coalesce("e.code", F.lit(0).cast("long")).alias("code"), "e.packed", "e.rare", F.when(F.col("place") == 0, F.col("doc")).alias("doc"))
-        open_counts = counts.where((F.col("code") != 0) & ~F.coalesce(hot_words, F.lit(False))).select("code", "n")
+        open_counts = counts.where((F.col("code") != 0) & ~F.coalesce(frequent, F.lit(False))).select("code", "n")
         joined = flat.join(open_counts, "code", "left")
         times, base = F.col("packed").bitwiseAND(F.lit((1 << TIMES_BITS) - 1)), F.shiftright("packed", TIMES_BITS)
         is_pair = F.col("code").bitwiseAND(F.lit(1)) == 1
