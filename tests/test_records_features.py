@@ -316,3 +316,11 @@ def test_reservoirs_that_are_too_small_are_named(spark):
     short = {(r["site"], r["target_m0"], r["method"]): r["m0"] for r in tr.shortfalls(split, [5, 12, 13, 40]).collect()}
     assert short == {(s, m, x): 12 for s in ("A", "B") for m in (13, 40) for x in tr.LOCAL_METHODS}
     assert {r["target_m0"] for r in tr.reservoir_prefixes(split, [5, 12, 13, 40], 1).select("target_m0").distinct().collect()} == {5, 12}
+
+
+def test_as_of_joins_send_no_table_through_the_driver(spark):
+    meas = values(spark, ["episode_id", "t", "a"], [(e, t, float(t)) for e in (1, 2) for t in (3, 9, 40)])
+    asked = values(spark, ["episode_id", "horizon"], [(1, 60), (2, 50)]).select("episode_id", F.explode(F.sequence(F.lit(1), "horizon")).alias("q"))
+    rows = fe.features_as_of(meas, asked, ["a"])
+    assert rows.count() == 110
+    assert "BroadcastExchange" not in rows._jdf.queryExecution().executedPlan().toString()
