@@ -12,6 +12,7 @@ from tocsin.operators import features as fe
 from tocsin.operators import model as ml
 from tocsin.operators import multinomial as mn
 from tocsin.operators import quality as qu
+from tocsin.operators import ranking as rk
 from tocsin.operators import resample as rs
 from tocsin.operators import split as sp
 from tocsin.operators import subgroups as sg
@@ -324,3 +325,47 @@ def test_as_of_joins_send_no_table_through_the_driver(spark):
     rows = fe.features_as_of(meas, asked, ["a"])
     assert rows.count() == 110
     assert "BroadcastExchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_end_where_ranks_say(spark):
+    rows = cohort(spark, 40).withColumn("site", F.when(F.col("site") == "B", F.col("site")))  # one site is NULL
+    ranked = rk.hash_rank(rows, ["site", "event"], "episode_id", 7, "s", "r", "n")
+    shares = {"a": 0.0, "b": 0.55, "c": 0.45}
+    sizes = sp.rounded_counts(rows.groupBy("site", "event").agg(F.count("*").alias("n")), shares, ["site", "event"])
+    want = {(r["site"], r["event"], r["part"]): r["upto"] for r in sizes.where("part_size > 0").collect()}
+    split = {r["episode_id"]: r["split"] for r in sp.stratified_split(rows, shares, 7, "s").collect()}
+    assert len(split) == rows.count()
+    for r in ranked.collect():
+        assert split[r["episode_id"]] == ("b" if r["r"] <= want[r["site"], r["event"], "b"] else "c")
+    first = {r["episode_id"]: r["r"] for r in rk.hash_rank(rows, ["site", "event"], "episode_id", 7, "s", "r", "n", first=5).collect()}
+    assert first == {r["episode_id"]: r["r"] for r in ranked.where("r <= 5").collect()}
+
+
+def test_split_windows_hold_no_stratum(spark):
+    plan = sp.stratified_split(cohort(spark, 40), {"a": 0.5, "b": 0.5}, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+def test_target_summary_equals_summary_of_outcomes(spark):
+    from tocsin.operators import metrics as me
+    from tocsin.operators.trajectory import trajectories
+
+    p = Params(tmin=2, hmax=30, smooth_length=1)
+    ids = [(f"{s}{i}", s, i % 3 == 0, float(10 + i % 9) if i % 3 == 0 else INF, 20 + i % 12) for s in "AB" for i in range(24)]
+    episodes = values(spark, ["episode_id", "site", "event", "onset", "horizon"], ids)
+    scores = values(spark, ["episode_id", "t", "risk"], [(n, t, ((7 * t * t + 13 * int(n[1:]) + ord(n[0])) % 97) / 100 + 0.01) for n, *_ in ids for t in range(1, 21, 1 + int(n[1:]) % 3)])
+    split = tr.repeated_splits(episodes, (0, 1, 2), tr.TARGET_SHARES, 5, "target")
+    traj = trajectories(scores, episodes, p)
+    thr = values(spark, ["op", "site", "partition", "target_m0", "method", "alpha", "scale", "threshold", "m0", "k", "alpha_m0"], [
+        (100 * n + 10 * j + (s == "B") + 1, s, n, j, "m", 0.1, kind, c, 9, 9, 0.1) for n in range(3) for s in "AB"
+        for j, (kind, c) in enumerate([("score", 0.5), ("risk", 0.6), ("risk", INF), ("score", -9.0)])]).withColumn("threshold", F.array("threshold"))
+    keys = ["site", "partition", "target_m0", "method", "alpha"]
+    want = {tuple(r[k] for k in keys): r for r in me.summary(tr.target_outcomes(traj, split, thr, p), keys).collect()}
+    got = {tuple(r[k] for k in keys): r for r in tr.target_summary(traj, split, thr, p).collect()}
+    assert got.keys() == want.keys() and len(got) == 24 and sum(r["n_valid3"] for r in want.values()) > 0
+    for at, r in want.items():
+        for name, x in r.asDict().items():
+            assert got[at][name] == (x if not isinstance(x, float) else pytest.approx(x)), (at, name)
+    curve = {(r["site"], r["partition"], r["target_m0"], r["hour"]): (r["estimate"], r["denominator"]) for r in tr.target_curves(traj, split, thr, p, 30).collect()}
+    plain = me.cumulative_false_alerts(tr.target_outcomes(traj, split, thr, p), 30, ["site", "partition", "target_m0"]).collect()
+    assert curve == {(r["site"], r["partition"], r["target_m0"], r["hour"]): (r["estimate"], r["denominator"]) for r in plain}
