@@ -369,3 +369,15 @@ def test_target_summary_equals_summary_of_outcomes(spark):
     curve = {(r["site"], r["partition"], r["target_m0"], r["hour"]): (r["estimate"], r["denominator"]) for r in tr.target_curves(traj, split, thr, p, 30).collect()}
     plain = me.cumulative_false_alerts(tr.target_outcomes(traj, split, thr, p), 30, ["site", "partition", "target_m0"]).collect()
     assert curve == {(r["site"], r["partition"], r["target_m0"], r["hour"]): (r["estimate"], r["denominator"]) for r in plain}
+
+
+def test_scaled_rounding_equals_duckdb_on_halves(spark):
+    import duckdb
+
+    from tocsin.functions.exprs import round_scaled
+
+    xs = [s * (i + 0.5) / 10**4 for i in range(0, 40000, 7) for s in (1, -1)] + [INF, -INF, 0.0]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r[0] for r in rows.select(round_scaled(F.col("x"), 4)).collect()]
+    want = [duckdb.execute("select round(?::double, 4)", [x]).fetchone()[0] for x in xs]
+    assert got == want and got != [r[0] for r in rows.select(F.round("x", 4)).collect()]
