@@ -283,6 +283,24 @@ def test_secrets_of_every_class_and_recall():
     assert not any(secrets.scan(p) for p in plain)
 
 
+def test_words_go_to_the_model_and_survive_a_generation(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, rng = Tokenizer.from_file(path), random.Random(3)
+    monkeypatch.setattr(packing, "CACHE", 60)
+    letters = "abcdefgABCÀÉÖØÞßàéöøþÿ"
+    common = ["the", "Größe,", "Éa!!", "x1", "THE", "ß."]
+    texts = [" ".join(common + ["".join(rng.choices(letters, k=rng.randrange(1, 9))) + rng.choice(["", ",", "!?"]) for _ in range(8)]) for _ in range(40)]
+    ours, learned = packing.WordTokenizer(path), Counter()
+    learn = ours.learn
+    ours.learn = lambda new: (learned.update(new), learn(new))
+    for t in texts:
+        assert ours.encode([t]) == [b"".join(i.to_bytes(4, "little") for i in plain.encode(t, add_special_tokens=False).ids)]
+        assert len(ours.chunks) + len(ours.older) <= 2 * 60
+    assert all(learned[c] == 1 for c in common) and len(learned) > 120
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 

@@ -27,6 +27,7 @@ from bisect import insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,12 +52,13 @@ class WordTokenizer:
 
     A text is cut at blanks and line feeds, which such a tokenizer never joins across; every
     chunk is encoded once and remembered. A chunk of plain letters and trailing marks is two
-    pre-tokens, remembered apart. New words are encoded together and cut after the tokens
-    that end a word.
+    pre-tokens, remembered apart. New words of plain letters, each one pre-token that is lower-cased
+    and normal already, go to the model together and are cut after the tokens that end a word.
+    What was met in neither of the last two generations of half a ``CACHE`` is forgotten.
     """
 
     def __init__(self, path: str):
-        self.path, self.chunks, self.tokenizer = path, {}, None
+        self.path, self.chunks, self.older, self.tokenizer = path, {}, {}, None
 
     def __getstate__(self):
         return {"path": self.path}
@@ -65,22 +67,26 @@ class WordTokenizer:
         self.__init__(state["path"])
 
     def _load(self):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(self.path)
+        self.tokenizer, self.plain = Tokenizer.from_file(self.path), Tokenizer.from_file(self.path)
+        as_model = lambda c: "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))
+        self.letters = {i: as_model(chr(i)) for i in range(0xDF, 0x100) if _PLAIN.fullmatch(chr(i))}
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.CharDelimiterSplit(" ")
         vocabulary = self.tokenizer.get_vocab()
-        ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.ends = ends
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def forget(self) -> None:
+        self.chunks, self.older = {}, {}
 
     def _encode_words(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):  # a word of more than one pre-token: encode each for itself
-            self._encode_each(words)
-            return
+        text = " ".join(words)
+        text = text if text.isascii() else text.translate(self.letters)
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         ids, at, chunks = ids.tobytes(), 0, self.chunks
-        for w, end in zip(words, (4 * cuts).tolist(), strict=True):
+        for w, end in zip(words, cuts, strict=True):
             chunks[w] = ids[at:end]
             at = end
 
@@ -88,23 +94,30 @@ class WordTokenizer:
         for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
             self.chunks[c] = np.array(e.ids, np.uint32).tobytes()
 
+    def _unknown(self, names: set[str]) -> set[str]:
+        """Those of ``names`` that are not remembered; what only the older generation has moves on."""
+        chunks, older = self.chunks, self.older
+        names = names.difference(chunks)
+        back = [c for c in names if c in older]
+        for c in back:
+            chunks[c] = older[c]
+        names.difference_update(back)
+        return names
+
     def learn(self, new: set[str]) -> None:
-        chunks, parts, words, others = self.chunks, [], set(), set()
+        chunks, parts, others = self.chunks, [], set()
         for c in new:
             w = c.rstrip(_MARKS)
-            if not (_PLAIN.fullmatch(w) if not w.isascii() else w.isalpha()):
+            if w.isalpha() if w.isascii() else _PLAIN.fullmatch(w):
+                parts.append((c, w.lower(), c[len(w):]))
+            else:
                 others.add(c)
-                continue
-            marks, w = c[len(w):], w.lower()
-            parts.append((c, w, marks))
-            words.add(w)
-            others.add(marks)
-        words = [w for w in words if w not in chunks]
-        others = [c for c in others if c not in chunks]
+        words = self._unknown({w for _, w, _ in parts})
+        others = self._unknown(others.union([marks for _, _, marks in parts]))
         if words:
-            self._encode_words(words)
+            self._encode_words(list(words))
         if others:
-            self._encode_each(others)
+            self._encode_each(list(others))
         for c, w, marks in parts:
             chunks[c] = chunks[w] + chunks[marks]
 
@@ -112,16 +125,23 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of every text."""
         if self.tokenizer is None:
             self._load()
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        if 2 * len(self.chunks) > CACHE:
+            self.chunks, self.older = {}, self.chunks
+        texts = pa.array([t or "" for t in texts], pa.string())
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        flat = cut.flatten().dictionary_encode()
+        place, distinct = flat.indices.to_numpy(), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.chunks[""] = b""
-        known = self.chunks
-        new = {c for c in set().union(*cut) if c not in known}
+        new = self._unknown(set(distinct))
         if new:
             self.learn(new)
-        get = known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        coded = [self.chunks[c] for c in distinct]
+        ids, sizes = np.frombuffer(b"".join(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        starts, sizes = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = ids[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)]
+        edges = ends[cut.offsets.to_numpy()].tolist()
+        return [out[i:j].tobytes() for i, j in zip(edges, edges[1:])]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -140,7 +160,7 @@ def _pieces(path: str, capacity: int):
                     ids += end
                     rows += [(uid, doc, i, i * capacity, len(part) // 4, zlib.crc32(part)) for i in range(-(-len(ids) // step)) if (part := ids[i * step:(i + 1) * step])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6, names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
-        tokenizer.chunks.clear()
+        tokenizer.forget()
         release_memory()
     return run
 
