@@ -196,6 +196,38 @@ def test_pairs_inside_groups_equal_all_pairs():
     assert len(jaccard_join.folded(long)) == 11 and count(jaccard_join.folded(long), jaccard_join.folded(other)) <= count(long, other)
 
 
+def test_a_group_leaves_a_bucket_as_a_forest_and_takes_part_once(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    group, comp = np.sort(rng.integers(0, 6, 120)), rng.integers(0, 40, 120)
+    i, j = np.array([(x, y) for x in range(120) for y in range(x + 1, 120) if group[x] == group[y] and comp[x] != comp[y] and rng.random() < 0.08]).T
+    far = rng.integers(0, 9, len(i))
+    keep = jaccard_join.forest_only(i, j, far, group, comp)
+
+    def trees(pairs):
+        up = {x: x for x in zip(group.tolist(), comp.tolist())}
+        for x, y in pairs:
+            x, y = up[group[x], comp[x]], up[group[y], comp[y]]
+            up = {k: x if v == y else v for k, v in up.items()}
+        return {frozenset(k for k, v in up.items() if v == r) for r in up.values()}, len(up)
+    every, nodes = trees(zip(i.tolist(), j.tolist()))
+    kept, _ = trees(zip(i[keep].tolist(), j[keep].tolist()))
+    assert kept == every and keep.sum() == nodes - len(every) < len(i)
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 4)
+    opened = spark.createDataFrame([(k, 1, u, u) for u in range(60) for k in range(20)], "key long, band int, uid long, comp long")
+    sketches = spark.createDataFrame([(u, 1, 100, [7, 7, 7, 7]) for u in range(60)], "uid long, band int, n long, words array<long>")
+    few = jaccard_join._few_buckets(opened, 0)
+    assert few.count() == 60 and few.select("key").distinct().count() == 1
+    pairs = jaccard_join._bucket_pairs(jaccard_join.materialize(few, "few"), jaccard_join.materialize(sketches, "folded"), 90, 0, True)
+    assert 30 <= pairs.count() <= 59
+    # 55 of one component and 5 others: each of the others meets all, the 55 do not meet each other
+    last = few.withColumn("comp", F.when(F.col("uid") < 55, 0).otherwise(F.col("uid")).cast("long"))
+    got = jaccard_join._bucket_pairs(jaccard_join.materialize(last, "few"), jaccard_join.materialize(sketches, "folded"), 90, 2, False)
+    assert {(r["a"], r["b"]) for r in got.collect()} == {(a, b) for b in range(55, 60) for a in range(b)}
+
+
 @pytest.mark.parametrize("members", [3, 256])
 def test_near_copies_in_one_large_group(spark, monkeypatch, members):
     monkeypatch.setattr(jaccard_join, "MEMBERS", members)

@@ -18,10 +18,11 @@ Documents with the same set are one class and only its first row takes part. A b
 inside: rows carry their number of shingles and a sketch folded to a quarter, blocks of about
 ``MEMBERS`` rows meet block by block (a large bucket is many such groups, spread over the
 tasks), and only pairs of different components whose sizes and sketches allow a link leave the
-task. In the first ``NEAREST`` rounds these are only the nearest such partner of every row, in
-a share of the buckets, so that a group of near copies is joined by a number of pairs like its
-rows; links are contracted to components, and buckets of one component are done. In the last round all pairs that are left
-leave the task, so no link is lost. Verification has two steps: the Hamming distance of the
+task. In the first ``FORESTS`` rounds a document takes part with one bucket of each band, blocks
+meet no others, and only as many pairs leave a block as join its components: a group of near copies is
+joined by a number of rows and pairs like its documents. Links are contracted to components, and
+buckets of one component are done. In the last round all pairs that are left leave the task, so no
+link is lost; rows of the most frequent component of a large bucket only meet the others there. Verification has two steps: the Hamming distance of the
 whole sketches, then the exact intersection. For that the texts are read again and each set
 goes once to the task of its leader; sets are never stored.
 
@@ -51,9 +52,8 @@ FOLD = 4
 #: Rows of a bucket that meet in one group, and rows that are tested together.
 MEMBERS = 256
 CHUNK = 20_000
-#: Rounds in which every row only meets its nearest partner, each in one of so many shares of the buckets.
-NEAREST = 2
-SHARES = 4
+#: Rounds in which a document takes part with one bucket of each band, and only a forest of pairs leaves a block.
+FORESTS = 2
 #: Partners of one leader that are compared in one group.
 PARTNERS = 200
 
@@ -309,8 +309,43 @@ def nearest_only(i, j, far, rows: int):
     return keep
 
 
-def _tested(percent: int, nearest: bool):
-    """mapInArrow over rows sorted by group: the pairs (a, b, band) that may be linked."""
+def forest_only(i, j, far, group, comp):
+    """Which of the pairs join the components inside each group with the fewest pairs, near ones first.
+
+    In each turn every tree takes its nearest pair to another tree, until none is left. A tree is a component in a group.
+    """
+    keep = np.zeros(len(i), bool)
+    _, tree = np.unique(np.stack([group, comp], axis=1), axis=0, return_inverse=True)
+    tree = tree.reshape(-1)
+    left = np.lexsort((j, i, far))
+    while True:
+        a, b = tree[i[left]], tree[j[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        if not len(left):
+            break
+        near = nearest_only(a, b, np.arange(len(left)), len(tree))
+        order, a, b = left[near], a[near], b[near]
+        first = np.full(int(tree.max()) + 1, len(order))
+        np.minimum.at(first, a, np.arange(len(order)))
+        np.minimum.at(first, b, np.arange(len(order)))
+        taken = np.unique(first[first < len(order)])
+        keep[order[taken]] = True
+        up = np.arange(len(first))
+        x, y = a[taken], b[taken]
+        while True:  # labels fall to the least of a tree
+            least = np.minimum(up[x], up[y])
+            before = up.copy()
+            np.minimum.at(up, x, least)
+            np.minimum.at(up, y, least)
+            up = up[up]
+            if (up == before).all():
+                break
+        tree = up[tree]
+    return keep
+
+
+def _tested(percent: int, forest: bool):
+    """mapInArrow over rows sorted by group: the pairs (a, b, band) that may be linked, or a forest of them."""
     def flush(rows):
         t = pa.Table.from_batches(rows)
         key, x, y = (t.column(c).to_numpy() for c in ("key", "x", "y"))
@@ -324,11 +359,11 @@ def _tested(percent: int, nearest: bool):
         words[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
         uid, band = t.column("uid").to_numpy(), t.column("band").to_numpy()
         i, j, far = pairs_in_groups(group, x != y, t.column("block").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), words, percent)
-        if nearest:
-            keep = nearest_only(i, j, far, len(key))
-            i, j, far = i[keep], j[keep], far[keep]
-        ends = [np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j]), band[i], far]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["a", "b", "band", "far"])
+        if forest:
+            keep = forest_only(i, j, far, group, t.column("comp").to_numpy())
+            i, j = i[keep], j[keep]
+        ends = [np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j]), band[i]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["a", "b", "band"])
 
     def run(batches):
         held, count = [], 0
@@ -360,21 +395,42 @@ def _folded_words():
     return run
 
 
-def _bucket_pairs(opened: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b, band) of rows in one open bucket (key, band, uid, comp) that may be linked."""
-    blocks = opened.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("blocks")).where("blocks > 1")
-    blocks = materialize(blocks, "large-buckets")
-    rows = opened.join(broadcast_counted(blocks), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", "band", "uid", "comp", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+def _few_buckets(opened: DataFrame, turn: int) -> DataFrame:
+    """Of the open rows of every document and band the one with the least hash of its key: near
+    copies mostly choose the same, and no document has more rows, however many buckets it is in."""
+    least = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("hash"), "key", "comp")).alias("p")
+    return opened.groupBy("uid", "band").agg(least).select("p.key", "band", "uid", "p.comp")
+
+
+def _bucket_pairs(opened: DataFrame, sketches: DataFrame, percent: int, turn: int, forest: bool) -> DataFrame:
+    """Pairs (a, b, band) of rows in one open bucket (key, band, uid, comp) that may be linked.
+
+    With ``forest`` a large bucket falls into blocks that do not meet, others in each turn; else
+    all its rows meet, but for those of its most frequent component among themselves: their
+    blocks only meet the blocks of the others.
+    """
+    counts = opened.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("most"))
+    counts = counts.where(F.col("total") > MEMBERS)
+    n_blocks = lambda n: F.ceil(n / MEMBERS).cast("long")
+    counts = materialize(counts.select("key", F.col("most.comp").alias("main"), n_blocks(F.col("total")).alias("blocks"),
+                                       n_blocks(F.col("most.n")).alias("first"), n_blocks(F.col("total") - F.col("most.n")).alias("others")), "large-buckets")
+    rows = opened.join(broadcast_counted(counts), "key", "left")
+    zero, large, salt = F.lit(0).cast("long"), F.col("blocks").isNotNull(), F.xxhash64("uid", "key", F.lit(turn))
+    if forest:
+        block = F.when(large, F.pmod(salt, "blocks")).otherwise(zero)
+        rows = rows.select("key", "band", "uid", "comp", block.alias("block"), block.alias("x"), block.alias("y"))
+    else:
+        inside = F.col("comp") == F.col("main")
+        block = F.when(large & inside, F.pmod(salt, "first")).when(large, F.col("first") + F.pmod(salt, F.greatest("others", F.lit(1)))).otherwise(zero)
+        met = F.when(large & inside, F.when(F.col("others") > 0, F.sequence("first", F.col("first") + F.col("others") - 1)))
+        met = met.when(large, F.sequence(zero, F.col("first") + F.col("others") - 1)).when(~large, F.array(zero))
+        rows = rows.withColumn("block", block).withColumn("other", F.explode(met))
+        rows = rows.select("key", "band", "uid", "comp", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     rows = rows.join(broadcast_counted(sketches, BROADCAST_ROWS // 10), ["uid", "band"])
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    pairs = rows.mapInArrow(_tested(percent, nearest), "a long, b long, band int, far long")
-    if nearest:
-        pairs = pairs.withColumn("end", F.explode(F.array("a", "b")))
-        pairs = pairs.groupBy("end").agg(F.min(F.struct("far", "a", "b", "band")).alias("p")).select("p.*")
-    found = materialize(pairs.select("a", "b", "band").distinct(), "candidates")
-    discard(blocks)
+    pairs = rows.mapInArrow(_tested(percent, forest), "a long, b long, band int")
+    found = materialize(pairs.distinct(), "candidates")
+    discard(counts)
     return found
 
 
@@ -450,18 +506,19 @@ def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple
     members = materialize(buckets.select("uid", "band").distinct(), "members")
     small = materialize(sketches.join(broadcast_counted(members), ["uid", "band"]).mapInArrow(_folded_words(), "uid long, band int, n long, words array<long>"), "folded")
     comps = None
-    for turn in range(NEAREST + 1 if row_count(buckets) else 0):
+    for turn in range(FORESTS + 1 if row_count(buckets) else 0):
         opened = _open_buckets(buckets, comps)
         if comps is not None and not row_count(opened):
             break
-        part = opened if turn == NEAREST else opened.where(F.pmod(F.xxhash64("key"), F.lit(SHARES)) == turn)
-        pairs = _bucket_pairs(part, small, percent, turn < NEAREST)
+        forest = turn < FORESTS
+        few = materialize(_few_buckets(opened, turn), "few-buckets") if forest else None
+        pairs = _bucket_pairs(few if forest else opened, small, percent, turn, forest)
         near = materialize(_near_sketches(pairs, sketches, percent), "near") if row_count(pairs) else pairs
         if row_count(near):
             new = _verified(docs, near, classes, percent, size)
             comps = merged(comps, new) if row_count(new) else comps
             discard(new)
-        discard(opened, pairs, near)
+        discard(opened, few, pairs, near)
     discard(buckets, members, small)
     return keyed, classes, comps
 
