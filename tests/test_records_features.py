@@ -381,3 +381,16 @@ def test_scaled_rounding_equals_duckdb_on_halves(spark):
     got = [r[0] for r in rows.select(round_scaled(F.col("x"), 4)).collect()]
     want = [duckdb.execute("select round(?::double, 4)", [x]).fetchone()[0] for x in xs]
     assert got == want and got != [r[0] for r in rows.select(F.round("x", 4)).collect()]
+
+
+def test_attribute_rows_are_those_of_the_feature_table(spark):
+    from tocsin.plans.fixtures import EVENTS
+
+    episodes = spark.createDataFrame([(i, "AB"[i % 2], False, INF, h, 40.0 + i) for i, h in enumerate([0, 1, 3, 4, 50, 130])],
+                                     "episode_id long, site string, event boolean, onset double, horizon int, age double")
+    measured = spark.createDataFrame([(i, "AB"[i % 2], t, float(t)) for i in range(6) for t in range(1, 140, 9)], "episode_id long, site string, t int, v_x double")
+    columns = ["episode_id", "t", "age", "hour", "site_b"]
+    want = fe.feature_rows(measured, episodes, EVENTS, ["v_x"], ("age",)).select(*columns)
+    got = fe.attribute_rows(episodes, EVENTS).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.dtypes == want.dtypes
+    assert "Window" not in got._jdf.queryExecution().toString()
