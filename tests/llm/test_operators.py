@@ -562,3 +562,13 @@ def test_toxicity_keeps_every_learned_term(spark):
     rows = [(" ".join(names) if i % 2 else "calm river", i % 2) for i in range(100)]
     lexicon = toxicity._lexicon(spark.createDataFrame(rows, "text string, toxic int"))
     assert len(names) > 500 and set(names) <= lexicon.stems.keys() and set(names) <= lexicon.words.keys()
+
+
+def test_open_entries_differ_in_their_low_bytes(spark):
+    import numpy as np
+
+    base, times = np.array([-(2**33), -1, 0, 1, 2**31, 2**33]), np.array([1, 1, 7, 1, 2**26, 3])
+    packed = lm_score.pack(base, times)
+    df = spark.createDataFrame([(x,) for x in packed.tolist()], "packed long").select(*lm_score.unpacked("packed"))
+    assert [tuple(r) for r in df.collect()] == list(zip(base.tolist(), times.tolist()))
+    assert len(set((lm_score.pack(np.arange(0, 2**32, 2**28), np.ones(16, np.int64)) >> 32).tolist())) == 1

@@ -98,8 +98,18 @@ def _lookup(codes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np
     return met, np.where(met, values[at], 0)
 
 
-#: An entry keeps how often it stands in the text in the low bits of one number, and its base above.
-TIMES_BITS = 28
+#: An entry keeps its base in the low bits of one number, moved above zero, and how often it stands in
+#: the text above: most rows then differ in the low four bytes alone, which compresses best.
+BASE_BITS = 36
+
+
+def pack(base: np.ndarray, times: np.ndarray) -> np.ndarray:
+    return (times << BASE_BITS) + base + (1 << BASE_BITS - 1)
+
+
+def unpacked(packed: str) -> tuple[Column, Column]:
+    """(base, times) of entries."""
+    return F.col(packed).bitwiseAND(F.lit((1 << BASE_BITS) - 1)) - (1 << BASE_BITS - 1), F.shiftright(packed, BASE_BITS)
 
 
 def _scored(shared):
@@ -120,7 +130,7 @@ def _scored(shared):
                 total = int(value.sum())
                 code, times = np.unique(single[~known], return_counts=True)
                 nothing = np.zeros(len(code), np.int64)
-                entries.append([code, times, nothing, nothing])
+                entries.append([code, pack(nothing, times), nothing, nothing])
                 code, first, times = np.unique(double, return_index=True, return_counts=True)
                 ka, kb, va, vb = known[first], known[first + 1], value[first], value[first + 1]
                 base = constant - va - vb
@@ -130,7 +140,7 @@ def _scored(shared):
                 total += int(((logs(np.maximum(n, 1)) + base) * times)[seen].sum())
                 heads.append((len(single), total, int(times[seen].sum())))
                 rest = ~ready
-                entries.append([code[rest], (base[rest] << TIMES_BITS) + times[rest], np.where(ka, 0, single[first])[rest], np.where(kb, 0, single[first + 1])[rest]])
+                entries.append([code[rest], pack(base[rest], times[rest]), np.where(ka, 0, single[first])[rest], np.where(kb, 0, single[first + 1])[rest]])
                 ends.append(ends[-1] + len(entries[-2][0]) + len(entries[-1][0]))
             code, packed, a, b = (np.concatenate([e[i] for e in entries]) for i in range(4))
             rare = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"], mask=pa.array((a == 0) & (b == 0)))
@@ -182,7 +192,7 @@ def report(docs: DataFrame, hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAI
         flat = flat.select("uid", F.coalesce("e.code", F.lit(0).cast("long")).alias("code"), "e.packed", "e.rare", F.when(F.col("place") == 0, F.col("doc")).alias("doc"))
         open_counts = counts.where((F.col("code") != 0) & ~F.coalesce(frequent, F.lit(False))).select("code", "n")
         joined = flat.join(open_counts, "code", "left")
-        times, base = F.col("packed").bitwiseAND(F.lit((1 << TIMES_BITS) - 1)), F.shiftright("packed", TIMES_BITS)
+        base, times = unpacked("packed")
         is_pair = F.col("code").bitwiseAND(F.lit(1)) == 1
         met = is_pair & (F.col("n") > times)
         own = F.when(is_pair, F.when(met, (_log(F.col("n")) + base) * times)).otherwise(_log(F.col("n")) * times)
