@@ -394,3 +394,34 @@ def test_attribute_rows_are_those_of_the_feature_table(spark):
     got = fe.attribute_rows(episodes, EVENTS).select(*columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.dtypes == want.dtypes
     assert "Window" not in got._jdf.queryExecution().toString()
+
+
+def test_episode_files_are_whole_and_need_no_folder_or_move_each(spark, tmp_path):
+    """One file per episode, the same bytes as Spark's own writer gives; folders do not grow with the episodes."""
+    columns, n = ["HR", "Age"], 3 * ef.FOLDERS
+    rows = [("AB"[i % 2], f"p.{i}" if i else "a=b c", r, None if i % 3 else i / 7, float(r)) for i in range(n) for r in range(1 + i % 4)]
+    recs = values(spark, ["site", "episode_id", "row_no", *columns], rows).withColumn("HR", F.col("HR").cast("double"))
+    root = tmp_path / "files"
+    ef.write_episode_files(recs.orderBy(F.rand(3)), str(root), columns)
+    files = [p for p in root.rglob("*") if p.is_file()]
+    assert len(files) == n and {p.suffix for p in files} == {".csv"}
+    assert len([p for p in root.rglob("*") if p.is_dir()]) <= 2 + 2 * ef.FOLDERS < n
+    recs.orderBy("row_no").coalesce(1).drop("row_no").write.partitionBy("site", "episode_id").csv(str(tmp_path / "spark"), sep="|", header=True, nullValue="NaN")
+    as_spark = {(p.parent.parent.name, p.parent.name): p.read_bytes() for p in (tmp_path / "spark").rglob("part-*.csv")}
+    assert {(p.parent.parent.name, p.name[:-4]): p.read_bytes() for p in files} == as_spark
+    listed = {(r["site"], r["episode_id"]) for r in ef.list_files(spark, str(root), "*.csv").collect()}
+    assert listed == {(s, e.replace("=", "%3D")) for s, e, *_ in rows}
+    with pytest.raises(FileExistsError):
+        ef.write_episode_files(recs, str(root), columns)
+
+
+def test_manifest_with_and_without_empty_files(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"e{i}.psv").write_text("HR\n1\n")
+    full = {r["episode_id"]: r["size_bytes"] for r in ef.audit_files(spark, {"A": str(tmp_path)}, columns=["HR"]).collect()}
+    (tmp_path / "none.psv").write_text("")
+    (tmp_path / "ignored.txt").write_text("x")
+    rows = ef.audit_files(spark, {"A": str(tmp_path)}, columns=["HR"]).collect()
+    assert full == {f"e{i}": 5 for i in range(5)}
+    assert {r["episode_id"]: r["size_bytes"] for r in rows} == {**full, "none": 0}
+    assert {r["sha256"] for r in rows if r["empty"]} == {"e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"}
