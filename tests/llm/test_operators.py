@@ -7,6 +7,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -333,6 +334,24 @@ def test_words_go_to_the_model_and_survive_a_generation(monkeypatch):
     assert all(learned[c] == 1 for c in common) and len(learned) > 120
 
 
+def test_new_words_make_no_call_each():
+    import sys
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng, ours, calls = random.Random(4), packing.WordTokenizer(path), Counter()
+    words = sorted({"".join(rng.choices("abcdefghijAÉßéÿ", k=7)) + rng.choice(["", "", ",", "!?"]) for _ in range(4000)})
+    ours.encode(["x"])
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        got = ours.encode([" ".join(words)])
+    finally:
+        sys.setprofile(None)
+    assert got == [np.array(Tokenizer.from_file(path).encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()]
+    assert calls["call"] + calls["c_call"] < len(words) / 4, calls
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 

@@ -21,9 +21,9 @@ ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import insort
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +43,14 @@ BLOCK = 2000
 CACHE = 250_000
 
 #: Letters that no normal form changes and whose lower case is one letter, then marks that are cut off.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+")
+_PLAIN = "^[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+$"
 _MARKS = ".,;:!?$%&*#"
 
 
+def listed(values: pa.Array) -> list:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordTokenizer:
     """Token ids of whole texts by a tokenizer that drops white space.
 
@@ -71,7 +75,9 @@ class WordTokenizer:
 
         self.tokenizer, self.plain = Tokenizer.from_file(self.path), Tokenizer.from_file(self.path)
         as_model = lambda c: "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))
-        self.letters = {i: as_model(chr(i)) for i in range(0xDF, 0x100) if _PLAIN.fullmatch(chr(i))}
+        self.letters = [(c, as_model(c)) for c in map(chr, range(0xDF, 0x100)) if c.isalpha()]
+        if any(c in stands_for for c, _ in self.letters for d, stands_for in self.letters if c != d):
+            raise ValueError(f"{self.path}: letters stand for each other")
         self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.CharDelimiterSplit(" ")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -82,44 +88,54 @@ class WordTokenizer:
 
     def _encode_words(self, words: list[str]) -> None:
         text = " ".join(words)
-        text = text if text.isascii() else text.translate(self.letters)
+        if not text.isascii():
+            for letter, stands_for in self.letters:
+                text = text.replace(letter, stands_for)
         ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        ids, at, chunks = ids.tobytes(), 0, self.chunks
-        for w, end in zip(words, cuts, strict=True):
-            chunks[w] = ids[at:end]
-            at = end
+        if len(cuts) != len(words):
+            raise ValueError(f"{len(words)} words but {len(cuts)} ends of words")
+        self.chunks.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *cuts], cuts))))
 
     def _encode_each(self, chunks: list[str]) -> None:
         for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
             self.chunks[c] = np.array(e.ids, np.uint32).tobytes()
 
-    def _unknown(self, names: set[str]) -> set[str]:
-        """Those of ``names`` that are not remembered; what only the older generation has moves on."""
+    def _codes(self, names: list[str], learn) -> list[bytes]:
+        """Ids of different ``names``. What only the older generation has moves on; what is not
+        remembered goes to ``learn``, which puts it into ``chunks``."""
         chunks, older = self.chunks, self.older
-        names = names.difference(chunks)
-        back = [c for c in names if c in older]
-        for c in back:
-            chunks[c] = older[c]
-        names.difference_update(back)
-        return names
-
-    def learn(self, new: set[str]) -> None:
-        chunks, parts, others = self.chunks, [], set()
-        for c in new:
-            w = c.rstrip(_MARKS)
-            if w.isalpha() if w.isascii() else _PLAIN.fullmatch(w):
-                parts.append((c, w.lower(), c[len(w):]))
-            else:
-                others.add(c)
-        words = self._unknown({w for _, w, _ in parts})
-        others = self._unknown(others.union([marks for _, _, marks in parts]))
-        if words:
-            self._encode_words(list(words))
-        if others:
-            self._encode_each(list(others))
-        for c, w, marks in parts:
-            chunks[c] = chunks[w] + chunks[marks]
+        codes = list(map(chunks.get, names))
+        at = [i for i, k in enumerate(codes) if k is None]
+        if at:
+            unknown = new = [names[i] for i in at]
+            back = [c for c in unknown if c in older]
+            if back:
+                chunks.update(zip(back, map(older.__getitem__, back)))
+                new = [c for c in unknown if c not in older]
+            if new:
+                learn(new)
+            for i, k in zip(at, map(chunks.__getitem__, unknown)):
+                codes[i] = k
+        return codes
+
+    def learn(self, new: list[str]) -> None:
+        names = pa.array(new, pa.string())
+        bare = pc.ascii_rtrim(names, _MARKS)
+        plain = pc.match_substring_regex(bare, _PLAIN)
+        others = listed(names.filter(pc.invert(plain)))
+        self._codes(others, self._encode_each)
+        names, bare = names.filter(plain), bare.filter(plain)
+        lower = pc.utf8_lower(bare)
+        words = lower.dictionary_encode()
+        codes = self._codes(listed(words.dictionary), self._encode_words)
+        more = pc.not_equal(names, lower)  # the others are such a word themselves
+        sizes = pc.subtract(pc.binary_length(names), pc.binary_length(bare)).filter(more)
+        names = listed(names.filter(more))
+        marks = [c[-n:] if n else "" for c, n in zip(names, listed(sizes))]
+        ends = list(set(marks))
+        ends = dict(zip(ends, self._codes(ends, self._encode_each)))
+        self.chunks.update(zip(names, map(add, map(codes.__getitem__, listed(words.indices.filter(more))), map(ends.__getitem__, marks))))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
@@ -130,12 +146,9 @@ class WordTokenizer:
         texts = pa.array([t or "" for t in texts], pa.string())
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         flat = cut.flatten().dictionary_encode()
-        place, distinct = flat.indices.to_numpy(), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place, distinct = flat.indices.to_numpy(), listed(flat.dictionary)
         self.chunks[""] = b""
-        new = self._unknown(set(distinct))
-        if new:
-            self.learn(new)
-        coded = [self.chunks[c] for c in distinct]
+        coded = self._codes(distinct, self.learn)
         ids, sizes = np.frombuffer(b"".join(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         starts, sizes = (np.cumsum(sizes) - sizes)[place], sizes[place]
         ends = np.concatenate([[0], np.cumsum(sizes)])
