@@ -425,3 +425,23 @@ def test_manifest_with_and_without_empty_files(spark, tmp_path):
     assert full == {f"e{i}": 5 for i in range(5)}
     assert {r["episode_id"]: r["size_bytes"] for r in rows} == {**full, "none": 0}
     assert {r["sha256"] for r in rows if r["empty"]} == {"e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"}
+
+
+def test_feature_runs_are_the_feature_table(spark):
+    """Every value of every hour, and no more runs when an episode lasts longer."""
+    from tocsin.plans.fixtures import EVENTS
+    episodes = spark.createDataFrame([(i, "AB"[i % 2], False, INF, h, 40.0 + i if i else None) for i, h in enumerate((119, 130, 60, 4, 3, 30))],
+                                     "episode_id long, site string, event boolean, onset double, horizon int, age double")
+    rows = [(i, t, float((t * 37 + i) % 11) / 7 if (t + i) % 4 else None, float("nan") if t % 5 else t / 3) for i in range(5) for t in range(-1, 140, 1 + 5 * i)]
+    measured = spark.createDataFrame(rows, "episode_id long, t int, v_x double, v_y double").withColumn("site", F.lit("A"))
+    names = fe.feature_names(["v_x", "v_y"], ["age"])
+    table = fe.feature_rows(measured, episodes, EVENTS, ["v_x", "v_y"], ["age"])
+    want = {(r["episode_id"], r["t"], n): r[n] for r in table.collect() for n in names if r[n] is not None}
+    runs = fe.feature_runs(fe.observations(measured, ["v_x", "v_y"]), episodes, EVENTS, ["v_x", "v_y"], ["age"])
+    made = [((r["episode_id"], t, names[r["position"]]), r["value"] + r["step"] * (t - r["start"])) for r in runs.collect() for t in range(r["start"], r["stop"] + 1)]
+    assert len(made) == len(want) and dict(made) == pytest.approx(want) and len(want) > 10_000
+
+    one = measured.where("episode_id = 0 and t = 9")
+    counts = {fe.feature_runs(fe.observations(one, ["v_x"]), episodes.where("episode_id = 0").withColumn("horizon", F.lit(h)), EVENTS, ["v_x"]).count() for h in (50, 110)}
+    assert len(counts) == 1 and counts.pop() < 40
+    assert "BroadcastExchange" not in runs._jdf.queryExecution().executedPlan().toString()
