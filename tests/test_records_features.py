@@ -445,3 +445,22 @@ def test_feature_runs_are_the_feature_table(spark):
     counts = {fe.feature_runs(fe.observations(one, ["v_x"]), episodes.where("episode_id = 0").withColumn("horizon", F.lit(h)), EVENTS, ["v_x"]).count() for h in (50, 110)}
     assert len(counts) == 1 and counts.pop() < 40
     assert "BroadcastExchange" not in runs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_of_many_buckets_equal_sql_with_enough_halvings(spark, monkeypatch):
+    """Seven halvings, as in the registered SQL, end at 128 buckets; beyond, it leaves out the last of two in a node."""
+    import duckdb
+
+    from tocsin.plans import oracle
+    n, replicates = 9_000, 10
+    monkeypatch.setattr(oracle, "CTES", {"many": f"select range as episode_id, 'A' as site, false as event from range({n})"})
+    monkeypatch.setattr(oracle, "REPLICATES", replicates)
+    drawn = {}
+    for levels in (7, 8):
+        oracle.draw_ctes(f"d{levels}", "many", "site||'|'||event::varchar", levels)
+        drawn[levels] = duckdb.sql(oracle.with_ctes(f"select stratum, position, bootstrap, multiplicity from d{levels}_mult")).fetchall()
+    episodes = spark.range(n).select(F.col("id").alias("episode_id"), F.lit("A").alias("site"), F.lit(False).alias("event"))
+    got = rs.multiplicities(rs.indexed_episodes(episodes, ["site", "event"], 42), replicates, 42, oracle.BOOT_SLOTS)
+    assert sorted(map(tuple, got.collect())) == sorted(drawn[8])
+    positions = {levels: {r[1] for r in rows} for levels, rows in drawn.items()}
+    assert len(positions[8]) > n - 20 and len(positions[7]) <= 128 * oracle.BOOT_SLOTS
