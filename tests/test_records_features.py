@@ -464,3 +464,10 @@ def test_draws_of_many_buckets_equal_sql_with_enough_halvings(spark, monkeypatch
     assert sorted(map(tuple, got.collect())) == sorted(drawn[8])
     positions = {levels: {r[1] for r in rows} for levels, rows in drawn.items()}
     assert len(positions[8]) > n - 20 and len(positions[7]) <= 128 * oracle.BOOT_SLOTS
+
+
+def test_full_feature_table_lists_features_without_a_value(spark, tmp_path):
+    from tocsin.plans.catalog_features import WIDE_NAMES, full_feature_table
+    spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    rows = full_feature_table(spark, str(tmp_path)).collect()
+    assert sorted(r["feature"] for r in rows) == sorted(WIDE_NAMES) and {(r["n"], r["total"], r["minimum"], r["maximum"]) for r in rows} == {(0, None, None, None)}
